@@ -11,7 +11,9 @@ follows the relations a query really reads rather than the declared ``origin``.
 
 from __future__ import annotations
 
+import logging
 from collections import OrderedDict
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Mapping, Sequence
 
@@ -31,6 +33,18 @@ def _get(row: Mapping, key: str, default=None):
     return default if v is None else v
 
 
+@contextmanager
+def _quiet_analysis_errors():
+    """Deferred SQL stages fail analysis on purpose; keep PySpark from logging each probe."""
+    log = logging.getLogger("SQLQueryContextLogger")
+    level = log.level
+    log.setLevel(logging.CRITICAL)
+    try:
+        yield
+    finally:
+        log.setLevel(level)
+
+
 def _rules(row: Mapping) -> list[Rule]:
     return [Rule(v["validation_rule"], v["validation_action"]) for v in (_get(row, "validations") or [])]
 
@@ -159,7 +173,8 @@ class PipelineRun:
                     df = apply_column_map(src, st["specs"])
                 else:
                     try:
-                        df = self.spark.sql(st["sql"])
+                        with _quiet_analysis_errors():
+                            df = self.spark.sql(st["sql"])
                     except AnalysisException as exc:
                         if exc.getCondition() == "TABLE_OR_VIEW_NOT_FOUND":
                             waiting.append(st)

@@ -65,3 +65,439 @@ FROM events WHERE value >= 5.0 GROUP BY event_type
 def q_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = PipelineRun(spark, end_to_end_spec(sf_dir))
     return run.run(write=False).relations["vw__gold__event_stats"]
+
+
+# ------------------------------------------------------------------ sources, mapping, SQL stages
+
+from sluice.functions.text import WHITESPACE_CLASS, digit_parse, path_identity, py_strip, resolve_against  # noqa: E402
+from sluice.operators.mapping import ColumnSpec, apply_column_map, run_sql  # noqa: E402
+from sluice.operators.quality import (Rule, audit, audit_constraints, conflicting_rules,  # noqa: E402
+                                      drop_violations, duplicate_keys, without_match)
+from sluice.sources.declared import read_source  # noqa: E402
+
+_WS = WHITESPACE_CLASS  # the same class text is valid in Java regex and RE2 (DuckDB)
+
+
+def _duck_strip(c: str) -> str:
+    return f"regexp_replace(regexp_replace({c}, '^{_WS}+', ''), '{_WS}+$', '')"
+
+
+@register("source_read", "SELECT * FROM events")
+def q_source_read(spark, sf_dir):
+    return read_source(spark, f"{sf_dir.rstrip('/')}/events.parquet", "parquet",
+                       '{"mergeSchema": false, "datetimeRebaseMode": "CORRECTED"}')
+
+
+@register("map_project", """
+SELECT CAST(o_orderkey AS INTEGER) AS order_key, CAST(o_custkey AS INTEGER) AS customer_key,
+       CAST(o_orderdate AS DATE) AS order_date, o_orderstatus AS status, o_totalprice AS total_price
+FROM orders
+""")
+def q_map_project(spark, sf_dir):
+    specs = [  # listed out of order on purpose; column_order decides
+        ColumnSpec("o_orderstatus", "status", "string", "string", column_order=4),
+        ColumnSpec("o_orderkey", "order_key", None, "int", column_order=1),
+        ColumnSpec("o_totalprice", "total_price", "double", "double", column_order=5),
+        ColumnSpec("o_custkey", "customer_key", None, "int", column_order=2),
+        ColumnSpec("o_orderdate", "order_date", "timestamp", "date", column_order=3),
+    ]
+    return apply_column_map(table(spark, sf_dir, "orders"), specs)
+
+
+@register("map_cast_default", """
+SELECT o_orderkey,
+       coalesce(TRY_CAST(o_orderpriority AS INTEGER), -1) AS priority_code,
+       CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS priority_rank,
+       CAST(trunc(o_totalprice) AS INTEGER) AS total_int,
+       DATE '1970-01-01' AS fallback_date,
+       CAST(o_orderstatus = 'F' AS BOOLEAN) AS is_final
+FROM orders
+""")
+def q_map_cast_default(spark, sf_dir):
+    specs = [
+        ColumnSpec("o_orderkey", column_order=1),
+        ColumnSpec("o_orderpriority", "priority_code", "string", "int", default_value="-1", column_order=2),
+        ColumnSpec(None, "priority_rank", None, "int", transform_function="substring(o_orderpriority, 1, 1)",
+                   column_order=3),
+        ColumnSpec("o_totalprice", "total_int", "double", "int", column_order=4),
+        ColumnSpec("o_orderpriority", "fallback_date", "string", "date", default_value="1970-01-01",
+                   column_order=5),
+        ColumnSpec(None, "is_final", None, "boolean", transform_function="F.col('o_orderstatus') == 'F'",
+                   column_order=6),
+    ]
+    return apply_column_map(table(spark, sf_dir, "orders"), specs)
+
+
+@register("map_transform_ts", """
+SELECT event_id, strftime(ts, '%d-%m-%Y %H:%M:%S') AS ts_text, date_trunc('second', ts) AS ts_parsed
+FROM events
+""")
+def q_map_transform_ts(spark, sf_dir):
+    fmt = "dd-MM-yyyy HH:mm:ss"
+    spec = PipelineSpec(
+        sources=[{"origin": f"{sf_dir.rstrip('/')}/events.parquet", "datatype": "parquet", "target": "raw"}],
+        transformations=[
+            {"origin": "raw", "target": "as_text", "column_order": 1, "source_column_name": "event_id"},
+            {"origin": "raw", "target": "as_text", "column_order": 2, "dest_column_name": "ts_text",
+             "dest_column_type": "string", "transform_function": f"F.date_format(F.col('ts'), '{fmt}')"},
+            {"origin": "as_text", "target": "parsed", "column_order": 1, "source_column_name": "event_id"},
+            {"origin": "as_text", "target": "parsed", "column_order": 2, "source_column_name": "ts_text"},
+            {"origin": "as_text", "target": "parsed", "column_order": 3, "dest_column_name": "ts_parsed",
+             "dest_column_type": "timestamp",
+             "transform_function": f"F.to_timestamp_ntz(F.col('ts_text'), F.lit('{fmt}'))"},
+        ],
+    )
+    return PipelineRun(spark, spec).run(write=False).relations["parsed"]
+
+
+def _sql_stage_spec(sf_dir: str) -> PipelineSpec:
+    """lineitem -> monthly average price per part -> summer months only (declared in reverse)."""
+    return PipelineSpec(
+        sources=[{"origin": f"{sf_dir.rstrip('/')}/lineitem.parquet", "datatype": "parquet",
+                  "target": "vw__silver__item_cost"}],
+        transformations=[
+            {"origin": "vw__silver__item_cost_monthly_avg", "target": "vw__silver__item_cost_monthly_avg_summer",
+             "sql_query": "SELECT * FROM vw__silver__item_cost_monthly_avg WHERE month IN (6, 7, 8)",
+             "validations": [{"validation_rule": "item_id IS NOT NULL", "validation_action": "DROP"}]},
+            {"origin": "vw__silver__item_cost", "target": "vw__silver__item_cost_monthly_avg",
+             "sql_query": "SELECT CAST(month(l_shipdate) AS INT) AS month, l_partkey AS item_id, "
+                          "round(avg(l_extendedprice), 6) AS average_price "
+                          "FROM vw__silver__item_cost GROUP BY l_partkey, month(l_shipdate)"},
+        ],
+    )
+
+
+_SQL_GROUP_AVG = """
+SELECT CAST(month(l_shipdate) AS INTEGER) AS month, l_partkey AS item_id,
+       round(avg(l_extendedprice), 6) AS average_price
+FROM lineitem GROUP BY l_partkey, month(l_shipdate)
+"""
+
+
+@register("sql_group_avg", _SQL_GROUP_AVG)
+def q_sql_group_avg(spark, sf_dir):
+    return PipelineRun(spark, _sql_stage_spec(sf_dir)).run(write=False).relations[
+        "vw__silver__item_cost_monthly_avg"]
+
+
+@register("sql_in_filter", f"SELECT * FROM ({_SQL_GROUP_AVG}) WHERE month IN (6, 7, 8) AND item_id IS NOT NULL")
+def q_sql_in_filter(spark, sf_dir):
+    return PipelineRun(spark, _sql_stage_spec(sf_dir)).run(write=False).relations[
+        "vw__silver__item_cost_monthly_avg_summer"]
+
+
+@register("sql_stage_join", """
+SELECT n_name AS nation, count(*) AS suppliers, round(sum(s_acctbal), 2) AS acctbal
+FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name
+""")
+def q_sql_stage_join(spark, sf_dir):
+    """A SQL stage reading two published sources (run_sql with explicit views)."""
+    child = spark.newSession()
+    views = {"sup": read_source(child, f"{sf_dir.rstrip('/')}/supplier.parquet", "parquet"),
+             "nat": read_source(child, f"{sf_dir.rstrip('/')}/nation.parquet", "parquet")}
+    return run_sql(child, "SELECT n_name AS nation, count(*) AS suppliers, round(sum(s_acctbal), 2) AS acctbal "
+                          "FROM sup JOIN nat ON s_nationkey = n_nationkey GROUP BY n_name", views)
+
+
+# ------------------------------------------------------------------ data-quality rules
+
+@register("validate_drop", "SELECT * FROM lineitem WHERE l_discount > 0")
+def q_validate_drop(spark, sf_dir):
+    return drop_violations(table(spark, sf_dir, "lineitem"), [Rule("l_discount > 0", "DROP")])
+
+
+@register("validate_log", """
+SELECT 'value >= 5.0' AS rule, 'LOG' AS action, count(*) AS checked,
+       count(*) FILTER (WHERE NOT coalesce(value >= 5.0, false)) AS violations
+FROM events
+""")
+def q_validate_log(spark, sf_dir):
+    return audit(table(spark, sf_dir, "events"), [Rule("value >= 5.0", "LOG")])
+
+
+_MULTI = [Rule("value >= 5.0", "LOG"), Rule("event_type <> 'error'", "DROP")]
+
+
+@register("validate_multi", "SELECT * FROM events WHERE event_type <> 'error'")
+def q_validate_multi(spark, sf_dir):
+    return drop_violations(table(spark, sf_dir, "events"), _MULTI)
+
+
+@register("validate_multi_audit", """
+SELECT 'value >= 5.0' AS rule, 'LOG' AS action, count(*) AS checked,
+       count(*) FILTER (WHERE NOT coalesce(value >= 5.0, false)) AS violations FROM events
+UNION ALL
+SELECT 'event_type <> ''error''', 'DROP', count(*),
+       count(*) FILTER (WHERE NOT coalesce(event_type <> 'error', false)) FROM events
+""")
+def q_validate_multi_audit(spark, sf_dir):
+    return audit(table(spark, sf_dir, "events"), _MULTI)
+
+
+@register("validate_fail_audit", """
+SELECT 'l_quantity > 0' AS rule, 'FAIL' AS action, count(*) AS checked,
+       count(*) FILTER (WHERE NOT coalesce(l_quantity > 0, false)) AS violations FROM lineitem
+UNION ALL
+SELECT 'l_shipdate < ''2001-10-01''', 'FAIL', count(*),
+       count(*) FILTER (WHERE NOT coalesce(l_shipdate < '2001-10-01', false)) FROM lineitem
+""")
+def q_validate_fail_audit(spark, sf_dir):
+    return audit(table(spark, sf_dir, "lineitem"),
+                 [Rule("l_quantity > 0", "FAIL"), Rule("l_shipdate < '2001-10-01'", "FAIL")])
+
+
+@register("conflicting_rules", f"""
+WITH k AS (SELECT doc_id, lang, {_duck_strip('text')} AS rule_key FROM documents),
+     g AS (SELECT rule_key, count(*) AS n_actions FROM k GROUP BY rule_key HAVING count(*) > 1)
+SELECT md5(rule_key) AS rule_md5, n_actions, doc_id, lang FROM k JOIN g USING (rule_key)
+""")
+def q_conflicting_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    out = conflicting_rules(docs, "text", "lang", "doc_id")
+    return out.select(F.md5("rule_key").alias("rule_md5"), "n_actions", "doc_id", "lang")
+
+
+@register("constraint_audit", f"""
+SELECT c_custkey, concat_ws(',',
+    CASE WHEN c_acctbal < 0 THEN 'negative_balance' END,
+    CASE WHEN c_mktsegment NOT IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD') THEN 'segment_not_allowed' END,
+    CASE WHEN regexp_matches(c_name, '^{_WS}*$') THEN 'blank_name' END) AS violations
+FROM customer
+""")
+def q_constraint_audit(spark, sf_dir):
+    from sluice.functions.text import is_blank
+    cust = table(spark, sf_dir, "customer")
+    checks = {
+        "negative_balance": F.col("c_acctbal") < 0,
+        "segment_not_allowed": ~F.col("c_mktsegment").isin("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD"),
+        "blank_name": is_blank("c_name"),
+    }
+    return audit_constraints(cust, checks).select("c_custkey", F.array_join("violations", ",").alias("violations"))
+
+
+@register("xor_audit", """
+WITH t AS (
+  SELECT event_id,
+         CASE WHEN event_type IN ('click', 'view') THEN 'src_col' END AS source_column_name,
+         CASE WHEN event_type IN ('click', 'purchase') THEN 'dst_col' END AS dest_column_name,
+         CASE WHEN event_type IN ('click', 'error') THEN 'SELECT 1' END AS sql_query
+  FROM events)
+SELECT event_id, concat_ws(',',
+    CASE WHEN source_column_name IS NULL AND dest_column_name IS NULL AND sql_query IS NULL
+         THEN 'no_transformation' END,
+    CASE WHEN source_column_name <> '' AND dest_column_name <> '' AND sql_query <> ''
+         THEN 'mapping_and_sql' END) AS violations,
+  concat_ws(',',
+    CASE WHEN source_column_name IS NULL AND dest_column_name IS NULL AND sql_query IS NULL
+         THEN 'no_transformation' END,
+    CASE WHEN sql_query <> '' AND (source_column_name <> '' OR dest_column_name <> '')
+         THEN 'mapping_and_sql' END) AS strict_violations
+FROM t
+""")
+def q_xor_audit(spark, sf_dir):
+    from sluice.operators.stages import xor_checks
+    ev = table(spark, sf_dir, "events")
+    rows = ev.select(
+        "event_id",
+        F.when(F.col("event_type").isin("click", "view"), F.lit("src_col")).alias("source_column_name"),
+        F.when(F.col("event_type").isin("click", "purchase"), F.lit("dst_col")).alias("dest_column_name"),
+        F.when(F.col("event_type").isin("click", "error"), F.lit("SELECT 1")).alias("sql_query"),
+    )
+    out = audit_constraints(rows, xor_checks(False), "v1")
+    out = audit_constraints(out, xor_checks(True), "v2")
+    return out.select("event_id", F.array_join("v1", ",").alias("violations"),
+                      F.array_join("v2", ",").alias("strict_violations"))
+
+
+@register("destination_audit", """
+WITH d AS (
+  SELECT o_orderkey,
+         CASE WHEN o_orderstatus = 'F' THEN 'upsert' WHEN o_orderstatus = 'O' THEN 'append' ELSE 'merge' END AS mode,
+         CASE WHEN o_orderpriority LIKE '1%' THEN [] ELSE ['o_custkey'] END AS keys,
+         CASE WHEN o_orderpriority LIKE '2%' THEN NULL ELSE 'o_orderdate' END AS sequence_by
+  FROM orders)
+SELECT o_orderkey, concat_ws(',',
+    CASE WHEN mode NOT IN ('append', 'upsert') THEN 'bad_mode' END,
+    CASE WHEN mode = 'upsert' AND (len(keys) = 0 OR sequence_by IS NULL)
+         THEN 'upsert_without_keys_or_sequence' END) AS violations
+FROM d
+""")
+def q_destination_audit(spark, sf_dir):
+    from sluice.operators.stages import upsert_incomplete
+    o = table(spark, sf_dir, "orders")
+    d = o.select(
+        "o_orderkey",
+        F.when(F.col("o_orderstatus") == "F", "upsert").when(F.col("o_orderstatus") == "O", "append")
+         .otherwise("merge").alias("mode"),
+        F.when(F.col("o_orderpriority").startswith("1"), F.array().cast("array<string>"))
+         .otherwise(F.array(F.lit("o_custkey"))).alias("keys"),
+        F.when(~F.col("o_orderpriority").startswith("2"), F.lit("o_orderdate")).alias("sequence_by"),
+    )
+    checks = {"bad_mode": ~F.col("mode").isin("append", "upsert"),
+              "upsert_without_keys_or_sequence": upsert_incomplete(F.col("mode"), F.col("keys"), F.col("sequence_by"))}
+    return audit_constraints(d, checks).select("o_orderkey", F.array_join("violations", ",").alias("violations"))
+
+
+@register("no_stage", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def q_no_stage(spark, sf_dir):
+    return without_match(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"]).select("doc_id")
+
+
+@register("duplicate_targets", """
+SELECT target, count(*) AS n FROM (
+  SELECT n_nationkey AS target FROM nation
+  UNION ALL SELECT r_regionkey FROM region
+  UNION ALL SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000)
+GROUP BY target HAVING count(*) > 1
+""")
+def q_duplicate_targets(spark, sf_dir):
+    from sluice.operators.stages import duplicate_targets
+    targets = (table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("target"))
+               .unionByName(table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("target")))
+               .unionByName(table(spark, sf_dir, "supplier").filter("s_acctbal > 9000")
+                            .select(F.col("s_nationkey").alias("target"))))
+    return duplicate_targets(targets, [])
+
+
+@register("ambiguous_keys", """
+SELECT o_custkey, o_orderdate, count(*) AS n FROM orders GROUP BY o_custkey, o_orderdate HAVING count(*) > 1
+""")
+def q_ambiguous_keys(spark, sf_dir):
+    return duplicate_keys(table(spark, sf_dir, "orders"), ["o_custkey", "o_orderdate"])
+
+
+# ------------------------------------------------------------------ reconciliation
+
+from sluice.operators import reconcile as R  # noqa: E402
+
+_CUTOFF = "1998-01-01"
+_DUCK_DEPLOYED = f"""
+deployed AS (
+  SELECT 'cust-' || o_custkey AS name, CAST(arg_max(o_orderkey, o_orderkey) AS VARCHAR) AS pipeline_id
+  FROM orders WHERE o_orderdate < TIMESTAMP '{_CUTOFF}' GROUP BY o_custkey),
+declared AS (
+  SELECT DISTINCT 'main' AS target_catalog_name, 'sales' AS target_schema_name, 'cust-' || o_custkey AS name,
+         CAST(NULL AS VARCHAR) AS pipeline_id
+  FROM orders WHERE o_orderdate >= TIMESTAMP '{_CUTOFF}')
+"""
+
+
+def _deployed_raw(spark, sf_dir):
+    """Every old order is a 'deployed pipeline' record; names repeat, later records win."""
+    o = table(spark, sf_dir, "orders").filter(F.col("o_orderdate") < F.lit(_CUTOFF).cast("timestamp_ntz"))
+    return o.select(F.concat(F.lit("cust-"), F.col("o_custkey")).alias("name"),
+                    F.col("o_orderkey").cast("string").alias("pipeline_id"), F.col("o_orderkey").alias("pos"))
+
+
+def _deployed(spark, sf_dir):
+    return R.last_by(_deployed_raw(spark, sf_dir), "name", "pipeline_id", "pos")
+
+
+def _declared(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").filter(F.col("o_orderdate") >= F.lit(_CUTOFF).cast("timestamp_ntz"))
+    stage = o.select(F.lit("main").alias("target_catalog_name"), F.lit("sales").alias("target_schema_name"),
+                     F.concat(F.lit("cust-"), F.col("o_custkey")).alias("pipeline_name"))
+    return R.inventory(spark, stage)
+
+
+@register("reconcile_obsolete", f"WITH {_DUCK_DEPLOYED} SELECT * FROM deployed WHERE name NOT IN (SELECT name FROM declared)")
+def q_reconcile_obsolete(spark, sf_dir):
+    return R.obsolete(_deployed(spark, sf_dir), _declared(spark, sf_dir))
+
+
+@register("reconcile_new", f"WITH {_DUCK_DEPLOYED} SELECT * FROM declared WHERE name NOT IN (SELECT name FROM deployed)")
+def q_reconcile_new(spark, sf_dir):
+    return R.new(_declared(spark, sf_dir), _deployed(spark, sf_dir))
+
+
+@register("reconcile_matching", f"""WITH {_DUCK_DEPLOYED}
+SELECT target_catalog_name, target_schema_name, name, deployed.pipeline_id
+FROM declared JOIN deployed USING (name)""")
+def q_reconcile_matching(spark, sf_dir):
+    return R.matching(_declared(spark, sf_dir), _deployed_raw(spark, sf_dir), order="pos")
+
+
+@register("deploy_plan", f"""WITH {_DUCK_DEPLOYED}
+SELECT coalesce(declared.name, deployed.name) AS name,
+       coalesce(declared.pipeline_id, deployed.pipeline_id) AS pipeline_id,
+       CASE WHEN declared.name IS NULL THEN 'delete'
+            WHEN coalesce(declared.pipeline_id, deployed.pipeline_id) IS NULL THEN 'create'
+            ELSE 'update' END AS action
+FROM declared FULL OUTER JOIN deployed ON declared.name = deployed.name""")
+def q_deploy_plan(spark, sf_dir):
+    return R.deploy_plan(_declared(spark, sf_dir), _deployed_raw(spark, sf_dir), order="pos")
+
+
+@register("deploy_plan_safe", f"""WITH {_DUCK_DEPLOYED}
+SELECT declared.name AS name, coalesce(declared.pipeline_id, deployed.pipeline_id) AS pipeline_id,
+       CASE WHEN coalesce(declared.pipeline_id, deployed.pipeline_id) IS NULL THEN 'create' ELSE 'update' END AS action
+FROM declared LEFT JOIN deployed ON declared.name = deployed.name""")
+def q_deploy_plan_safe(spark, sf_dir):
+    return R.deploy_plan(_declared(spark, sf_dir), _deployed_raw(spark, sf_dir), order="pos", destructive=False)
+
+
+@register("deploy_targets", f"""WITH {_DUCK_DEPLOYED}
+SELECT * FROM declared WHERE name NOT IN (SELECT name FROM deployed)
+UNION ALL
+SELECT target_catalog_name, target_schema_name, name, deployed.pipeline_id FROM declared JOIN deployed USING (name)""")
+def q_deploy_targets(spark, sf_dir):
+    """New pipelines (no id yet) plus matching ones (deployed id): the create-or-update input list."""
+    declared, deployed = _declared(spark, sf_dir), _deployed(spark, sf_dir)
+    return R.new(declared, deployed).unionByName(R.matching(declared, deployed))
+
+
+@register("or_semi_join", """
+SELECT * FROM supplier s WHERE EXISTS (
+  SELECT 1 FROM customer c WHERE c.c_acctbal < -950
+    AND (c.c_custkey = s.s_suppkey OR c.c_nationkey = s.s_nationkey))
+""")
+def q_or_semi_join(spark, sf_dir):
+    obsolete = table(spark, sf_dir, "customer").filter(F.col("c_acctbal") < -950)
+    return R.or_semi_join(table(spark, sf_dir, "supplier"), obsolete,
+                          [("s_suppkey", "c_custkey"), ("s_nationkey", "c_nationkey")])
+
+
+@register("lookup_first", """
+SELECT c_custkey, f.first_price FROM customer LEFT JOIN
+  (SELECT o_custkey, arg_min(o_totalprice, o_orderkey) AS first_price FROM orders GROUP BY o_custkey) f
+  ON c_custkey = f.o_custkey
+""")
+def q_lookup_first(spark, sf_dir):
+    return R.lookup(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders"),
+                    "o_custkey", "o_totalprice", "o_orderkey", first=True, out="first_price",
+                    left_key="c_custkey")
+
+
+@register("lookup_last", """
+SELECT c_custkey, f.last_price FROM customer LEFT JOIN
+  (SELECT o_custkey, arg_max(o_totalprice, o_orderkey) AS last_price FROM orders GROUP BY o_custkey) f
+  ON c_custkey = f.o_custkey
+""")
+def q_lookup_last(spark, sf_dir):
+    return R.lookup(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders"),
+                    "o_custkey", "o_totalprice", "o_orderkey", first=False, out="last_price",
+                    left_key="c_custkey")
+
+
+@register("inventory", """
+SELECT DISTINCT 'events' AS target_catalog_name, event_type AS target_schema_name,
+       'user-' || user_id AS name, CAST(NULL AS VARCHAR) AS pipeline_id
+FROM events WHERE value < 5 OR value >= 3 OR event_type = 'click'
+""")
+def q_inventory(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+
+    def stage(pred):
+        return ev.filter(pred).select(F.lit("events").alias("target_catalog_name"),
+                                      F.col("event_type").alias("target_schema_name"),
+                                      F.concat(F.lit("user-"), F.col("user_id")).alias("pipeline_name"))
+    return R.inventory(spark, stage("value < 5"), stage("value >= 3"), stage("event_type = 'click'"))
+
+
+@register("top1_under_predicate", """
+SELECT * FROM part WHERE p_type IN ('ECONOMY', 'STANDARD')
+ORDER BY p_size, p_retailprice, p_partkey LIMIT 1
+""")
+def q_top1(spark, sf_dir):
+    return R.top1(table(spark, sf_dir, "part"), F.col("p_type").isin("ECONOMY", "STANDARD"),
+                  ["p_size", "p_retailprice", "p_partkey"])
