@@ -501,3 +501,217 @@ ORDER BY p_size, p_retailprice, p_partkey LIMIT 1
 def q_top1(spark, sf_dir):
     return R.top1(table(spark, sf_dir, "part"), F.col("p_type").isin("ECONOMY", "STANDARD"),
                   ["p_size", "p_retailprice", "p_partkey"])
+
+
+# ------------------------------------------------------------------ arrays, paths, JSON
+
+from sluice.functions.text import file_suffix  # noqa: E402
+from sluice.operators.stages import (expand_column_maps, explode_elements, first_element_field,  # noqa: E402
+                                     fold_validation, has_elements)
+
+
+@register("first_element", """
+SELECT conv_id, turn, t[1] AS first_line, CAST(len(t) AS INTEGER) AS n_tasks
+FROM (SELECT conv_id, turn, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS t FROM conversations)
+WHERE len(t) > 0
+""")
+def q_first_element(spark, sf_dir):
+    conv = table(spark, sf_dir, "conversations")
+    tasks = F.transform(F.filter(F.split("text", "\n"), lambda x: x != ""),
+                        lambda x, i: F.struct(i.alias("idx"), x.alias("line")))
+    rows = conv.select("conv_id", "turn", tasks.alias("tasks"))
+    return rows.filter(has_elements("tasks")).select(
+        "conv_id", "turn", first_element_field("tasks", "line").alias("first_line"),
+        F.size("tasks").alias("n_tasks"))
+
+
+@register("stage_flatten", """
+SELECT conv_id, turn, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS pos, unnest(parts) AS line
+FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS parts FROM conversations)
+""")
+def q_stage_flatten(spark, sf_dir):
+    conv = table(spark, sf_dir, "conversations")
+    return explode_elements(conv, F.split("text", "\n"), "pos", "line", keep=["conv_id", "turn"])
+
+
+@register("path_identity", """
+SELECT page_id, string_split(url, '/')[-4] AS target_catalog_name, string_split(url, '/')[-3] AS target_schema_name,
+       string_split(url, '/')[-2] AS pipeline_name FROM pages
+""")
+def q_path_identity(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", *path_identity("url"))
+
+
+@register("path_resolve", """
+WITH p AS (
+  SELECT page_id, '/srv/pages/' || page_id AS base,
+         CASE WHEN regexp_extract(url, '^https?://[^/]+/(.*)$', 1) LIKE 'en%'
+              THEN '/' || regexp_extract(url, '^https?://[^/]+/(.*)$', 1)
+              ELSE regexp_extract(url, '^https?://[^/]+/(.*)$', 1) END AS rel
+  FROM pages)
+SELECT page_id,
+       CASE WHEN rel IS NULL OR rel = '' THEN NULL
+            WHEN starts_with(rel, '/') THEN regexp_replace(rel, '/(\\./)+', '/', 'g')
+            ELSE regexp_replace(base || '/' || rel, '/(\\./)+', '/', 'g') END AS config_path,
+       lower(regexp_extract(rel, '[^/](\\.[^./]*)$', 1)) AS suffix
+FROM p
+""")
+def q_path_resolve(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    rel0 = F.regexp_extract("url", r"^https?://[^/]+/(.*)$", 1)
+    rel = F.when(rel0.startswith("en"), F.concat(F.lit("/"), rel0)).otherwise(rel0)
+    base = F.concat(F.lit("/srv/pages/"), F.col("page_id"))
+    return pages.select("page_id", resolve_against(rel, base).alias("config_path"),
+                        file_suffix(rel).alias("suffix"))
+
+
+@register("config_expand", """
+WITH r AS (
+  SELECT n_regionkey, n_nationkey, n_name, 'length(' || n_name || ') > 3' AS rule,
+         CASE WHEN n_name < 'F' THEN 'DROP' WHEN n_name < 'P' THEN 'LOG' ELSE '' END AS action FROM nation)
+SELECT r_name AS origin, 'vw__' || lower(r_name) AS target, n_nationkey AS column_order, n_name AS source_column_name,
+       CASE WHEN action <> '' THEN 1 ELSE 0 END AS n_validations,
+       CASE WHEN action <> '' THEN rule END AS first_rule
+FROM region JOIN r ON r_regionkey = n_regionkey
+""")
+def q_config_expand(spark, sf_dir):
+    parents = table(spark, sf_dir, "region").select(
+        "r_regionkey", F.col("r_name").alias("origin"),
+        F.concat(F.lit("vw__"), F.lower("r_name")).alias("target"))
+    n = table(spark, sf_dir, "nation")
+    rows = n.select(
+        "n_regionkey", F.col("n_nationkey").alias("column_order"), F.col("n_name").alias("source_column_name"),
+        fold_validation(F.concat(F.lit("length("), F.col("n_name"), F.lit(") > 3")),
+                        F.when(F.col("n_name") < "F", "DROP").when(F.col("n_name") < "P", "LOG")
+                         .otherwise("")).alias("validations"))
+    out = expand_column_maps(parents, rows, "r_regionkey", "n_regionkey", ["origin", "target"])
+    return out.select("origin", "target", "column_order", "source_column_name",
+                      F.coalesce(F.size("validations"), F.lit(0)).alias("n_validations"),
+                      first_element_field("validations", "validation_rule").alias("first_rule"))
+
+
+@register("digit_parse", """
+SELECT o_orderkey,
+  CASE WHEN regexp_full_match(split_part(o_orderpriority, '-', 1), '[0-9]+')
+       THEN TRY_CAST(split_part(o_orderpriority, '-', 1) AS INTEGER) END AS priority_digit,
+  CASE WHEN regexp_full_match(o_orderstatus, '[0-9]+') THEN TRY_CAST(o_orderstatus AS INTEGER) END AS status_digit,
+  CASE WHEN regexp_full_match(o_orderpriority, '[0-9]+') THEN TRY_CAST(o_orderpriority AS INTEGER) END AS priority_whole
+FROM orders
+""")
+def q_digit_parse(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", digit_parse(F.split_part("o_orderpriority", F.lit("-"), F.lit(1))).alias("priority_digit"),
+                    digit_parse("o_orderstatus").alias("status_digit"),
+                    digit_parse("o_orderpriority").alias("priority_whole"))
+
+
+@register("json_params", """
+SELECT event_id, json_extract_string(props, '$.k') AS k,
+       CAST(to_json(map(['k'], [json_extract_string(props, '$.k')])) AS VARCHAR) AS params_json
+FROM events
+""")
+def q_json_params(spark, sf_dir):
+    from sluice.functions.json import decode_params, encode_params
+    ev = table(spark, sf_dir, "events").select("event_id", decode_params("props").alias("params"))
+    return ev.select("event_id", F.col("params")["k"].alias("k"),
+                     encode_params("params", ev.schema["params"].dataType).alias("params_json"))
+
+
+# ------------------------------------------------------------------ sanitize
+
+from sluice.functions.sanitize import is_empty, sanitize_frame  # noqa: E402
+
+
+def _nested_conversations(spark, sf_dir):
+    """Nested values with blanks, derived from the conversation turns."""
+    conv = table(spark, sf_dir, "conversations")
+    body = (F.when(F.col("turn") % 4 == 0, F.lit(""))
+            .when(F.col("turn") % 4 == 1, F.lit(" 　\t")).otherwise(F.col("text")))
+    lines = F.transform(F.split("text", "\n"), lambda x: F.when(F.length(x) < 25, F.lit("")).otherwise(x))
+    meta = F.struct(F.when(F.col("role") != "user", F.col("role")).alias("who"),
+                    (F.col("turn") % 2).cast("double").alias("parity"))
+    tags = F.create_map(F.lit("role"), F.col("role"), F.lit("pad"),
+                        F.when(F.col("turn") % 2 == 0, F.lit("")).otherwise(F.lit("x")))
+    return conv.select("conv_id", "turn", body.alias("body"), lines.alias("lines"), meta.alias("meta"),
+                       tags.alias("tags"))
+
+
+_DUCK_NESTED = f"""
+nested AS (
+  SELECT conv_id, turn, role,
+         CASE WHEN turn % 4 = 0 THEN '' WHEN turn % 4 = 1 THEN ' ' || chr(12288) || chr(9) ELSE text END AS body,
+         list_transform(string_split(text, chr(10)), lambda x: CASE WHEN length(x) < 25 THEN '' ELSE x END) AS lines
+  FROM conversations)
+"""
+
+
+@register("is_empty", f"""WITH {_DUCK_NESTED}
+SELECT conv_id, turn, regexp_matches(body, '^{_WS}*$') AS body_empty,
+       len(list_filter(lines, lambda x: x IS NOT NULL AND x <> '')) = 0 AS lines_empty,
+       (role = 'user' AND turn % 2 = 0) AS meta_empty,
+       turn % 2 = 0 AS tags_empty_after_role_blanked
+FROM nested
+""")
+def q_is_empty(spark, sf_dir):
+    df = _nested_conversations(spark, sf_dir)
+    s = df.schema
+    blanked = F.map_filter("tags", lambda k, v: k != "role")
+    return df.select("conv_id", "turn", is_empty(F.col("body"), s["body"].dataType).alias("body_empty"),
+                     is_empty(F.col("lines"), s["lines"].dataType).alias("lines_empty"),
+                     is_empty(F.col("meta"), s["meta"].dataType).alias("meta_empty"),
+                     is_empty(blanked, s["tags"].dataType).alias("tags_empty_after_role_blanked"))
+
+
+def _sanitized_summary(df):
+    return df.select(
+        "conv_id", "turn", "body",
+        F.col("lines").isNull().alias("lines_null"),
+        F.size(F.filter("lines", lambda x: x.isNull())).alias("n_null_lines"),
+        F.size("lines").alias("n_lines"),
+        F.col("meta").isNull().alias("meta_null"),
+        F.col("meta.who").alias("meta_who"),
+        F.array_join(F.sort_array(F.map_keys("tags")), ",").alias("tag_keys"),
+    )
+
+
+@register("sanitize_null", f"""WITH {_DUCK_NESTED}, f AS (
+  SELECT *, len(list_filter(lines, lambda x: x <> '')) = 0 AS lines_empty FROM nested)
+SELECT conv_id, turn, CASE WHEN regexp_matches(body, '^{_WS}*$') THEN NULL ELSE body END AS body,
+       lines_empty AS lines_null,
+       CASE WHEN lines_empty THEN NULL ELSE CAST(len(list_filter(lines, lambda x: x = '')) AS INTEGER) END AS n_null_lines,
+       CASE WHEN lines_empty THEN NULL ELSE CAST(len(lines) AS INTEGER) END AS n_lines,
+       (role = 'user' AND turn % 2 = 0) AS meta_null,
+       CASE WHEN role <> 'user' THEN role END AS meta_who,
+       'pad,role' AS tag_keys
+FROM f
+""")
+def q_sanitize_null(spark, sf_dir):
+    return _sanitized_summary(sanitize_frame(_nested_conversations(spark, sf_dir), drop_empty=False))
+
+
+@register("sanitize_drop", f"""WITH {_DUCK_NESTED}, f AS (
+  SELECT *, len(list_filter(lines, lambda x: x <> '')) = 0 AS lines_empty FROM nested)
+SELECT conv_id, turn, CASE WHEN regexp_matches(body, '^{_WS}*$') THEN NULL ELSE body END AS body,
+       lines_empty AS lines_null,
+       CASE WHEN lines_empty THEN NULL ELSE 0 END AS n_null_lines,
+       CASE WHEN lines_empty THEN NULL ELSE CAST(len(list_filter(lines, lambda x: x <> '')) AS INTEGER) END AS n_lines,
+       (role = 'user' AND turn % 2 = 0) AS meta_null,
+       CASE WHEN role <> 'user' THEN role END AS meta_who,
+       CASE WHEN turn % 2 = 0 THEN 'role' ELSE 'pad,role' END AS tag_keys
+FROM f
+""")
+def q_sanitize_drop(spark, sf_dir):
+    return _sanitized_summary(sanitize_frame(_nested_conversations(spark, sf_dir), drop_empty=True))
+
+
+@register("key_rename", """
+SELECT event_id, user_id, CAST(user_id AS VARCHAR) AS kx, 1 AS n_keys, event_type AS s_ab FROM events
+""")
+def q_key_rename(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").select(
+        "event_id", F.col("user_id").alias("user.id"),
+        F.create_map(F.lit("k.x"), F.col("event_type"), F.lit("k_x"), F.col("user_id").cast("string")).alias("m.props"),
+        F.struct(F.col("event_type").alias("a.b"), F.col("value").alias("c")).alias("s"))
+    clean = sanitize_frame(ev)
+    return clean.select("event_id", "user_id", F.col("m_props")["k_x"].alias("kx"),
+                        F.size("m_props").alias("n_keys"), F.col("s.a_b").alias("s_ab"))
