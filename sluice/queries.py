@@ -715,3 +715,108 @@ def q_key_rename(spark, sf_dir):
     clean = sanitize_frame(ev)
     return clean.select("event_id", "user_id", F.col("m_props")["k_x"].alias("kx"),
                         F.size("m_props").alias("n_keys"), F.col("s.a_b").alias("s_ab"))
+
+
+# ------------------------------------------------------------------ sinks and upsert
+
+from sluice.operators.upsert import upsert  # noqa: E402
+from sluice.session import scratch_root  # noqa: E402
+from sluice.sinks.tables import append, create_database, overwrite_table  # noqa: E402
+from sluice.sinks.upsert_store import UpsertStore  # noqa: E402
+
+
+@register("append_sink", "SELECT * FROM orders UNION ALL SELECT * FROM orders")
+def q_append_sink(spark, sf_dir):
+    path = scratch_root(spark, "append_sink")
+    orders = table(spark, sf_dir, "orders")
+    append(orders, path=path)
+    append(orders, path=path)
+    return spark.read.parquet(path)
+
+
+@register("metadata_roundtrip", "SELECT * FROM orders")
+def q_metadata_roundtrip(spark, sf_dir):
+    """CREATE DATABASE + overwrite twice (the second replaces the first) + table scan."""
+    path = scratch_root(spark, "metadata_roundtrip")
+    create_database(spark, "sluice_roundtrip")
+    orders = table(spark, sf_dir, "orders")
+    overwrite_table(orders.limit(0).drop("o_orderpriority"), "sluice_roundtrip.orders", path=path)
+    overwrite_table(orders, "sluice_roundtrip.orders", path=path)
+    return spark.table("sluice_roundtrip.orders")
+
+
+_SPLIT = "1996-01-01"
+_LATEST_ORDER = """
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_custkey
+      ORDER BY o_orderdate DESC, o_orderkey DESC, o_orderstatus DESC, o_totalprice DESC, o_orderpriority DESC) AS rn
+  FROM orders) WHERE rn = 1
+"""
+
+
+def _order_history(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    split = F.lit(_SPLIT).cast("timestamp_ntz")
+    return o.filter(F.col("o_orderdate") < split), o.filter(F.col("o_orderdate") >= split)
+
+
+@register("upsert_batch", _LATEST_ORDER)
+def q_upsert_batch(spark, sf_dir):
+    """Stored history (before the split date) + a newer batch: latest order per customer."""
+    older, newer = _order_history(spark, sf_dir)
+    return upsert(older, newer, ["o_custkey"], "o_orderdate")
+
+
+@register("upsert_out_of_order", _LATEST_ORDER)
+def q_upsert_out_of_order(spark, sf_dir):
+    """The newer rows arrive first, the older batch later: the result must not change."""
+    older, newer = _order_history(spark, sf_dir)
+    return upsert(upsert(None, newer, ["o_custkey"], "o_orderdate"), older, ["o_custkey"], "o_orderdate")
+
+
+@register("upsert_persisted", _LATEST_ORDER)
+def q_upsert_persisted(spark, sf_dir):
+    """Bucketed copy-on-write store: two merges plus a replayed batch id (ignored)."""
+    older, newer = _order_history(spark, sf_dir)
+    store = UpsertStore(spark, scratch_root(spark, "upsert_persisted"), ["o_custkey"], "o_orderdate")
+    store.merge(older, batch_id=0)
+    store.merge(newer, batch_id=1)
+    store.merge(older, batch_id=1)  # replay of an applied batch: skipped
+    return store.read().select(*table(spark, sf_dir, "orders").columns)
+
+
+# ------------------------------------------------------------------ streaming
+
+from sluice.streaming.stream import append_stream, stream_source, upsert_stream  # noqa: E402
+
+
+def _event_stream(spark, sf_dir):
+    schema = table(spark, sf_dir, "events").schema
+    return stream_source(spark, sf_dir.rstrip("/"), "parquet", {"pathGlobFilter": "events.parquet"}, schema=schema)
+
+
+@register("stream_append", """
+SELECT event_id, user_id, event_type AS kind, value AS amount, ts FROM events WHERE value >= 5.0
+""")
+def q_stream_append(spark, sf_dir):
+    root = scratch_root(spark, "stream_append")
+    mapped = apply_column_map(_event_stream(spark, sf_dir), [
+        ColumnSpec("event_id", column_order=1), ColumnSpec("user_id", column_order=2),
+        ColumnSpec("event_type", "kind", column_order=3), ColumnSpec("value", "amount", "double", "double", column_order=4),
+        ColumnSpec("ts", column_order=5)])
+    q = append_stream(mapped, f"{root}/out", f"{root}/chk", [Rule("amount >= 5.0", "DROP")])
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/out")
+
+
+@register("stream_upsert", """
+SELECT event_id, ts, user_id, event_type, value, props FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id
+      ORDER BY ts DESC, event_id DESC, event_type DESC, value DESC, props DESC) AS rn FROM events) WHERE rn = 1
+""")
+def q_stream_upsert(spark, sf_dir):
+    root = scratch_root(spark, "stream_upsert")
+    store = UpsertStore(spark, f"{root}/table", ["user_id"], "ts")
+    q = upsert_stream(_event_stream(spark, sf_dir), store, f"{root}/chk")
+    q.awaitTermination()
+    return store.read().select(*table(spark, sf_dir, "events").columns)
