@@ -14,6 +14,7 @@ from __future__ import annotations
 import ast
 import inspect
 import operator
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,8 +48,12 @@ class UnsafeExpression(ValueError):
     """The text uses something outside the allow-list."""
 
 
+_PY_CALL = re.compile(r"(?<![\w.`])(?:F|functions)\.[A-Za-z_]\w*\s*\(")
+
+
 def looks_like_python(text: str) -> bool:
-    return text.lstrip().startswith(tuple(f"{a}." for a in _MODULE_ALIASES))
+    """PySpark spelling when the text calls ``F.<name>(...)`` anywhere."""
+    return bool(_PY_CALL.search(text))
 
 
 def _build(node: ast.AST):

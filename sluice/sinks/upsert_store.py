@@ -3,7 +3,7 @@
 Without a row-level table format, ``MERGE`` is emulated:
 
 * rows are hashed into ``n_buckets`` buckets by ``pmod(xxhash64(keys), n)``;
-* ``data/v=<k>/bucket=<b>/`` holds the bucket files written by version ``k``;
+* ``data/__version=<k>/__bucket=<b>/`` holds the bucket files written by version ``k``;
 * ``_manifest/v=<k>/`` (JSON) lists, for every bucket, the version holding it,
   plus the last batch id merged (for idempotent streaming retries);
 * a merge reads only the buckets the batch touches, upserts them, writes them
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from sluice.operators.upsert import upsert
 
 BUCKET = "__bucket"
+VERSION = "__version"
+MANIFEST_DDL = "bucket int, data_v int, batch_id long, n_buckets int"  # reserved names: partition folders must not collide with data columns
 
 
 class UpsertStore:
@@ -42,12 +44,12 @@ class UpsertStore:
     # -- manifest
     def _manifest(self):
         try:
-            m = self.spark.read.json(f"{self.path}/_manifest")
+            m = self.spark.read.schema(MANIFEST_DDL + ", v int").json(f"{self.path}/_manifest")
+            latest = m.agg(F.max("v")).first()[0]
         except AnalysisException:
             return None, {}, None
-        if "v" not in m.columns:
+        if latest is None:
             return None, {}, None
-        latest = m.agg(F.max("v")).first()[0]
         rows = m.filter(F.col("v") == latest).select("bucket", "data_v", "batch_id", "n_buckets").collect()
         if rows and rows[0]["n_buckets"] != self.n_buckets:
             self.n_buckets = rows[0]["n_buckets"]
@@ -55,7 +57,7 @@ class UpsertStore:
             rows[0]["batch_id"] if rows else None)
 
     def _bucket_paths(self, buckets: dict[int, int]) -> list[str]:
-        return [f"{self.path}/data/v={v}/{BUCKET}={b}" for b, v in sorted(buckets.items())]
+        return [f"{self.path}/data/{VERSION}={v}/{BUCKET}={b}" for b, v in sorted(buckets.items())]
 
     def read(self) -> DataFrame | None:
         """Current rows (``None`` for an empty store)."""
@@ -63,7 +65,7 @@ class UpsertStore:
         if not buckets:
             return None
         return self.spark.read.option("basePath", f"{self.path}/data").parquet(
-            *[p for p in self._bucket_paths(buckets)]).drop("v", BUCKET)
+            *[p for p in self._bucket_paths(buckets)]).drop(VERSION, BUCKET)
 
     def last_batch_id(self):
         return self._manifest()[2]
@@ -78,21 +80,23 @@ class UpsertStore:
         keyed = batch.withColumn(BUCKET, F.pmod(F.xxhash64(*[F.col(k) for k in self.keys]),
                                                 F.lit(self.n_buckets)).cast("int"))
         touched = sorted(r[0] for r in keyed.select(BUCKET).distinct().collect())
-        old_paths = [f"{self.path}/data/v={buckets[b]}/{BUCKET}={b}" for b in touched if b in buckets]
+        old_paths = [f"{self.path}/data/{VERSION}={buckets[b]}/{BUCKET}={b}" for b in touched if b in buckets]
         target = None
         if old_paths:
             target = (self.spark.read.option("basePath", f"{self.path}/data").parquet(*old_paths)
-                      .drop("v"))
+                      .drop(VERSION))
             target = target.withColumn(BUCKET, F.col(BUCKET).cast("int"))
         merged = upsert(target, keyed, self.keys, self.sequence_by)
         (merged.sortWithinPartitions(BUCKET).write.mode("overwrite").partitionBy(BUCKET)
-         .parquet(f"{self.path}/data/v={new_v}"))
+         .parquet(f"{self.path}/data/{VERSION}={new_v}"))
         entries = dict(buckets)
         for b in touched:
             entries[b] = new_v
+        # first row: version header (kept even when no bucket holds data yet)
         manifest = self.spark.createDataFrame(
-            [(b, v, batch_id, self.n_buckets) for b, v in sorted(entries.items())],
-            "bucket int, data_v int, batch_id long, n_buckets int",
+            [(None, None, batch_id, self.n_buckets)]
+            + [(b, v, batch_id, self.n_buckets) for b, v in sorted(entries.items())],
+            MANIFEST_DDL,
         )
         manifest.coalesce(1).write.mode("overwrite").json(f"{self.path}/_manifest/v={new_v}")
         return True
