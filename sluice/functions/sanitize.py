@@ -93,25 +93,38 @@ def _clean_children(x: Column, dtype: T.DataType, drop: bool) -> Column:
         return out
     if isinstance(dtype, T.MapType):
         vt = dtype.valueType
-        entries = F.transform(
-            F.map_entries(x),
-            lambda e: F.struct(
-                F.regexp_replace(e.getField("key").cast("string"), r"\.", "_").alias("key"),
-                (sanitize(e.getField("value"), vt, drop) if _needs_work(vt)
-                 else e.getField("value")).alias("value"),
-            ),
-        )
-        # last entry wins on a renamed-key collision
-        last = F.filter(
-            entries,
-            lambda e, i: ~F.exists(
-                F.slice(entries, i + 2, F.greatest(F.size(entries) - i - 1, F.lit(0))),
-                lambda o: o.getField("key") == e.getField("key"),
-            ),
-        )
+
+        def clean_value(v):
+            return sanitize(v, vt, drop) if _needs_work(vt) else v
+
+        def slow():
+            entries = F.transform(
+                F.map_entries(x),
+                lambda e: F.struct(
+                    F.regexp_replace(e.getField("key").cast("string"), r"\.", "_").alias("key"),
+                    clean_value(e.getField("value")).alias("value"),
+                ),
+            )
+            # last entry wins on a renamed-key collision
+            last = F.filter(
+                entries,
+                lambda e, i: ~F.exists(
+                    F.slice(entries, i + 2, F.greatest(F.size(entries) - i - 1, F.lit(0))),
+                    lambda o: o.getField("key") == e.getField("key"),
+                ),
+            )
+            if drop:
+                last = F.filter(last, lambda e: e.getField("value").isNotNull())
+            return F.map_from_entries(last)
+
+        if not isinstance(dtype.keyType, T.StringType):
+            return slow()
+        # fast path: no key contains a dot, so no key changes and none can collide
+        fast = F.transform_values(x, lambda k, v: clean_value(v)) if _needs_work(vt) else x
         if drop:
-            last = F.filter(last, lambda e: e.getField("value").isNotNull())
-        return F.map_from_entries(last)
+            fast = F.map_filter(fast, lambda k, v: v.isNotNull())
+        has_dot = F.exists(F.map_keys(x), lambda k: F.instr(k, ".") > 0)
+        return F.when(has_dot, slow()).otherwise(fast)
     if isinstance(dtype, T.StructType):
         names = [clean_name(f.name) for f in dtype.fields]
         if len(set(names)) != len(names):

@@ -26,6 +26,19 @@ COMPLEX_TYPES: dict[str, type] = {
 }
 
 
+# A failed string -> number/boolean cast costs an exception per row inside
+# Spark.  These patterns accept a superset of what the cast can parse (ASCII
+# control/space trimming, sign, digits; for doubles also exponents, d/f
+# suffixes, NaN/Infinity and hex floats), so values they reject are NULL either
+# way and skip the cast.  Whatever they accept still goes through ``try_cast``.
+_PARSABLE = {
+    "int": r"^[\x00-\x20]*[+-]?[0-9]+[\x00-\x20]*$",
+    "double": (r"(?i)^[\x00-\x20]*[+-]?(nan|inf|infinity|[0-9]*\.?[0-9]*(e[+-]?[0-9]+)?[df]?"
+               r"|0x[0-9a-f]*\.?[0-9a-f]*p[+-]?[0-9]+[df]?)[\x00-\x20]*$"),
+    "boolean": r"(?i)^[\x00-\x20]*(t|true|y|yes|1|f|false|n|no|0)[\x00-\x20]*$",
+}
+
+
 def is_type_name(name: str | None) -> bool:
     return name in TYPE_NAMES
 
@@ -57,6 +70,8 @@ def cast_to(col: Column, name: str | None, current: T.DataType | None = None) ->
         return col
     if current is not None and matches_type(name, current):
         return col
+    if isinstance(current, T.StringType) and name in _PARSABLE:
+        return F.when(col.rlike(_PARSABLE[name]), col.try_cast(SCALAR_TYPES[name]))
     return col.try_cast(SCALAR_TYPES[name])
 
 
@@ -65,4 +80,4 @@ def literal_of(value: str, name: str | None) -> Column:
     lit = F.lit(value)
     if not name or name == "string" or name in COMPLEX_TYPES:
         return lit
-    return lit.try_cast(SCALAR_TYPES[name])
+    return cast_to(lit, name, T.StringType())

@@ -115,28 +115,39 @@ def apply_rules(df: DataFrame, rules: Sequence[Rule], stage: str | None = None,
 
 # ---------------------------------------------------------------- rule grouping
 
+def _rule_digest(rule: Column) -> Column:
+    return F.sha2(rule, 256)
+
+
 def conflicting_rule_groups(df: DataFrame, rule_col: str, group_cols: Sequence[str] = ()) -> DataFrame:
-    """Rules (compared after Python-style strip) listed more than once per group.
+    """Digests of rules (compared after Python-style strip) listed more than once per group.
 
-    Counts are a plain partial/final aggregation, so a hot rule value does not
-    land in one task.
+    Grouping is on the SHA-256 digest of the stripped rule, so long rule texts
+    never travel through the shuffle; the count is a partial/final aggregation,
+    so a hot rule value does not land in one task.
     """
-    keyed = df.withColumn("rule_key", py_strip(F.col(rule_col).cast("string")))
-    return (keyed.groupBy(*group_cols, "rule_key").agg(F.count(F.lit(1)).alias("n_actions"))
+    keyed = df.select(*group_cols, _rule_digest(py_strip(F.col(rule_col).cast("string"))).alias("__digest"))
+    return (keyed.groupBy(*group_cols, "__digest").agg(F.count(F.lit(1)).alias("n_actions"))
             .filter(F.col("n_actions") > 1))
 
 
 def conflicting_rules(df: DataFrame, rule_col: str, action_col: str, order_col: str,
-                      group_cols: Sequence[str] = ()) -> DataFrame:
+                      group_cols: Sequence[str] = (), key: str = "text") -> DataFrame:
     """Every member of a conflicting group, flat: group..., rule_key, n_actions, order, action.
 
-    The members are found by joining the (small, aggregated) group list back
-    to the rows; AQE splits a skewed group on the big side.  No group is ever
+    ``key`` chooses what ``rule_key`` holds: the stripped ``text``, or its
+    ``sha256`` / ``md5`` hex digest (for long texts).  Members are found by
+    joining the aggregated group list back on the digest; that list is usually
+    small, and AQE turns the join into a broadcast once its real size is known
+    (or splits a skewed partition when it is not small).  No group is ever
     collected into one array.
     """
-    keyed = df.withColumn("rule_key", py_strip(F.col(rule_col).cast("string")))
+    stripped = py_strip(F.col(rule_col).cast("string"))
+    out_key = {"text": stripped, "sha256": _rule_digest(stripped), "md5": F.md5(stripped)}[key]
+    keyed = df.select(*group_cols, _rule_digest(stripped).alias("__digest"), out_key.alias("rule_key"),
+                      F.col(order_col), F.col(action_col))
     groups = conflicting_rule_groups(df, rule_col, group_cols)
-    return (keyed.join(groups, [*group_cols, "rule_key"], "inner")
+    return (keyed.join(groups, [*group_cols, "__digest"], "inner")
             .select(*group_cols, "rule_key", "n_actions", F.col(order_col), F.col(action_col)))
 
 

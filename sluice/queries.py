@@ -253,8 +253,8 @@ SELECT md5(rule_key) AS rule_md5, n_actions, doc_id, lang FROM k JOIN g USING (r
 """)
 def q_conflicting_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    out = conflicting_rules(docs, "text", "lang", "doc_id")
-    return out.select(F.md5("rule_key").alias("rule_md5"), "n_actions", "doc_id", "lang")
+    out = conflicting_rules(docs, "text", "lang", "doc_id", key="md5")
+    return out.select(F.col("rule_key").alias("rule_md5"), "n_actions", "doc_id", "lang")
 
 
 @register("constraint_audit", f"""

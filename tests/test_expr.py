@@ -41,3 +41,22 @@ def test_other_text_is_only_ever_spark_sql(spark, text):
     with pytest.raises(Exception) as info:
         df.select(transform_to_column(text)).collect()
     assert not isinstance(info.value, UnsafeExpression)
+
+
+def test_guarded_casts_equal_try_cast(spark):
+    """The cheap pre-check before string casts never changes a result."""
+    import random
+
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    from sluice.functions.types import cast_to
+    rnd = random.Random(11)
+    alpha = "0123456789+-.eEdDfFxXpPaAnNiItTyYsS \t\x0b_１"
+    vals = ["".join(rnd.choice(alpha) for _ in range(rnd.randint(0, 6))) for _ in range(3000)]
+    vals += ["NaN", "-Infinity", "inf", "0x1p3", "1e3", "1d", ".5", "1.", "TRUE", " no ", "2147483648", "+0"]
+    df = spark.createDataFrame([(v,) for v in vals], "s string")
+    for name in ("int", "double", "boolean"):
+        a, b = cast_to(F.col("s"), name, T.StringType()), F.col("s").try_cast(name)
+        same = a.eqNullSafe(b) | (F.isnan(a) & F.isnan(b) if name == "double" else F.lit(False))
+        assert df.filter(~same).count() == 0, name
