@@ -66,11 +66,17 @@ def audit(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 
 def drop_violations(df: DataFrame, rules: Iterable[Rule]) -> DataFrame:
-    """Keep rows meeting every DROP rule (one conjunctive filter, pushed to the scan when it can be)."""
+    """Keep rows meeting every DROP rule, as one conjunctive filter.
+
+    The bare predicates are used (a filter already drops rows where the
+    condition is NULL, exactly like ``coalesce(rule, false)``), so Catalyst can
+    push simple comparisons into the Parquet scan.
+    """
     cond = None
     for r in rules:
         if r.action == "DROP":
-            cond = holds(r.rule) if cond is None else cond & holds(r.rule)
+            c = F.expr(r.rule).cast("boolean")
+            cond = c if cond is None else cond & c
     return df if cond is None else df.filter(cond)
 
 
