@@ -73,3 +73,8 @@ COLUMN_MAP_CSV = T.StructType([
 # --- fixed values: allowed enumerations of the configuration contract
 VALIDATION_ACTIONS = ("LOG", "DROP", "FAIL")
 DESTINATION_MODES = ("append", "upsert")
+
+
+def stage_frame(spark, stage: str, rows: list):
+    """Typed relation of stage rows (dicts or tuples); an empty list gives an empty typed table."""
+    return spark.createDataFrame(rows, STAGE_SCHEMAS[stage])

@@ -135,3 +135,30 @@ def require_one(df: DataFrame, message: str):
     if row is None:
         raise RuntimeError(message)
     return row
+
+
+def deployed_jobs(listing: DataFrame, task_field: str = "pipeline_task", settings_col: str = "settings",
+                  id_col: str = "job_id") -> DataFrame:
+    """Job listing records -> ``job_name, job_id, pipeline_id``.
+
+    ``pipeline_id`` comes from the first task's ``<task_field>.pipeline_id`` and
+    is NULL when that task has no such field; jobs without tasks are dropped.
+    The task field name is a parameter because listings and job settings
+    spell it differently.
+    """
+    tasks = F.col(f"{settings_col}.tasks")
+    first = F.get(tasks, 0)
+    task_type = None
+    for f in listing.schema[settings_col].dataType["tasks"].dataType.elementType.fields:
+        if f.name == task_field:
+            task_type = f
+    pid = first.getField(task_field).getField("pipeline_id") if task_type is not None else F.lit(None)
+    return (listing.filter(F.coalesce(F.size(tasks), F.lit(0)) > 0)
+            .select(F.col(f"{settings_col}.name").alias("job_name"), F.col(id_col).alias("job_id"),
+                    pid.cast("string").alias("pipeline_id")))
+
+
+def jobs_of_obsolete_pipelines(jobs: DataFrame, obsolete_pipelines: DataFrame) -> DataFrame:
+    """Jobs whose name or pipeline id belongs to an obsolete pipeline (each job once)."""
+    obs = obsolete_pipelines.select(F.col("name").alias("__name"), F.col("pipeline_id").alias("__pid"))
+    return or_semi_join(jobs, obs, [("job_name", "__name"), ("pipeline_id", "__pid")])

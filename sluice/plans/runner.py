@@ -130,18 +130,32 @@ class PipelineRun:
     """One execution of a pipeline spec in an isolated child session."""
 
     def __init__(self, spark: SparkSession, spec: PipelineSpec, isolate: bool = True,
-                 eager_fail: bool = True):
+                 eager_fail: bool = True, checkpoint_failable: bool = False,
+                 preloaded: Mapping[str, DataFrame] | None = None):
+        """``checkpoint_failable`` checkpoints (to ``spark.checkpoint.dir``) every stage
+        that has FAIL rules, so the eager audit and the later write read the
+        stage once instead of computing it twice.  ``preloaded`` supplies source
+        relations by target name (used for streaming micro-batches)."""
         self.spark = _child_session(spark) if isolate else spark
         self.spec = spec
         self.eager_fail = eager_fail
+        self.checkpoint_failable = checkpoint_failable
+        self.preloaded = dict(preloaded or {})
         self.relations: "OrderedDict[str, DataFrame]" = OrderedDict()
         self.audits: dict[str, DataFrame] = {}
 
+    def _validate(self, name: str, df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+        if not rules:
+            return df
+        if self.checkpoint_failable and self.eager_fail and any(r.action == "FAIL" for r in rules):
+            df = df.checkpoint(eager=True)
+        df, audit_df = apply_rules(df, rules, stage=name, eager_fail=self.eager_fail)
+        self.audits[name] = audit_df
+        return df
+
     # -- helpers
     def _publish(self, name: str, df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-        if rules:
-            df, audit_df = apply_rules(df, rules, stage=name, eager_fail=self.eager_fail)
-            self.audits[name] = audit_df
+        df = self._validate(name, df, rules)
         self.relations[name] = df
         df.createOrReplaceTempView(name)
         return df
@@ -154,7 +168,9 @@ class PipelineRun:
     # -- stages
     def run_sources(self, stream: bool = False) -> None:
         for s in self.spec.sources:
-            df = read_source(self.spark, s["origin"], s["datatype"], _get(s, "params"), stream=stream)
+            df = self.preloaded.get(s["target"])
+            if df is None:
+                df = read_source(self.spark, s["origin"], s["datatype"], _get(s, "params"), stream=stream)
             self._publish(s["target"], df, _rules(s))
 
     def run_transformations(self) -> None:
@@ -194,14 +210,15 @@ class PipelineRun:
             src = self._relation(d["origin"])
             if src is None:
                 src = self.spark.table(d["origin"])
-            rules = _rules(d)
-            if rules:
-                src, audit_df = apply_rules(src, rules, stage=d["target"], eager_fail=self.eager_fail)
-                self.audits[d["target"]] = audit_df
-            out.append((d, src))
+            out.append((d, self._validate(d["target"], src, _rules(d))))
         return out
 
-    def run(self, write: bool = True) -> RunResult:
+    def run(self, write: bool = True, full_refresh: bool = False, batch_id: int | None = None) -> RunResult:
+        """Build every stage; with ``write`` run the FAIL audits and write the destinations.
+
+        All FAIL audits of all destinations run before the first write, so a
+        failing pipeline writes nothing.
+        """
         from sluice.sinks.tables import write_destination
 
         self.run_sources()
@@ -210,7 +227,48 @@ class PipelineRun:
         frames = self.destination_frames()
         for d, df in frames:
             self.relations[d["target"]] = df
-            if write:
-                write_destination(df, d)
+        if write:
+            for d, df in frames:
+                write_destination(df, d, full_refresh=full_refresh, batch_id=batch_id)
                 written.append(d["target"])
         return RunResult(self.relations, self.audits, written)
+
+
+def run_stream(spark: SparkSession, spec: PipelineSpec, checkpoint: str, stream_target: str | None = None,
+               continuous: bool | str | None = False, interval: str = "1 minute",
+               full_refresh: bool = False):
+    """Run a declared pipeline on a stream: one source is read with ``readStream``
+    and every micro-batch goes through the stages as a batch run.
+
+    * other sources are read as static relations in each micro-batch;
+    * FAIL rules are audited per micro-batch before anything of it is written;
+    * upserts skip batch ids already merged, appends overwrite their own
+      ``__batch`` partition, so a retried micro-batch is applied once;
+    * stages must be per-row or per-batch (column maps, filters, SQL on the
+      batch); state across batches is what the upsert destinations keep;
+    * ``full_refresh`` empties the destinations and the checkpoint first.
+    """
+    from sluice.sinks.tables import truncate_path, upsert_store_for
+    from sluice.streaming.stream import trigger_for
+
+    if not spec.sources:
+        raise ValueError("a streaming run needs a source")
+    src = next((s for s in spec.sources if s["target"] == stream_target), spec.sources[0])
+    static = read_source(spark, src["origin"], src["datatype"], _get(src, "params"))
+    stream_df = read_source(spark, src["origin"], src["datatype"], _get(src, "params"), stream=True,
+                            schema=static.schema)
+    if full_refresh:
+        for d in spec.destinations:
+            if d["mode"] == "upsert":
+                upsert_store_for(spark, d).truncate()
+            elif _get(d, "path"):
+                truncate_path(spark, d["path"])
+        truncate_path(spark, checkpoint)
+
+    def process(batch_df: DataFrame, batch_id: int) -> None:
+        run = PipelineRun(batch_df.sparkSession, spec, isolate=False,
+                          preloaded={src["target"]: batch_df})
+        run.run(write=True, batch_id=batch_id)
+
+    return (stream_df.writeStream.option("checkpointLocation", checkpoint)
+            .trigger(**trigger_for(continuous, interval)).foreachBatch(process).start())

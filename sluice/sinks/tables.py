@@ -5,6 +5,7 @@ from __future__ import annotations
 from typing import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sluice.sinks.upsert_store import UpsertStore
 
@@ -47,19 +48,62 @@ def append(df: DataFrame, name: str | None = None, path: str | None = None, fmt:
         raise ValueError("append needs a table name or a path")
 
 
-def write_destination(df: DataFrame, dest: Mapping, n_buckets: int | None = None) -> None:
-    """Write one destination stage: ``append`` or ``upsert`` (keys + sequence_by)."""
+def truncate_path(spark: SparkSession, path: str) -> None:
+    """Empty a folder the Spark way: overwrite it with an empty partitioned dataset.
+
+    With no rows and only a partition column, nothing but the commit marker is
+    written, so the folder is left without data files.
+    """
+    (spark.createDataFrame([], "__empty int, __none int").write.mode("overwrite")
+     .partitionBy("__empty").parquet(path))
+
+
+def upsert_store_for(spark: SparkSession, dest: Mapping, n_buckets: int | None = None) -> UpsertStore:
+    path = dest.get("path") if hasattr(dest, "get") else dest["path"]
+    if not path:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        path = f"{warehouse}/upsert/{dest['target']}"
+    return UpsertStore(spark, path, list(dest["keys"]), dest["sequence_by"], n_buckets=n_buckets)
+
+
+BATCH_COL = "__batch"
+
+
+def append_batch(df: DataFrame, path: str, batch_id: int) -> None:
+    """Idempotent append of one micro-batch: it owns the ``__batch=<id>`` partition.
+
+    A retried batch overwrites its own partition (dynamic partition overwrite)
+    instead of adding its rows a second time.
+    """
+    (df.withColumn(BATCH_COL, F.lit(batch_id).cast("long")).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(BATCH_COL).parquet(path))
+
+
+def write_destination(df: DataFrame, dest: Mapping, n_buckets: int | None = None,
+                      full_refresh: bool = False, batch_id: int | None = None) -> None:
+    """Write one destination stage: ``append`` or ``upsert`` (keys + sequence_by).
+
+    ``full_refresh`` replaces the target's rows instead of adding to them;
+    ``batch_id`` (streaming micro-batches) makes both modes idempotent.
+    """
     mode = dest["mode"]
     path = dest.get("path") if hasattr(dest, "get") else dest["path"]
-    if mode == "append":
-        append(df, name=None if path else dest["target"], path=path)
-    elif mode == "upsert":
+    if mode == "append" and batch_id is not None:
         if not path:
-            spark = df.sparkSession
-            warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-            path = f"{warehouse}/upsert/{dest['target']}"
-        store = UpsertStore(df.sparkSession, path, list(dest["keys"]), dest["sequence_by"],
-                            n_buckets=n_buckets)
-        store.merge(df)
+            raise ValueError("streaming append destinations need a path")
+        append_batch(df, path, batch_id)
+    elif mode == "append":
+        if full_refresh:
+            if path:
+                df.write.mode("overwrite").parquet(path)
+            else:
+                overwrite_table(df, dest["target"])
+        else:
+            append(df, name=None if path else dest["target"], path=path)
+    elif mode == "upsert":
+        store = upsert_store_for(df.sparkSession, dest, n_buckets)
+        if full_refresh:
+            store.truncate()
+        store.merge(df, batch_id=batch_id)
     else:
         raise ValueError(f"unknown destination mode {mode!r}")

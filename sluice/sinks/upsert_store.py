@@ -70,6 +70,13 @@ class UpsertStore:
     def last_batch_id(self):
         return self._manifest()[2]
 
+    def truncate(self) -> None:
+        """Publish an empty version (full refresh); older versions stay until removed."""
+        version, buckets, _ = self._manifest()
+        new_v = 0 if version is None else version + 1
+        self.spark.createDataFrame([(None, None, None, self.n_buckets)], MANIFEST_DDL) \
+            .coalesce(1).write.mode("overwrite").json(f"{self.path}/_manifest/v={new_v}")
+
     # -- merge
     def merge(self, batch: DataFrame, batch_id: int | None = None) -> bool:
         """Upsert ``batch``; returns ``False`` when ``batch_id`` was merged already."""

@@ -69,3 +69,15 @@ def test_inventory_from_empty_tables(spark):
     inv = R.inventory(spark, empty, empty)
     assert inv.columns == ["target_catalog_name", "target_schema_name", "name", "pipeline_id"]
     assert inv.count() == 0
+
+
+def test_deployed_jobs_from_listing(spark):
+    listing = spark.createDataFrame(
+        [(1, ("a", [("t", ("p1",))])), (2, ("b", [])), (3, ("c", [("t", None)])), (4, ("d", None))],
+        "job_id int, settings struct<name:string, tasks:array<struct<task_key:string, pipeline_task:struct<pipeline_id:string>>>>")
+    got = sorted(tuple(r) for r in R.deployed_jobs(listing).collect())
+    assert got == [("a", 1, "p1"), ("c", 3, None)]
+    other = sorted(tuple(r) for r in R.deployed_jobs(listing, task_field="pipeline_job").collect())
+    assert other == [("a", 1, None), ("c", 3, None)]
+    obsolete = spark.createDataFrame([("c", None), ("zzz", "p1")], "name string, pipeline_id string")
+    assert sorted(r.job_id for r in R.jobs_of_obsolete_pipelines(R.deployed_jobs(listing), obsolete).collect()) == [1, 3]

@@ -49,3 +49,65 @@ def test_stream_fail_rule_stops_the_query(spark, scratch):
     with pytest.raises(Exception) as info:
         q.awaitTermination()
     assert "validation failed" in str(info.value)
+
+
+def _declared_stream_spec(scratch):
+    from sluice.plans.runner import PipelineSpec
+    return PipelineSpec(
+        sources=[{"origin": SMALL, "datatype": "parquet", "target": "ev",
+                  "params": '{"pathGlobFilter": "events.parquet"}'}],
+        transformations=[
+            {"origin": "ev", "target": "mapped", "column_order": 1, "source_column_name": "event_id"},
+            {"origin": "ev", "target": "mapped", "column_order": 2, "source_column_name": "user_id"},
+            {"origin": "ev", "target": "mapped", "column_order": 3, "source_column_name": "ts"},
+            {"origin": "ev", "target": "mapped", "column_order": 4, "source_column_name": "value",
+             "dest_column_name": "amount", "validations": [{"validation_rule": "amount >= 2", "validation_action": "DROP"}]},
+            {"origin": "mapped", "target": "big", "sql_query": "SELECT * FROM mapped WHERE amount > 10"},
+        ],
+        destinations=[
+            {"origin": "mapped", "target": "latest", "mode": "upsert", "path": f"{scratch}/latest",
+             "keys": ["user_id"], "sequence_by": "ts"},
+            {"origin": "big", "target": "big_out", "mode": "append", "path": f"{scratch}/big"},
+        ])
+
+
+def test_declared_pipeline_on_a_stream_equals_batch_and_survives_restart(spark, scratch):
+    from sluice.plans.runner import PipelineRun, run_stream
+    spec = _declared_stream_spec(scratch)
+    run_stream(spark, spec, f"{scratch}/chk").awaitTermination()
+    run_stream(spark, spec, f"{scratch}/chk").awaitTermination()      # restart: no new input
+    batch = PipelineRun(spark, spec).run(write=False).relations
+    latest = UpsertStore(spark, f"{scratch}/latest", ["user_id"], "ts").read()
+    expect = upsert(None, batch["mapped"], ["user_id"], "ts")
+    assert _rows(latest.select(*expect.columns)) == _rows(expect)
+    big = spark.read.parquet(f"{scratch}/big").drop("__batch")
+    assert _rows(big) == _rows(batch["big"])
+    # full refresh empties targets and checkpoint, then reprocesses everything once
+    run_stream(spark, spec, f"{scratch}/chk", full_refresh=True).awaitTermination()
+    big2 = spark.read.parquet(f"{scratch}/big").drop("__batch")
+    assert _rows(big2) == _rows(batch["big"])
+
+
+def test_batch_full_refresh_replaces_rows(spark, scratch):
+    from sluice.plans.runner import PipelineRun
+    spec = _declared_stream_spec(scratch)
+    spec.sources[0]["origin"] = f"{SMALL}/events.parquet"
+    spec.sources[0]["params"] = None
+    PipelineRun(spark, spec).run()
+    PipelineRun(spark, spec).run()
+    n_twice = spark.read.parquet(f"{scratch}/big").count()
+    PipelineRun(spark, spec).run(full_refresh=True)
+    assert spark.read.parquet(f"{scratch}/big").count() * 2 == n_twice
+
+
+def test_checkpointed_fail_stage_computes_once(spark, scratch):
+    from sluice.plans.runner import PipelineRun, PipelineSpec
+    spec = PipelineSpec(
+        sources=[{"origin": f"{SMALL}/orders.parquet", "datatype": "parquet", "target": "o",
+                  "validations": [{"validation_rule": "o_totalprice > 0", "validation_action": "FAIL"}]}],
+        destinations=[{"origin": "o", "target": "t", "mode": "append", "path": f"{scratch}/o"}])
+    res = PipelineRun(spark, spec, checkpoint_failable=True).run()
+    assert res.written == ["t"]
+    assert "ExistingRDD" in res.relations["o"]._jdf.queryExecution().optimizedPlan().toString() or \
+        "LogicalRDD" in res.relations["o"]._jdf.queryExecution().optimizedPlan().toString()
+    assert spark.read.parquet(f"{scratch}/o").count() == spark.read.parquet(f"{SMALL}/orders.parquet").count()
