@@ -214,10 +214,10 @@ class PipelineRun:
         return out
 
     def run(self, write: bool = True, full_refresh: bool = False, batch_id: int | None = None) -> RunResult:
-        """Build every stage; with ``write`` run the FAIL audits and write the destinations.
+        """Build every stage and, with ``write``, write the destinations.
 
-        All FAIL audits of all destinations run before the first write, so a
-        failing pipeline writes nothing.
+        FAIL audits are actions run while the stages are built, i.e. all of
+        them before the first write, so a failing pipeline writes nothing.
         """
         from sluice.sinks.tables import write_destination
 
