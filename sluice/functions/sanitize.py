@@ -105,13 +105,12 @@ def _clean_children(x: Column, dtype: T.DataType, drop: bool) -> Column:
                     clean_value(e.getField("value")).alias("value"),
                 ),
             )
-            # last entry wins on a renamed-key collision
-            last = F.filter(
-                entries,
-                lambda e, i: ~F.exists(
-                    F.slice(entries, i + 2, F.greatest(F.size(entries) - i - 1, F.lit(0))),
-                    lambda o: o.getField("key") == e.getField("key"),
-                ),
+            # last entry wins on a renamed-key collision: one fold over the entries
+            # (computed once), each step removing an earlier entry with the same key
+            last = F.aggregate(
+                entries, F.slice(entries, 1, 0),
+                lambda acc, e: F.concat(F.filter(acc, lambda a: a.getField("key") != e.getField("key")),
+                                        F.array(e)),
             )
             if drop:
                 last = F.filter(last, lambda e: e.getField("value").isNotNull())
