@@ -820,3 +820,22 @@ def q_stream_upsert(spark, sf_dir):
     q = upsert_stream(_event_stream(spark, sf_dir), store, f"{root}/chk")
     q.awaitTermination()
     return store.read().select(*table(spark, sf_dir, "events").columns)
+
+
+@register("job_plan", f"""WITH {_DUCK_DEPLOYED},
+kept AS (
+  SELECT declared.name AS name, coalesce(declared.pipeline_id, deployed.pipeline_id) AS pipeline_id
+  FROM declared LEFT JOIN deployed ON declared.name = deployed.name),
+jobs AS (
+  SELECT 'cust-' || o_custkey AS job_name, arg_min(o_orderkey, o_orderkey) AS job_id
+  FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey)
+SELECT kept.name, jobs.job_id, kept.pipeline_id,
+       CASE WHEN jobs.job_id IS NULL THEN 'create' ELSE 'update' END AS action
+FROM kept LEFT JOIN jobs ON kept.name = jobs.job_name""")
+def q_job_plan(spark, sf_dir):
+    """Jobs of kept pipelines: first job per name (finished orders play the job listing)."""
+    from sluice.plans.deploy import job_actions
+    kept = R.deploy_plan(_declared(spark, sf_dir), _deployed_raw(spark, sf_dir), order="pos", destructive=False)
+    o = table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == "F")
+    jobs = o.select(F.concat(F.lit("cust-"), F.col("o_custkey")).alias("job_name"), F.col("o_orderkey").alias("job_id"))
+    return job_actions(kept, jobs)

@@ -81,3 +81,23 @@ def test_deployed_jobs_from_listing(spark):
     assert other == [("a", 1, None), ("c", 3, None)]
     obsolete = spark.createDataFrame([("c", None), ("zzz", "p1")], "name string, pipeline_id string")
     assert sorted(r.job_id for r in R.jobs_of_obsolete_pipelines(R.deployed_jobs(listing), obsolete).collect()) == [1, 3]
+
+
+def test_build_deploy_plan_end_to_end(spark):
+    from sluice.model import stage_frame
+    from sluice.plans.deploy import build_deploy_plan
+    src = stage_frame(spark, "sources", [("c", "s", "p_new", "o", "parquet", "t", None, None),
+                                         ("c", "s", "p_keep", "o", "parquet", "t", None, None)])
+    tr = stage_frame(spark, "transformations", [])
+    dst = stage_frame(spark, "destinations", [])
+    dep_p = spark.createDataFrame([("p_keep", "id1"), ("p_gone", "id2")], "name string, pipeline_id string")
+    dep_j = spark.createDataFrame([("p_keep", 10, "id1"), ("p_keep", 11, "id1"), ("other", 12, "id2"),
+                                   ("p_gone", 13, None)], "job_name string, job_id int, pipeline_id string")
+    plan = build_deploy_plan(spark, src, tr, dst, dep_p, dep_j)
+    assert sorted(tuple(r) for r in plan.pipelines.collect()) == [
+        ("p_gone", "id2", "delete"), ("p_keep", "id1", "update"), ("p_new", None, "create")]
+    assert sorted(tuple(r) for r in plan.jobs.collect()) == [
+        ("other", 12, "id2", "delete"), ("p_gone", 13, None, "delete"),
+        ("p_keep", 10, "id1", "update"), ("p_new", None, None, "create")]
+    safe = build_deploy_plan(spark, src, tr, dst, dep_p, dep_j, destructive=False)
+    assert {r.action for r in safe.jobs.collect()} == {"create", "update"}
