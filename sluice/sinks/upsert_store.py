@@ -12,7 +12,8 @@ Without a row-level table format, ``MERGE`` is emulated:
   version intact; nothing being read is ever overwritten.
 
 Bucket ids are the only thing fetched to the driver (at most ``n_buckets``
-integers).
+integers).  Choose ``n_buckets`` so one bucket is about a task's worth of data
+(e.g. ~1 GB): a merge rewrites whole buckets, one file each.
 """
 
 from __future__ import annotations
@@ -94,7 +95,10 @@ class UpsertStore:
                       .drop(VERSION))
             target = target.withColumn(BUCKET, F.col(BUCKET).cast("int"))
         merged = upsert(target, keyed, self.keys, self.sequence_by)
-        (merged.sortWithinPartitions(BUCKET).write.mode("overwrite").partitionBy(BUCKET)
+        # After the upsert every key is one row, so buckets are even in size:
+        # grouping whole buckets per task writes one file per bucket instead of
+        # one per (task, bucket).  Size ``n_buckets`` so a bucket fits a task.
+        (merged.repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET)
          .parquet(f"{self.path}/data/{VERSION}={new_v}"))
         entries = dict(buckets)
         for b in touched:

@@ -68,3 +68,12 @@ def test_store_rewrites_only_touched_buckets_and_skips_replays(spark, scratch):
     assert sum(1 for v in buckets.values() if v == 1) == 1  # one bucket rewritten
     got = {r.k: (r.seq, r.v) for r in store.read().collect()}
     assert len(got) == 40 and got[3] == (2, "v2") and got[4] == (1, "v1")
+
+
+def test_store_writes_one_file_per_bucket(spark, scratch):
+    import glob
+    store = UpsertStore(spark, f"{scratch}/t", ["k"], "seq", n_buckets=4)
+    store.merge(spark.range(2000).selectExpr("cast(id as int) k", "1 seq", "'v' v").repartition(8), batch_id=0)
+    for b in range(4):
+        files = glob.glob(f"{scratch}/t/data/__version=0/__bucket={b}/*.parquet")
+        assert len(files) == 1, (b, files)
