@@ -64,10 +64,12 @@ def column_expr(df: DataFrame, spec: ColumnSpec) -> Column:
 
 
 def ordered_specs(specs: Iterable[ColumnSpec]) -> list[ColumnSpec]:
-    """Stable order by ``column_order`` (missing order goes last)."""
-    indexed = list(enumerate(specs))
-    indexed.sort(key=lambda p: (p[1].column_order is None, p[1].column_order or 0, p[0]))
-    return [s for _, s in indexed]
+    """Order by ``column_order`` (missing order last), ties by output name.
+
+    Rows read back from a metadata table come in no particular order, so the
+    tie-break is by name rather than by position.
+    """
+    return sorted(specs, key=lambda s: (s.column_order is None, s.column_order or 0, s.output_name))
 
 
 def apply_column_map(df: DataFrame, specs: Iterable[ColumnSpec]) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions.sanitize import sanitize_frame
-from sluice.functions.text import digit_parse, parent_dir, path_identity, resolve_against
+from sluice.functions.text import digit_parse, parent_dir, path_identity, py_strip, resolve_against
 from sluice.model import IDENTITY_FIELDS, STAGE_SCHEMAS, STAGES
 from sluice.operators.quality import audit_constraints
 from sluice.operators.stages import STAGE_CHECKS, duplicate_targets, fold_validation, stage_targets
@@ -76,7 +76,9 @@ def load_configs(spark: SparkSession, root: str, strict_xor: bool = False) -> In
         F.lit("no_stage").alias("kind"), F.col("__file").alias("path"),
         F.lit("define at least one of: sources, transformations, destinations").alias("detail")))
 
+    # identity names are stored stripped (Python whitespace rules)
     stamped = ok.select("__file", *path_identity("__file"), parent_dir("__file").alias("__dir"), "doc.*")
+    stamped = stamped.select(*[py_strip(n).alias(n) if n in IDENTITY_FIELDS else F.col(n) for n in stamped.columns])
     keep = ["__file", "__dir", *IDENTITY_FIELDS]
 
     def explode(stage):
@@ -88,7 +90,9 @@ def load_configs(spark: SparkSession, root: str, strict_xor: bool = False) -> In
 
     tr = explode("transformations").withColumn("config", resolve_against(F.col("config"), "__dir"))
     tr = tr.withColumn("config_kind", F.lower(F.regexp_extract("config", r"(\.[^./]*)$", 1)))
-    inline = tr.filter(F.col("config").isNull()).withColumn("column_order", digit_parse("column_order"))
+    # column_order defaults to 1 outside CSV maps (where a non-digit cell stays NULL)
+    inline = tr.filter(F.col("config").isNull()).withColumn(
+        "column_order", F.coalesce(digit_parse("column_order"), F.lit(1)))
     by_file = tr.filter(F.col("config").isNotNull())
     problems.append(by_file.filter(~F.col("config_kind").isin(".csv", ".sql")).select(
         F.lit("bad_config_file").alias("kind"), F.col("__file").alias("path"),
@@ -109,7 +113,7 @@ def load_configs(spark: SparkSession, root: str, strict_xor: bool = False) -> In
                         fold_validation("validation_rule", "validation_action").alias("validations")))
     sql_rows = (by_file.filter(F.col("config_kind") == ".sql")
                 .join(sqls.withColumnRenamed("sql_query", "__sql"), F.col("config") == F.col("config_path"), "inner")
-                .withColumn("sql_query", F.col("__sql")).withColumn("column_order", F.lit(None).cast("int")))
+                .withColumn("sql_query", F.col("__sql")).withColumn("column_order", F.lit(1)))
     found = colmaps.select("config_path").unionByName(sqls.select("config_path")).distinct()
     missing = (by_file.filter(F.col("config_kind").isin(".csv", ".sql"))
                .join(found, F.col("config") == F.col("config_path"), "left_anti"))

@@ -27,6 +27,7 @@ def test_good_folder_ingests_cleanly(spark, config_root):
     assert bad_order.column_order is None                      # "x" is not a digit string
     rule = tr.filter("dest_column_name = 'order_id'").first().validations
     assert [tuple(v) for v in rule] == [("order_id IS NOT NULL", "DROP")]
+    assert {r.column_order for r in tr.filter("sql_query IS NOT NULL").collect()} == {1}
     sql = tr.filter("target = 'vw__silver__events_hourly'").first().sql_query
     assert "GROUP BY kind, hour" in sql and sql.count("\n") >= 2  # whole file, not lines
     src = res.sources.filter("pipeline_name = 'orders_flow'").first()
