@@ -47,7 +47,9 @@ def column_expr(df: DataFrame, spec: ColumnSpec) -> Column:
     """read (or transform) -> cast to dest type -> default when NULL."""
     if spec.transform_function:
         value = transform_to_column(spec.transform_function)
-        current = None
+        # the result type comes from analysis only (no job runs); it lets an
+        # expression that already has the target type skip the cast
+        current = df.select(value).schema.fields[0].dataType
     else:
         if not spec.source_column_name:
             raise ValueError(f"column map row has neither a source column nor a function: {spec}")
@@ -55,7 +57,8 @@ def column_expr(df: DataFrame, spec: ColumnSpec) -> Column:
         current = df.schema[spec.source_column_name].dataType
         if spec.source_column_type and not matches_type(spec.source_column_type, current):
             value = cast_to(value, spec.source_column_type, current)
-            current = None if spec.source_column_type in COMPLEX_TYPES else None
+            current = None if spec.source_column_type in COMPLEX_TYPES else \
+                df.select(value).schema.fields[0].dataType
     if spec.dest_column_type:
         value = cast_to(value, spec.dest_column_type, current)
     if spec.default_value is not None:
