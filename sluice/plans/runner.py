@@ -12,6 +12,7 @@ follows the relations a query really reads rather than the declared ``origin``.
 from __future__ import annotations
 
 import logging
+import uuid
 from collections import OrderedDict
 from contextlib import contextmanager
 from dataclasses import dataclass, field
@@ -21,7 +22,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from sluice.operators.mapping import ColumnSpec, apply_column_map
-from sluice.operators.quality import Rule, apply_rules
+from sluice.operators.quality import Rule, audit, drop_violations, enforce_fail, observe_rules
 from sluice.sources.declared import read_source
 
 
@@ -143,15 +144,31 @@ class PipelineRun:
         self.preloaded = dict(preloaded or {})
         self.relations: "OrderedDict[str, DataFrame]" = OrderedDict()
         self.audits: dict[str, DataFrame] = {}
+        self.observations: dict[str, tuple] = {}
 
     def _validate(self, name: str, df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+        """FAIL: eager audit now.  All rules: counters attached with ``observe`` that
+        fill in during the action that later consumes the stage (no extra pass),
+        plus a lazy one-pass audit relation.  DROP: one filter."""
         if not rules:
             return df
         if self.checkpoint_failable and self.eager_fail and any(r.action == "FAIL" for r in rules):
             df = df.checkpoint(eager=True)
-        df, audit_df = apply_rules(df, rules, stage=name, eager_fail=self.eager_fail)
-        self.audits[name] = audit_df
-        return df
+        if self.eager_fail:
+            enforce_fail(df, rules, stage=name)
+        self.audits[name] = audit(df, rules)
+        observed, obs = observe_rules(df, rules, f"rules_{name}_{uuid.uuid4().hex[:8]}")
+        self.observations[name] = (rules, obs)
+        return drop_violations(observed, rules)
+
+    def observed_counts(self) -> dict[str, list[tuple[str, str, int, int]]]:
+        """After the run's action: per stage, (rule, action, checked, violations) from the observers."""
+        out = {}
+        for name, (rules, obs) in self.observations.items():
+            got = obs.get
+            out[name] = [(r.rule, r.action, got.get("checked"), got.get(f"violations_{i}"))
+                         for i, r in enumerate(rules)]
+        return out
 
     # -- helpers
     def _publish(self, name: str, df: DataFrame, rules: Sequence[Rule]) -> DataFrame:

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,6 +88,16 @@ class UpsertStore:
         new_v = 0 if version is None else version + 1
         keyed = batch.withColumn(BUCKET, F.pmod(F.xxhash64(*[F.col(k) for k in self.keys]),
                                                 F.lit(self.n_buckets)).cast("int"))
+        # the batch feeds two jobs (touched buckets, then the merge): compute it once;
+        # a lost executor's blocks are recomputed from lineage
+        keyed = keyed.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return self._merge_keyed(keyed, version, buckets, batch_id)
+        finally:
+            keyed.unpersist()
+
+    def _merge_keyed(self, keyed: DataFrame, version, buckets, batch_id) -> bool:
+        new_v = 0 if version is None else version + 1
         touched = sorted(r[0] for r in keyed.select(BUCKET).distinct().collect())
         old_paths = [f"{self.path}/data/{VERSION}={buckets[b]}/{BUCKET}={b}" for b in touched if b in buckets]
         target = None

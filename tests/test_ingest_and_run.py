@@ -103,3 +103,19 @@ def test_fail_rule_stops_before_any_write(spark, scratch):
         PipelineRun(spark, spec).run(write=True)
     import os
     assert not os.path.exists(f"{scratch}/never")
+
+
+def test_rule_counts_are_observed_during_the_write(spark, scratch):
+    spec = PipelineSpec(
+        sources=[{"origin": f"{SMALL}/orders.parquet", "datatype": "parquet", "target": "o",
+                  "validations": [{"validation_rule": "o_orderstatus = 'F'", "validation_action": "LOG"},
+                                  {"validation_rule": "o_totalprice > 100000", "validation_action": "DROP"}]}],
+        destinations=[{"origin": "o", "target": "t", "mode": "append", "path": f"{scratch}/o"}])
+    run = PipelineRun(spark, spec)
+    run.run()
+    orders = spark.read.parquet(f"{SMALL}/orders.parquet")
+    counts = {r: (c, v) for r, _, c, v in run.observed_counts()["o"]}
+    n = orders.count()
+    assert counts["o_orderstatus = 'F'"] == (n, orders.filter("NOT (o_orderstatus = 'F')").count())
+    assert counts["o_totalprice > 100000"] == (n, orders.filter("NOT (o_totalprice > 100000)").count())
+    assert spark.read.parquet(f"{scratch}/o").count() == orders.filter("o_totalprice > 100000").count()
