@@ -69,7 +69,7 @@ def q_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ sources, mapping, SQL stages
 
-from sluice.functions.text import WHITESPACE_CLASS, digit_parse, path_identity, py_strip, resolve_against  # noqa: E402
+from sluice.functions.text import WHITESPACE_CLASS, digit_parse, path_identity, resolve_against  # noqa: E402
 from sluice.operators.mapping import ColumnSpec, apply_column_map, run_sql  # noqa: E402
 from sluice.operators.quality import (Rule, audit, audit_constraints, conflicting_rules,  # noqa: E402
                                       drop_violations, duplicate_keys, without_match)
