@@ -18,8 +18,10 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sluice.operators.mapping import ColumnSpec, apply_column_map
 from sluice.operators.quality import Rule, audit, drop_violations, enforce_fail, observe_rules
@@ -132,16 +134,26 @@ class PipelineRun:
 
     def __init__(self, spark: SparkSession, spec: PipelineSpec, isolate: bool = True,
                  eager_fail: bool = True, checkpoint_failable: bool = False,
-                 preloaded: Mapping[str, DataFrame] | None = None):
+                 preloaded: Mapping[str, DataFrame] | None = None, persist_shared: bool = True):
         """``checkpoint_failable`` checkpoints (to ``spark.checkpoint.dir``) every stage
         that has FAIL rules, so the eager audit and the later write read the
         stage once instead of computing it twice.  ``preloaded`` supplies source
-        relations by target name (used for streaming micro-batches)."""
+        relations by target name (used for streaming micro-batches).
+        ``persist_shared`` keeps a stage that two or more later stages or
+        destinations declare as their ``origin`` persisted for the run, so the
+        writes do not recompute it (lost blocks are recomputed from lineage)."""
         self.spark = _child_session(spark) if isolate else spark
         self.spec = spec
         self.eager_fail = eager_fail
         self.checkpoint_failable = checkpoint_failable
         self.preloaded = dict(preloaded or {})
+        consumers: dict[str, set] = {}
+        for st in _transformation_groups(spec.transformations):
+            consumers.setdefault(st["origin"], set()).add(("t", st["target"]))
+        for d in spec.destinations:
+            consumers.setdefault(d["origin"], set()).add(("d", d["target"]))
+        self.shared = {k for k, v in consumers.items() if len(v) > 1} if persist_shared else set()
+        self.persisted: list[DataFrame] = []
         self.relations: "OrderedDict[str, DataFrame]" = OrderedDict()
         self.audits: dict[str, DataFrame] = {}
         self.observations: dict[str, tuple] = {}
@@ -173,6 +185,9 @@ class PipelineRun:
     # -- helpers
     def _publish(self, name: str, df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         df = self._validate(name, df, rules)
+        if name in self.shared and not df.isStreaming:
+            df = df.persist(StorageLevel.MEMORY_AND_DISK)
+            self.persisted.append(df)
         self.relations[name] = df
         df.createOrReplaceTempView(name)
         return df
@@ -245,11 +260,34 @@ class PipelineRun:
         for d, df in frames:
             self.relations[d["target"]] = df
         if write:
-            for d, df in frames:
-                write_destination(df, d, full_refresh=full_refresh, batch_id=batch_id)
-                written.append(d["target"])
+            try:
+                for d, df in frames:
+                    write_destination(df, d, full_refresh=full_refresh, batch_id=batch_id)
+                    written.append(d["target"])
+            finally:
+                self.release()
         return RunResult(self.relations, self.audits, written)
 
+    def release(self) -> None:
+        """Drop the run's persisted shared stages."""
+        for df in self.persisted:
+            df.unpersist()
+        self.persisted = []
+
+    def write_audit(self, path: str, run_id: str | None = None, batch_id: int | None = None) -> None:
+        """Append the observed rule counts of this run (after its writes) to an audit table.
+
+        One row per stage and rule: run id, batch id, stage, rule, action, rows
+        checked, rows violating, time.  Rows are few (stages x rules).
+        """
+        rows = [(run_id or uuid.uuid4().hex, batch_id, stage, rule, action, checked, violations)
+                for stage, items in self.observed_counts().items()
+                for rule, action, checked, violations in items]
+        schema = ("run_id string, batch_id long, stage string, rule string, action string, "
+                  "checked long, violations long")
+        (self.spark.createDataFrame(rows, schema).withColumn("recorded_at", F.current_timestamp())
+         .write.mode("append").parquet(path))
+
 
 def run_stream(spark: SparkSession, spec: PipelineSpec, checkpoint: str, stream_target: str | None = None,
                continuous: bool | str | None = False, interval: str = "1 minute",

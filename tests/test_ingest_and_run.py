@@ -119,3 +119,19 @@ def test_rule_counts_are_observed_during_the_write(spark, scratch):
     assert counts["o_orderstatus = 'F'"] == (n, orders.filter("NOT (o_orderstatus = 'F')").count())
     assert counts["o_totalprice > 100000"] == (n, orders.filter("NOT (o_totalprice > 100000)").count())
     assert spark.read.parquet(f"{scratch}/o").count() == orders.filter("o_totalprice > 100000").count()
+
+
+def test_shared_stage_is_persisted_and_audit_table_written(spark, scratch):
+    spec = PipelineSpec(
+        sources=[{"origin": f"{SMALL}/orders.parquet", "datatype": "parquet", "target": "o",
+                  "validations": [{"validation_rule": "o_totalprice > 100000", "validation_action": "LOG"}]}],
+        destinations=[{"origin": "o", "target": "a", "mode": "append", "path": f"{scratch}/a"},
+                      {"origin": "o", "target": "b", "mode": "append", "path": f"{scratch}/b"}])
+    run = PipelineRun(spark, spec)
+    assert run.shared == {"o"}
+    run.run()
+    assert run.persisted == []                      # released after the writes
+    run.write_audit(f"{scratch}/audit", run_id="r1")
+    audit_rows = spark.read.parquet(f"{scratch}/audit").collect()
+    n = spark.read.parquet(f"{SMALL}/orders.parquet").count()
+    assert [(r.run_id, r.stage, r.action, r.checked) for r in audit_rows] == [("r1", "o", "LOG", n)]
