@@ -41,9 +41,14 @@ def append_stream(df: DataFrame, path: str, checkpoint: str, rules: Sequence[Rul
     kept = drop_violations(df, rules)
     writer = kept.writeStream.option("checkpointLocation", checkpoint).trigger(**trigger_for(continuous, interval))
     if any(r.action == "FAIL" for r in rules):
+        # FAIL needs an eager check per micro-batch, so the file sink is replaced by
+        # foreachBatch; each batch owns its ``__batch`` partition, so a retry
+        # rewrites it instead of appending twice
+        from sluice.sinks.tables import append_batch
+
         def write_batch(batch: DataFrame, batch_id: int) -> None:
             enforce_fail(batch, rules, stage=path)
-            batch.write.mode("append").format(fmt).save(path)
+            append_batch(batch, path, batch_id)
         return writer.foreachBatch(write_batch).start()
     return writer.outputMode("append").format(fmt).option("path", path).start()
 
