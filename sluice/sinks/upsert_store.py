@@ -18,6 +18,7 @@ integers).  Choose ``n_buckets`` so one bucket is about a task's worth of data
 
 from __future__ import annotations
 
+import re
 from typing import Sequence
 
 from pyspark import StorageLevel
@@ -45,14 +46,21 @@ class UpsertStore:
 
     # -- manifest
     def _manifest(self):
+        """(latest version, {bucket: data version}, last batch id) of the store.
+
+        The latest version comes from the file listing (``inputFiles``, no data
+        is read); only that version's manifest is then read, so the cost does
+        not grow with the number of versions.
+        """
         try:
-            m = self.spark.read.schema(MANIFEST_DDL + ", v int").json(f"{self.path}/_manifest")
-            latest = m.agg(F.max("v")).first()[0]
+            files = self.spark.read.schema(MANIFEST_DDL + ", v int").json(f"{self.path}/_manifest").inputFiles()
         except AnalysisException:
             return None, {}, None
-        if latest is None:
+        versions = [int(m.group(1)) for m in (re.search(r"/v=(\d+)/", f) for f in files) if m]
+        if not versions:
             return None, {}, None
-        rows = m.filter(F.col("v") == latest).select("bucket", "data_v", "batch_id", "n_buckets").collect()
+        latest = max(versions)
+        rows = self.spark.read.schema(MANIFEST_DDL).json(f"{self.path}/_manifest/v={latest}").collect()
         if rows and rows[0]["n_buckets"] != self.n_buckets:
             self.n_buckets = rows[0]["n_buckets"]
         return latest, {r["bucket"]: r["data_v"] for r in rows if r["bucket"] is not None}, (
