@@ -740,7 +740,7 @@ def q_metadata_roundtrip(spark, sf_dir):
     path = scratch_root(spark, "metadata_roundtrip")
     create_database(spark, "sluice_roundtrip")
     orders = table(spark, sf_dir, "orders")
-    overwrite_table(orders.limit(0).drop("o_orderpriority"), "sluice_roundtrip.orders", path=path)
+    overwrite_table(orders.where(F.lit(False)).drop("o_orderpriority"), "sluice_roundtrip.orders", path=path)
     overwrite_table(orders, "sluice_roundtrip.orders", path=path)
     return spark.table("sluice_roundtrip.orders")
 
