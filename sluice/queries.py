@@ -839,3 +839,30 @@ def q_job_plan(spark, sf_dir):
     o = table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == "F")
     jobs = o.select(F.concat(F.lit("cust-"), F.col("o_custkey")).alias("job_name"), F.col("o_orderkey").alias("job_id"))
     return job_actions(kept, jobs)
+
+
+@register("stream_declared", """
+SELECT event_id, user_id, ts, amount FROM (
+  SELECT event_id, user_id, ts, value AS amount,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC, value DESC) AS rn
+  FROM events WHERE value >= 2) WHERE rn = 1
+""")
+def q_stream_declared(spark, sf_dir):
+    """A declared pipeline run on a stream: column map + DROP rule -> upsert destination."""
+    from sluice.plans.runner import run_stream
+    root = scratch_root(spark, "stream_declared")
+    spec = PipelineSpec(
+        sources=[{"origin": sf_dir.rstrip("/"), "datatype": "parquet", "target": "ev",
+                  "params": '{"pathGlobFilter": "events.parquet"}'}],
+        transformations=[
+            {"origin": "ev", "target": "mapped", "column_order": i + 1, "source_column_name": c,
+             "dest_column_name": d}
+            for i, (c, d) in enumerate([("event_id", "event_id"), ("user_id", "user_id"), ("ts", "ts"),
+                                        ("value", "amount")])
+        ],
+        destinations=[{"origin": "mapped", "target": "latest", "mode": "upsert", "path": f"{root}/latest",
+                       "keys": ["user_id"], "sequence_by": "ts",
+                       "validations": [{"validation_rule": "amount >= 2", "validation_action": "DROP"}]}],
+    )
+    run_stream(spark, spec, f"{root}/chk").awaitTermination()
+    return UpsertStore(spark, f"{root}/latest", ["user_id"], "ts").read().select("event_id", "user_id", "ts", "amount")

@@ -6,7 +6,8 @@ import __spark_entry__ as E
 from conftest import SMALL
 
 # queries whose body writes (sinks, streams); their returned frame is a plain re-read
-_WRITERS = {"append_sink", "metadata_roundtrip", "upsert_persisted", "stream_append", "stream_upsert"}
+_WRITERS = {"append_sink", "metadata_roundtrip", "upsert_persisted", "stream_append", "stream_upsert",
+            "stream_declared"}
 
 
 def plan_of(df) -> str:
