@@ -58,11 +58,29 @@ def truncate_path(spark: SparkSession, path: str) -> None:
      .partitionBy("__empty").parquet(path))
 
 
+def _field(dest: Mapping, key: str):
+    try:
+        return dest[key]
+    except (KeyError, ValueError):
+        return None
+
+
+def destination_table(spark: SparkSession, dest: Mapping) -> str:
+    """Catalog name of a destination without a path: ``<catalog>__<schema>.<target>``
+    (the database is created on first use); just ``target`` without an identity."""
+    catalog, schema = _field(dest, "target_catalog_name"), _field(dest, "target_schema_name")
+    if schema:
+        create_database(spark, f"{catalog}__{schema}" if catalog else schema)
+    return table_name(catalog, schema, dest["target"])
+
+
 def upsert_store_for(spark: SparkSession, dest: Mapping, n_buckets: int | None = None) -> UpsertStore:
-    path = dest.get("path") if hasattr(dest, "get") else dest["path"]
+    path = _field(dest, "path")
     if not path:
         warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-        path = f"{warehouse}/upsert/{dest['target']}"
+        catalog, schema = _field(dest, "target_catalog_name"), _field(dest, "target_schema_name")
+        folder = "__".join(x for x in (catalog, schema) if x)
+        path = f"{warehouse}/upsert/{folder + '/' if folder else ''}{dest['target']}"
     return UpsertStore(spark, path, list(dest["keys"]), dest["sequence_by"], n_buckets=n_buckets)
 
 
@@ -87,19 +105,20 @@ def write_destination(df: DataFrame, dest: Mapping, n_buckets: int | None = None
     ``batch_id`` (streaming micro-batches) makes both modes idempotent.
     """
     mode = dest["mode"]
-    path = dest.get("path") if hasattr(dest, "get") else dest["path"]
+    path = _field(dest, "path")
     if mode == "append" and batch_id is not None:
         if not path:
             raise ValueError("streaming append destinations need a path")
         append_batch(df, path, batch_id)
     elif mode == "append":
+        name = None if path else destination_table(df.sparkSession, dest)
         if full_refresh:
             if path:
                 df.write.mode("overwrite").parquet(path)
             else:
-                overwrite_table(df, dest["target"])
+                overwrite_table(df, name)
         else:
-            append(df, name=None if path else dest["target"], path=path)
+            append(df, name=name, path=path)
     elif mode == "upsert":
         store = upsert_store_for(df.sparkSession, dest, n_buckets)
         if full_refresh:

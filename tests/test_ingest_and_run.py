@@ -135,3 +135,13 @@ def test_shared_stage_is_persisted_and_audit_table_written(spark, scratch):
     audit_rows = spark.read.parquet(f"{scratch}/audit").collect()
     n = spark.read.parquet(f"{SMALL}/orders.parquet").count()
     assert [(r.run_id, r.stage, r.action, r.checked) for r in audit_rows] == [("r1", "o", "LOG", n)]
+
+
+def test_destination_without_path_goes_to_catalog_schema_database(spark):
+    spec = PipelineSpec(
+        sources=[{"origin": f"{SMALL}/region.parquet", "datatype": "parquet", "target": "r"}],
+        destinations=[{"target_catalog_name": "main", "target_schema_name": "geo", "pipeline_name": "p",
+                       "origin": "r", "target": "regions", "mode": "append"}])
+    PipelineRun(spark, spec).run(full_refresh=True)
+    PipelineRun(spark, spec).run()
+    assert spark.table("main__geo.regions").count() == 2 * spark.read.parquet(f"{SMALL}/region.parquet").count()
