@@ -80,6 +80,33 @@ class UpsertStore:
     def last_batch_id(self):
         return self._manifest()[2]
 
+    def vacuum(self) -> list[str]:
+        """Empty the bucket folders and manifests the latest version no longer uses.
+
+        Space is reclaimed with Spark writes only: each stale folder is
+        overwritten with an empty dataset.  Readers of older versions must be
+        finished; returns the folders emptied.
+        """
+        from sluice.sinks.tables import truncate_path
+
+        version, live, _ = self._manifest()
+        if version is None:
+            return []
+        files = self.spark.read.option("basePath", f"{self.path}/data").parquet(f"{self.path}/data").inputFiles()
+        stale = set()
+        for f in files:
+            m = re.search(rf"/{VERSION}=(\d+)/{BUCKET}=(\d+)/", f)
+            if m and live.get(int(m.group(2))) != int(m.group(1)):
+                stale.add(f"{self.path}/data/{VERSION}={m.group(1)}/{BUCKET}={m.group(2)}")
+        manifests = self.spark.read.schema(MANIFEST_DDL + ", v int").json(f"{self.path}/_manifest").inputFiles()
+        for f in manifests:
+            m = re.search(r"/v=(\d+)/", f)
+            if m and int(m.group(1)) != version:
+                stale.add(f"{self.path}/_manifest/v={m.group(1)}")
+        for folder in sorted(stale):
+            truncate_path(self.spark, folder)
+        return sorted(stale)
+
     def truncate(self) -> None:
         """Publish an empty version (full refresh); older versions stay until removed."""
         version, buckets, _ = self._manifest()

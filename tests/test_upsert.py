@@ -77,3 +77,17 @@ def test_store_writes_one_file_per_bucket(spark, scratch):
     for b in range(4):
         files = glob.glob(f"{scratch}/t/data/__version=0/__bucket={b}/*.parquet")
         assert len(files) == 1, (b, files)
+
+
+def test_vacuum_keeps_the_current_rows_only(spark, scratch):
+    store = UpsertStore(spark, f"{scratch}/t", ["k"], "seq", n_buckets=4)
+    store.merge(spark.createDataFrame([(i, 1, "a") for i in range(40)], SCHEMA), batch_id=0)
+    store.merge(spark.createDataFrame([(3, 2, "b")], SCHEMA), batch_id=1)
+    before = rows(store.read())
+    emptied = store.vacuum()
+    assert any("/_manifest/v=0" in f for f in emptied)
+    assert sum("__version=0/__bucket=" in f for f in emptied) == 1   # only the rewritten bucket
+    assert rows(store.read()) == before
+    assert store.vacuum() == []                                       # nothing left to empty
+    store.merge(spark.createDataFrame([(3, 3, "c")], SCHEMA), batch_id=2)
+    assert dict((r[0], r[2]) for r in rows(store.read()))[3] == "c"
