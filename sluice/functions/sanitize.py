@@ -101,7 +101,7 @@ def _clean_children(x: Column, dtype: T.DataType, drop: bool) -> Column:
             entries = F.transform(
                 F.map_entries(x),
                 lambda e: F.struct(
-                    F.regexp_replace(e.getField("key").cast("string"), r"\.", "_").alias("key"),
+                    F.translate(e.getField("key").cast("string"), ".", "_").alias("key"),
                     clean_value(e.getField("value")).alias("value"),
                 ),
             )
