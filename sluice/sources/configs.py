@@ -16,6 +16,7 @@ from typing import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sluice.functions.text import file_stem, file_suffix, normalize_path, parent_dir
 from sluice.model import COLUMN_MAP_CSV, DOCUMENT
@@ -86,7 +87,9 @@ def parse_documents(files: DataFrame) -> DataFrame:
 def read_column_maps(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Column-map CSV files (header row, all cells as text) with their normalized path."""
     if not paths:
-        return spark.createDataFrame([], COLUMN_MAP_CSV.add("config_path", "string"))
+        # a new schema object: StructType.add would change the shared one in place
+        empty = T.StructType(COLUMN_MAP_CSV.fields + [T.StructField("config_path", T.StringType())])
+        return spark.createDataFrame([], empty)
     df = (spark.read.option("header", "true").option("enforceSchema", "false")
           .schema(COLUMN_MAP_CSV).csv(paths))
     return df.withColumn("config_path", normalize_path(F.col("_metadata.file_path")))

@@ -145,3 +145,11 @@ def test_destination_without_path_goes_to_catalog_schema_database(spark):
     PipelineRun(spark, spec).run(full_refresh=True)
     PipelineRun(spark, spec).run()
     assert spark.table("main__geo.regions").count() == 2 * spark.read.parquet(f"{SMALL}/region.parquet").count()
+
+
+def test_empty_column_map_read_leaves_the_shared_schema_alone(spark):
+    from sluice.model import COLUMN_MAP_CSV
+    from sluice.sources.configs import read_column_maps
+    before = COLUMN_MAP_CSV.fieldNames()
+    assert "config_path" in read_column_maps(spark, []).columns
+    assert COLUMN_MAP_CSV.fieldNames() == before
