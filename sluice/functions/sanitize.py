@@ -52,13 +52,10 @@ def _falsy_child(x: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.BinaryType):
         return x.isNull() | (F.length(x) == 0)
     if isinstance(dtype, T.StructType):
-        out = x.isNull()
-        if dtype.fields:
-            every_null = F.lit(True)
-            for f in dtype.fields:
-                every_null = every_null & x.getField(f.name).isNull()
-            out = out | every_null
-        return out
+        every_null = F.lit(True)  # a struct without fields is an empty object, hence falsy
+        for f in dtype.fields:
+            every_null = every_null & x.getField(f.name).isNull()
+        return x.isNull() | every_null
     return x.isNull()
 
 
