@@ -134,14 +134,17 @@ class PipelineRun:
 
     def __init__(self, spark: SparkSession, spec: PipelineSpec, isolate: bool = True,
                  eager_fail: bool = True, checkpoint_failable: bool = False,
-                 preloaded: Mapping[str, DataFrame] | None = None, persist_shared: bool = True):
+                 preloaded: Mapping[str, DataFrame] | None = None, persist_shared: bool = True,
+                 observe: bool | None = None):
         """``checkpoint_failable`` checkpoints (to ``spark.checkpoint.dir``) every stage
         that has FAIL rules, so the eager audit and the later write read the
         stage once instead of computing it twice.  ``preloaded`` supplies source
         relations by target name (used for streaming micro-batches).
         ``persist_shared`` keeps a stage that two or more later stages or
         destinations declare as their ``origin`` persisted for the run, so the
-        writes do not recompute it (lost blocks are recomputed from lineage)."""
+        writes do not recompute it (lost blocks are recomputed from lineage).
+        ``observe`` attaches rule counters filled in by the consuming action;
+        by default only when :meth:`run` writes (nothing would fill them otherwise)."""
         self.spark = _child_session(spark) if isolate else spark
         self.spec = spec
         self.eager_fail = eager_fail
@@ -153,6 +156,7 @@ class PipelineRun:
         for d in spec.destinations:
             consumers.setdefault(d["origin"], set()).add(("d", d["target"]))
         self.shared = {k for k, v in consumers.items() if len(v) > 1} if persist_shared else set()
+        self.observe = observe
         self.persisted: list[DataFrame] = []
         self.relations: "OrderedDict[str, DataFrame]" = OrderedDict()
         self.audits: dict[str, DataFrame] = {}
@@ -169,9 +173,10 @@ class PipelineRun:
         if self.eager_fail:
             enforce_fail(df, rules, stage=name)
         self.audits[name] = audit(df, rules)
-        observed, obs = observe_rules(df, rules, f"rules_{name}_{uuid.uuid4().hex[:8]}")
-        self.observations[name] = (rules, obs)
-        return drop_violations(observed, rules)
+        if self.observe is not False:
+            df, obs = observe_rules(df, rules, f"rules_{name}_{uuid.uuid4().hex[:8]}")
+            self.observations[name] = (rules, obs)
+        return drop_violations(df, rules)
 
     def observed_counts(self) -> dict[str, list[tuple[str, str, int, int]]]:
         """After the run's action: per stage, (rule, action, checked, violations) from the observers."""
@@ -253,6 +258,8 @@ class PipelineRun:
         """
         from sluice.sinks.tables import write_destination
 
+        if self.observe is None:
+            self.observe = write
         self.run_sources()
         self.run_transformations()
         written = []
