@@ -11,6 +11,9 @@ Without a row-level table format, ``MERGE`` is emulated:
   latest complete manifest, so a job killed mid-merge leaves the previous
   version intact; nothing being read is ever overwritten.
 
+One writer per store at a time (one streaming query, or one run per
+destination): two concurrent merges would both build the next version.
+
 Bucket ids are the only thing fetched to the driver (at most ``n_buckets``
 integers).  Choose ``n_buckets`` so one bucket is about a task's worth of data
 (e.g. ~1 GB): a merge rewrites whole buckets, one file each.
