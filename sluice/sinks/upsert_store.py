@@ -3,7 +3,8 @@
 Without a row-level table format, ``MERGE`` is emulated:
 
 * rows are hashed into ``n_buckets`` buckets by ``pmod(xxhash64(keys), n)``;
-* ``data/__version=<k>/__bucket=<b>/`` holds the bucket files written by version ``k``;
+* ``data/__version=<k>-<token>/__bucket=<b>/`` holds the bucket files written by
+  version ``k`` (the token makes every merge attempt write its own folder);
 * ``_manifest/v=<k>/`` (JSON) lists, for every bucket, the version holding it,
   plus the last batch id merged (for idempotent streaming retries);
 * a merge reads only the buckets the batch touches, upserts them, writes them
@@ -22,6 +23,7 @@ integers).  Choose ``n_buckets`` so one bucket is about a task's worth of data
 from __future__ import annotations
 
 import re
+import uuid
 from typing import Sequence
 
 from pyspark import StorageLevel
@@ -31,9 +33,14 @@ from pyspark.sql import functions as F
 
 from sluice.operators.upsert import upsert
 
+# reserved names: partition folders must not collide with data columns
 BUCKET = "__bucket"
 VERSION = "__version"
-MANIFEST_DDL = "bucket int, data_v int, batch_id long, n_buckets int"  # reserved names: partition folders must not collide with data columns
+MANIFEST_DDL = "bucket int, data_v string, batch_id long, n_buckets int"
+
+
+class ConcurrentMergeError(RuntimeError):
+    """Another writer published a version while this merge was running."""
 
 
 class UpsertStore:
@@ -98,8 +105,8 @@ class UpsertStore:
         files = self.spark.read.option("basePath", f"{self.path}/data").parquet(f"{self.path}/data").inputFiles()
         stale = set()
         for f in files:
-            m = re.search(rf"/{VERSION}=(\d+)/{BUCKET}=(\d+)/", f)
-            if m and live.get(int(m.group(2))) != int(m.group(1)):
+            m = re.search(rf"/{VERSION}=([^/]+)/{BUCKET}=(\d+)/", f)
+            if m and live.get(int(m.group(2))) != m.group(1):
                 stale.add(f"{self.path}/data/{VERSION}={m.group(1)}/{BUCKET}={m.group(2)}")
         manifests = self.spark.read.schema(MANIFEST_DDL + ", v int").json(f"{self.path}/_manifest").inputFiles()
         for f in manifests:
@@ -123,7 +130,6 @@ class UpsertStore:
         version, buckets, last_batch = self._manifest()
         if batch_id is not None and last_batch is not None and batch_id <= last_batch:
             return False
-        new_v = 0 if version is None else version + 1
         keyed = batch.withColumn(BUCKET, F.pmod(F.xxhash64(*[F.col(k) for k in self.keys]),
                                                 F.lit(self.n_buckets)).cast("int"))
         # the batch feeds two jobs (touched buckets, then the merge): compute it once;
@@ -136,6 +142,7 @@ class UpsertStore:
 
     def _merge_keyed(self, keyed: DataFrame, version, buckets, batch_id) -> bool:
         new_v = 0 if version is None else version + 1
+        data_v = f"{new_v}-{uuid.uuid4().hex[:12]}"
         touched = sorted(r[0] for r in keyed.select(BUCKET).distinct().collect())
         old_paths = [f"{self.path}/data/{VERSION}={buckets[b]}/{BUCKET}={b}" for b in touched if b in buckets]
         target = None
@@ -148,15 +155,19 @@ class UpsertStore:
         # grouping whole buckets per task writes one file per bucket instead of
         # one per (task, bucket).  Size ``n_buckets`` so a bucket fits a task.
         (merged.repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET)
-         .parquet(f"{self.path}/data/{VERSION}={new_v}"))
+         .parquet(f"{self.path}/data/{VERSION}={data_v}"))
         entries = dict(buckets)
         for b in touched:
-            entries[b] = new_v
+            entries[b] = data_v
         # first row: version header (kept even when no bucket holds data yet)
         manifest = self.spark.createDataFrame(
             [(None, None, batch_id, self.n_buckets)]
             + [(b, v, batch_id, self.n_buckets) for b, v in sorted(entries.items())],
             MANIFEST_DDL,
         )
+        current, _, _ = self._manifest()
+        if current != version:
+            raise ConcurrentMergeError(
+                f"{self.path}: version {current} appeared while merging on top of {version}; not published")
         manifest.coalesce(1).write.mode("overwrite").json(f"{self.path}/_manifest/v={new_v}")
         return True

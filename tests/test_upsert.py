@@ -64,8 +64,9 @@ def test_store_rewrites_only_touched_buckets_and_skips_replays(spark, scratch):
     assert not store.merge(one_key, batch_id=1)
     version, buckets, last = store._manifest()
     assert version == 1 and last == 1
-    assert sorted(set(buckets.values())) == [0, 1]
-    assert sum(1 for v in buckets.values() if v == 1) == 1  # one bucket rewritten
+    generations = [v.split("-")[0] for v in buckets.values()]   # data folders are "<version>-<token>"
+    assert sorted(set(generations)) == ["0", "1"]
+    assert generations.count("1") == 1  # one bucket rewritten
     got = {r.k: (r.seq, r.v) for r in store.read().collect()}
     assert len(got) == 40 and got[3] == (2, "v2") and got[4] == (1, "v1")
 
@@ -75,7 +76,7 @@ def test_store_writes_one_file_per_bucket(spark, scratch):
     store = UpsertStore(spark, f"{scratch}/t", ["k"], "seq", n_buckets=4)
     store.merge(spark.range(2000).selectExpr("cast(id as int) k", "1 seq", "'v' v").repartition(8), batch_id=0)
     for b in range(4):
-        files = glob.glob(f"{scratch}/t/data/__version=0/__bucket={b}/*.parquet")
+        files = glob.glob(f"{scratch}/t/data/__version=0-*/__bucket={b}/*.parquet")
         assert len(files) == 1, (b, files)
 
 
@@ -86,8 +87,31 @@ def test_vacuum_keeps_the_current_rows_only(spark, scratch):
     before = rows(store.read())
     emptied = store.vacuum()
     assert any("/_manifest/v=0" in f for f in emptied)
-    assert sum("__version=0/__bucket=" in f for f in emptied) == 1   # only the rewritten bucket
+    assert sum("__version=0-" in f and "/__bucket=" in f for f in emptied) == 1   # only the rewritten bucket
     assert rows(store.read()) == before
     assert store.vacuum() == []                                       # nothing left to empty
     store.merge(spark.createDataFrame([(3, 3, "c")], SCHEMA), batch_id=2)
     assert dict((r[0], r[2]) for r in rows(store.read()))[3] == "c"
+
+
+def test_a_concurrent_publish_is_detected(spark, scratch):
+    import pytest
+
+    from sluice.sinks.upsert_store import ConcurrentMergeError
+    store = UpsertStore(spark, f"{scratch}/t", ["k"], "seq", n_buckets=2)
+    store.merge(spark.createDataFrame([(1, 1, "a")], SCHEMA), batch_id=0)
+    other = UpsertStore(spark, f"{scratch}/t", ["k"], "seq", n_buckets=2)
+    real = store._manifest
+    calls = {"n": 0}
+
+    def racing_manifest():
+        calls["n"] += 1
+        if calls["n"] == 2:  # the re-check before publishing: another writer got in first
+            other.merge(spark.createDataFrame([(2, 1, "b")], SCHEMA), batch_id=5)
+        return real()
+
+    store._manifest = racing_manifest
+    with pytest.raises(ConcurrentMergeError):
+        store.merge(spark.createDataFrame([(3, 1, "c")], SCHEMA), batch_id=1)
+    store._manifest = real
+    assert sorted(r.k for r in store.read().collect()) == [1, 2]
