@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SMALL
+from sluice.queries import ORACLE, QUERIES
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
@@ -34,14 +35,15 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.oracle_sql()) == set(E.queries())
+    assert set(ORACLE) == set(QUERIES)
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLE) <= set(E.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, duck, name):
-    df = E.queries()[name](spark, SMALL)
+    df = QUERIES[name](spark, SMALL)
     scols, srows = _rows(df.columns, [tuple(r) for r in df.collect()])
-    res = duck.execute(E.oracle_sql()[name])
+    res = duck.execute(ORACLE[name])
     dcols, drows = _rows([d[0] for d in res.description], res.fetchall())
     assert scols == dcols
     assert len(srows) == len(drows)
