@@ -37,7 +37,7 @@ from sluice.session import scratch_root
 CAPACITY = 2048
 END_ID = 0
 CACHE_UNITS = 400_000     # a worker's cache of encoded units starts anew beyond this; results do not depend on it
-PER_BUCKET = 50_000       # pieces numbered together
+PER_BUCKET = 4_000        # pieces numbered together
 SPECIAL = b"<|endoftext|>"
 PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>"
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),

@@ -89,3 +89,9 @@ def op10_recompression(spark, sf_dir):
     from sluice.llm.substring_dedup import substring_dedup
     out = substring_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@register("op2_jaccard_join")
+def op2_jaccard_join(spark, sf_dir):
+    from sluice.llm.jaccard_join import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"))

@@ -191,7 +191,7 @@ def write_warc(pages: DataFrame, out: str, *, min_bytes: int = MIN_BYTES, roll_b
     said = revisits(pages, min_bytes).select("page_id", F.lit(0).alias("kind"), "digest", "refers_to",
                                              F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
     rows, shards = _sharded(html.unionByName(said), pages, shard_bytes)
-    dealt = (rows.select("shard", "page_id", "kind", "digest", "refers_to", "url", "html").repartition(shards, "shard")
+    dealt = (rows.select("shard", "page_id", "kind", "digest", "refers_to", "url", "html").repartitionByRange(shards, "shard")
              .sortWithinPartitions("shard", "page_id", "kind", "digest", "url", "html"))
     dealt.mapInArrow(_writer(out, roll_bytes, min_bytes, date), MANIFEST_DDL).write.parquet(f"{out}/_manifest")
     return f"{out}/_manifest"
