@@ -13,13 +13,14 @@ when 100 * intersection >= 75 * union.
 2. **Groups.**  Equal sets become one class, and classes of one size with one
    prefix become one group, which takes part in the join once.
 3. **First links.**  Groups that share a prefix shingle are chained in order of
-   size and paired with the shingle's hub (the group least of whose shingles
-   are its own), members of a group are chained too; the pairs are verified and
+   size, every member is paired with the hub of each prefix shingle (the group
+   least of whose shingles are its own), members of a group are chained; the pairs are verified and
    components formed.  This is linear in the prefixes, whatever a group's size.
-4. **Remaining pairs.**  All pairs of groups with a common prefix shingle, sizes that
-   allow a link and *different* components are expanded to their members and
-   verified.  A pair inside one component need not be looked at, so the result
-   is exact: no pair is dropped, and a large cluster costs no square.
+4. **Remaining pairs.**  Groups are expanded to their members.  All pairs with a common
+   prefix shingle and *different* components are verified, unless their sizes and the
+   numbers of shared shingles in 64 cells of the hash range show that they cannot link.  A pair
+   inside one component need not be looked at, so the result is exact: no
+   link is lost, and a large cluster costs no square.
 
 Shingles are 64-bit hashes.  A component is named by the smallest ``doc_id`` in it.
 
@@ -43,9 +44,10 @@ from sluice.session import scratch_root
 
 SHINGLE = 5
 SIMILAR = 75   # per cent
-SETS_DDL = "uid long, doc_id long, n long, f1 long, f2 long, prefix array<long>, shared array<long>"
+CELLS = 64
+SETS_DDL = "uid long, doc_id long, n long, f1 long, f2 long, prefix array<long>, shared array<long>, cells array<int>"
 SETS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()),
-                  ("prefix", pa.list_(pa.int64())), ("shared", pa.list_(pa.int64()))])
+                  ("prefix", pa.list_(pa.int64())), ("shared", pa.list_(pa.int64())), ("cells", pa.list_(pa.int32()))])
 
 
 def shingles(b: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,19 +121,25 @@ def _sets(k: int, percent: int):
         def lists(mask):
             per = np.bincount(doc[mask], minlength=len(n))
             return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32()), pa.array(g[mask].view(np.int64), pa.int64()))
+        # shared shingles counted in equal cells of the hash range: a bound for intersections that needs no shingles
+        count = np.zeros((len(n), CELLS), np.int64)
+        np.add.at(count, (doc[keep], (g[keep] >> U(58)).astype(np.int64)), 1)
+        cells = pa.array([row if ok else None for row, ok in zip(count.astype(np.int32), alive)], pa.list_(pa.int32()))
         uid = (np.int64(table["chunk"][0].as_py()) << 32) + np.arange(len(n))
         return pa.table([pa.array(uid), table["doc_id"].cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]),
-                         lists(in_prefix), lists(keep)], schema=SETS)
+                         lists(in_prefix), lists(keep), cells], schema=SETS)
     return fn
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` that link, from sizes and common shared shingles."""
+def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b, na, nb, both`` of candidate pairs: sizes and common shingles."""
     left = sets.select(F.col("uid").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"))
     right = sets.select(F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return (pairs.join(left, "a").join(right, "b").withColumn("both", both)
-            .filter(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("both"))
+
+
+def _linked(measured: DataFrame, percent: int) -> DataFrame:
+    return measured.filter(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = SIMILAR, chunk_bytes: int = X.CHUNK_BYTES) -> DataFrame:
@@ -148,12 +156,12 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = SIMILAR, c
     classes = alive.groupBy("n", "f1", "f2").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("least"))
     classes.write.parquet(f"{root}/classes")
     classes = spark.read.parquet(f"{root}/classes")
-    sets = rows.select("uid", "n", "prefix", "shared", F.size("shared").alias("own")).join(classes.select("uid"), "uid", "left_semi")
+    sets = rows.select("uid", "n", "prefix", "shared", "cells", F.size("shared").alias("own")).join(classes.select("uid"), "uid", "left_semi")
     group = Window.partitionBy("n", F.xxhash64("prefix"))
     grouped = sets.withColumn("gid", F.min("uid").over(group)).withColumn("most", F.max("own").over(group))
     grouped.write.parquet(f"{root}/sets")
     sets = spark.read.parquet(f"{root}/sets")
-    members = sets.select("gid", "uid", "n", "most")
+    members = sets.select("gid", "uid", "n", "cells")
 
     def may(n, m, s, t):  # what sizes and shared shingles allow: 100 * both >= percent * (n + m - both), both <= n, m, s, t
         both = F.least(n, m, s, t)
@@ -168,33 +176,36 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = SIMILAR, c
                                       F.count(F.lit(1)).alias("c")).filter("c > 1")
            .select("token", (-F.col("h.b")).alias("b"), F.col("h.n").alias("nb"), F.col("h.most").alias("sb")))
     star = token.join(hub, "token").filter((F.col("gid") != F.col("b")) & may("n", "nb", "most", "sb")).select("gid", "b")
-    near = near.unionByName(star).select(F.least("gid", "b").alias("a"), F.greatest("gid", "b").alias("b")).distinct()
+    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    star = star.distinct().join(members.select("gid", "uid"), "gid").filter("uid <> b").select("uid", F.col("b").alias("hub"))  # every member meets the hub
     inside = (members.withColumn("b", F.lead("uid").over(Window.partitionBy("gid").orderBy("uid"))).filter("b IS NOT NULL")
               .select(F.col("uid").alias("a"), "b"))
-    _verified(near.unionByName(inside), sets, percent).write.parquet(f"{root}/links1")
-    links = spark.read.parquet(f"{root}/links1")
+    pairs = near.select(F.col("gid").alias("a"), "b").unionByName(star.select(F.col("uid").alias("a"), F.col("hub").alias("b"))).unionByName(inside)
+    _measured(pairs.select(*ordered).distinct(), sets).write.parquet(f"{root}/measured")
+    measured = spark.read.parquet(f"{root}/measured")
+    links = _linked(measured, percent)
     first = components(links)
 
     # pairs of different components only
-    label = members.join(first.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
+    label = (members.join(first.withColumnRenamed("node", "uid"), "uid", "left")
+             .select("gid", "uid", "n", "cells", F.coalesce("label", "uid").alias("label")))
     label.write.parquet(f"{root}/labels")
     label = spark.read.parquet(f"{root}/labels")
-    parts = label.select("gid", "n", "most", "label").distinct()
-    spread = (token.select("gid", "token").join(parts, "gid"))
-    several = spread.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
-    open_ = spread.join(several, "token")
-    x, y = (open_.select("token", F.col("gid").alias(f"g{i}"), F.col("n").alias(f"n{i}"), F.col("most").alias(f"s{i}"),
-                           F.col("label").alias(f"l{i}")) for i in "xy")
-    meet = (x.join(y, "token").filter("lx <> ly AND (nx < ny OR (nx = ny AND gx < gy))").filter(may("nx", "ny", "sx", "sy"))
-            .select("gx", "lx", "gy", "ly").distinct())
-    same = (label.alias("p").join(label.alias("q"), "gid").filter("p.uid < q.uid AND p.label <> q.label")
-            .select(F.col("p.uid").alias("a"), F.col("q.uid").alias("b")))
-    of = lambda g, v, w: label.select(F.col("gid").alias(g), F.col("label").alias(v), F.col("uid").alias(w))
-    meet.write.parquet(f"{root}/meet")
-    meet = spark.read.parquet(f"{root}/meet")
-    rest = meet.join(of("gx", "lx", "a"), ["gx", "lx"]).join(of("gy", "ly", "b"), ["gy", "ly"]).select("a", "b").unionByName(same)
-    _verified(rest, sets, percent).write.parquet(f"{root}/links2")
-    more = spark.read.parquet(f"{root}/links2")
+    spread = token.select("gid", "token").join(label, "gid").drop("gid")
+    major = (spread.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("token")
+             .agg(F.max(F.struct("c", "label")).alias("m"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+             .select("token", F.col("m.label").alias("major")))
+    open_ = spread.join(major, "token")  # pairs of the largest component of a shingle are never formed
+    side = lambda df, i: df.select("token", "major", *[F.col(c).alias(f"{c}_{i}") for c in ("uid", "n", "label", "cells")])
+    x, y = side(open_.filter("label <> major"), "x"), side(open_, "y").drop("major")
+    # two sets have in each cell no more in common than the fewer of their shared shingles there
+    both = F.expr("aggregate(zip_with(cells_x, cells_y, (p, q) -> least(p, q)), 0L, (a, c) -> a + c)")
+    rest = (x.join(y, "token").filter("label_x <> label_y AND (label_y = major OR uid_x < uid_y)")
+            .filter((100 + percent) * F.least("n_x", "n_y") >= percent * (F.col("n_x") + F.col("n_y")))
+            .filter((100 + percent) * both >= percent * (F.col("n_x") + F.col("n_y")))
+            .select(F.least("uid_x", "uid_y").alias("a"), F.greatest("uid_x", "uid_y").alias("b")).distinct())
+    _measured(rest, sets).write.parquet(f"{root}/measured2")
+    more = _linked(spark.read.parquet(f"{root}/measured2"), percent)
     final = components(links.unionByName(more)) if more.limit(1).count() else first
 
     named = classes.join(final.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
