@@ -40,14 +40,14 @@ def chunk_count(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> int:
     return max(1, math.ceil((n * 64 + (size or 0)) / chunk_bytes))
 
 
-def chunked(docs: DataFrame, chunks: int) -> DataFrame:
-    """``chunk, doc_id, text``, one shuffle.
+def chunked(docs: DataFrame, chunks: int, *more: str) -> DataFrame:
+    """``chunk, doc_id, text`` and the columns ``more``, one shuffle.
 
     Rows are dealt by a hash of id and text, so a hot id or repeated rows do not
     fill one chunk unless the rows are identical.
     """
     dealt = docs.select(F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 4096)), F.lit(chunks)).cast("int").alias("chunk"),
-                        F.col("doc_id"), F.col("text"))
+                        F.col("doc_id"), F.col("text"), *more)
     return dealt.repartition(chunks, "chunk")
 
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -95,3 +97,31 @@ def op10_recompression(spark, sf_dir):
 def op2_jaccard_join(spark, sf_dir):
     from sluice.llm.jaccard_join import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op1_brown_lm")
+def op1_brown_lm(spark, sf_dir):
+    from sluice.llm.brown_lm import score_texts
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
+@register("op3_quality_gam")
+def op3_quality_gam(spark, sf_dir):
+    from sluice.llm.quality_gam import classify
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op5_line_dedup")
+def op5_line_dedup(spark, sf_dir):
+    from sluice.llm.line_dedup import line_dedup
+    out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+@register("op6_decontamination")
+def op6_decontamination(spark, sf_dir):
+    from sluice.llm.decontaminate import matches
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+register("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
