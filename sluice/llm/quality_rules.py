@@ -118,14 +118,13 @@ def fit(patterns: DataFrame, rules: int, rounds: int = ROUNDS) -> tuple[float, l
 def quality_rules(docs: DataFrame, keep_at: float = 0.5, rounds: int = ROUNDS, keep_text: bool = True) -> DataFrame:
     """``docs`` with the base counts, ``base_failed``, ``p_good`` (posterior) and ``kept``.
 
-    Without ``keep_text`` the text is left out and the counts are written once to the shared
-    scratch folder; with it they are computed for the statistics and again with the rows.
+    The counts are computed once and written to the shared scratch folder with the row (without the
+    text unless ``keep_text``): a filter on ``kept`` must not be pushed into them.
     """
+    out = scratch_root(docs.sparkSession, "quality")
     df = voted(measured(docs.drop("base_failed", "p_good", "kept")))
-    if not keep_text:
-        out = scratch_root(docs.sparkSession, "quality")
-        df.drop("text").write.parquet(out)
-        df = docs.sparkSession.read.parquet(out)
+    (df if keep_text else df.drop("text")).write.parquet(out)
+    df = docs.sparkSession.read.parquet(out)
     found = df.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()  # 3 ** rules rows at most
     patterns = docs.sparkSession.createDataFrame(found, "votes array<int>, n long").coalesce(1)
     good, right = fit(patterns, len(found[0].votes) if found else RULES, rounds)
