@@ -2,7 +2,7 @@
 
 1. **Terms.**  Words with A-Z lowered and edge punctuation off.  Term weights are inverse
    frequencies over *all* documents (one pass); the vocabulary is the benchmark's, without
-   terms more frequent than ``STOP`` of all words, which carry no evidence.
+   terms more frequent than ``STOP`` of all words (the rarest of each passage always count).
 2. **Latent space.**  Benchmark texts are cut into passages; a randomised SVD of their TF-IDF
    matrix (range finder with power steps, each a distributed product A'(A x)) gives
    ``RANK`` directions.  Document passages are folded in: 64 words, every 32.
@@ -31,7 +31,8 @@ from sluice.llm.words import LOWER, U, Block, blocks, texts
 SEGMENT = 32           # a passage is two segments
 ITEM_WORDS = 64        # longest benchmark passage
 LEAST = 8
-STOP = 1e-3
+STOP = 1e-4            # terms more frequent are left out, but for the RAREST of each passage
+RAREST = 8
 RANK, POWER = 256, 2
 COSINE, LCS, SURE, ANSWER = 0.45, 0.6, 0.8, 0.5
 BLOCK_ITEMS = 2000
@@ -105,26 +106,39 @@ def _weights(words: np.ndarray, known: np.ndarray, idf: np.ndarray) -> tuple[np.
 
 
 def _product(known: np.ndarray, idf: np.ndarray, x: np.ndarray):
-    """A'(A x) over the passages of a task; A's rows are TF-IDF vectors of length one."""
+    """The rows of A'(A x) that the passages of a task touch; A's rows are TF-IDF vectors of length one."""
     def fn(batches):
-        out = np.zeros_like(x)
+        out = {}
         for batch in batches:
             for raw in batch.column(2).to_pylist():
                 at, w = _weights(np.frombuffer(raw, U), known, idf)
                 if len(at):
                     w = w / np.linalg.norm(w)
-                    np.add.at(out, at, w[:, None] * (w @ x[at]))
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["k", "m"])
+                    y = w @ x[at]
+                    for i, v in zip(at.tolist(), w):
+                        out[i] = out.get(i, 0) + v * y
+        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([v.tobytes() for v in out.values()], pa.binary())], schema=ROW)
     return fn
 
 
+ROW_DDL = "term int, row binary"
+ROW = pa.schema([("term", pa.int32()), ("row", pa.binary())])
+
+
+def _added(table: pa.Table) -> pa.Table:
+    rows = sum(np.frombuffer(r) for r in table["row"].to_pylist())
+    return pa.table([table["term"].slice(0, 1).cast(pa.int32()), pa.array([rows.tobytes()], pa.binary())], schema=ROW)
+
+
 def latent(passages: DataFrame, known: np.ndarray, idf: np.ndarray, rank: int = RANK, power: int = POWER) -> np.ndarray:
     """Terms x directions: the leading right singular vectors of the passages' TF-IDF matrix."""
     rng = np.random.Generator(np.random.PCG64(7))
     x = rng.standard_normal((len(known), min(rank, len(known))))
     for _ in range(power):
         q, _ = np.linalg.qr(x)
-        x = sum((np.frombuffer(r.m).reshape(q.shape) for r in passages.mapInArrow(_product(known, idf, q), "k int, m binary").collect()), np.zeros_like(q))
+        x = np.zeros_like(q)
+        for r in passages.mapInArrow(_product(known, idf, q), ROW_DDL).groupBy("term").applyInArrow(_added, ROW_DDL).collect():  # a row per term
+            x[r.term] = np.frombuffer(r.row)
     return np.linalg.qr(x)[0].astype(np.float32)
 
 
@@ -161,6 +175,7 @@ class Index:
                 self.words.append(words)
                 vec.append((w[:, None] * space[at]).sum(0))
         v = np.array(vec, np.float32).reshape(len(vec), space.shape[1])
+        self.least = 2 if min((len(set(_weights(w, known, idf)[0].tolist())) for w in self.words), default=0) >= 5 else 1  # one of five terms is below COSINE
         self.vec = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
 
@@ -179,15 +194,21 @@ def _search(ix: Index):
                 at, of = at[hit], seg[hit]
                 if not len(at):
                     continue
-                new = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-                vec = np.zeros((base[-1] + 1, ix.space.shape[1]), np.float32)
-                vec[of[new]] = np.add.reduceat(ix.space[at] * ix.idf[at, None], new, axis=0)
+                # a passage is a segment and the next of the same text; those with too few terms cannot reach COSINE
                 last = np.zeros(base[-1], bool)
                 last[base[1:] - 1] = True
-                pair = np.where(last[:, None], vec[:-1], vec[:-1] + vec[1:])  # two segments of one text; a last one alone
-                size = np.linalg.norm(pair, axis=1, keepdims=True)
-                some = np.flatnonzero(size[:, 0] > 0)
-                cos = (pair[some] / size[some]) @ ix.vec.T
+                hits = np.bincount(of, minlength=base[-1] + 1)
+                some = np.flatnonzero(hits[:-1] + np.where(last, 0, hits[1:]) >= ix.least)
+                if not len(some):
+                    continue
+                new = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+                row = np.zeros(base[-1] + 1, np.int64)  # 0: a segment without terms
+                row[of[new]] = np.arange(len(new)) + 1
+                vec = np.zeros((len(new) + 1, ix.space.shape[1]), np.float32)
+                vec[1:] = np.add.reduceat(ix.space[at] * ix.idf[at, None], new, axis=0)
+                pair = vec[row[some]] + vec[np.where(last[some], 0, row[some + 1])]
+                size = np.maximum(np.linalg.norm(pair, axis=1, keepdims=True), 1e-9)
+                cos = (pair / size) @ ix.vec.T
                 best = {}
                 for s, j in zip(*np.nonzero(cos >= COSINE)):
                     p = some[s]
@@ -228,6 +249,9 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         total = n.get(-1, 0)
         freq = np.array([n.get(i, 0) for i in range(len(known))], float)
         ok = freq <= max(STOP * total, 20)
+        for r in rows:  # every passage keeps its rarest terms
+            own = np.searchsorted(known, np.unique(np.frombuffer(r.words, U)))
+            ok[own[np.argsort(freq[own], kind="stable")[:RAREST]]] = True
         known, idf = known[ok], np.log((total + 1) / (freq[ok] + 1)).astype(np.float32)
         if not len(known):
             continue

@@ -1,0 +1,9 @@
+import pytest
+
+
+@pytest.fixture
+def docs_of(spark):
+    """Small documents: (doc_id, text) pairs, with a column whose name clashes with inner ones."""
+    def make(rows):
+        return spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, chunk string")
+    return make
