@@ -174,6 +174,7 @@ class Index:
                 self.last.append(r.last)
                 self.words.append(words)
                 vec.append((w[:, None] * space[at]).sum(0))
+        self.lists = [w.tolist() for w in self.words]
         v = np.array(vec, np.float32).reshape(len(vec), space.shape[1])
         self.least = 2 if min((len(set(_weights(w, known, idf)[0].tolist())) for w in self.words), default=0) >= 5 else 1  # one of five terms is below COSINE
         self.vec = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
@@ -209,14 +210,16 @@ def _search(ix: Index):
                 pair = vec[row[some]] + vec[np.where(last[some], 0, row[some + 1])]
                 size = np.maximum(np.linalg.norm(pair, axis=1, keepdims=True), 1e-9)
                 cos = (pair / size) @ ix.vec.T
-                best = {}
-                for s, j in zip(*np.nonzero(cos >= COSINE)):
+                best, at_s = {}, -1
+                for s, j in zip(*(i.tolist() for i in np.nonzero(cos >= COSINE))):
                     p = some[s]
                     d = int(np.searchsorted(base, p, "right") - 1)
                     lo = b.first[d] + max(0, (p - base[d] - 1) * SEGMENT)
                     hi = min(b.first[d + 1], b.first[d] + (p - base[d] + 3) * SEGMENT)
                     words, here = ix.words[j], h[lo:hi]
-                    if np.isin(words, here).mean() < LCS:
+                    if s != at_s:
+                        at_s, there = s, set(here.tolist())
+                    if sum(w in there for w in ix.lists[j]) < LCS * len(words):
                         continue
                     used = _lcs(words, here)
                     share, tail = used.mean(), max(2, len(words) // 5)
