@@ -15,6 +15,14 @@ WORD = re.compile(r"[^ \t-\r]+")
 EDGE = [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, "one"), (None, "a b c d e f g h i j k l m n"), (6, "é ü" * 3)]
 
 
+@pytest.fixture
+def docs_of(spark):
+    """Small documents: (doc_id, text) pairs, with a column whose name clashes with inner ones."""
+    def make(rows):
+        return spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, chunk string")
+    return make
+
+
 def corpus(seed):
     r = random.Random(seed)
     vocab = [f"w{i}" for i in range(300)] + ["a", "a", "ñ"]
