@@ -33,6 +33,7 @@ def cmd_ingest(args) -> int:
     for p in problems:
         print(f"{p['kind']}: {p['path']}: {p['detail']}", file=sys.stderr)
     if problems:
+        print(f"{res.problems.count()} problem(s), {len(problems)} shown", file=sys.stderr)
         return 1
     if not args.dry_run:
         write_metadata(spark, res, args.database)

@@ -85,5 +85,5 @@ def resolve_against(path: Column | str, base_dir: Column | str) -> Column:
     """Absolute paths stay; relative ones are joined to ``base_dir`` (no file-system probe)."""
     p = _c(path)
     return F.when(p.isNull() | (p == ""), F.lit(None).cast("string")).when(
-        p.startswith("/"), normalize_path(p)
+        p.startswith("/") | p.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), normalize_path(p)  # a URI is absolute
     ).otherwise(normalize_path(F.concat_ws("/", _c(base_dir), p)))

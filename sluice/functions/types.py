@@ -28,14 +28,14 @@ COMPLEX_TYPES: dict[str, type] = {
 
 # A failed string -> number/boolean cast costs an exception per row inside
 # Spark.  These patterns accept a superset of what the cast can parse (ASCII
-# control/space trimming, sign, digits; for doubles also exponents, d/f
+# control (DEL too) and space trimming, sign, digits; for doubles also exponents, d/f
 # suffixes, NaN/Infinity and hex floats), so values they reject are NULL either
 # way and skip the cast.  Whatever they accept still goes through ``try_cast``.
 _PARSABLE = {
-    "int": r"^[\x00-\x20]*[+-]?[0-9]+[\x00-\x20]*$",
-    "double": (r"(?i)^[\x00-\x20]*[+-]?(nan|inf|infinity|[0-9]*\.?[0-9]*(e[+-]?[0-9]+)?[df]?"
-               r"|0x[0-9a-f]*\.?[0-9a-f]*p[+-]?[0-9]+[df]?)[\x00-\x20]*$"),
-    "boolean": r"(?i)^[\x00-\x20]*(t|true|y|yes|1|f|false|n|no|0)[\x00-\x20]*$",
+    "int": r"^[\x00-\x20\x7f]*[+-]?[0-9]+[\x00-\x20\x7f]*$",
+    "double": (r"(?i)^[\x00-\x20\x7f]*[+-]?(nan|inf|infinity|[0-9]*\.?[0-9]*(e[+-]?[0-9]+)?[df]?"
+               r"|0x[0-9a-f]*\.?[0-9a-f]*p[+-]?[0-9]+[df]?)[\x00-\x20\x7f]*$"),
+    "boolean": r"(?i)^[\x00-\x20\x7f]*(t|true|y|yes|1|f|false|n|no|0)[\x00-\x20\x7f]*$",
 }
 
 

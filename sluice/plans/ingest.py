@@ -74,7 +74,7 @@ def load_configs(spark: SparkSession, root: str, strict_xor: bool = False) -> In
         has_stage = has_stage | F.coalesce(F.map_contains_key("__top", F.lit(s)), F.lit(False))
     problems.append(ok.filter(~has_stage).select(
         F.lit("no_stage").alias("kind"), F.col("__file").alias("path"),
-        F.lit("define at least one of: sources, transformations, destinations").alias("detail")))
+        F.lit("the file declares no stage (sources, transformations or destinations)").alias("detail")))
 
     # identity names are stored stripped (Python whitespace rules)
     stamped = ok.select("__file", *path_identity("__file"), parent_dir("__file").alias("__dir"), "doc.*")
@@ -150,10 +150,14 @@ def load_configs(spark: SparkSession, root: str, strict_xor: bool = False) -> In
 
 
 class ConfigProblems(RuntimeError):
-    def __init__(self, rows):
+    """``rows`` may be a first part of the problems; ``total`` counts them all."""
+
+    def __init__(self, rows, total: int | None = None):
         self.rows = rows
+        self.total = len(rows) if total is None else total
         text = "\n".join(f"  {r['kind']}: {r['path']}: {r['detail']}" for r in rows)
-        super().__init__(f"configuration has {len(rows)} problem(s):\n{text}")
+        shown = "" if len(rows) == self.total else f", {len(rows)} shown"
+        super().__init__(f"configuration has {self.total} problem(s){shown}:\n{text}")
 
 
 def write_metadata(spark: SparkSession, result: IngestResult, database: str = "sluice",
@@ -161,7 +165,7 @@ def write_metadata(spark: SparkSession, result: IngestResult, database: str = "s
     """Overwrite the three metadata tables; refuses while ``result.problems`` is non-empty."""
     found = result.problems.limit(max_reported).collect()
     if found:
-        raise ConfigProblems(found)
+        raise ConfigProblems(found, result.problems.count())
     create_database(spark, database)
     for stage, df in result.tables().items():
         overwrite_table(df, f"{database}.{stage}")

@@ -151,39 +151,34 @@ def q_map_transform_ts(spark, sf_dir):
 
 
 def _sql_stage_spec(sf_dir: str) -> PipelineSpec:
-    """lineitem -> monthly average price per part -> summer months only (declared in reverse)."""
+    """orders -> spending per customer and priority -> the urgent part of it (declared in reverse)."""
     return PipelineSpec(
-        sources=[{"origin": f"{sf_dir.rstrip('/')}/lineitem.parquet", "datatype": "parquet",
-                  "target": "vw__silver__item_cost"}],
+        sources=[{"origin": f"{sf_dir.rstrip('/')}/orders.parquet", "datatype": "parquet", "target": "vw__bronze__orders"}],
         transformations=[
-            {"origin": "vw__silver__item_cost_monthly_avg", "target": "vw__silver__item_cost_monthly_avg_summer",
-             "sql_query": "SELECT * FROM vw__silver__item_cost_monthly_avg WHERE month IN (6, 7, 8)",
-             "validations": [{"validation_rule": "item_id IS NOT NULL", "validation_action": "DROP"}]},
-            {"origin": "vw__silver__item_cost", "target": "vw__silver__item_cost_monthly_avg",
-             "sql_query": "SELECT CAST(month(l_shipdate) AS INT) AS month, l_partkey AS item_id, "
-                          "round(avg(l_extendedprice), 6) AS average_price "
-                          "FROM vw__silver__item_cost GROUP BY l_partkey, month(l_shipdate)"},
+            {"origin": "vw__silver__spending", "target": "vw__gold__urgent_spending",
+             "sql_query": "SELECT * FROM vw__silver__spending WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')",
+             "validations": [{"validation_rule": "mean_price > 1000", "validation_action": "DROP"}]},
+            {"origin": "vw__bronze__orders", "target": "vw__silver__spending",
+             "sql_query": "SELECT o_custkey, o_orderpriority, count(*) AS n_orders, round(avg(o_totalprice), 6) AS mean_price "
+                          "FROM vw__bronze__orders GROUP BY o_custkey, o_orderpriority"},
         ],
     )
 
 
 _SQL_GROUP_AVG = """
-SELECT CAST(month(l_shipdate) AS INTEGER) AS month, l_partkey AS item_id,
-       round(avg(l_extendedprice), 6) AS average_price
-FROM lineitem GROUP BY l_partkey, month(l_shipdate)
+SELECT o_custkey, o_orderpriority, count(*) AS n_orders, round(avg(o_totalprice), 6) AS mean_price
+FROM orders GROUP BY o_custkey, o_orderpriority
 """
 
 
 @register("sql_group_avg", _SQL_GROUP_AVG)
 def q_sql_group_avg(spark, sf_dir):
-    return PipelineRun(spark, _sql_stage_spec(sf_dir)).run(write=False).relations[
-        "vw__silver__item_cost_monthly_avg"]
+    return PipelineRun(spark, _sql_stage_spec(sf_dir)).run(write=False).relations["vw__silver__spending"]
 
 
-@register("sql_in_filter", f"SELECT * FROM ({_SQL_GROUP_AVG}) WHERE month IN (6, 7, 8) AND item_id IS NOT NULL")
+@register("sql_in_filter", f"SELECT * FROM ({_SQL_GROUP_AVG}) WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND mean_price > 1000")
 def q_sql_in_filter(spark, sf_dir):
-    return PipelineRun(spark, _sql_stage_spec(sf_dir)).run(write=False).relations[
-        "vw__silver__item_cost_monthly_avg_summer"]
+    return PipelineRun(spark, _sql_stage_spec(sf_dir)).run(write=False).relations["vw__gold__urgent_spending"]
 
 
 @register("sql_stage_join", """

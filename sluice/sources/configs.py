@@ -62,16 +62,23 @@ def _to_json_text(text: str, suffix: str) -> tuple[str | None, str | None]:
         else:
             return None, f"unsupported file type {suffix!r}"
     except Exception as exc:  # noqa: BLE001 - any parser error is reported as data
-        return None, f"not a valid {suffix[1:]} document: {type(exc).__name__}: {str(exc)[:200]}"
+        return None, f"not a valid {suffix[1:]} document: {type(exc).__name__}: {exc}"
     if not isinstance(doc, dict):
         return None, "document is not a mapping"
     return json.dumps(doc, default=str), None
 
 
+def _decoded(content: bytes, suffix: str) -> tuple[str | None, str | None]:
+    try:
+        text = content.decode("utf-8")
+    except UnicodeDecodeError as exc:
+        return None, f"not valid UTF-8: {exc}"
+    return _to_json_text(text, suffix)
+
+
 def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        out = [_to_json_text(bytes(c).decode("utf-8", errors="replace"), s)
-               for c, s in zip(pdf["content"], pdf["suffix"])]
+        out = [_decoded(bytes(c), s) for c, s in zip(pdf["content"], pdf["suffix"])]
         yield pd.DataFrame({"path": pdf["path"], "json_text": [o[0] for o in out],
                             "parse_error": [o[1] for o in out]})
 
@@ -91,6 +98,7 @@ def read_column_maps(spark: SparkSession, paths: list[str]) -> DataFrame:
         empty = T.StructType(COLUMN_MAP_CSV.fields + [T.StructField("config_path", T.StringType())])
         return spark.createDataFrame([], empty)
     df = (spark.read.option("header", "true").option("enforceSchema", "false")
+          .option("quote", '"').option("escape", '"').option("multiLine", "true")
           .schema(COLUMN_MAP_CSV).csv(paths))
     return df.withColumn("config_path", normalize_path(F.col("_metadata.file_path")))
 

@@ -4,9 +4,9 @@ from sluice.functions.expr import UnsafeExpression, transform_to_column
 
 
 def test_python_spelling_runs(spark):
-    df = spark.createDataFrame([("03-02-2024 10:11:12",)], "src string")
-    col = transform_to_column("F.to_timestamp(F.col('src'), 'dd-MM-yyyy HH:mm:ss')")
-    assert str(df.select(col.cast("string")).first()[0]) == "2024-02-03 10:11:12"
+    df = spark.createDataFrame([("  Ab,c ",)], "label string")
+    col = transform_to_column("F.upper(F.trim(F.col('label')))")
+    assert df.select(col).first()[0] == "AB,C"
 
 
 def test_sql_spelling_runs(spark):

@@ -35,3 +35,15 @@ def test_metadata_table_scan(spark, scratch):
     overwrite_table(stage_frame(spark, "sources", rows), "sluice_scan.sources", path=f"{scratch}/src")
     assert [tuple(r)[:3] for r in read_metadata_table(spark, "sources", "sluice_scan").collect()] == [("c", "s", "p")]
     assert read_metadata_table(spark, "sources", "sluice_scan").filter(F.col("target") == "t").count() == 1
+
+
+def test_uri_paths_are_absolute(spark):
+    from sluice.functions.text import resolve_against
+    df = spark.createDataFrame([("s3a://bkt/tbl",), ("file:/x/y",), ("a/b",)], "p string")
+    assert [r[0] for r in df.select(resolve_against("p", F.lit("/conf"))).collect()] == ["s3a://bkt/tbl", "/x/y", "/conf/a/b"]
+
+
+def test_bad_utf8_and_long_parser_messages_are_reported_whole():
+    from sluice.sources.configs import _decoded
+    assert _decoded(b'{"a": "\xff"}', ".json")[1].startswith("not valid UTF-8")
+    assert len(_decoded(b"a: [" + b"x" * 500 + b"\n: :", ".yaml")[1]) > 230
