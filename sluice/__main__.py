@@ -46,9 +46,10 @@ def cmd_run(args) -> int:
     spec = PipelineSpec.from_tables(*_tables(spark, args.database), args.name, args.schema, args.catalog)
     if args.stream:
         run_stream(spark, spec, args.checkpoint, continuous=args.continuous,
-                   full_refresh=args.full_refresh).awaitTermination()
+                   full_refresh=args.full_refresh, audit_path=args.audit).awaitTermination()
     else:
-        run = PipelineRun(spark, spec, checkpoint_failable=args.checkpoint_fail_stages)
+        run = PipelineRun(spark, spec, checkpoint_failable=args.checkpoint_fail_stages,
+                          count_logged=args.audit is not None)
         run.run(full_refresh=args.full_refresh)
         if args.audit:
             run.write_audit(args.audit)
@@ -90,7 +91,7 @@ def main(argv=None) -> int:
     p.add_argument("--continuous", action="store_true")
     p.add_argument("--full-refresh", action="store_true")
     p.add_argument("--checkpoint-fail-stages", action="store_true")
-    p.add_argument("--audit", help="append observed rule counts to this parquet path")
+    p.add_argument("--audit", help="append the rule counts (batch or per micro-batch) to this path")
     p.set_defaults(fn=cmd_run)
 
     p = sub.add_parser("plan", help="create/update/delete plan")

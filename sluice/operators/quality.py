@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions.text import py_strip
@@ -80,6 +80,20 @@ def drop_violations(df: DataFrame, rules: Iterable[Rule]) -> DataFrame:
     return df if cond is None else df.filter(cond)
 
 
+def count_rules(df: DataFrame, rules: Sequence[Rule]) -> list[tuple[str, str, int, int]]:
+    """(rule, action, rows checked, rows violating) of every rule: :func:`audit` as one action.
+
+    It counts all rows of the stage, whatever a consumer reads of it.
+    """
+    return [(r["rule"], r["action"], r["checked"], r["violations"]) for r in audit(df, rules).collect()]
+
+
+def raise_failures(counts: Sequence[tuple], stage: str | None = None) -> None:
+    found = [(rule, violations) for rule, action, _, violations in counts if action == "FAIL" and violations > 0]
+    if found:
+        raise ValidationFailed(found, stage)
+
+
 def enforce_fail(df: DataFrame, rules: Sequence[Rule], stage: str | None = None) -> None:
     """Eager check of the FAIL rules; raises :class:`ValidationFailed`.
 
@@ -88,20 +102,8 @@ def enforce_fail(df: DataFrame, rules: Sequence[Rule], stage: str | None = None)
     sink commits.
     """
     fail_rules = [r for r in rules if r.action == "FAIL"]
-    if not fail_rules:
-        return
-    found = [(row["rule"], row["violations"]) for row in audit(df, fail_rules).collect()
-             if row["violations"] > 0]
-    if found:
-        raise ValidationFailed(found, stage)
-
-
-def observe_rules(df: DataFrame, rules: Sequence[Rule], name: str = "rules") -> tuple[DataFrame, Observation]:
-    """Attach violation counters that fill in while the sink action runs (no extra pass)."""
-    obs = Observation(name)
-    metrics = [F.count(F.lit(1)).alias("checked")]
-    metrics += [F.count_if(~holds(r.rule)).alias(f"violations_{i}") for i, r in enumerate(rules)]
-    return df.observe(obs, *metrics), obs
+    if fail_rules:
+        raise_failures(count_rules(df, fail_rules), stage)
 
 
 def apply_rules(df: DataFrame, rules: Sequence[Rule], stage: str | None = None,

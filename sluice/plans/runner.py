@@ -4,27 +4,25 @@ The driver only orders stages and builds plans; all data work is lazy Spark
 plans that run when a sink writes (or the caller acts on a result).
 
 Stage order is found as a fixpoint: a column-map stage is ready once its
-``origin`` relation exists; a SQL stage is *analysed* and deferred while it
-refers to a relation not published yet (``TABLE_OR_VIEW_NOT_FOUND``).  This
-follows the relations a query really reads rather than the declared ``origin``.
+``origin`` relation exists; a SQL stage is deferred while a name it reads is the
+target of a stage not published yet, or is not to be found.  This follows the
+relations a query really reads rather than the declared ``origin``, and a
+catalog table never stands in for a declared stage of its name.
 """
 
 from __future__ import annotations
 
-import logging
-import uuid
+import re
 from collections import OrderedDict
-from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Mapping, Sequence
 
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sluice.operators.mapping import ColumnSpec, apply_column_map
-from sluice.operators.quality import Rule, audit, drop_violations, enforce_fail, observe_rules
+from sluice.operators.quality import Rule, audit, count_rules, drop_violations, enforce_fail, raise_failures
 from sluice.sources.declared import read_source
 
 
@@ -36,16 +34,10 @@ def _get(row: Mapping, key: str, default=None):
     return default if v is None else v
 
 
-@contextmanager
-def _quiet_analysis_errors():
-    """Deferred SQL stages fail analysis on purpose; keep PySpark from logging each probe."""
-    log = logging.getLogger("SQLQueryContextLogger")
-    level = log.level
-    log.setLevel(logging.CRITICAL)
-    try:
-        yield
-    finally:
-        log.setLevel(level)
+def _names_read(spark: SparkSession, sql: str) -> set[str]:
+    """Unqualified relation names in a statement, as Spark's own parser lists them (lower case)."""
+    parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).toString()
+    return {n.strip("` ").lower() for n in re.findall(r"UnresolvedRelation \[([^\],]+)\]", parsed)}
 
 
 def _rules(row: Mapping) -> list[Rule]:
@@ -135,16 +127,17 @@ class PipelineRun:
     def __init__(self, spark: SparkSession, spec: PipelineSpec, isolate: bool = True,
                  eager_fail: bool = True, checkpoint_failable: bool = False,
                  preloaded: Mapping[str, DataFrame] | None = None, persist_shared: bool = True,
-                 observe: bool | None = None):
+                 count_logged: bool | None = None):
         """``checkpoint_failable`` checkpoints (to ``spark.checkpoint.dir``) every stage
-        that has FAIL rules, so the eager audit and the later write read the
-        stage once instead of computing it twice.  ``preloaded`` supplies source
+        that has FAIL rules, instead of persisting it for the run; either way the audit and the later write
+        compute the stage once.  ``preloaded`` supplies source
         relations by target name (used for streaming micro-batches).
         ``persist_shared`` keeps a stage that two or more later stages or
-        destinations declare as their ``origin`` persisted for the run, so the
+        destinations read persisted for the run, so the
         writes do not recompute it (lost blocks are recomputed from lineage).
-        ``observe`` attaches rule counters filled in by the consuming action;
-        by default only when :meth:`run` writes (nothing would fill them otherwise)."""
+        ``count_logged`` also counts stages with LOG and DROP rules only, each in one column-pruned pass of its
+        own before the writes; by default only when :meth:`run` writes.  The write itself carries no
+        counters, so its filters reach the scan."""
         self.spark = _child_session(spark) if isolate else spark
         self.spec = spec
         self.eager_fail = eager_fail
@@ -152,47 +145,49 @@ class PipelineRun:
         self.preloaded = dict(preloaded or {})
         consumers: dict[str, set] = {}
         for st in _transformation_groups(spec.transformations):
-            consumers.setdefault(st["origin"], set()).add(("t", st["target"]))
+            reads = _names_read(self.spark, st["sql"]) if st["kind"] == "sql" else {str(st["origin"]).lower()}
+            for name in reads:
+                consumers.setdefault(name, set()).add(("t", st["target"]))
         for d in spec.destinations:
-            consumers.setdefault(d["origin"], set()).add(("d", d["target"]))
+            consumers.setdefault(d["origin"].lower(), set()).add(("d", d["target"]))
         self.shared = {k for k, v in consumers.items() if len(v) > 1} if persist_shared else set()
-        self.observe = observe
+        self.count_logged = count_logged
+        self.writes = False
         self.persisted: list[DataFrame] = []
         self.relations: "OrderedDict[str, DataFrame]" = OrderedDict()
         self.audits: dict[str, DataFrame] = {}
-        self.observations: dict[str, tuple] = {}
+        self.counts: dict[str, list[tuple[str, str, int, int]]] = {}
+
+    def _persist(self, df: DataFrame) -> DataFrame:
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        self.persisted.append(df)
+        return df
 
     def _validate(self, name: str, df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-        """FAIL: eager audit now.  All rules: counters attached with ``observe`` that
-        fill in during the action that later consumes the stage (no extra pass),
-        plus a lazy one-pass audit relation.  DROP: one filter."""
+        """All rules of a stage are counted by one action over its whole output (FAIL raises
+        here, before any write), plus a lazy one-pass audit relation.  DROP: one filter."""
         if not rules:
             return df
-        if self.checkpoint_failable and self.eager_fail and any(r.action == "FAIL" for r in rules):
+        fails = self.eager_fail and any(r.action == "FAIL" for r in rules)
+        if fails and self.checkpoint_failable:
             df = df.checkpoint(eager=True)
-        if self.eager_fail:
+        elif fails and self.writes and not any(df is kept for kept in self.persisted):
+            df = self._persist(df)
+        if self.count_logged:
+            self.counts[name] = count_rules(df, rules)
+            if self.eager_fail:
+                raise_failures(self.counts[name], name)
+        elif fails:
             enforce_fail(df, rules, stage=name)
         self.audits[name] = audit(df, rules)
-        if self.observe is not False:
-            df, obs = observe_rules(df, rules, f"rules_{name}_{uuid.uuid4().hex[:8]}")
-            self.observations[name] = (rules, obs)
         return drop_violations(df, rules)
 
-    def observed_counts(self) -> dict[str, list[tuple[str, str, int, int]]]:
-        """After the run's action: per stage, (rule, action, checked, violations) from the observers."""
-        out = {}
-        for name, (rules, obs) in self.observations.items():
-            got = obs.get
-            out[name] = [(r.rule, r.action, got.get("checked"), got.get(f"violations_{i}"))
-                         for i, r in enumerate(rules)]
-        return out
-
     # -- helpers
-    def _publish(self, name: str, df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    def _publish(self, name: str, df: DataFrame, rules: Sequence[Rule], is_source: bool = False) -> DataFrame:
+        # a source is read again rather than kept whole: each reader prunes and filters its own scan
+        if self.writes and not is_source and name.lower() in self.shared:
+            df = self._persist(df)
         df = self._validate(name, df, rules)
-        if name in self.shared and not df.isStreaming:
-            df = df.persist(StorageLevel.MEMORY_AND_DISK)
-            self.persisted.append(df)
         self.relations[name] = df
         df.createOrReplaceTempView(name)
         return df
@@ -208,13 +203,18 @@ class PipelineRun:
             df = self.preloaded.get(s["target"])
             if df is None:
                 df = read_source(self.spark, s["origin"], s["datatype"], _get(s, "params"), stream=stream)
-            self._publish(s["target"], df, _rules(s))
+            self._publish(s["target"], df, _rules(s), is_source=True)
 
     def run_transformations(self) -> None:
         pending = _transformation_groups(self.spec.transformations)
         while pending:
             progressed, waiting, last_error = False, [], None
-            for st in pending:
+            for i, st in enumerate(pending):
+                unmade = {s["target"].lower() for s in [*waiting, *pending[i + 1:]]} - {st["target"].lower()}
+                reads = _names_read(self.spark, st["sql"]) if st["kind"] == "sql" else {str(st["origin"]).lower()}
+                if reads & unmade:
+                    waiting.append(st)
+                    continue
                 if st["kind"] == "map":
                     src = self._relation(st["origin"])
                     if src is None:
@@ -226,8 +226,7 @@ class PipelineRun:
                     df = apply_column_map(src, st["specs"])
                 else:
                     try:
-                        with _quiet_analysis_errors():
-                            df = self.spark.sql(st["sql"])
+                        df = self.spark.sql(st["sql"])
                     except AnalysisException as exc:
                         if exc.getCondition() == "TABLE_OR_VIEW_NOT_FOUND":
                             waiting.append(st)
@@ -250,29 +249,32 @@ class PipelineRun:
             out.append((d, self._validate(d["target"], src, _rules(d))))
         return out
 
-    def run(self, write: bool = True, full_refresh: bool = False, batch_id: int | None = None) -> RunResult:
+    def run(self, write: bool = True, full_refresh: bool = False, writer: str | None = None,
+            batch_id: int = 0) -> RunResult:
         """Build every stage and, with ``write``, write the destinations.
 
         FAIL audits are actions run while the stages are built, i.e. all of
         them before the first write, so a failing pipeline writes nothing.
         """
-        from sluice.sinks.tables import write_destination
+        from sluice.sinks.tables import destination_tag, write_destination
 
-        if self.observe is None:
-            self.observe = write
-        self.run_sources()
-        self.run_transformations()
+        self.writes = write
+        if self.count_logged is None:
+            self.count_logged = write
         written = []
-        frames = self.destination_frames()
-        for d, df in frames:
-            self.relations[d["target"]] = df
-        if write:
-            try:
+        try:
+            self.run_sources()
+            self.run_transformations()
+            frames = self.destination_frames()
+            for d, df in frames:
+                self.relations[d["target"]] = df
+            if write:
                 for d, df in frames:
-                    write_destination(df, d, full_refresh=full_refresh, batch_id=batch_id)
+                    write_destination(df, d, full_refresh=full_refresh, batch_id=batch_id,
+                                      writer=f"{writer}-{destination_tag(d)}" if writer else None)
                     written.append(d["target"])
-            finally:
-                self.release()
+        finally:
+            self.release()
         return RunResult(self.relations, self.audits, written)
 
     def release(self) -> None:
@@ -282,35 +284,28 @@ class PipelineRun:
         self.persisted = []
 
     def write_audit(self, path: str, run_id: str | None = None, batch_id: int | None = None) -> None:
-        """Append the observed rule counts of this run (after its writes) to an audit table.
-
-        One row per stage and rule: run id, batch id, stage, rule, action, rows
-        checked, rows violating, time.  Rows are few (stages x rules).
-        """
-        rows = [(run_id or uuid.uuid4().hex, batch_id, stage, rule, action, checked, violations)
-                for stage, items in self.observed_counts().items()
-                for rule, action, checked, violations in items]
-        schema = ("run_id string, batch_id long, stage string, rule string, action string, "
-                  "checked long, violations long")
-        (self.spark.createDataFrame(rows, schema).withColumn("recorded_at", F.current_timestamp())
-         .write.mode("append").parquet(path))
+        """Append the rule counts of this run to an audit table: one row per stage and rule."""
+        from sluice.sinks.audits import write_counts
+        write_counts(self.spark, self.counts, path, run_id, batch_id)
 
 
 def run_stream(spark: SparkSession, spec: PipelineSpec, checkpoint: str, stream_target: str | None = None,
                continuous: bool | str | None = False, interval: str = "1 minute",
-               full_refresh: bool = False):
+               full_refresh: bool = False, audit_path: str | None = None):
     """Run a declared pipeline on a stream: one source is read with ``readStream``
     and every micro-batch goes through the stages as a batch run.
 
     * other sources are read as static relations in each micro-batch;
     * FAIL rules are audited per micro-batch before anything of it is written;
-    * upserts skip batch ids already merged, appends overwrite their own
-      ``__batch`` partition, so a retried micro-batch is applied once;
+    * a micro-batch owns the folder of its (stream, batch id) in every destination, so a retried one is applied
+      once and other streams into the same destination are not touched;
+    * ``audit_path`` takes the rule counts of every micro-batch, LOG too;
     * stages must be per-row or per-batch (column maps, filters, SQL on the
       batch); state across batches is what the upsert destinations keep;
     * ``full_refresh`` empties the destinations and the checkpoint first.
     """
-    from sluice.sinks.tables import truncate_path, upsert_store_for
+    from sluice.sinks.batches import clear, delete_path, stream_writer
+    from sluice.sinks.tables import upsert_store_for
     from sluice.streaming.stream import trigger_for
 
     if not spec.sources:
@@ -324,13 +319,16 @@ def run_stream(spark: SparkSession, spec: PipelineSpec, checkpoint: str, stream_
             if d["mode"] == "upsert":
                 upsert_store_for(spark, d).truncate()
             elif _get(d, "path"):
-                truncate_path(spark, d["path"])
-        truncate_path(spark, checkpoint)
+                clear(spark, d["path"])
+        delete_path(spark, checkpoint)
 
     def process(batch_df: DataFrame, batch_id: int) -> None:
-        run = PipelineRun(batch_df.sparkSession, spec, isolate=False,
-                          preloaded={src["target"]: batch_df})
-        run.run(write=True, batch_id=batch_id)
+        writer = stream_writer(batch_df.sparkSession, checkpoint)
+        run = PipelineRun(batch_df.sparkSession, spec, isolate=False, preloaded={src["target"]: batch_df},
+                          count_logged=audit_path is not None)
+        run.run(write=True, writer=writer, batch_id=batch_id)
+        if audit_path:
+            run.write_audit(audit_path, writer, batch_id)
 
     return (stream_df.writeStream.option("checkpointLocation", checkpoint)
             .trigger(**trigger_for(continuous, interval)).foreachBatch(process).start())

@@ -716,6 +716,7 @@ def q_key_rename(spark, sf_dir):
 
 from sluice.operators.upsert import upsert  # noqa: E402
 from sluice.session import scratch_root  # noqa: E402
+from sluice.sinks import batches  # noqa: E402
 from sluice.sinks.tables import append, create_database, overwrite_table  # noqa: E402
 from sluice.sinks.upsert_store import UpsertStore  # noqa: E402
 
@@ -726,18 +727,19 @@ def q_append_sink(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     append(orders, path=path)
     append(orders, path=path)
-    return spark.read.parquet(path)
+    return batches.read_batches(spark, path)
 
 
 @register("metadata_roundtrip", "SELECT * FROM orders")
 def q_metadata_roundtrip(spark, sf_dir):
     """CREATE DATABASE + overwrite twice (the second replaces the first) + table scan."""
     path = scratch_root(spark, "metadata_roundtrip")
+    name = f"sluice_roundtrip.orders_{path.rsplit('/', 1)[1]}"  # of this call alone: sessions may share the catalog
     create_database(spark, "sluice_roundtrip")
     orders = table(spark, sf_dir, "orders")
-    overwrite_table(orders.where(F.lit(False)).drop("o_orderpriority"), "sluice_roundtrip.orders", path=path)
-    overwrite_table(orders, "sluice_roundtrip.orders", path=path)
-    return spark.table("sluice_roundtrip.orders")
+    overwrite_table(orders.where(F.lit(False)).drop("o_orderpriority"), name, path=path)
+    overwrite_table(orders, name, path=path)
+    return spark.table(name)
 
 
 _SPLIT = "1996-01-01"
@@ -771,15 +773,41 @@ def q_upsert_out_of_order(spark, sf_dir):
 
 @register("upsert_persisted", _LATEST_ORDER)
 def q_upsert_persisted(spark, sf_dir):
-    """Bucketed copy-on-write store: two merges plus a replayed batch id (ignored)."""
+    """Two appended batches of one stream, the second replayed: it replaces itself."""
     older, newer = _order_history(spark, sf_dir)
     store = UpsertStore(spark, scratch_root(spark, "upsert_persisted"), ["o_custkey"], "o_orderdate")
-    store.merge(older, batch_id=0)
-    store.merge(newer, batch_id=1)
-    store.merge(older, batch_id=1)  # replay of an applied batch: skipped
+    store.merge(older, "stream-a", 0)
+    store.merge(newer, "stream-a", 1)
+    store.merge(newer, "stream-a", 1)
     return store.read().select(*table(spark, sf_dir, "orders").columns)
 
 
+@register("upsert_compacted", _LATEST_ORDER)
+def q_upsert_compacted(spark, sf_dir):
+    """Batch 0 of two streams and a run of its own in one store, compacted, then one of them again."""
+    older, newer = _order_history(spark, sf_dir)
+    store = UpsertStore(spark, scratch_root(spark, "upsert_compacted"), ["o_custkey"], "o_orderdate")
+    store.merge(newer, "stream-b", 0)
+    store.merge(older, "stream-a", 0)
+    store.merge(older)
+    store.compact()
+    store.merge(older, "stream-a", 0)
+    return store.read().select(*table(spark, sf_dir, "orders").columns)
+
+
+@register("upsert_new_column", """
+SELECT o_orderkey, o_custkey, o_orderdate, CASE WHEN o_orderdate >= '1996-01-01' THEN o_orderpriority END AS o_orderpriority FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1
+""")
+def q_upsert_new_column(spark, sf_dir):
+    """The second batch adds a column: kept where it is known, NULL in rows stored before."""
+    older, newer = (df.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority") for df in _order_history(spark, sf_dir))
+    store = UpsertStore(spark, scratch_root(spark, "upsert_new_column"), ["o_custkey"], "o_orderdate")
+    store.merge(older.drop("o_orderpriority"), "stream-a", 0)
+    store.merge(newer, "stream-a", 1)
+    return store.read()
+
+
 # ------------------------------------------------------------------ streaming
 
 from sluice.streaming.stream import append_stream, stream_source, upsert_stream  # noqa: E402
@@ -801,7 +829,82 @@ def q_stream_append(spark, sf_dir):
         ColumnSpec("ts", column_order=5)])
     q = append_stream(mapped, f"{root}/out", f"{root}/chk", [Rule("amount >= 5.0", "DROP")])
     q.awaitTermination()
-    return spark.read.parquet(f"{root}/out")
+    return batches.read_batches(spark, f"{root}/out")
+
+
+@register("two_stream_append", "SELECT * FROM events UNION ALL SELECT * FROM events WHERE value >= 5.0 UNION ALL SELECT * FROM events")
+def q_two_stream_append(spark, sf_dir):
+    """Two streams with checkpoints of their own and a batch run append to one path: all rows of all three."""
+    root = scratch_root(spark, "two_stream_append")
+    events = _event_stream(spark, sf_dir)
+    append_stream(events, f"{root}/out", f"{root}/chk_a").awaitTermination()
+    append_stream(events, f"{root}/out", f"{root}/chk_b", [Rule("value >= 5.0", "DROP")]).awaitTermination()
+    append(table(spark, sf_dir, "events"), path=f"{root}/out")
+    return batches.read_batches(spark, f"{root}/out")
+
+
+@register("two_stream_upsert", """
+SELECT event_id, ts, user_id, event_type, value, props FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id
+      ORDER BY ts DESC, event_id DESC, event_type DESC, value DESC, props DESC) AS rn FROM events) WHERE rn = 1
+""")
+def q_two_stream_upsert(spark, sf_dir):
+    """Two streams, each with a part of the events, upsert into one store."""
+    root = scratch_root(spark, "two_stream_upsert")
+    store = UpsertStore(spark, f"{root}/table", ["user_id"], "ts")
+    for name, part in (("a", "event_type = 'click'"), ("b", "event_type IS DISTINCT FROM 'click'")):
+        upsert_stream(_event_stream(spark, sf_dir).filter(part), store, f"{root}/chk_{name}").awaitTermination()
+    return store.read().select(*table(spark, sf_dir, "events").columns)
+
+
+@register("stream_audit", """
+SELECT 'events' AS stage, 'value >= 5.0' AS rule, 'LOG' AS action, count(*) AS checked, count(*) FILTER (WHERE NOT coalesce(value >= 5.0, FALSE)) AS violations FROM events
+UNION ALL
+SELECT 'events', 'user_id % 2 = 0', 'DROP', count(*), count(*) FILTER (WHERE NOT coalesce(user_id % 2 = 0, FALSE)) FROM events
+""")
+def q_stream_audit(spark, sf_dir):
+    """Rule counts of all micro-batches of a stream, LOG too."""
+    from sluice.sinks.audits import read_counts
+    root = scratch_root(spark, "stream_audit")
+    rules = [Rule("value >= 5.0", "LOG"), Rule("user_id % 2 = 0", "DROP")]
+    append_stream(_event_stream(spark, sf_dir), f"{root}/out", f"{root}/chk", rules, audit_path=f"{root}/audit").awaitTermination()
+    return (read_counts(spark, f"{root}/audit").groupBy(F.lit("events").alias("stage"), "rule", "action")
+            .agg(F.sum("checked").alias("checked"), F.sum("violations").alias("violations")))
+
+
+@register("audit_under_limit", """
+SELECT stage, 'o_totalprice > 100000' AS rule, 'LOG' AS action, count(*) AS checked,
+       count(*) FILTER (WHERE NOT coalesce(o_totalprice > 100000, FALSE)) AS violations
+FROM orders, (VALUES ('o'), ('unread')) s(stage) GROUP BY stage
+""")
+def q_audit_under_limit(spark, sf_dir):
+    """Counts cover the whole stage though the destination reads five rows of it, and come for an unread stage, too."""
+    from sluice.sinks.audits import read_counts
+    root = scratch_root(spark, "audit_under_limit")
+    log = [{"validation_rule": "o_totalprice > 100000", "validation_action": "LOG"}]
+    orders = {"origin": f"{sf_dir.rstrip('/')}/orders.parquet", "datatype": "parquet", "validations": log}
+    spec = PipelineSpec(
+        sources=[{**orders, "target": "o"}, {**orders, "target": "unread"}],
+        transformations=[{"origin": "o", "target": "few", "sql_query": "SELECT * FROM o LIMIT 5"}],
+        destinations=[{"origin": "few", "target": "few_out", "mode": "append", "path": f"{root}/few"}])
+    run = PipelineRun(spark, spec)
+    run.run()
+    run.write_audit(f"{root}/audit")
+    return read_counts(spark, f"{root}/audit").select("stage", "rule", "action", "checked", "violations")
+
+
+@register("stale_table", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority")
+def q_stale_table(spark, sf_dir):
+    """A catalog table has the name of a declared stage, and the stage that reads it is listed first."""
+    name = "stale_" + scratch_root(spark, "stale_table").rsplit("/", 1)[1]
+    overwrite_table(table(spark, sf_dir, "nation").select(F.lit("old").alias("o_orderpriority")), name,
+                    path=scratch_root(spark, "stale_table"))
+    spec = PipelineSpec(
+        sources=[{"origin": f"{sf_dir.rstrip('/')}/orders.parquet", "datatype": "parquet", "target": "o"}],
+        transformations=[
+            {"origin": name, "target": "counted", "sql_query": f"SELECT o_orderpriority, count(*) AS n FROM {name} GROUP BY o_orderpriority"},
+            {"origin": "o", "target": name, "sql_query": "SELECT o_orderpriority FROM o"}])
+    return PipelineRun(spark, spec).run(write=False).relations["counted"]
 
 
 @register("stream_upsert", """

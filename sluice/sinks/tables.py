@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from typing import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from sluice.sinks import batches
 from sluice.sinks.upsert_store import UpsertStore
 
 
@@ -35,29 +36,16 @@ def overwrite_table(df: DataFrame, name: str, fmt: str = "parquet", path: str |
     w.saveAsTable(name)
 
 
-def append(df: DataFrame, name: str | None = None, path: str | None = None, fmt: str = "parquet") -> None:
-    """Append rows to a named table (created on first write) or to a path."""
-    w = df.write.mode("append").format(fmt)
+def append(df: DataFrame, name: str | None = None, path: str | None = None) -> None:
+    """Append rows to a named table (created on first write), or to a path as a batch of its own."""
     if name:
-        if path:
-            w = w.option("path", path)
-        w.saveAsTable(name)
+        df.write.mode("append").format("parquet").saveAsTable(name)
     elif path:
-        w.save(path)
+        batches.write_batch(df, path, batches.run_writer())
     else:
         raise ValueError("append needs a table name or a path")
 
 
-def truncate_path(spark: SparkSession, path: str) -> None:
-    """Empty a folder the Spark way: overwrite it with an empty partitioned dataset.
-
-    With no rows and only a partition column, nothing but the commit marker is
-    written, so the folder is left without data files.
-    """
-    (spark.createDataFrame([], "__empty int, __none int").write.mode("overwrite")
-     .partitionBy("__empty").parquet(path))
-
-
 def _field(dest: Mapping, key: str):
     try:
         return dest[key]
@@ -65,6 +53,12 @@ def _field(dest: Mapping, key: str):
         return None
 
 
+def destination_tag(dest: Mapping) -> str:
+    """A short folder-safe digest of a destination's name."""
+    names = [_field(dest, k) for k in ("target_catalog_name", "target_schema_name", "target", "origin")]
+    return hashlib.sha1("\0".join(n or "" for n in names).encode()).hexdigest()[:12]
+
+
 def destination_table(spark: SparkSession, dest: Mapping) -> str:
     """Catalog name of a destination without a path: ``<catalog>__<schema>.<target>``
     (the database is created on first use); just ``target`` without an identity."""
@@ -74,55 +68,44 @@ def destination_table(spark: SparkSession, dest: Mapping) -> str:
     return table_name(catalog, schema, dest["target"])
 
 
-def upsert_store_for(spark: SparkSession, dest: Mapping, n_buckets: int | None = None) -> UpsertStore:
+def upsert_store_for(spark: SparkSession, dest: Mapping) -> UpsertStore:
     path = _field(dest, "path")
     if not path:
         warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
         catalog, schema = _field(dest, "target_catalog_name"), _field(dest, "target_schema_name")
         folder = "__".join(x for x in (catalog, schema) if x)
         path = f"{warehouse}/upsert/{folder + '/' if folder else ''}{dest['target']}"
-    return UpsertStore(spark, path, list(dest["keys"]), dest["sequence_by"], n_buckets=n_buckets)
-
+    return UpsertStore(spark, path, list(dest["keys"]), dest["sequence_by"])
 
-BATCH_COL = "__batch"
 
-
-def append_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Idempotent append of one micro-batch: it owns the ``__batch=<id>`` partition.
-
-    A retried batch overwrites its own partition (dynamic partition overwrite)
-    instead of adding its rows a second time.
-    """
-    (df.withColumn(BATCH_COL, F.lit(batch_id).cast("long")).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy(BATCH_COL).parquet(path))
+def read_destination(spark: SparkSession, dest: Mapping) -> DataFrame | None:
+    """Current rows of a declared destination (``None`` before its first write to a path)."""
+    if dest["mode"] == "upsert":
+        return upsert_store_for(spark, dest).read()
+    path = _field(dest, "path")
+    return batches.read_batches(spark, path) if path else spark.table(destination_table(spark, dest))
 
 
-def write_destination(df: DataFrame, dest: Mapping, n_buckets: int | None = None,
-                      full_refresh: bool = False, batch_id: int | None = None) -> None:
+def write_destination(df: DataFrame, dest: Mapping, full_refresh: bool = False, writer: str | None = None,
+                      batch_id: int = 0) -> None:
     """Write one destination stage: ``append`` or ``upsert`` (keys + sequence_by).
 
-    ``full_refresh`` replaces the target's rows instead of adding to them;
-    ``batch_id`` (streaming micro-batches) makes both modes idempotent.
+    ``full_refresh`` replaces the target's rows instead of adding to them; ``writer`` and ``batch_id`` name a
+    streaming micro-batch, which replaces an earlier attempt at itself.
     """
     mode = dest["mode"]
     path = _field(dest, "path")
-    if mode == "append" and batch_id is not None:
-        if not path:
-            raise ValueError("streaming append destinations need a path")
-        append_batch(df, path, batch_id)
+    if mode == "append" and path:
+        batches.write_batch(df, path, writer or batches.run_writer(), batch_id, replace_all=full_refresh)
     elif mode == "append":
-        name = None if path else destination_table(df.sparkSession, dest)
+        if writer:
+            raise ValueError("streaming append destinations need a path")
+        name = destination_table(df.sparkSession, dest)
         if full_refresh:
-            if path:
-                df.write.mode("overwrite").parquet(path)
-            else:
-                overwrite_table(df, name)
+            overwrite_table(df, name)
         else:
-            append(df, name=name, path=path)
+            append(df, name=name)
     elif mode == "upsert":
-        store = upsert_store_for(df.sparkSession, dest, n_buckets)
-        if full_refresh:
-            store.truncate()
-        store.merge(df, batch_id=batch_id)
+        upsert_store_for(df.sparkSession, dest).merge(df, writer, batch_id, replace_all=full_refresh)
     else:
         raise ValueError(f"unknown destination mode {mode!r}")

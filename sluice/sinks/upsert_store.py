@@ -1,173 +1,68 @@
-"""A copy-on-write upsert table on plain parquet, rewriting only touched buckets.
-
-Without a row-level table format, ``MERGE`` is emulated:
-
-* rows are hashed into ``n_buckets`` buckets by ``pmod(xxhash64(keys), n)``;
-* ``data/__version=<k>-<token>/__bucket=<b>/`` holds the bucket files written by
-  version ``k`` (the token makes every merge attempt write its own folder);
-* ``_manifest/v=<k>/`` (JSON) lists, for every bucket, the version holding it,
-  plus the last batch id merged (for idempotent streaming retries);
-* a merge reads only the buckets the batch touches, upserts them, writes them
-  as a new version, then writes the new manifest.  A reader always uses the
-  latest complete manifest, so a job killed mid-merge leaves the previous
-  version intact; nothing being read is ever overwritten.
-
-One writer per store at a time (one streaming query, or one run per
-destination): two concurrent merges would both build the next version.
-
-Bucket ids are the only thing fetched to the driver (at most ``n_buckets``
-integers).  Choose ``n_buckets`` so one bucket is about a task's worth of data
-(e.g. ~1 GB): a merge rewrites whole buckets, one file each.
+"""A persisted upsert destination: appended batches, reduced to the latest row per key when read.
+
+* ``merge`` only appends (see :mod:`sluice.sinks.batches`), so its cost is that of the batch, whatever the table holds;
+  batches of several streams and runs lie side by side and a replayed one replaces itself.
+* ``read`` is :func:`latest_per_key` over all batches: one shuffle by key, with at most one row per key and
+  map task (partial ``WindowGroupLimit``), so a hot key stays small.
+* Each batch is reduced by the same operator before it is written, and carries the time of its arrival: on an
+  equal sequence the batch that came later wins, as :func:`upsert` has it for an incoming batch.
+* ``compact``, run apart from the streams, writes the current rows as one batch and then deletes the
+  batches it read.  Between the two steps a reader sees rows twice, which ``latest_per_key`` takes for one; a lost
+  job leaves a right table behind.
+
+A column added by a later batch is NULL in earlier rows; a column or key of another type is refused.
 """
 
 from __future__ import annotations
 
-import re
-import uuid
+import time
 from typing import Sequence
 
-from pyspark import StorageLevel
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.operators.upsert import upsert
+from sluice.operators.upsert import latest_per_key, upsert
+from sluice.sinks import batches
 
-# reserved names: partition folders must not collide with data columns
-BUCKET = "__bucket"
-VERSION = "__version"
-MANIFEST_DDL = "bucket int, data_v string, batch_id long, n_buckets int"
-
-
-class ConcurrentMergeError(RuntimeError):
-    """Another writer published a version while this merge was running."""
+ARRIVED = "__arrived"
 
 
 class UpsertStore:
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], sequence_by: str,
-                 n_buckets: int | None = None):
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], sequence_by: str):
         if not keys or not sequence_by:
             raise ValueError("upsert needs keys and sequence_by")
         self.spark = spark
         self.path = path.rstrip("/")
         self.keys = list(keys)
         self.sequence_by = sequence_by
-        self.n_buckets = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    # -- manifest
-    def _manifest(self):
-        """(latest version, {bucket: data version}, last batch id) of the store.
-
-        The latest version comes from the file listing (``inputFiles``, no data
-        is read); only that version's manifest is then read, so the cost does
-        not grow with the number of versions.
-        """
-        try:
-            files = self.spark.read.schema(MANIFEST_DDL + ", v int").json(f"{self.path}/_manifest").inputFiles()
-        except AnalysisException:
-            return None, {}, None
-        versions = [int(m.group(1)) for m in (re.search(r"/v=(\d+)/", f) for f in files) if m]
-        if not versions:
-            return None, {}, None
-        latest = max(versions)
-        rows = self.spark.read.schema(MANIFEST_DDL).json(f"{self.path}/_manifest/v={latest}").collect()
-        if rows and rows[0]["n_buckets"] != self.n_buckets:
-            self.n_buckets = rows[0]["n_buckets"]
-        return latest, {r["bucket"]: r["data_v"] for r in rows if r["bucket"] is not None}, (
-            rows[0]["batch_id"] if rows else None)
 
-    def _bucket_paths(self, buckets: dict[int, int]) -> list[str]:
-        return [f"{self.path}/data/{VERSION}={v}/{BUCKET}={b}" for b, v in sorted(buckets.items())]
-
-    def read(self) -> DataFrame | None:
-        """Current rows (``None`` for an empty store)."""
-        _, buckets, _ = self._manifest()
-        if not buckets:
+    def _latest(self) -> DataFrame | None:
+        stored = batches.read_batches(self.spark, self.path)
+        if stored is None:
             return None
-        return self.spark.read.option("basePath", f"{self.path}/data").parquet(
-            *[p for p in self._bucket_paths(buckets)]).drop(VERSION, BUCKET)
-
-    def last_batch_id(self):
-        return self._manifest()[2]
-
-    def vacuum(self) -> list[str]:
-        """Empty the bucket folders and manifests the latest version no longer uses.
+        rows = stored.withColumnRenamed(ARRIVED, "__src")  # the operator's own name: outside the tie-break by columns
+        return latest_per_key(rows, self.keys, self.sequence_by, prefer=[F.col("__src").desc()])
 
-        Space is reclaimed with Spark writes only: each stale folder is
-        overwritten with an empty dataset.  Readers of older versions must be
-        finished; returns the folders emptied.
-        """
-        from sluice.sinks.tables import truncate_path
-
-        version, live, _ = self._manifest()
-        if version is None:
-            return []
-        files = self.spark.read.option("basePath", f"{self.path}/data").parquet(f"{self.path}/data").inputFiles()
-        stale = set()
-        for f in files:
-            m = re.search(rf"/{VERSION}=([^/]+)/{BUCKET}=(\d+)/", f)
-            if m and live.get(int(m.group(2))) != m.group(1):
-                stale.add(f"{self.path}/data/{VERSION}={m.group(1)}/{BUCKET}={m.group(2)}")
-        manifests = self.spark.read.schema(MANIFEST_DDL + ", v int").json(f"{self.path}/_manifest").inputFiles()
-        for f in manifests:
-            m = re.search(r"/v=(\d+)/", f)
-            if m and int(m.group(1)) != version:
-                stale.add(f"{self.path}/_manifest/v={m.group(1)}")
-        for folder in sorted(stale):
-            truncate_path(self.spark, folder)
-        return sorted(stale)
+    def read(self) -> DataFrame | None:
+        """Current rows (``None`` for a store never written to)."""
+        latest = self._latest()
+        return None if latest is None else latest.drop("__src")
+
+    def merge(self, batch: DataFrame, writer: str | None = None, batch_id: int = 0, replace_all: bool = False) -> None:
+        """Add ``batch``.  ``writer`` and ``batch_id`` name a micro-batch, which replaces its earlier attempt;
+        without a writer the call is a run of its own."""
+        rows = upsert(None, batch, self.keys, self.sequence_by).withColumn(ARRIVED, F.lit(time.time_ns() // 1000).cast("long"))
+        batches.write_batch(rows, self.path, writer or batches.run_writer(), batch_id, replace_all)
+
+    def compact(self) -> int:
+        """Replace all present batches by one with the current rows; returns how many were replaced."""
+        older = batches.batch_folders(self.spark, self.path)
+        if len(older) < 2:
+            return 0
+        batches.write_batch(self._latest().withColumnRenamed("__src", ARRIVED), self.path, batches.run_writer("compact"))
+        for folder in older:
+            batches.delete_path(self.spark, folder)
+        return len(older)
 
     def truncate(self) -> None:
-        """Publish an empty version (full refresh); older versions stay until removed."""
-        version, buckets, _ = self._manifest()
-        new_v = 0 if version is None else version + 1
-        self.spark.createDataFrame([(None, None, None, self.n_buckets)], MANIFEST_DDL) \
-            .coalesce(1).write.mode("overwrite").json(f"{self.path}/_manifest/v={new_v}")
-
-    # -- merge
-    def merge(self, batch: DataFrame, batch_id: int | None = None) -> bool:
-        """Upsert ``batch``; returns ``False`` when ``batch_id`` was merged already."""
-        version, buckets, last_batch = self._manifest()
-        if batch_id is not None and last_batch is not None and batch_id <= last_batch:
-            return False
-        keyed = batch.withColumn(BUCKET, F.pmod(F.xxhash64(*[F.col(k) for k in self.keys]),
-                                                F.lit(self.n_buckets)).cast("int"))
-        # the batch feeds two jobs (touched buckets, then the merge): compute it once;
-        # a lost executor's blocks are recomputed from lineage
-        keyed = keyed.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            return self._merge_keyed(keyed, version, buckets, batch_id)
-        finally:
-            keyed.unpersist()
-
-    def _merge_keyed(self, keyed: DataFrame, version, buckets, batch_id) -> bool:
-        new_v = 0 if version is None else version + 1
-        data_v = f"{new_v}-{uuid.uuid4().hex[:12]}"
-        touched = sorted(r[0] for r in keyed.select(BUCKET).distinct().collect())
-        old_paths = [f"{self.path}/data/{VERSION}={buckets[b]}/{BUCKET}={b}" for b in touched if b in buckets]
-        target = None
-        if old_paths:
-            target = (self.spark.read.option("basePath", f"{self.path}/data").parquet(*old_paths)
-                      .drop(VERSION))
-            target = target.withColumn(BUCKET, F.col(BUCKET).cast("int"))
-        merged = upsert(target, keyed, self.keys, self.sequence_by)
-        # After the upsert every key is one row, so buckets are even in size:
-        # grouping whole buckets per task writes one file per bucket instead of
-        # one per (task, bucket).  Size ``n_buckets`` so a bucket fits a task.
-        (merged.repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET)
-         .parquet(f"{self.path}/data/{VERSION}={data_v}"))
-        entries = dict(buckets)
-        for b in touched:
-            entries[b] = data_v
-        # first row: version header (kept even when no bucket holds data yet)
-        manifest = self.spark.createDataFrame(
-            [(None, None, batch_id, self.n_buckets)]
-            + [(b, v, batch_id, self.n_buckets) for b, v in sorted(entries.items())],
-            MANIFEST_DDL,
-        )
-        current, _, _ = self._manifest()
-        if current != version:
-            raise ConcurrentMergeError(
-                f"{self.path}: version {current} appeared while merging on top of {version}; not published")
-        manifest.coalesce(1).write.mode("overwrite").json(f"{self.path}/_manifest/v={new_v}")
-        return True
+        batches.clear(self.spark, self.path)

@@ -2,11 +2,10 @@
 
 * run mode (``continuous``): false -> ``availableNow`` (process what is there,
   then stop); true -> ``processingTime`` micro-batches;
-* append destinations -> ``writeStream`` in append mode to a file sink (or a table);
-* upsert destinations -> ``foreachBatch`` into an :class:`UpsertStore`, skipping
-  batch ids already merged, so a restarted query never applies a batch twice;
-* DROP rules filter on the stream; FAIL rules are counted eagerly inside
-  ``foreachBatch`` before the batch is written.
+* append and upsert destinations -> ``foreachBatch``; a micro-batch owns the folder of its (stream, batch id), so
+  a replay replaces it and other streams into the same destination are never touched;
+* DROP rules filter on the stream; all rules are counted in one pass inside
+  ``foreachBatch`` before the batch is written, if one is FAIL or the counts are asked for.
 """
 
 from __future__ import annotations
@@ -16,7 +15,9 @@ from typing import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from sluice.operators.quality import Rule, drop_violations, enforce_fail
+from sluice.operators.quality import Rule, count_rules, drop_violations, raise_failures
+from sluice.sinks import batches
+from sluice.sinks.audits import write_counts
 from sluice.sinks.upsert_store import UpsertStore
 from sluice.sources.declared import read_source
 
@@ -33,34 +34,43 @@ def stream_source(spark: SparkSession, origin: str, datatype: str, params: str |
     return read_source(spark, origin, datatype, params, stream=True, schema=schema)
 
 
+def _audited(batch: DataFrame, batch_id: int, rules: Sequence[Rule], stage: str, writer: str,
+             audit_path: str | None) -> DataFrame:
+    """Count all rules of a micro-batch in one pass, record the counts, raise for FAIL; the rows that DROP keeps."""
+    if any(r.action == "FAIL" for r in rules) or (rules and audit_path):
+        counts = count_rules(batch, rules)
+        if audit_path:
+            write_counts(batch.sparkSession, {stage: counts}, audit_path, writer, batch_id)
+        raise_failures(counts, stage)
+    return drop_violations(batch, rules)
+
+
 def append_stream(df: DataFrame, path: str, checkpoint: str, rules: Sequence[Rule] = (),
-                  continuous: bool | str | None = False, fmt: str = "parquet",
-                  interval: str = "1 minute") -> StreamingQuery:
-    """Append a stream to a file sink; DROP rules filter rows, FAIL rules stop the batch."""
+                  continuous: bool | str | None = False, interval: str = "1 minute",
+                  audit_path: str | None = None) -> StreamingQuery:
+    """Append a stream to a path destination; DROP rules filter rows, FAIL rules stop the batch.
+
+    Rule counts (LOG too) go to ``audit_path``, once per micro-batch.
+    """
     rules = list(rules)
-    kept = drop_violations(df, rules)
-    writer = kept.writeStream.option("checkpointLocation", checkpoint).trigger(**trigger_for(continuous, interval))
-    if any(r.action == "FAIL" for r in rules):
-        # FAIL needs an eager check per micro-batch, so the file sink is replaced by
-        # foreachBatch; each batch owns its ``__batch`` partition, so a retry
-        # rewrites it instead of appending twice
-        from sluice.sinks.tables import append_batch
 
-        def write_batch(batch: DataFrame, batch_id: int) -> None:
-            enforce_fail(batch, rules, stage=path)
-            append_batch(batch, path, batch_id)
-        return writer.foreachBatch(write_batch).start()
-    return writer.outputMode("append").format(fmt).option("path", path).start()
+    def write(batch: DataFrame, batch_id: int) -> None:
+        writer = batches.stream_writer(batch.sparkSession, checkpoint, path)
+        batches.write_batch(_audited(batch, batch_id, rules, path, writer, audit_path), path, writer, batch_id)
+
+    return (df.writeStream.option("checkpointLocation", checkpoint)
+            .trigger(**trigger_for(continuous, interval)).foreachBatch(write).start())
 
 
 def upsert_stream(df: DataFrame, store: UpsertStore, checkpoint: str, rules: Sequence[Rule] = (),
-                  continuous: bool | str | None = False, interval: str = "1 minute") -> StreamingQuery:
-    """Merge every micro-batch into an upsert store, idempotently by batch id."""
+                  continuous: bool | str | None = False, interval: str = "1 minute",
+                  audit_path: str | None = None) -> StreamingQuery:
+    """Merge every micro-batch into an upsert store; a replayed one replaces itself."""
     rules = list(rules)
 
-    def merge_batch(batch: DataFrame, batch_id: int) -> None:
-        enforce_fail(batch, rules, stage=store.path)
-        store.merge(drop_violations(batch, rules), batch_id=batch_id)
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        writer = batches.stream_writer(batch.sparkSession, checkpoint, store.path)
+        store.merge(_audited(batch, batch_id, rules, store.path, writer, audit_path), writer, batch_id)
 
     return (df.writeStream.option("checkpointLocation", checkpoint)
-            .trigger(**trigger_for(continuous, interval)).foreachBatch(merge_batch).start())
+            .trigger(**trigger_for(continuous, interval)).foreachBatch(merge).start())

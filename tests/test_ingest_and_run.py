@@ -7,6 +7,7 @@ from sluice.operators import reconcile as R
 from sluice.operators.quality import ValidationFailed
 from sluice.plans.ingest import ConfigProblems, load_configs, write_metadata
 from sluice.plans.runner import PipelineRun, PipelineSpec, StageOrderError
+from sluice.sinks import batches
 from sluice.sinks.upsert_store import UpsertStore
 from sluice.sources.configs import list_config_files
 from conftest import SMALL
@@ -71,7 +72,7 @@ def test_metadata_tables_inventory_and_run(spark, config_root):
     dest = {r.target: r for r in res.destinations.collect()}
     latest = UpsertStore(spark, dest["orders_latest"].path, ["customer"], "ordered_at").read()
     assert latest.count() == orders.select("o_custkey").distinct().count()
-    appended = spark.read.parquet(dest["orders_by_status"].path)
+    appended = batches.read_batches(spark, dest["orders_by_status"].path)
     assert appended.count() == by_status.count()
 
 
@@ -105,7 +106,7 @@ def test_fail_rule_stops_before_any_write(spark, scratch):
     assert not os.path.exists(f"{scratch}/never")
 
 
-def test_rule_counts_are_observed_during_the_write(spark, scratch):
+def test_rule_counts_of_a_run(spark, scratch):
     spec = PipelineSpec(
         sources=[{"origin": f"{SMALL}/orders.parquet", "datatype": "parquet", "target": "o",
                   "validations": [{"validation_rule": "o_orderstatus = 'F'", "validation_action": "LOG"},
@@ -114,11 +115,11 @@ def test_rule_counts_are_observed_during_the_write(spark, scratch):
     run = PipelineRun(spark, spec)
     run.run()
     orders = spark.read.parquet(f"{SMALL}/orders.parquet")
-    counts = {r: (c, v) for r, _, c, v in run.observed_counts()["o"]}
+    counts = {r: (c, v) for r, _, c, v in run.counts["o"]}
     n = orders.count()
     assert counts["o_orderstatus = 'F'"] == (n, orders.filter("NOT (o_orderstatus = 'F')").count())
     assert counts["o_totalprice > 100000"] == (n, orders.filter("NOT (o_totalprice > 100000)").count())
-    assert spark.read.parquet(f"{scratch}/o").count() == orders.filter("o_totalprice > 100000").count()
+    assert batches.read_batches(spark, f"{scratch}/o").count() == orders.filter("o_totalprice > 100000").count()
 
 
 def test_shared_stage_is_persisted_and_audit_table_written(spark, scratch):
@@ -132,7 +133,7 @@ def test_shared_stage_is_persisted_and_audit_table_written(spark, scratch):
     run.run()
     assert run.persisted == []                      # released after the writes
     run.write_audit(f"{scratch}/audit", run_id="r1")
-    audit_rows = spark.read.parquet(f"{scratch}/audit").collect()
+    audit_rows = batches.read_batches(spark, f"{scratch}/audit").collect()
     n = spark.read.parquet(f"{SMALL}/orders.parquet").count()
     assert [(r.run_id, r.stage, r.action, r.checked) for r in audit_rows] == [("r1", "o", "LOG", n)]
 
@@ -153,3 +154,39 @@ def test_empty_column_map_read_leaves_the_shared_schema_alone(spark):
     before = COLUMN_MAP_CSV.fieldNames()
     assert "config_path" in read_column_maps(spark, []).columns
     assert COLUMN_MAP_CSV.fieldNames() == before
+
+
+def test_a_declared_stage_wins_over_a_catalog_table_of_its_name(spark, scratch):
+    spark.createDataFrame([(999,)], "x int").write.mode("overwrite").option("path", f"{scratch}/stale").saveAsTable("stale_mid")
+    spec = PipelineSpec(
+        sources=[{"origin": f"{SMALL}/region.parquet", "datatype": "parquet", "target": "r"}],
+        transformations=[
+            {"origin": "stale_mid", "target": "last", "sql_query": "WITH c AS (SELECT max(x) AS x FROM Stale_Mid) SELECT (SELECT x FROM c) AS x"},
+            {"origin": "stale_mid", "target": "mapped", "column_order": 1, "source_column_name": "x"},
+            {"origin": "r", "target": "stale_mid", "sql_query": "SELECT 5 AS x FROM r"}])
+    try:
+        got = PipelineRun(spark, spec).run(write=False).relations
+        assert [r.x for r in got["last"].collect()] == [5]
+        assert {r.x for r in got["mapped"].collect()} == {5}
+    finally:
+        spark.sql("DROP TABLE stale_mid")
+
+
+def test_a_chain_of_fail_stages_reads_its_source_once_and_filters_reach_the_scan(spark, scratch):
+    reads = spark.sparkContext.accumulator(0)
+    counted = spark.sparkContext.parallelize(range(20), 2).map(lambda i: (reads.add(1), (i,))[1])
+    rows = spark.createDataFrame(counted, "x int")
+    fail = [{"validation_rule": "x >= 0", "validation_action": "FAIL"}]
+    spec = PipelineSpec(
+        sources=[{"origin": "-", "datatype": "parquet", "target": "s0", "validations": fail}],
+        transformations=[{"origin": f"s{i}", "target": f"s{i + 1}", "sql_query": f"SELECT x + 1 AS x FROM s{i}", "validations": fail}
+                         for i in range(3)],
+        destinations=[{"origin": "s3", "target": "t", "mode": "append", "path": f"{scratch}/t"}])
+    PipelineRun(spark, spec, isolate=False, preloaded={"s0": rows}).run()
+    assert reads.value == 20
+    drop = PipelineSpec(
+        sources=[{"origin": f"{SMALL}/orders.parquet", "datatype": "parquet", "target": "o",
+                  "validations": [{"validation_rule": "o_totalprice > 100000", "validation_action": "DROP"}]}],
+        destinations=[{"origin": "o", "target": "t", "mode": "append", "path": f"{scratch}/o"}])
+    plan = PipelineRun(spark, drop).run().relations["t"]._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(o_totalprice,100000" in plan

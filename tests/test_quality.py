@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice.operators.quality import (Rule, ValidationFailed, apply_rules, audit, conflicting_rules,
-                                      drop_violations, enforce_fail, observe_rules, row_rule_conflicts)
+                                      drop_violations, enforce_fail, row_rule_conflicts)
 
 
 def test_rule_enum_is_upper_case_only():
@@ -56,12 +56,6 @@ def test_fail_is_not_escaped_by_pruning_filters_or_limits(spark, scratch):
         enforce_fail(df, [Rule("id < 500", "FAIL")])
 
 
-def test_observe_counts_during_the_write(spark, scratch):
-    df, obs = observe_rules(spark.range(20), [Rule("id < 15", "LOG")])
-    df.write.parquet(f"{scratch}/obs")
-    assert obs.get == {"checked": 20, "violations_0": 5}
-
-
 def test_conflicting_rules_group_after_python_strip(spark):
     rows = [("x > 0", "LOG", 1), ("　x > 0 ", "DROP", 2), ("y > 0", "LOG", 3), ("x>0", "LOG", 4)]
     df = spark.createDataFrame(rows, "rule string, action string, pos int")

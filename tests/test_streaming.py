@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from sluice.operators.mapping import ColumnSpec, apply_column_map
 from sluice.operators.quality import Rule, ValidationFailed, drop_violations
 from sluice.operators.upsert import upsert
+from sluice.sinks import batches
 from sluice.sinks.upsert_store import UpsertStore
 from sluice.streaming.stream import append_stream, stream_source, trigger_for, upsert_stream
 from conftest import SMALL
@@ -30,7 +31,7 @@ def test_stream_append_equals_batch(spark, scratch):
     q = append_stream(apply_column_map(_events(spark), specs), f"{scratch}/out", f"{scratch}/chk", rules)
     q.awaitTermination()
     batch = drop_violations(apply_column_map(spark.read.parquet(f"{SMALL}/events.parquet"), specs), rules)
-    assert _rows(spark.read.parquet(f"{scratch}/out")) == _rows(batch)
+    assert _rows(batches.read_batches(spark, f"{scratch}/out")) == _rows(batch)
 
 
 def test_stream_upsert_equals_batch_and_restart_is_idempotent(spark, scratch):
@@ -80,11 +81,11 @@ def test_declared_pipeline_on_a_stream_equals_batch_and_survives_restart(spark,
     latest = UpsertStore(spark, f"{scratch}/latest", ["user_id"], "ts").read()
     expect = upsert(None, batch["mapped"], ["user_id"], "ts")
     assert _rows(latest.select(*expect.columns)) == _rows(expect)
-    big = spark.read.parquet(f"{scratch}/big").drop("__batch")
+    big = batches.read_batches(spark, f"{scratch}/big")
     assert _rows(big) == _rows(batch["big"])
     # full refresh empties targets and checkpoint, then reprocesses everything once
     run_stream(spark, spec, f"{scratch}/chk", full_refresh=True).awaitTermination()
-    big2 = spark.read.parquet(f"{scratch}/big").drop("__batch")
+    big2 = batches.read_batches(spark, f"{scratch}/big")
     assert _rows(big2) == _rows(batch["big"])
 
 
@@ -95,9 +96,9 @@ def test_batch_full_refresh_replaces_rows(spark, scratch):
     spec.sources[0]["params"] = None
     PipelineRun(spark, spec).run()
     PipelineRun(spark, spec).run()
-    n_twice = spark.read.parquet(f"{scratch}/big").count()
+    n_twice = batches.read_batches(spark, f"{scratch}/big").count()
     PipelineRun(spark, spec).run(full_refresh=True)
-    assert spark.read.parquet(f"{scratch}/big").count() * 2 == n_twice
+    assert batches.read_batches(spark, f"{scratch}/big").count() * 2 == n_twice
 
 
 def test_checkpointed_fail_stage_computes_once(spark, scratch):
@@ -110,15 +111,36 @@ def test_checkpointed_fail_stage_computes_once(spark, scratch):
     assert res.written == ["t"]
     assert "ExistingRDD" in res.relations["o"]._jdf.queryExecution().optimizedPlan().toString() or \
         "LogicalRDD" in res.relations["o"]._jdf.queryExecution().optimizedPlan().toString()
-    assert spark.read.parquet(f"{scratch}/o").count() == spark.read.parquet(f"{SMALL}/orders.parquet").count()
+    assert batches.read_batches(spark, f"{scratch}/o").count() == spark.read.parquet(f"{SMALL}/orders.parquet").count()
 
 
 def test_stream_fail_rules_pass_and_write_once_per_batch(spark, scratch):
     q = append_stream(_events(spark), f"{scratch}/out", f"{scratch}/chk", [Rule("value >= 0", "FAIL")])
     q.awaitTermination()
-    n = spark.read.parquet(f"{scratch}/out").count()
+    n = batches.read_batches(spark, f"{scratch}/out").count()
     assert n == spark.read.parquet(f"{SMALL}/events.parquet").count()
-    # replaying batch 0 by hand overwrites its partition instead of adding rows
-    from sluice.sinks.tables import append_batch
-    append_batch(spark.read.parquet(f"{SMALL}/events.parquet"), f"{scratch}/out", 0)
-    assert spark.read.parquet(f"{scratch}/out").count() == n
+    # replaying batch 0 by hand replaces its folder instead of adding rows
+    writer = batches.stream_writer(spark, f"{scratch}/chk", f"{scratch}/out")
+    batches.write_batch(spark.read.parquet(f"{SMALL}/events.parquet"), f"{scratch}/out", writer, 0)
+    assert batches.read_batches(spark, f"{scratch}/out").count() == n
+
+
+def test_a_new_checkpoint_is_another_writer(spark, scratch):
+    small = [Rule("value >= 5", "DROP")]
+    append_stream(_events(spark), f"{scratch}/out", f"{scratch}/chk", small).awaitTermination()
+    batches.delete_path(spark, f"{scratch}/chk")
+    append_stream(_events(spark), f"{scratch}/out", f"{scratch}/chk").awaitTermination()
+    events = spark.read.parquet(f"{SMALL}/events.parquet")
+    assert batches.read_batches(spark, f"{scratch}/out").count() == events.count() + events.filter("value >= 5").count()
+
+
+def test_stream_audit_holds_each_micro_batch_once(spark, scratch):
+    from sluice.plans.runner import run_stream
+    from sluice.sinks.audits import read_counts
+    spec = _declared_stream_spec(scratch)
+    for _ in range(2):
+        run_stream(spark, spec, f"{scratch}/chk", audit_path=f"{scratch}/audit").awaitTermination()
+    rows = read_counts(spark, f"{scratch}/audit").collect()
+    events = spark.read.parquet(f"{SMALL}/events.parquet")
+    assert sum(r.checked for r in rows) == events.count()
+    assert sum(r.violations for r in rows) == events.filter("NOT coalesce(value >= 2, false)").count()

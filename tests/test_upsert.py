@@ -55,63 +55,65 @@ def test_idempotent_and_order_independent(spark, a, b):
     assert rows(upsert(ab, B, ["k"], "seq")) == rows(ab)
 
 
-def test_store_rewrites_only_touched_buckets_and_skips_replays(spark, scratch):
-    store = UpsertStore(spark, f"{scratch}/t", ["k"], "seq", n_buckets=8)
-    first = spark.createDataFrame([(i, 1, "v1") for i in range(40)], SCHEMA)
-    assert store.merge(first, batch_id=0)
-    one_key = spark.createDataFrame([(3, 2, "v2")], SCHEMA)
-    assert store.merge(one_key, batch_id=1)
-    assert not store.merge(one_key, batch_id=1)
-    version, buckets, last = store._manifest()
-    assert version == 1 and last == 1
-    generations = [v.split("-")[0] for v in buckets.values()]   # data folders are "<version>-<token>"
-    assert sorted(set(generations)) == ["0", "1"]
-    assert generations.count("1") == 1  # one bucket rewritten
+def test_a_replayed_batch_replaces_itself_and_streams_do_not_meet(spark, scratch):
+    store = UpsertStore(spark, f"{scratch}/t", ["k"], "seq")
+    assert store.read() is None
+    store.merge(spark.createDataFrame([(i, 1, "v1") for i in range(40)], SCHEMA), "a", 5)
+    store.merge(spark.createDataFrame([(3, 2, "b0")], SCHEMA), "b", 0)      # lower id, other stream: kept
+    store.merge(spark.createDataFrame([(4, 2, "x")], SCHEMA), "b", 1)
+    store.merge(spark.createDataFrame([(4, 2, "y")], SCHEMA), "b", 1)       # replay
     got = {r.k: (r.seq, r.v) for r in store.read().collect()}
-    assert len(got) == 40 and got[3] == (2, "v2") and got[4] == (1, "v1")
+    assert len(got) == 40 and got[3] == (2, "b0") and got[4] == (2, "y") and got[5] == (1, "v1")
 
 
-def test_store_writes_one_file_per_bucket(spark, scratch):
-    import glob
-    store = UpsertStore(spark, f"{scratch}/t", ["k"], "seq", n_buckets=4)
-    store.merge(spark.range(2000).selectExpr("cast(id as int) k", "1 seq", "'v' v").repartition(8), batch_id=0)
-    for b in range(4):
-        files = glob.glob(f"{scratch}/t/data/__version=0-*/__bucket={b}/*.parquet")
-        assert len(files) == 1, (b, files)
+def test_an_equal_sequence_goes_to_the_later_batch_also_after_compaction(spark, scratch):
+    store = UpsertStore(spark, f"{scratch}/t", ["k"], "seq")
+    store.merge(spark.createDataFrame([(1, 1, "z"), (2, 1, "z")], SCHEMA))
+    store.merge(spark.createDataFrame([(1, 1, "a")], SCHEMA))
+    expect = [(1, 1, "a"), (2, 1, "z")]
+    assert rows(store.read()) == expect
+    assert store.compact() == 2 and store.compact() == 0
+    assert rows(store.read()) == expect
+    store.merge(spark.createDataFrame([(2, 1, "b")], SCHEMA))
+    assert rows(store.read()) == [(1, 1, "a"), (2, 1, "b")]
 
 
-def test_vacuum_keeps_the_current_rows_only(spark, scratch):
-    store = UpsertStore(spark, f"{scratch}/t", ["k"], "seq", n_buckets=4)
-    store.merge(spark.createDataFrame([(i, 1, "a") for i in range(40)], SCHEMA), batch_id=0)
-    store.merge(spark.createDataFrame([(3, 2, "b")], SCHEMA), batch_id=1)
-    before = rows(store.read())
-    emptied = store.vacuum()
-    assert any("/_manifest/v=0" in f for f in emptied)
-    assert sum("__version=0-" in f and "/__bucket=" in f for f in emptied) == 1   # only the rewritten bucket
-    assert rows(store.read()) == before
-    assert store.vacuum() == []                                       # nothing left to empty
-    store.merge(spark.createDataFrame([(3, 3, "c")], SCHEMA), batch_id=2)
-    assert dict((r[0], r[2]) for r in rows(store.read()))[3] == "c"
+def test_a_compaction_lost_before_its_deletions_changes_nothing(spark, scratch, monkeypatch):
+    import pytest
+
+    from sluice.sinks import batches
+    store = UpsertStore(spark, f"{scratch}/t", ["k"], "seq")
+    for v in "ab":
+        store.merge(spark.createDataFrame([(1, 1, v), (2, 1, v)], SCHEMA))
+
+    def lost(*_):
+        raise RuntimeError("driver lost")
+    monkeypatch.setattr(batches, "delete_path", lost)
+    with pytest.raises(RuntimeError):
+        store.compact()
+    monkeypatch.undo()
+    assert rows(store.read()) == [(1, 1, "b"), (2, 1, "b")]
 
 
-def test_a_concurrent_publish_is_detected(spark, scratch):
+def test_new_columns_are_kept_and_other_types_refused(spark, scratch):
     import pytest
 
-    from sluice.sinks.upsert_store import ConcurrentMergeError
-    store = UpsertStore(spark, f"{scratch}/t", ["k"], "seq", n_buckets=2)
-    store.merge(spark.createDataFrame([(1, 1, "a")], SCHEMA), batch_id=0)
-    other = UpsertStore(spark, f"{scratch}/t", ["k"], "seq", n_buckets=2)
-    real = store._manifest
-    calls = {"n": 0}
-
-    def racing_manifest():
-        calls["n"] += 1
-        if calls["n"] == 2:  # the re-check before publishing: another writer got in first
-            other.merge(spark.createDataFrame([(2, 1, "b")], SCHEMA), batch_id=5)
-        return real()
-
-    store._manifest = racing_manifest
-    with pytest.raises(ConcurrentMergeError):
-        store.merge(spark.createDataFrame([(3, 1, "c")], SCHEMA), batch_id=1)
-    store._manifest = real
-    assert sorted(r.k for r in store.read().collect()) == [1, 2]
+    from sluice.sinks.batches import SchemaMismatch
+    store = UpsertStore(spark, f"{scratch}/t", ["k"], "seq")
+    store.merge(spark.createDataFrame([(1, 1, "a"), (2, 1, "a")], SCHEMA))
+    store.merge(spark.createDataFrame([(1, 2, "b", 7)], SCHEMA + ", extra int"))
+    store.merge(spark.createDataFrame([(3, 1, "c")], SCHEMA))
+    expect = [(1, 2, "b", 7), (2, 1, "a", None), (3, 1, "c", None)]
+    assert rows(store.read()) == sorted(expect, key=repr)
+    with pytest.raises(SchemaMismatch):
+        store.merge(spark.createDataFrame([(1, 3, "d")], "k long, seq int, v string"))
+    assert rows(store.read()) == sorted(expect, key=repr)
+
+
+def test_full_refresh_replaces_rows_and_types(spark, scratch):
+    store = UpsertStore(spark, f"{scratch}/t", ["k"], "seq")
+    store.merge(spark.createDataFrame([(1, 1, "a")], SCHEMA))
+    store.merge(spark.createDataFrame([(9, 1, "n")], "k long, seq int, v string"), replace_all=True)
+    assert rows(store.read()) == [(9, 1, "n")]
+    store.truncate()
+    assert store.read() is None
