@@ -102,13 +102,14 @@ def _clean_children(x: Column, dtype: T.DataType, drop: bool) -> Column:
                     clean_value(e.getField("value")).alias("value"),
                 ),
             )
-            # last entry wins on a renamed-key collision: one fold over the entries
-            # (computed once), each step removing an earlier entry with the same key
-            last = F.aggregate(
-                entries, F.slice(entries, 1, 0),
-                lambda acc, e: F.concat(F.filter(acc, lambda a: a.getField("key") != e.getField("key")),
-                                        F.array(e)),
-            )
+            # The last entry wins where renamed keys meet: positions sorted by key, the last of each run stays.
+            def last_of_each(es):
+                ranked = F.array_sort(F.transform(es, lambda e, i: F.struct(e.getField("key").alias("key"), i.alias("i"))))
+                ends = F.transform(F.array(ranked), lambda r: F.filter(
+                    r, lambda x, j: ~F.coalesce(F.get(r, j + 1).getField("key") == x.getField("key"), F.lit(False))))
+                return F.transform(F.get(ends, 0), lambda x: F.get(es, x.getField("i")))
+
+            last = F.get(F.transform(F.array(entries), last_of_each), 0)
             if drop:
                 last = F.filter(last, lambda e: e.getField("value").isNotNull())
             return F.map_from_entries(last)

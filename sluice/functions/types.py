@@ -47,8 +47,6 @@ def matches_type(name: str, dtype: T.DataType) -> bool:
     """Does ``dtype`` already satisfy the type name (class check for complex names)?"""
     if name in COMPLEX_TYPES:
         return isinstance(dtype, COMPLEX_TYPES[name])
-    if name == "timestamp":
-        return isinstance(dtype, (T.TimestampType, T.TimestampNTZType))
     return dtype == SCALAR_TYPES[name]
 
 

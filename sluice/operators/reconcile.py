@@ -97,30 +97,33 @@ def inventory(spark: SparkSession, *stage_tables: DataFrame) -> DataFrame:
             .withColumn("pipeline_id", F.lit(None).cast("string")))
 
 
-def deploy_plan(declared: DataFrame, deployed: DataFrame, key: str = "name", id_col: str = "pipeline_id",
-                order: str | Column | None = None, destructive: bool = True) -> DataFrame:
-    """create / update / delete per name.
+def deploy_targets(declared: DataFrame, deployed: DataFrame, key: str = "name", id_col: str = "pipeline_id",
+                   order: str | Column | None = None,
+                   keep: Sequence[str] = ("target_catalog_name", "target_schema_name")) -> DataFrame:
+    """Declared rows with the id to update, or NULL for those to create: :func:`new` and :func:`matching` in one left join.
 
-    Declared rows keep a known id, else take the deployed one (last duplicate
-    wins when ``order`` is given); no id -> ``create``, an id -> ``update``;
-    deployed names no longer declared -> ``delete`` unless ``destructive`` is
-    off.  One full outer join; the output is the plan as a relation.
+    A known declared id stays, else the deployed one is taken (last duplicate wins when ``order`` is given).
     """
     dep = deployed if order is None else last_by(deployed, key, id_col, order)
-    dep = dep.select(F.col(key), F.col(id_col).alias("__deployed_id"))
-    dec = declared.select(F.col(key), F.col(id_col).alias("__declared_id"), F.lit(True).alias("__declared"))
-    joined = dec.join(dep, key, "full_outer")
-    action = (F.when(F.col("__declared").isNull(), F.lit("delete"))
-              .when(F.coalesce("__declared_id", "__deployed_id").isNull(), F.lit("create"))
-              .otherwise(F.lit("update")))
-    plan = joined.select(
-        key,
-        F.coalesce("__declared_id", "__deployed_id").alias(id_col),
-        action.alias("action"),
-    )
+    joined = declared.join(dep.select(key, F.col(id_col).alias("__deployed_id")), key, "left")
+    return joined.select(*keep, key, F.coalesce(id_col, "__deployed_id").alias(id_col))
+
+
+def deploy_plan(declared: DataFrame, deployed: DataFrame, key: str = "name", id_col: str = "pipeline_id",
+                order: str | Column | None = None, destructive: bool = True,
+                keep: Sequence[str] = ("target_catalog_name", "target_schema_name")) -> DataFrame:
+    """create / update / delete per name, with where the pipeline belongs (NULL for a deletion).
+
+    No id -> ``create``, an id -> ``update``; all deployed rows whose name is no longer declared, repeats
+    too -> ``delete`` unless ``destructive`` is off.
+    """
+    wanted = deploy_targets(declared, deployed, key, id_col, order, keep)
+    plan = wanted.withColumn("action", F.when(F.col(id_col).isNull(), F.lit("create")).otherwise(F.lit("update")))
     if not destructive:
-        plan = plan.filter(F.col("action") != "delete")
-    return plan
+        return plan
+    gone = obsolete(deployed, declared, key).select(
+        *[F.lit(None).cast("string").alias(c) for c in keep], key, id_col, F.lit("delete").alias("action"))
+    return plan.unionByName(gone)
 
 
 def top1(df: DataFrame, predicate: Column | None, order: Sequence[str | Column]) -> DataFrame:

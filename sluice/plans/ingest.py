@@ -21,6 +21,8 @@ from sluice.functions.text import digit_parse, parent_dir, path_identity, py_str
 from sluice.model import IDENTITY_FIELDS, STAGE_SCHEMAS, STAGES
 from sluice.operators.quality import audit_constraints
 from sluice.operators.stages import STAGE_CHECKS, duplicate_targets, fold_validation, stage_targets
+from sluice.session import scratch_root
+from sluice.sinks.batches import path_exists
 from sluice.sinks.tables import create_database, overwrite_table
 from sluice.sources.configs import (ambiguous_files, list_config_files, parse_documents, read_column_maps,
                                     read_sql_files)
@@ -59,11 +61,16 @@ def _with_file(df: DataFrame, stage: str) -> DataFrame:
 
 def load_configs(spark: SparkSession, root: str, strict_xor: bool = False) -> IngestResult:
     listing = list_config_files(spark, root, with_content=True)
-    docs = parse_documents(listing).withColumnRenamed("path", "__file")
+    parsed = scratch_root(spark, "documents")  # parsed once: the branches below read the result
+    parse_documents(listing).withColumnRenamed("path", "__file").write.parquet(parsed)
+    docs = spark.read.parquet(parsed)
     ok = docs.filter(F.col("parse_error").isNull())
     problems = [docs.filter(F.col("parse_error").isNotNull()).select(
         F.lit("parse_error").alias("kind"), F.col("__file").alias("path"), F.col("parse_error").alias("detail"))]
 
+    problems.append(docs.select(F.lit("invalid_shape").alias("kind"), F.col("__file").alias("path"),
+                                F.explode("shape_errors").alias("detail")))
+
     amb = ambiguous_files(listing.select("path", "dir", "stem", "suffix"))
     problems.append(amb.select(F.lit("ambiguous_file").alias("kind"),
                                F.concat_ws("/", "dir", "stem").alias("path"),
@@ -100,8 +107,10 @@ def load_configs(spark: SparkSession, root: str, strict_xor: bool = False) -> In
 
     # the referenced file names are configuration (bounded by the number of files)
     refs = by_file.select("config", "config_kind").distinct().collect()
-    colmaps = read_column_maps(spark, [r["config"] for r in refs if r["config_kind"] == ".csv"])
-    sqls = read_sql_files(spark, [r["config"] for r in refs if r["config_kind"] == ".sql"])
+    there = {r["config"]: r["config_kind"] for r in refs if path_exists(spark, r["config"])}
+    maps = read_column_maps(spark, [p for p, kind in there.items() if kind == ".csv"])
+    sqls = read_sql_files(spark, [p for p, kind in there.items() if kind == ".sql"])
+    colmaps = maps.filter(F.col("map_error").isNull()).drop("map_error")
 
     parents = by_file.select("__file", *IDENTITY_FIELDS, "origin", "target", "config", "config_kind")
     csv_rows = (parents.filter(F.col("config_kind") == ".csv")
@@ -114,11 +123,14 @@ def load_configs(spark: SparkSession, root: str, strict_xor: bool = False) -> In
     sql_rows = (by_file.filter(F.col("config_kind") == ".sql")
                 .join(sqls.withColumnRenamed("sql_query", "__sql"), F.col("config") == F.col("config_path"), "inner")
                 .withColumn("sql_query", F.col("__sql")).withColumn("column_order", F.lit(1)))
-    found = colmaps.select("config_path").unionByName(sqls.select("config_path")).distinct()
-    missing = (by_file.filter(F.col("config_kind").isin(".csv", ".sql"))
-               .join(found, F.col("config") == F.col("config_path"), "left_anti"))
+    known = by_file.filter(F.col("config_kind").isin(".csv", ".sql"))
+    found = spark.createDataFrame([(p,) for p in there], "config_path string")
+    missing = known.join(found, F.col("config") == F.col("config_path"), "left_anti")
     problems.append(missing.select(F.lit("missing_config_file").alias("kind"), F.col("__file").alias("path"),
                                    F.col("config").alias("detail")))
+    unreadable = known.join(maps.filter(F.col("map_error").isNotNull()), F.col("config") == F.col("config_path"))
+    problems.append(unreadable.select(F.lit("bad_config_file").alias("kind"), F.col("__file").alias("path"),
+                                      F.concat_ws(": ", "config", "map_error").alias("detail")))
 
     rel = {
         "sources": _with_file(sources, "sources"),
@@ -139,6 +151,14 @@ def load_configs(spark: SparkSession, root: str, strict_xor: bool = False) -> In
                                    F.concat_ws(": ", F.col("target"), F.array_join("violations", ","))
                                    .alias("detail")))
 
+    # rows of one column map make one stage: a rule may not have two actions among them
+    rules = cleaned["transformations"].filter(F.col("sql_query").isNull()).select(
+        "__file", "target", F.explode("validations").alias("v"))
+    clash = (rules.groupBy("__file", "target", py_strip(F.col("v.validation_rule")).alias("rule"))
+             .agg(F.array_sort(F.collect_set("v.validation_action")).alias("actions")).filter(F.size("actions") > 1))
+    problems.append(clash.select(F.lit("conflicting_rules").alias("kind"), F.col("__file").alias("path"),
+                                 F.concat_ws(": ", "target", "rule", F.array_join("actions", ",")).alias("detail")))
+
     targets = stage_targets(cleaned["sources"], cleaned["transformations"], cleaned["destinations"], ["__file"])
     problems.append(duplicate_targets(targets, ["__file"]).select(
         F.lit("duplicate_target").alias("kind"), F.col("__file").alias("path"), F.col("target").alias("detail")))

@@ -147,7 +147,8 @@ def q_map_transform_ts(spark, sf_dir):
              "transform_function": f"F.to_timestamp_ntz(F.col('ts_text'), F.lit('{fmt}'))"},
         ],
     )
-    return PipelineRun(spark, spec).run(write=False).relations["parsed"]
+    parsed = PipelineRun(spark, spec).run(write=False).relations["parsed"]
+    return parsed.withColumn("ts_parsed", F.col("ts_parsed").cast("timestamp_ntz"))  # compared without a zone
 
 
 def _sql_stage_spec(sf_dir: str) -> PipelineSpec:
@@ -342,15 +343,14 @@ def q_no_stage(spark, sf_dir):
 SELECT target, count(*) AS n FROM (
   SELECT n_nationkey AS target FROM nation
   UNION ALL SELECT r_regionkey FROM region
-  UNION ALL SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000)
+  UNION ALL SELECT s_nationkey FROM supplier)
 GROUP BY target HAVING count(*) > 1
 """)
 def q_duplicate_targets(spark, sf_dir):
     from sluice.operators.stages import duplicate_targets
     targets = (table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("target"))
                .unionByName(table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("target")))
-               .unionByName(table(spark, sf_dir, "supplier").filter("s_acctbal > 9000")
-                            .select(F.col("s_nationkey").alias("target"))))
+               .unionByName(table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("target"))))
     return duplicate_targets(targets, [])
 
 
@@ -412,21 +412,22 @@ def q_reconcile_matching(spark, sf_dir):
     return R.matching(_declared(spark, sf_dir), _deployed_raw(spark, sf_dir), order="pos")
 
 
-@register("deploy_plan", f"""WITH {_DUCK_DEPLOYED}
-SELECT coalesce(declared.name, deployed.name) AS name,
-       coalesce(declared.pipeline_id, deployed.pipeline_id) AS pipeline_id,
-       CASE WHEN declared.name IS NULL THEN 'delete'
-            WHEN coalesce(declared.pipeline_id, deployed.pipeline_id) IS NULL THEN 'create'
-            ELSE 'update' END AS action
-FROM declared FULL OUTER JOIN deployed ON declared.name = deployed.name""")
+_DUCK_WANTED = """
+SELECT target_catalog_name, target_schema_name, declared.name AS name, coalesce(declared.pipeline_id, deployed.pipeline_id) AS pipeline_id,
+       CASE WHEN coalesce(declared.pipeline_id, deployed.pipeline_id) IS NULL THEN 'create' ELSE 'update' END AS action
+FROM declared LEFT JOIN deployed ON declared.name = deployed.name
+"""
+
+
+@register("deploy_plan", f"""WITH {_DUCK_DEPLOYED} {_DUCK_WANTED}
+UNION ALL
+SELECT NULL, NULL, 'cust-' || o_custkey, CAST(o_orderkey AS VARCHAR), 'delete' FROM orders
+WHERE o_orderdate < TIMESTAMP '{_CUTOFF}' AND 'cust-' || o_custkey NOT IN (SELECT name FROM declared)""")
 def q_deploy_plan(spark, sf_dir):
     return R.deploy_plan(_declared(spark, sf_dir), _deployed_raw(spark, sf_dir), order="pos")
 
 
-@register("deploy_plan_safe", f"""WITH {_DUCK_DEPLOYED}
-SELECT declared.name AS name, coalesce(declared.pipeline_id, deployed.pipeline_id) AS pipeline_id,
-       CASE WHEN coalesce(declared.pipeline_id, deployed.pipeline_id) IS NULL THEN 'create' ELSE 'update' END AS action
-FROM declared LEFT JOIN deployed ON declared.name = deployed.name""")
+@register("deploy_plan_safe", f"WITH {_DUCK_DEPLOYED} {_DUCK_WANTED}")
 def q_deploy_plan_safe(spark, sf_dir):
     return R.deploy_plan(_declared(spark, sf_dir), _deployed_raw(spark, sf_dir), order="pos", destructive=False)
 
@@ -437,17 +438,18 @@ UNION ALL
 SELECT target_catalog_name, target_schema_name, name, deployed.pipeline_id FROM declared JOIN deployed USING (name)""")
 def q_deploy_targets(spark, sf_dir):
     """New pipelines (no id yet) plus matching ones (deployed id): the create-or-update input list."""
-    declared, deployed = _declared(spark, sf_dir), _deployed(spark, sf_dir)
-    return R.new(declared, deployed).unionByName(R.matching(declared, deployed))
+    return R.deploy_targets(_declared(spark, sf_dir), _deployed_raw(spark, sf_dir), order="pos")
 
 
-@register("or_semi_join", """
+@register("or_semi_join", f"""
 SELECT * FROM supplier s WHERE EXISTS (
-  SELECT 1 FROM customer c WHERE c.c_acctbal < -950
+  SELECT 1 FROM customer c WHERE c.c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '{_CUTOFF}')
     AND (c.c_custkey = s.s_suppkey OR c.c_nationkey = s.s_nationkey))
 """)
 def q_or_semi_join(spark, sf_dir):
-    obsolete = table(spark, sf_dir, "customer").filter(F.col("c_acctbal") < -950)
+    """Suppliers that share key or nation with an obsolete customer: one that no order since the cutoff names."""
+    declared = table(spark, sf_dir, "orders").filter(F.col("o_orderdate") >= F.lit(_CUTOFF).cast("timestamp_ntz"))
+    obsolete = R.obsolete(table(spark, sf_dir, "customer"), declared.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
     return R.or_semi_join(table(spark, sf_dir, "supplier"), obsolete,
                           [("s_suppkey", "c_custkey"), ("s_nationkey", "c_nationkey")])
 
@@ -926,17 +928,16 @@ kept AS (
   FROM declared LEFT JOIN deployed ON declared.name = deployed.name),
 jobs AS (
   SELECT 'cust-' || o_custkey AS job_name, arg_min(o_orderkey, o_orderkey) AS job_id
-  FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey)
+  FROM orders GROUP BY o_custkey)
 SELECT kept.name, jobs.job_id, kept.pipeline_id,
        CASE WHEN jobs.job_id IS NULL THEN 'create' ELSE 'update' END AS action
 FROM kept LEFT JOIN jobs ON kept.name = jobs.job_name""")
 def q_job_plan(spark, sf_dir):
-    """Jobs of kept pipelines: first job per name (finished orders play the job listing)."""
+    """Jobs of kept pipelines: first job per name (orders play the job listing)."""
     from sluice.plans.deploy import job_actions
     kept = R.deploy_plan(_declared(spark, sf_dir), _deployed_raw(spark, sf_dir), order="pos", destructive=False)
-    o = table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == "F")
-    jobs = o.select(F.concat(F.lit("cust-"), F.col("o_custkey")).alias("job_name"), F.col("o_orderkey").alias("job_id"))
-    return job_actions(kept, jobs)
+    jobs = table(spark, sf_dir, "orders").select(F.concat(F.lit("cust-"), F.col("o_custkey")).alias("job_name"), F.col("o_orderkey").alias("job_id"))
+    return job_actions(kept, jobs, "job_id")
 
 
 @register("stream_declared", """

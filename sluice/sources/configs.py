@@ -10,6 +10,8 @@ being silently dropped.
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 from typing import Iterator
 
@@ -25,6 +27,9 @@ from sluice.model import COLUMN_MAP_CSV, DOCUMENT
 CONFIG_SUFFIXES = (".json", ".toml", ".yml", ".yaml")
 CONFIG_GLOB = "*.{json,toml,yaml,yml}"
 
+# Fields that need not be text: an object of options, and a number or digits.
+_LOOSE = {"params": (str, dict), "column_order": (str, int)}
+
 
 def list_config_files(spark: SparkSession, root: str, subdir: str = "pipelines",
                       with_content: bool = False) -> DataFrame:
@@ -46,7 +51,26 @@ def ambiguous_files(listing: DataFrame) -> DataFrame:
             .filter(F.col("n") > 1))
 
 
-def _to_json_text(text: str, suffix: str) -> tuple[str | None, str | None]:
+def shape_errors(value, dtype: T.DataType = DOCUMENT, where: str = "") -> list[str]:
+    """Where a parsed document differs from its schema: lists, objects and strict text.  Empty values count as absent."""
+    if value is None or value == "" or value == [] or value == {}:
+        return []
+    name = where.rsplit(".", 1)[-1]
+    if isinstance(dtype, T.StructType):
+        if not isinstance(value, dict):
+            return [f"{where}: expected an object, got {type(value).__name__}"]
+        return [e for f in dtype.fields if f.name in value
+                for e in shape_errors(value[f.name], f.dataType, f"{where}.{f.name}" if where else f.name)]
+    if isinstance(dtype, T.ArrayType):
+        if not isinstance(value, list):
+            return [f"{where}: expected a list, got {type(value).__name__}"]
+        return [e for i, v in enumerate(value) for e in shape_errors(v, dtype.elementType, f"{where}[{i}]")]
+    if isinstance(value, bool) or not isinstance(value, _LOOSE.get(name, str)):
+        return [f"{where}: expected text, got {type(value).__name__}"]
+    return []
+
+
+def _to_json_text(text: str, suffix: str) -> tuple[str | None, str | None, list[str]]:
     try:
         if suffix == ".json":
             doc = json.loads(text)
@@ -57,22 +81,22 @@ def _to_json_text(text: str, suffix: str) -> tuple[str | None, str | None]:
             try:
                 import yaml
             except ImportError:  # pragma: no cover - depends on the image
-                return None, "YAML support (pyyaml) is not installed"
+                return None, "YAML support (pyyaml) is not installed", []
             doc = yaml.safe_load(text)
         else:
-            return None, f"unsupported file type {suffix!r}"
+            return None, f"unsupported file type {suffix!r}", []
     except Exception as exc:  # noqa: BLE001 - any parser error is reported as data
-        return None, f"not a valid {suffix[1:]} document: {type(exc).__name__}: {exc}"
+        return None, f"not a valid {suffix[1:]} document: {type(exc).__name__}: {exc}", []
     if not isinstance(doc, dict):
-        return None, "document is not a mapping"
-    return json.dumps(doc, default=str), None
+        return None, "document is not a mapping", []
+    return json.dumps(doc, default=str), None, shape_errors(doc)
 
 
-def _decoded(content: bytes, suffix: str) -> tuple[str | None, str | None]:
+def _decoded(content: bytes, suffix: str) -> tuple[str | None, str | None, list[str]]:
     try:
         text = content.decode("utf-8")
     except UnicodeDecodeError as exc:
-        return None, f"not valid UTF-8: {exc}"
+        return None, f"not valid UTF-8: {exc}", []
     return _to_json_text(text, suffix)
 
 
@@ -80,33 +104,53 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = [_decoded(bytes(c), s) for c, s in zip(pdf["content"], pdf["suffix"])]
         yield pd.DataFrame({"path": pdf["path"], "json_text": [o[0] for o in out],
-                            "parse_error": [o[1] for o in out]})
+                            "parse_error": [o[1] for o in out], "shape_errors": [o[2] for o in out]})
 
 
 def parse_documents(files: DataFrame) -> DataFrame:
-    """``path, doc, parse_error`` with ``doc`` typed as :data:`sluice.model.DOCUMENT`."""
+    """``path, doc, parse_error, shape_errors`` with ``doc`` typed as :data:`sluice.model.DOCUMENT`."""
     parsed = files.select("path", "suffix", "content").mapInPandas(
-        _parse_batches, "path string, json_text string, parse_error string")
-    return parsed.select("path", F.from_json("json_text", DOCUMENT).alias("doc"), "parse_error",
+        _parse_batches, "path string, json_text string, parse_error string, shape_errors array<string>")
+    return parsed.select("path", F.from_json("json_text", DOCUMENT).alias("doc"), "parse_error", "shape_errors",
                          F.from_json("json_text", "map<string,string>").alias("__top"))
 
 
-def read_column_maps(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Column-map CSV files (header row, all cells as text) with their normalized path."""
+def _read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``config_path, content`` of whole files; the listing's plain path, so blanks and ``%`` compare as written."""
     if not paths:
-        # a new schema object: StructType.add would change the shared one in place
-        empty = T.StructType(COLUMN_MAP_CSV.fields + [T.StructField("config_path", T.StringType())])
-        return spark.createDataFrame([], empty)
-    df = (spark.read.option("header", "true").option("enforceSchema", "false")
-          .option("quote", '"').option("escape", '"').option("multiLine", "true")
-          .schema(COLUMN_MAP_CSV).csv(paths))
-    return df.withColumn("config_path", normalize_path(F.col("_metadata.file_path")))
+        return spark.createDataFrame([], "config_path string, content binary")
+    files = spark.read.format("binaryFile").load(paths)
+    return files.select(normalize_path(F.col("path")).alias("config_path"), "content")
+
+
+def _map_rows(content: bytes) -> list[dict]:
+    """Rows of one column-map file by header name: doubled quotes, line breaks in cells and absent columns are fine."""
+    names = COLUMN_MAP_CSV.fieldNames()
+    try:
+        rows = []
+        for row in csv.DictReader(io.StringIO(content.decode("utf-8-sig"), newline=""), strict=True):
+            if row.get(None):
+                raise ValueError(f"a row has {len(row[None])} cell(s) more than the header")
+            rows.append({n: row.get(n) or None for n in names} | {"map_error": None})
+        return rows
+    except (UnicodeDecodeError, csv.Error, ValueError) as exc:
+        return [{n: None for n in names} | {"map_error": f"not a valid column map: {exc}"}]
+
+
+def _map_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["config_path", *COLUMN_MAP_CSV.fieldNames(), "map_error"]
+    for pdf in batches:
+        rows = [{"config_path": p, **r} for p, c in zip(pdf["config_path"], pdf["content"]) for r in _map_rows(bytes(c))]
+        yield pd.DataFrame(rows, columns=columns, dtype=object)
+
+
+def read_column_maps(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Column-map CSV files (header row, all cells as text) with their path; ``map_error`` for an unreadable file."""
+    text = T.StringType()
+    schema = T.StructType([T.StructField("config_path", text), *COLUMN_MAP_CSV.fields, T.StructField("map_error", text)])
+    return _read_files(spark, paths).mapInPandas(_map_batches, schema)
 
 
 def read_sql_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Whole-file text of SQL stage files with their normalized path."""
-    if not paths:
-        return spark.createDataFrame([], "sql_query string, config_path string")
-    df = spark.read.text(paths, wholetext=True)
-    return df.select(F.col("value").alias("sql_query"),
-                     normalize_path(F.col("_metadata.file_path")).alias("config_path"))
+    """Whole-file text of SQL stage files with their path; an empty file has empty text, one that is not UTF-8 NULL."""
+    return _read_files(spark, paths).select(F.try_validate_utf8(F.col("content").cast("string")).alias("sql_query"), "config_path")

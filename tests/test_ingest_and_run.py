@@ -190,3 +190,40 @@ def test_a_chain_of_fail_stages_reads_its_source_once_and_filters_reach_the_scan
         destinations=[{"origin": "o", "target": "t", "mode": "append", "path": f"{scratch}/o"}])
     plan = PipelineRun(spark, drop).run().relations["t"]._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(o_totalprice,100000" in plan
+
+
+def _folder(tmp_path, files):
+    base = tmp_path / "odd root" / "pipelines" / "cat" / "sch" / "flow+1"
+    base.mkdir(parents=True)
+    for name, text in files.items():
+        (base / name).write_bytes(text if isinstance(text, bytes) else text.encode())
+    return str(tmp_path / "odd root")
+
+
+def test_column_maps_with_quotes_breaks_and_short_headers(spark, tmp_path):
+    doc = """{"transformations": [{"origin": "s", "target": "t", "config": "my map.csv"},
+                                  {"origin": "t", "target": "u", "config": "q.sql"}]}"""
+    cells = 'dest_column_name,transform_function,column_order\nfull,"concat(a, ""-x"",\n \'y\')",2\nb,upper(b),1\n'
+    res = load_configs(spark, _folder(tmp_path, {"flow.json": doc, "my map.csv": cells, "q.sql": "SELECT 1\nFROM t"}))
+    assert res.problems.collect() == []
+    got = {r.dest_column_name: (r.transform_function, r.column_order) for r in res.transformations.filter("target = 't'").collect()}
+    assert got == {"full": ("concat(a, \"-x\",\n 'y')", 2), "b": ("upper(b)", 1)}
+    assert res.transformations.filter("target = 'u'").first().sql_query == "SELECT 1\nFROM t"
+
+
+def test_missing_files_wrong_shapes_and_cross_row_conflicts_are_rows(spark, tmp_path):
+    doc = """{"sources": {"origin": "a"},
+              "transformations": [{"origin": "s", "target": "t", "config": "gone.csv"}, {"origin": "s", "target": "x", "config": "gone.sql"},
+                                  {"origin": "s", "target": "m", "config": "clash.csv"}, {"origin": "s", "target": "w", "config": "wide.csv"},
+                                  {"origin": 5, "target": "n", "source_column_name": "a", "column_order": 3}],
+              "destinations": [{"origin": "m", "target": "d", "mode": "append", "keys": "id"}]}"""
+    clash = "source_column_name,validation_rule,validation_action\na,x > 0,DROP\nb, x > 0 ,FAIL\nc,y > 0,LOG\nd,y > 0,LOG\n"
+    res = load_configs(spark, _folder(tmp_path, {"flow.json": doc, "clash.csv": clash, "wide.csv": "source_column_name\na,b\n"}))
+    got = sorted((r.kind, r.detail.rsplit("/", 1)[-1]) for r in res.problems.collect())
+    assert ("missing_config_file", "gone.csv") in got and ("missing_config_file", "gone.sql") in got
+    assert ("conflicting_rules", "m: x > 0: DROP,FAIL") in [(r.kind, r.detail) for r in res.problems.collect()]
+    assert [d for k, d in got if k == "conflicting_rules"] == ["m: x > 0: DROP,FAIL"]
+    assert sorted(d for k, d in got if k == "invalid_shape") == [
+        "destinations[0].keys: expected a list, got str", "sources: expected a list, got dict",
+        "transformations[4].origin: expected text, got int"]
+    assert any(k == "bad_config_file" and d.startswith("wide.csv") for k, d in got)

@@ -94,10 +94,25 @@ def test_build_deploy_plan_end_to_end(spark):
     dep_j = spark.createDataFrame([("p_keep", 10, "id1"), ("p_keep", 11, "id1"), ("other", 12, "id2"),
                                    ("p_gone", 13, None)], "job_name string, job_id int, pipeline_id string")
     plan = build_deploy_plan(spark, src, tr, dst, dep_p, dep_j)
-    assert sorted(tuple(r) for r in plan.pipelines.collect()) == [
+    assert sorted((tuple(r)[2:] for r in plan.pipelines.collect()), key=repr) == [
         ("p_gone", "id2", "delete"), ("p_keep", "id1", "update"), ("p_new", None, "create")]
+    assert {tuple(r)[:2] for r in plan.pipelines.collect() if r.action != "delete"} == {("c", "s")}
     assert sorted(tuple(r) for r in plan.jobs.collect()) == [
         ("other", 12, "id2", "delete"), ("p_gone", 13, None, "delete"),
         ("p_keep", 10, "id1", "update"), ("p_new", None, None, "create")]
     safe = build_deploy_plan(spark, src, tr, dst, dep_p, dep_j, destructive=False)
     assert {r.action for r in safe.jobs.collect()} == {"create", "update"}
+
+
+def test_repeated_deployments_update_the_last_and_delete_all(spark):
+    from sluice.model import stage_frame
+    from sluice.plans.deploy import build_deploy_plan
+    src = stage_frame(spark, "sources", [("c", "s", "p", "o", "parquet", "t", None, None)])
+    none = [stage_frame(spark, s, []) for s in ("transformations", "destinations")]
+    pipelines = spark.createDataFrame([("p", "9"), ("p", "10"), ("gone", "x"), ("gone", "y")], "name string, pipeline_id string").coalesce(1)
+    jobs = spark.createDataFrame([("p", "9", "9"), ("p", "10", "10")], "job_name string, job_id string, pipeline_id string").coalesce(1)
+    plan = build_deploy_plan(spark, src, *none, pipelines, jobs)
+    assert sorted(tuple(r)[2:] for r in plan.pipelines.collect()) == [("gone", "x", "delete"), ("gone", "y", "delete"), ("p", "10", "update")]
+    assert [tuple(r) for r in plan.jobs.collect()] == [("p", "9", "10", "update")]
+    safe = R.deploy_plan(R.inventory(spark, src), pipelines, destructive=False)
+    assert "FullOuter" not in safe._jdf.queryExecution().optimizedPlan().toString()
