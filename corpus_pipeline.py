@@ -8,6 +8,8 @@ stages but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,14 +42,16 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """One document of each near-duplicate class, that with the smallest id; rows without an id stay."""
     scratch = scratch_root(spark, "classes")
     near_duplicates(docs).write.parquet(scratch)
-    classes = spark.read.parquet(scratch)
-    gone = classes.filter("doc_id <> component_id").select("doc_id").distinct()
-    rest = docs.join(gone, "doc_id", "left_anti")
+    classes = spark.read.parquet(scratch).filter("doc_id IS NOT NULL")
+    marks = (classes.groupBy("doc_id").agg(F.max(F.col("doc_id") != F.col("component_id")).alias("_gone"), (F.count(F.lit(1)) > 1).alias("_repeated"))
+             .filter("_gone OR _repeated"))
+    # both readers of this join share one exchange of the texts; rows without an id never meet in one task
+    judged = docs.filter("doc_id IS NOT NULL").join(marks, "doc_id", "left").filter("_gone IS NULL OR NOT _gone")
     # rows repeated whole or with one id and text are copies, too: one of them stays
-    repeated = classes.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id")
     first = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))
-    one = rest.join(repeated, "doc_id", "left_semi").withColumn("_nth", first).filter("_nth = 1").drop("_nth")
-    return rest.join(repeated, "doc_id", "left_anti").unionByName(one).select(*docs.columns)
+    one = judged.filter("_repeated").withColumn("_nth", first).filter("_nth = 1")
+    parts = [docs.filter("doc_id IS NULL"), judged.filter("_repeated IS NULL"), one]
+    return reduce(DataFrame.unionByName, [p.select(*docs.columns) for p in parts])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
