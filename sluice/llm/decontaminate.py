@@ -233,11 +233,23 @@ def _search(ix: Index):
     return fn
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``doc_id, item_id, word, cosine, lcs, answer``: the best match of each document and benchmark item."""
-    spark = docs.sparkSession
+def _clean(ix: Index):
+    """Rows of a batch whose own text matches nothing, with all their columns."""
+    search = _search(ix)
+
+    def fn(batches):
+        for batch in batches:
+            numbered = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column("text")], names=["doc_id", "text"])
+            keep = np.ones(batch.num_rows, bool)
+            for found in search([numbered]):
+                keep[found.column("doc_id").to_numpy(zero_copy_only=False)] = False
+            yield batch.filter(pa.array(keep))
+    return fn
+
+
+def _indexes(docs: DataFrame, benchmark: DataFrame):
+    """An index of each bounded block of benchmark items, with term weights from all of ``docs``."""
     items = benchmark.select(F.col("item_id").cast("long"), "text").filter("text IS NOT NULL").orderBy("item_id", "text")
-    found = spark.createDataFrame([], MATCH_DDL)
     blocks_ = max(1, -(-items.count() // BLOCK_ITEMS))
     numbered = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks_)))
     for k in range(blocks_):
@@ -260,10 +272,24 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             continue
         index = Index(rows, known, idf, latent(passages, known, idf))
         if len(index.item):
-            found = found.unionByName(docs.select("doc_id", "text").mapInArrow(_search(index), MATCH_DDL))
+            yield index
+
+
+def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``doc_id, item_id, word, cosine, lcs, answer``: the best match of each document and benchmark item."""
+    found = docs.sparkSession.createDataFrame([], MATCH_DDL)
+    for index in _indexes(docs, benchmark):
+        found = found.unionByName(docs.select("doc_id", "text").mapInArrow(_search(index), MATCH_DDL))
     return found
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark text; rows without an id stay."""
-    return docs.join(matches(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the rows whose text holds a benchmark text.
+
+    Each row is judged by its own text where it lies, so no text is shuffled and
+    rows with equal or no ids are judged each for itself.
+    """
+    out = docs
+    for index in _indexes(docs, benchmark):
+        out = out.mapInArrow(_clean(index), docs.schema)
+    return out

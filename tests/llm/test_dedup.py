@@ -135,6 +135,12 @@ def test_decontamination(spark, docs_of):
     df = docs_of(docs)
     assert {(m.doc_id, m.item_id) for m in matches(df, bench).collect()} == true
     assert {x.doc_id for x in decontaminated(df, bench).collect()} == {i for i, _ in docs} - {i for i, _ in true}
+    held = "prefix " + " ".join(items[0][1])
+    rows = [(7, held, "a"), (7, "of its own", "b"), (None, held, "c"), (None, "clean", "d"), (8, None, None)]  # equal and no ids: each row by its own text
+    more = spark.createDataFrame(rows, "doc_id long, text string, item_id string")
+    assert decontaminated(more, bench).columns == more.columns
+    assert {tuple(x) for x in decontaminated(more, bench).collect()} == {rows[1], rows[3], rows[4]}
+    assert decontaminated(more, bench.limit(0)).count() == 5 and decontaminated(more.limit(0), bench).count() == 0
     assert matches(docs_of([]), bench).count() == 0 and matches(df, bench.limit(0)).count() == 0
 
 
