@@ -25,17 +25,28 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` and all other columns as one, so that none clashes with a column an operator adds."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*(others or [F.lit(True).alias("none")])).alias("_others"))
+
+
+def _unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*[F.col(c) if c in ("doc_id", "text") else F.col("_others").getField(c).alias(c) for c in columns])
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules do not reject."""
-    return judge(docs).filter("kept").select(*docs.columns)
+    return _unpacked(judge(_packed(docs)).filter("kept"), docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of line runs are deleted; a document that held nothing else goes, ``n_chars`` follows the text."""
-    out = dedup_lines(docs).filter("n_removed = 0 OR n_removed < n_lines")
+    out = dedup_lines(_packed(docs)).filter("n_removed = 0 OR n_removed < n_lines")
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        followed = F.col("_others").withField("n_chars", F.length("text").cast("long"))
+        out = out.withColumn("_others", F.when(F.col("n_removed") > 0, followed).otherwise(F.col("_others")))
+    return _unpacked(out, docs.columns)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,12 +57,12 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     marks = (classes.groupBy("doc_id").agg(F.max(F.col("doc_id") != F.col("component_id")).alias("_gone"), (F.count(F.lit(1)) > 1).alias("_repeated"))
              .filter("_gone OR _repeated"))
     # both readers of this join share one exchange of the texts; rows without an id never meet in one task
-    judged = docs.filter("doc_id IS NOT NULL").join(marks, "doc_id", "left").filter("_gone IS NULL OR NOT _gone")
+    judged = _packed(docs).filter("doc_id IS NOT NULL").join(marks, "doc_id", "left").filter("_gone IS NULL OR NOT _gone")
     # rows repeated whole or with one id and text are copies, too: one of them stays
     first = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))
     one = judged.filter("_repeated").withColumn("_nth", first).filter("_nth = 1")
-    parts = [docs.filter("doc_id IS NULL"), judged.filter("_repeated IS NULL"), one]
-    return reduce(DataFrame.unionByName, [p.select(*docs.columns) for p in parts])
+    parts = [_packed(docs).filter("doc_id IS NULL"), judged.filter("_repeated IS NULL"), one]
+    return reduce(DataFrame.unionByName, [_unpacked(p, docs.columns) for p in parts])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

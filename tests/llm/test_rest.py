@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sluice.llm import queries as Q
@@ -169,3 +170,26 @@ def test_pipeline(spark):
     assert ids and ids < {r.doc_id for r in docs.collect()}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), SMALL).columns == docs.columns, name
+
+
+def test_pipeline_keeps_one_of_each_group(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, 0), (2, text, 1), (3, text + " end", 2), (4, "else", 3), (4, "else", 4), (5, None, 5), (5, None, 6),
+            (None, text, 7), (None, "else", 8), (6, "", 9), (9, "some other words that stand alone", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _nth long")
+    got = corpus_pipeline.jaccard_join(spark, docs, SMALL)
+    assert got.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(
+        [(1, text), (4, "else"), (5, None), (None, text), (None, "else"), (6, ""), (9, "some other words that stand alone")])
+    assert {tuple(r) for r in got.collect()} <= set(rows)
+
+
+def test_pipeline_stages_keep_clashing_columns(spark):
+    names = ["kept", "n_lines", "n_removed", "chunk", "item_id", "_gone", "_others", "n_words", "p_good"]
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", *[F.col("doc_id").alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SMALL)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert got and all(set(r[2:]) == {r.doc_id} for r in got), name
+    assert corpus_pipeline.jaccard_join(spark, docs.select("doc_id", "text"), SMALL).columns == ["doc_id", "text"]
