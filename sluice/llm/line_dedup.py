@@ -2,14 +2,15 @@
 
 The lines of a text are its ``\\n``-split pieces; lines without a word are not
 counted (they stay).  Lines are compared from their first word to their last.
-A run of ``window`` (3) consecutive lines is repeated if the same lines stand
-at an earlier place: in a document with a smaller ``doc_id``, or before in the same
-one.  Every line that a repeated run covers is deleted, so the first
-occurrence of longer repeats stays whole and all later ones go.
-
-1. **Fingerprints.**  Each window of consecutive line hashes selects its minimum
-   (ties: any, the hash is the same), so two equal windows select equal fingerprints.
-   Chunks ask which selected hashes stand at a second place (see ``exchange``).
+A run of consecutive lines is repeated if the same lines stand at an earlier place: in a
+document with a smaller ``doc_id``, or before in the same one.  Every repeated run of
+``window`` (3) lines, or of at least ``words`` (8) words on fewer lines, a single one included,
+is deleted, so the first occurrence of longer repeats stays whole and all later ones go.
+
+1. **Fingerprints.**  Each window of consecutive line hashes (of ``window`` lines, and of each smaller
+   number with enough words) selects its minimum (ties: any, the hash is the same), so two equal
+   windows select equal fingerprints.  A window that two smaller ones cover takes no part: it
+   repeats only where they do.  Chunks ask which fingerprints stand at a second place (see ``exchange``).
 2. **Positions.**  Windows with such a fingerprint send a 128-bit hash of their lines and
    the first place (id, line) the chunk has it at, and learn whether an earlier place exists.
 3. **Extension.**  Windows found at an earlier place are joined both ways into maximal runs,
@@ -31,14 +32,26 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from sluice.llm import exchange as X
 from sluice.llm.quality_gam import lines
-from sluice.llm.words import U, Block, blocks, grams, texts
+from sluice.llm.words import U, Block, blocks, grams, mix, texts
 
-WINDOW = 3
+WINDOW = 3  # lines of a run that counts whatever it holds
+WORDS = 8   # words of a shorter run that counts
 PLACE = np.dtype([("g", "<u8"), ("f", "<u8"), ("id", "<i8"), ("at", "<i8")])
 
 
-def _windows(table: pa.Table, k: int):
-    """Windows of a chunk (fingerprint, both hashes, id, line number, row) and the lines of each block."""
+def _runs(rows: Block, size: np.ndarray, k: int, words: int):
+    """Starts of the windows to look at, by number of lines; ``size`` has the words of each line."""
+    total, smaller = np.concatenate([[0], np.cumsum(size)]), np.zeros(len(size) + 1, bool)
+    for j in range(1, k + 1):
+        at = rows.starts_of(j)
+        counts = np.ones(len(at), bool) if j == k else total[at + j] - total[at] >= words
+        yield j, at[counts & ~(smaller[at] & smaller[at + 1])]
+        smaller = np.zeros(len(size) + 1, bool)
+        smaller[at] = counts
+
+
+def _windows(table: pa.Table, k: int, words: int):
+    """Windows of a chunk (fingerprint, both hashes, id, line number, row, lines) and the lines of each block."""
     ids = table["doc_id"].combine_chunks()
     has = ids.is_valid().to_numpy(zero_copy_only=False)
     ids = ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
@@ -48,26 +61,26 @@ def _windows(table: pa.Table, k: int):
         first = np.searchsorted(doc, np.arange(b.n + 1))
         rows = Block(b.lo, b.hi, b.data, b.offs, start, end, first)
         kept.append(rows)
-        at = rows.starts_of(k)
-        at = at[has[doc[at] + b.lo]]
-        h = rows.hashes()
-        least = h[at]
-        for j in range(1, k):
-            least = np.minimum(least, h[at + j])
-        found.append((least, grams(h, at, k), grams(rows.hashes(1), at, k, 1), ids[doc[at] + b.lo], at - first[doc[at]], doc[at] + b.lo))
-    return [np.concatenate([f[i] for f in found]) for i in range(6)], kept
-
-
-def _ask_fingerprints(buckets: int, k: int):
+        h, f = rows.hashes(), rows.hashes(1)
+        for j, at in _runs(rows, np.searchsorted(b.start, end) - np.searchsorted(b.start, start), k, words):
+            at = at[has[doc[at] + b.lo]]
+            least = h[at]
+            for i in range(1, j):
+                least = np.minimum(least, h[at + i])
+            found.append((mix(least + U(j)), grams(h, at, j), grams(f, at, j, 1), ids[doc[at] + b.lo], at - first[doc[at]],
+                          doc[at] + b.lo, np.full(len(at), j)))
+    return [np.concatenate([f[i] for f in found]) for i in range(7)], kept
+
+
+def _ask_fingerprints(buckets: int, k: int, words: int):
     def fn(table: pa.Table) -> pa.Table:
-        (least, _, _, ids, at, _), _ = _windows(table, k)
-        # a fingerprint counts once for the neighbouring windows that select the same line
-        new = np.ones(len(least), bool)
-        new[1:] = (least[1:] != least[:-1]) | (ids[1:] != ids[:-1]) | (at[1:] != at[:-1] + 1)
-        keys, count = np.unique(least[new], return_counts=True)
-        seen = np.searchsorted(keys, least)
-        again = np.bincount(seen, minlength=len(keys)) > 1  # selected by two windows here: they may be equal
-        many = np.where(again | (count > 1), 2, 1).astype(np.uint8)
+        (least, g, *_), _ = _windows(table, k, words)
+        order = np.lexsort((g, least))
+        least, g = least[order], g[order]
+        keys, first = np.unique(least, return_index=True)
+        again = np.zeros(len(least), np.int64)  # equal windows in this chunk: the fingerprint counts twice
+        again[1:] = (least[1:] == least[:-1]) & (g[1:] == g[:-1])
+        many = (1 + (np.add.reduceat(again, first) > 0 if len(keys) else again)).astype(np.uint8)
         return X.asked(table["chunk"][0].as_py(), keys, buckets, lambda lo, hi: (keys[lo:hi].tobytes(), many[lo:hi].tobytes()))
     return fn
 
@@ -91,20 +104,20 @@ def _first(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[new], group
 
 
-def _candidates(table: pa.Table, answers: pa.Table, k: int):
-    (least, g, f, ids, at, row), kept = _windows(table, k)
+def _candidates(table: pa.Table, answers: pa.Table, k: int, words: int):
+    (least, g, f, ids, at, row, size), kept = _windows(table, k, words)
     keys = np.unique(least)
     ok = X.gathered(answers, np.uint8).astype(bool)[np.searchsorted(keys, least)] if len(keys) else np.zeros(0, bool)
     w = np.empty(int(ok.sum()), PLACE)
     w["g"], w["f"], w["id"], w["at"] = g[ok], f[ok], ids[ok], at[ok]
-    return w, row[ok], kept
+    return w, row[ok], size[ok], kept
 
 
-def _ask_places(buckets: int, k: int):
+def _ask_places(buckets: int, k: int, words: int):
     def fn(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return X.ASK.empty_table()
-        own, _ = _first(_candidates(table, answers, k)[0])
+        own, _ = _first(_candidates(table, answers, k, words)[0])
         return X.asked(table["chunk"][0].as_py(), own["g"], buckets, lambda lo, hi: (own[lo:hi].tobytes(), b""))
     return fn
 
@@ -117,20 +130,19 @@ def _earlier(table: pa.Table) -> pa.Table:
     return X.answered(table, [yes[a:z].tobytes() for a, z in zip(edge[:-1], edge[1:])])
 
 
-def _delete(k: int, names: list[str]):
+def _delete(k: int, words: int, names: list[str]):
     def fn(table: pa.Table, answers: pa.Table) -> pa.Table:
         kind = answers["bucket"].to_numpy(zero_copy_only=False) if answers.num_rows else np.zeros(0, np.int64)
         one, two = answers.filter(pa.array(kind >= 0)), answers.filter(pa.array(kind < 0))
         two = two.set_column(1, "bucket", pa.array(-1 - kind[kind < 0], pa.int32()))
-        w, row, kept = _candidates(table, one, k)
+        w, row, size, kept = _candidates(table, one, k, words)
         own, group = _first(w)
         best = own[group]
         gone = X.gathered(two, np.uint8).astype(bool)[group] if len(own) else np.zeros(0, bool)
         gone |= (best["id"] < w["id"]) | (best["id"] == w["id"]) & (best["at"] < w["at"])
         n_lines, removed, text = [], [], []
-        hit_row, hit_at = row[gone], w["at"][gone]
-        order = np.argsort(hit_row, kind="stable")
-        hit_row, hit_at = hit_row[order], hit_at[order]
+        order = np.argsort(row[gone], kind="stable")
+        hit_row, hit_at, hit_size = (v[gone][order] for v in (row, w["at"], size))
         edge = np.searchsorted(hit_row, np.arange(table.num_rows + 1))
         raw_texts = table["text"].to_pylist()
         for rows in kept:
@@ -138,14 +150,14 @@ def _delete(k: int, names: list[str]):
             for d in range(rows.n):
                 r, n = rows.lo + d, int(rows.first[d + 1] - rows.first[d])
                 n_lines.append(n)
-                at = hit_at[edge[r]:edge[r + 1]]
+                at, more = hit_at[edge[r]:edge[r + 1]], hit_size[edge[r]:edge[r + 1]]
                 if not len(at):
                     removed.append(0)
                     text.append(raw_texts[r])
                     continue
                 cover = np.zeros(n, bool)
                 for j in range(k):
-                    cover[at + j] = True
+                    cover[at[more > j] + j] = True
                 removed.append(int(cover.sum()))
                 # lines that hold a word, by number; the others stay
                 out, seen = [], 0
@@ -161,7 +173,7 @@ def _delete(k: int, names: list[str]):
     return fn
 
 
-def line_dedup(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = X.CHUNK_BYTES) -> DataFrame:
+def line_dedup(docs: DataFrame, window: int = WINDOW, words: int = WORDS, chunk_bytes: int = X.CHUNK_BYTES) -> DataFrame:
     """``docs`` with the kept lines as ``text``, and ``n_lines``, ``n_removed`` (lines that hold a word).
 
     Columns of ``docs`` named ``chunk``, ``n_lines`` or ``n_removed`` are dropped first.
@@ -169,11 +181,11 @@ def line_dedup(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = X.CHUNK
     docs = docs.drop("chunk", "n_lines", "n_removed")
     n = X.chunk_count(docs, chunk_bytes)
     t = X.chunked(docs, n, *[c for c in docs.columns if c not in ("doc_id", "text")])
-    said = X.answer(X.ask(t, _ask_fingerprints(n, window)), _shared)
-    found = X.answer(X.meet(t, said, _ask_places(n, window), X.ASK_DDL), _earlier)
+    said = X.answer(X.ask(t, _ask_fingerprints(n, window, words)), _shared)
+    found = X.answer(X.meet(t, said, _ask_places(n, window, words), X.ASK_DDL), _earlier)
     both = said.unionByName(found.selectExpr("chunk", "-1 - bucket AS bucket", "answer"))
     schema = StructType([*docs.schema.fields, StructField("n_lines", LongType()), StructField("n_removed", LongType())])
-    return X.meet(t, both, _guarded(_delete(window, docs.columns), docs.columns), schema)
+    return X.meet(t, both, _guarded(_delete(window, words, docs.columns), docs.columns), schema)
 
 
 def _guarded(fn, names):

@@ -114,6 +114,29 @@ def test_line_dedup(docs_of):
     assert line_dedup(docs_of([])).count() == 0
 
 
+def test_line_dedup_short_runs(docs_of):
+    """Repeats on one or two lines: those of eight words and more go, in texts of any number of lines."""
+    r = random.Random(6)
+    line = [f"line {i}" for i in range(4)] + [f"five words are here {i}" for i in range(5)] + [f"one line of eight words and more {i}" for i in range(4)]
+    rows = [(i, "\n".join(r.choice([*line, f"own {i} {r.random()}", ""]) for _ in range(r.randint(0, 7)))) for i in range(80)]
+    rows += [(90, "many " * 60), (91, "many " * 60), (92, "x\n" + "many " * 59 + "many"), (93, None)]
+    got = {x.doc_id: x for x in line_dedup(docs_of(rows), chunk_bytes=900).collect()}
+    own = {i: [x.strip() for x in (t or "").split("\n") if x.strip()] for i, t in rows}
+    runs = [(i, k, tuple(own[i][k:k + n])) for i in sorted(own) for k in range(len(own[i])) for n in (1, 2, 3) if k + n <= len(own[i])]
+    first = {}
+    for i, k, run in runs:
+        first.setdefault(run, (i, k))
+    short = 0
+    for i, _ in rows:
+        gone = {j for d, k, run in runs if d == i and first[run] < (i, k) and (len(run) == 3 or len(" ".join(run).split()) >= 8)
+                for j in range(k, k + len(run))}
+        three = {j for d, k, run in runs if d == i and first[run] < (i, k) and len(run) == 3 for j in range(k, k + 3)}
+        short += len(gone - three)
+        assert (got[i].n_lines, got[i].n_removed) == (len(own[i]), len(gone)), i
+        assert [x.strip() for x in (got[i].text or "").split("\n") if x.strip()] == [x for j, x in enumerate(own[i]) if j not in gone]
+    assert short > 50 and got[91].n_removed == got[92].n_removed == 1
+
+
 def test_decontamination(spark, docs_of):
     r = random.Random(3)
     vocab = [f"term{i}" for i in range(2000)]
