@@ -2,20 +2,19 @@
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered; one end token closes each text.
 
-1. **Counts** of every training token, pre-aggregated per batch, packed by hash
-   range and summed per range: the table grows with the corpus and stays
-   in Spark (shared scratch folder).
-2. **Classes.**  The ``vocabulary`` most frequent words (a parameter, so the class
-   table has a proven size: 12 bytes a word) are clustered by exchange: the
-   most frequent words seed the classes; then each round counts, over all training
-   texts, every word's left and right neighbour classes, and moves each word
-   to the class that raises the class bigram likelihood most.  All other words
-   belong to one of eight classes by their surface (other than ASCII bytes, closing
-   punctuation, length); the end token is a class of its own.
-3. **Scores.**  P(text) is the product over tokens of P(class | class before) and
-   P(word | class), both additively smoothed; a surface class reserves mass for
-   words never seen.  Chunks of texts ask for the counts of their distinct
-   words (see ``exchange``), so no vocabulary is broadcast.
+1. **Tokens.**  Texts are dealt into chunks once (see ``exchange``); each becomes its distinct words and the
+   numbers of its tokens, kept as a bucketed table, so later passes neither hash nor shuffle texts.
+2. **Counts** of every training token, packed by hash range and summed per range.  The table has each
+   word's count and class; it grows with the corpus and stays in Spark.
+3. **Classes.**  All training words are clustered by exchange: the most frequent words seed the classes;
+   then each round chunks ask for the classes of their distinct words, count every word's left and right
+   neighbour classes, and send them to the word's range, where it moves to the class that raises the class
+   bigram likelihood most.  The end token is a class of its own.  A given ``vocabulary`` clusters only so
+   many words; the others stay in one of eight classes by their surface (other than ASCII bytes,
+   closing punctuation, length).
+4. **Scores.**  P(text) is the product over tokens of P(class | class before) and
+   P(word | class), both additively smoothed; each class reserves mass for a word never seen, which
+   belongs to the class of most words of its surface seen once.  Chunks ask for count and class together.
 
 ``base_score`` is the unigram score sum(log10((c + 0.1) / (N + 0.1 (V + 1)))).
 
@@ -27,6 +26,8 @@ rows; without training rows every count is 0.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,16 +37,21 @@ from sluice.llm import exchange as X
 from sluice.llm.words import U, Block, blocks, texts
 from sluice.session import scratch_root
 
-VOCABULARY = 1 << 15
 LEARNED = 31           # classes found by exchange
-SURFACE = 8            # classes of all other words
+SURFACE = 8            # classes of words outside a given vocabulary
 END_CLASS = LEARNED + SURFACE
 K = END_CLASS + 1
 ROUNDS = 4
 DELTA, ALPHA = 0.1, 0.5
 END = U(0x9E3779B97F4A7C15)
-WORDS = np.dtype([("h", "<u8"), ("c", "<u8"), ("s", "u1")])
-PART = 512             # words of one row of neighbour counts
+WORDS = np.dtype([("h", "<u8"), ("c", "<u8"), ("s", "u1"), ("k", "u1")])
+OWN = np.dtype([("h", "<u8"), ("s", "u1")])                                      # distinct words of a chunk
+TEXTS = np.dtype([("id", "<i8"), ("has", "u1"), ("held", "u1"), ("n", "<i4")])  # its texts, n tokens each
+SAID = np.dtype([("c", "<u8"), ("k", "u1")])
+NONE = 255             # class of a word that is not in the table
+SHARES = 16            # sums of class bigrams
+CHUNK_DDL = "chunk int, words binary, tokens binary, texts binary"
+CHUNK = pa.schema([("chunk", pa.int32()), ("words", pa.binary()), ("tokens", pa.binary()), ("texts", pa.binary())])
 COUNT_DDL = "bucket int, items binary"
 COUNT = pa.schema([("bucket", pa.int32()), ("items", pa.binary())])
 SCORE_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -68,208 +74,274 @@ def tokens(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             np.insert(b.doc, at, np.arange(b.n)))
 
 
-def _summed(h, c, s) -> np.ndarray:
+def _compact(table: pa.Table) -> pa.Table:
+    parts = [(tokens(b), b.n) for b in blocks(*texts(table["text"]))]
+    h, s = (np.concatenate([p[0][i] for p in parts]) for i in range(2))
     keys, first, back = np.unique(h, return_index=True, return_inverse=True)
-    out = np.empty(len(keys), WORDS)
-    out["h"], out["s"] = keys, s[first]
-    out["c"] = np.bincount(back, weights=c, minlength=len(keys))
-    return out
+    own, rows = np.empty(len(keys), OWN), np.empty(table.num_rows, TEXTS)
+    own["h"], own["s"] = keys, s[first]
+    ids = table["doc_id"].combine_chunks().cast(pa.int64())
+    rows["id"], rows["has"] = ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False)
+    rows["held"] = table["held_out"].to_numpy()
+    rows["n"] = np.concatenate([np.bincount(p[2], minlength=n) for p, n in parts])
+    return pa.table([table["chunk"].slice(0, 1).cast(pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (own, back.astype("<i4"), rows))], schema=CHUNK)
+
+
+def _opened(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of a chunk, its texts, the words of its tokens, those of training texts."""
+    own, ids, rows = np.frombuffer(row["words"], OWN), np.frombuffer(row["tokens"], "<i4"), np.frombuffer(row["texts"], TEXTS)
+    return own, rows, ids, ids[np.repeat(rows["held"] == 0, rows["n"])]
 
 
 def _count(buckets: int):
     def fn(batches):
         for batch in batches:
-            parts = []
-            for b in blocks(*texts(batch.column(0)), limit=4 << 20):
-                h, s, _ = tokens(b)
-                parts.append(_summed(h, np.ones(len(h)), s))
-            if parts:
-                every = np.concatenate(parts)
-                every = _summed(every["h"], every["c"], every["s"])
-                ranges = X.cut(every["h"], buckets)
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
+                own, _, _, train = _opened(row)
+                c = np.bincount(train, minlength=len(own))
+                w = np.zeros(int((c > 0).sum()), WORDS)
+                w["h"], w["s"], w["c"] = own["h"][c > 0], own["s"][c > 0], c[c > 0]
+                ranges = X.cut(w["h"], buckets)
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in ranges], pa.int32()),
-                                                  pa.array([every[lo:hi].tobytes() for _, lo, hi in ranges], pa.binary())], schema=COUNT)
+                                                  pa.array([w[lo:hi].tobytes() for _, lo, hi in ranges], pa.binary())], schema=COUNT)
     return fn
 
 
 def _total(table: pa.Table) -> pa.Table:
     items, _ = X.unpack(table, WORDS, "items")
-    total = _summed(items["h"], items["c"].astype(np.float64), items["s"])
+    keys, first, back = np.unique(items["h"], return_index=True, return_inverse=True)
+    total = items[first]
+    total["c"] = np.bincount(back, weights=items["c"], minlength=len(keys))
     return pa.table([pa.array([table["bucket"][0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], schema=COUNT)
 
 
-TOP_DDL = "h long, c long, s int, kind string"
-TOP = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("s", pa.int32()), ("kind", pa.string())])
+TOP_DDL = "h long, c long"
+TOP = pa.schema([("h", pa.int64()), ("c", pa.int64())])
 
 
 def _top(most: int):
-    """Of each bucket its most frequent words, and per surface the sums ``tokens`` and ``words``."""
+    """The most frequent words of each bucket."""
     def fn(batches):
         for batch in batches:
             for raw in batch.column(1).to_pylist():
                 w = np.frombuffer(raw, WORDS)
                 w = w[w["h"] != END]
-                best = w[np.lexsort((w["h"], -w["c"].astype(np.int64)))[:most]]
-                c, n = (np.bincount(w["s"], weights=x, minlength=SURFACE).astype(np.int64) for x in (w["c"], np.ones(len(w))))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate([best["h"].view(np.int64) if len(best) else np.zeros(0, np.int64)] * 1 + [np.zeros(2 * SURFACE, np.int64)])),
-                    pa.array(np.concatenate([best["c"].astype(np.int64), c, n])),
-                    pa.array(np.concatenate([best["s"].astype(np.int32), *[np.arange(SURFACE, dtype=np.int32)] * 2])),
-                    pa.array(["word"] * len(best) + ["tokens"] * SURFACE + ["words"] * SURFACE)], schema=TOP)
+                best = w[np.lexsort((w["h"].astype(np.int64), -w["c"].astype(np.int64)))[:most]]
+                yield pa.RecordBatch.from_arrays([pa.array(best["h"].astype(np.int64)), pa.array(best["c"].astype(np.int64))], schema=TOP)
     return fn
 
 
-def classes_of(h: np.ndarray, s: np.ndarray, known: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each token, and its entry in ``known`` (-1: not clustered)."""
-    pos = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-    hit = known[pos] == h if len(known) else np.zeros(len(h), bool)
-    out = np.where(hit, cls[pos] if len(known) else 0, LEARNED + s)
-    out[h == END] = END_CLASS
-    return out.astype(np.int64), np.where(hit, pos, -1)
-
+def _seeded(best: list[tuple[int, int]], capped: bool):
+    """First classes: a class for each of the most frequent words, the last one for the others, surface classes outside a vocabulary."""
+    seeds = [h for h, _ in best[:LEARNED - 1]]
 
-NEAR_DDL = "part int, counts binary"
-NEAR = pa.schema([("part", pa.int32()), ("counts", pa.binary())])
+    def fn(batches):
+        for batch in batches:
+            rows = []
+            for raw in batch.column(1).to_pylist():
+                w = np.frombuffer(raw, WORDS).copy()
+                h, c = w["h"].astype(np.int64), w["c"].astype(np.int64)
+                w["k"] = LEARNED - 1
+                if capped:
+                    h_last, c_last = best[-1] if best else (0, np.iinfo(np.int64).max)
+                    out = (c < c_last) | (c == c_last) & (h > h_last)
+                    w["k"][out] = LEARNED + w["s"][out]
+                for k, seed in enumerate(seeds):
+                    w["k"][h == seed] = k
+                w["k"][w["h"] == END] = END_CLASS
+                rows.append(w.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], schema=COUNT)
+    return fn
 
 
-def _neighbours(known: np.ndarray, cls: np.ndarray):
-    """Per task: left and right neighbour classes of each clustered word, by parts; part -1: class bigrams of all tokens."""
+def _ask(buckets: int):
     def fn(batches):
-        near = np.zeros((len(known), 2 * K), np.uint32)
-        grams = np.zeros(K * K, np.int64)
         for batch in batches:
-            for b in blocks(*texts(batch.column(0)), limit=4 << 20):
-                h, s, _ = tokens(b)
-                c, at = classes_of(h, s, known, cls)
-                before = np.concatenate([[END_CLASS], c[:-1]])  # the token before a text is the end of the one before
-                grams += np.bincount(before * K + c, minlength=K * K)
-                after = np.concatenate([c[1:], [END_CLASS]])
-                w = np.flatnonzero(at >= 0)
-                for col, other in ((0, before), (K, after)):
-                    key, n = np.unique(at[w] * (2 * K) + col + other[w], return_counts=True)
-                    near.reshape(-1)[key] += n.astype(np.uint32)
-        parts, rows = [-1], [grams.astype("<i8").tobytes()]
-        for p in range(0, len(known), PART):
-            if near[p:p + PART].any():
-                parts.append(p // PART)
-                rows.append(near[p:p + PART].astype("<u4").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(rows, pa.binary())], schema=NEAR)
+            for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                keys = np.ascontiguousarray(np.frombuffer(raw.as_buffer(), OWN)["h"])
+                t = X.asked(chunk, keys, buckets, lambda lo, hi: (keys[lo:hi].tobytes(), b""))
+                yield from t.to_batches()
     return fn
 
 
-def _near_total(table: pa.Table) -> pa.Table:
-    part = table["part"][0].as_py()
-    total = None
-    for raw in table["counts"].to_pylist():
-        x = np.frombuffer(raw, "<i8" if part < 0 else "<u4").astype(np.int64)
-        total = x if total is None else total + x
-    return pa.table([pa.array([part], pa.int32()), pa.array([total.astype("<i8").tobytes()], pa.binary())], schema=NEAR)
+def _answer(dtype):
+    """Classes of the words asked about, with their counts if ``dtype`` is SAID."""
+    def fn(asks: pa.Table, words: pa.Table) -> pa.Table:
+        if not asks.num_rows:
+            return X.ANSWER.empty_table()
+        w = np.concatenate([np.frombuffer(x, WORDS) for x in words["items"].to_pylist()] or [np.zeros(0, WORDS)])
+        keys, edge = X.unpack(asks, "<u8", "keys")
+        said = np.zeros(len(keys), SAID)
+        said["k"] = NONE
+        if len(w):
+            h = np.ascontiguousarray(w["h"])
+            pos = np.minimum(np.searchsorted(h, keys), len(h) - 1)
+            hit = h[pos] == keys
+            said["c"][hit], said["k"][hit] = w["c"][pos[hit]], w["k"][pos[hit]]
+        said = said if dtype is SAID else np.ascontiguousarray(said["k"])
+        return X.answered(asks, [said[a:z].tobytes() for a, z in zip(edge[:-1], edge[1:])])
+    return fn
 
 
-def _xlogx(x):
-    return x * np.log(np.maximum(x, 1))
+def _turns(h: np.ndarray, turn: int) -> np.ndarray:
+    """All words move in the first round, later half of them at a time, so that neighbours do not swap for ever."""
+    return np.ones(len(h), bool) if turn == 0 else (h >> U(17)) % U(2) == U(turn % 2)
 
 
-def exchanged(near: np.ndarray, own: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    """The class of each word that raises the class bigram likelihood most, the others held."""
-    left, right = near[:, :K].astype(float), near[:, K:].astype(float)
-    n, out = left.sum(1), np.empty((len(near), LEARNED))
-    rows, cols = grams.sum(1).astype(float), grams.sum(0).astype(float)
-    for k in range(LEARNED):
-        mine = (own == k)[:, None]
-        into, from_ = grams[:, k] - left * mine, grams[k, :] - right * mine
-        r, c = rows[k] - n * mine[:, 0], cols[k] - n * mine[:, 0]
-        into, from_, r, c = (np.maximum(v, 0) for v in (into, from_, r, c))
-        out[:, k] = ((_xlogx(into + left) - _xlogx(into)).sum(1) + (_xlogx(from_ + right) - _xlogx(from_)).sum(1)
-                     - (_xlogx(r + n) - _xlogx(r)) - (_xlogx(c + n) - _xlogx(c)))
-    return np.where(n > 0, out.argmax(1), own)
+def _packed(row: np.ndarray, col: np.ndarray, n: np.ndarray, words: int) -> bytes:
+    """Entries sorted by word: how many each has, columns, counts by byte planes (compressed by the exchange)."""
+    return np.bincount(row, minlength=words).astype("u1").tobytes() + col.astype("u1").tobytes() + n.astype("<u4").view("u1").reshape(-1, 4).T.tobytes()
 
 
-MOVE_DDL = "word int, class int"
-MOVE = pa.schema([("word", pa.int32()), ("class", pa.int32())])
+def _unpacked(raw: bytes, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    x = np.frombuffer(raw, "u1")
+    row = np.repeat(np.arange(words), x[:words])
+    e = len(row)
+    return row, x[words:words + e].astype(np.int64), np.ascontiguousarray(x[words + e:].reshape(4, e).T).view("<u4").reshape(-1).astype(np.int64)
 
 
-def _move(cls: np.ndarray, grams: np.ndarray, turn: int):
-    def fn(batches):
-        for batch in batches:
-            for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                near = np.frombuffer(raw, "<i8").reshape(-1, 2 * K)
-                word = part * PART + np.arange(len(near))
-                to = exchanged(near, cls[word], grams)
-                if turn:  # all words move in the first round, later half of them at a time, so that neighbours do not swap for ever
-                    to = np.where(word % 2 == turn % 2, to, cls[word])
-                yield pa.RecordBatch.from_arrays([pa.array(word, pa.int32()), pa.array(to, pa.int32())], schema=MOVE)
+def _neighbours(buckets: int, turn: int | None):
+    """Left and right neighbour classes of each word whose turn it is, by range; buckets below 0: class bigrams of all tokens."""
+    def fn(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return X.ASK.empty_table()
+        row = table.to_pylist()[0]
+        own, _, _, ids = _opened(row)
+        k = X.gathered(answers, "u1")
+        c, end = k[ids].astype(np.int32), np.array([END_CLASS], np.int32)
+        before = np.concatenate([end, c])[:len(c)]  # the token before a text is the end of the one before
+        after = np.concatenate([c[1:], end])[:len(c)]
+        grams = np.bincount(before * K + c, minlength=K * K).astype("<i8")
+        bucket, keys, extra = [-1 - row["chunk"] % SHARES], [b""], [grams.tobytes()]
+        if turn is not None:
+            moves = (k < LEARNED) & _turns(own["h"], turn)
+            first = (np.cumsum(moves) - 1) * (2 * K)
+            first = first.astype(np.int32 if len(own) * 2 * K < 1 << 31 else np.int64)
+            at = moves[ids]
+            word = first[ids[at]]
+            key, n = np.unique(np.concatenate([word + before[at], word + after[at] + np.int32(K)]), return_counts=True)
+            w, col, h = key // (2 * K), key % (2 * K), own["h"][moves]
+            for i, lo, hi in X.cut(h, buckets):
+                a, z = np.searchsorted(w, [lo, hi])
+                bucket.append(i)
+                keys.append(h[lo:hi].tobytes())
+                extra.append(_packed(w[a:z] - lo, col[a:z], n[a:z], hi - lo))
+        return pa.table([pa.array(bucket, pa.int32()), pa.array([row["chunk"]] * len(bucket), pa.int32()),
+                         pa.array(keys, pa.binary()), pa.array(extra, pa.binary())], schema=X.ASK)
     return fn
 
 
-class Model:
-    """The bounded part of the model: clustered words, transitions, sizes; word counts stay in the table ``path``."""
-
-    def __init__(self, known, cls, grams, tokens_of, words_of, n, v, path):
-        self.known, self.cls, self.grams, self.tokens_of, self.words_of = known, cls, grams, tokens_of, words_of
-        self.n, self.v, self.path = n, v, path
-
-
-def fit(train: DataFrame, buckets: int, vocabulary: int = VOCABULARY, rounds: int = ROUNDS) -> Model:
-    spark = train.sparkSession
-    root = scratch_root(spark, "brown")
-    (train.select("text").mapInArrow(_count(buckets), COUNT_DDL).groupBy("bucket").applyInArrow(_total, COUNT_DDL)
-     .write.parquet(f"{root}/words"))
-    words = spark.read.parquet(f"{root}/words")
-    words.mapInArrow(_top(vocabulary), TOP_DDL).write.parquet(f"{root}/top")
-    top = spark.read.parquet(f"{root}/top")
-    best = top.filter("kind = 'word'").orderBy(F.desc("c"), "h").limit(vocabulary).collect()  # bounded by the vocabulary
-    sums = {(r.kind, r.s): r.c for r in top.filter("kind <> 'word'").groupBy("kind", "s").agg(F.sum("c").alias("c")).collect()}
-    tokens_of, words_of = (np.array([sums.get((k, s), 0) for s in range(SURFACE)], np.int64) for k in ("tokens", "words"))
-    ends = train.count()
-    n, v = int(tokens_of.sum()) + ends, int(words_of.sum()) + (ends > 0)
-    h = np.array([r.h for r in best], np.int64).view(U)
-    # the most frequent words seed a class each, the others start in the last one
-    seed = np.minimum(np.arange(len(h)), LEARNED - 1)
-    order = np.argsort(h)
-    known, cls = h[order], seed[order].astype(np.int64)
-    for r in best:  # clustered words leave their surface class
-        tokens_of[r.s] -= r.c
-        words_of[r.s] -= 1
-    count = np.array([r.c for r in best], np.int64)[order]
-    grams = np.zeros((K, K), np.int64)
-    for turn in range(rounds + 1):
-        if not ends:
-            break
-        near = train.select("text").mapInArrow(_neighbours(known, cls), NEAR_DDL).groupBy("part").applyInArrow(_near_total, NEAR_DDL)
-        near.write.parquet(f"{root}/near{turn}")
-        near = spark.read.parquet(f"{root}/near{turn}")
-        grams = np.frombuffer(near.filter("part < 0").first().counts, "<i8").reshape(K, K)
-        if turn == rounds:
-            break
-        cls = cls.copy()
-        for r in near.filter("part >= 0").mapInArrow(_move(cls.copy(), grams, turn), MOVE_DDL).collect():  # one row a clustered word
-            cls[r.word] = r["class"]
-    inside = np.bincount(cls, weights=count, minlength=LEARNED).astype(np.int64), np.bincount(cls, minlength=LEARNED)
-    return Model(known, cls, grams, np.concatenate([inside[0], tokens_of, [ends]]), np.concatenate([inside[1], words_of, [1]]), n, v, f"{root}/words")
+NEAR_DDL = "bucket int, items binary, counts binary"
+NEAR = pa.schema([("bucket", pa.int32()), ("items", pa.binary()), ("counts", pa.binary())])
 
 
-def _distinct(table: pa.Table):
-    parts = [tokens(b) for b in blocks(*texts(table["text"]))]
-    h = np.concatenate([p[0] for p in parts])
-    return parts, np.unique(h, return_inverse=True)
+def _near_total(near: pa.Table, words: pa.Table) -> pa.Table:
+    """The words of a range with their neighbour counts summed."""
+    bucket = (near if near.num_rows else words)["bucket"][0].as_py()
+    if bucket < 0:
+        w, counts = b"", sum(np.frombuffer(x, "<i8") for x in near["extra"].to_pylist()).tobytes()
+    else:
+        w = b"".join(words["items"].to_pylist())
+        known = np.ascontiguousarray(np.frombuffer(w, WORDS)["h"])
+        total = np.zeros(len(known) * 2 * K, np.int64)
+        for h, raw in zip(near["keys"].to_pylist(), near["extra"].to_pylist()):
+            h = np.frombuffer(h, U)
+            row, col, n = _unpacked(raw, len(h))
+            total[np.searchsorted(known, h)[row] * (2 * K) + col] += n  # a chunk has each entry once
+        key = np.flatnonzero(total)
+        counts = key.astype("<i8").tobytes() + total[key].astype("<i8").tobytes()
+    return pa.table([pa.array([bucket], pa.int32()), pa.array([w], pa.binary()), pa.array([counts], pa.binary())], schema=NEAR)
 
 
-def _ask(buckets: int):
-    def fn(table: pa.Table) -> pa.Table:
-        _, (keys, _) = _distinct(table)
-        return X.asked(table["chunk"][0].as_py(), keys, buckets, lambda lo, hi: (keys[lo:hi].tobytes(), b""))
+def _xlogx(x):
+    return x * np.log(np.maximum(x, 1))
+
+
+def exchanged(row: np.ndarray, col: np.ndarray, n: np.ndarray, own: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """The class of each word that raises the class bigram likelihood most, the others held.
+
+    Entries (sorted by ``row``) say how often word ``row`` has class ``col`` before it, or ``col - K`` after it."""
+    out, total = np.zeros((len(own), LEARNED)), np.bincount(row, weights=n * (col < K), minlength=len(own))
+    near = np.concatenate([grams[:, :LEARNED], grams[:LEARNED].T]).astype(float)
+    step = 1 << 16
+    for a in range(0, len(row), step):
+        r, m = row[a:a + step], n[a:a + step, None].astype(float)
+        with_ = near[col[a:a + step]]
+        with_[np.arange(len(r)), own[r]] -= m[:, 0]
+        with_ = np.maximum(with_, 0)
+        first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+        out[r[first]] += np.add.reduceat(_xlogx(with_ + m) - _xlogx(with_), first, axis=0)
+    for size in (grams.sum(1), grams.sum(0)):
+        left = np.tile(size[:LEARNED].astype(float), (len(own), 1))
+        left[np.arange(len(own)), own] -= total
+        left = np.maximum(left, 0)
+        out -= _xlogx(left + total[:, None]) - _xlogx(left)
+    return np.where(total > 0, out.argmax(1), own)
+
+
+def _move(grams: np.ndarray):
+    def fn(batches):
+        for batch in batches:
+            rows = []
+            for items, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                w = np.frombuffer(items, WORDS).copy()
+                key, n = np.frombuffer(counts, "<i8").reshape(2, -1)
+                at, row = np.unique(key // (2 * K), return_inverse=True)
+                if len(at):
+                    w["k"][at] = exchanged(row, key % (2 * K), n, w["k"][at].astype(np.int64), grams)
+                rows.append(w.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], schema=COUNT)
     return fn
 
 
-def _answer(asks: pa.Table, words: pa.Table) -> pa.Table:
-    if not asks.num_rows:
-        return X.ANSWER.empty_table()
-    w = np.concatenate([np.frombuffer(x, WORDS) for x in words["items"].to_pylist()] or [np.zeros(0, WORDS)])
-    keys, edge = X.unpack(asks, "<u8", "keys")
-    pos = np.minimum(np.searchsorted(w["h"], keys), max(len(w) - 1, 0))
-    c = np.where(w["h"][pos] == keys, w["c"][pos], 0).astype("<u8") if len(w) else np.zeros(len(keys), "<u8")
-    return X.answered(asks, [c[a:z].tobytes() for a, z in zip(edge[:-1], edge[1:])])
+SIZE_DDL = "s int, k int, c long, words long, once long"
+SIZE = pa.schema([("s", pa.int32()), ("k", pa.int32()), ("c", pa.int64()), ("words", pa.int64()), ("once", pa.int64())])
+
+
+def _sizes(batches):
+    """Tokens, words and words seen once by surface and class."""
+    for batch in batches:
+        for raw in batch.column(1).to_pylist():
+            w = np.frombuffer(raw, WORDS)
+            at = w["s"].astype(np.int64) * K + w["k"]
+            sums = [np.bincount(at, weights=x, minlength=SURFACE * K).astype(np.int64) for x in (w["c"], np.ones(len(w)), w["c"] == 1)]
+            hit = np.flatnonzero(sums[1])
+            yield pa.RecordBatch.from_arrays([pa.array(hit // K, pa.int32()), pa.array(hit % K, pa.int32()), *(pa.array(x[hit]) for x in sums)], schema=SIZE)
+
+
+class Model:
+    """The bounded part of the model: transitions, sizes, classes of words never seen; the words with counts and classes stay in the table ``path``."""
+
+    def __init__(self, grams, sizes, path):
+        self.grams, self.path = grams, path
+        at = {i: np.zeros((SURFACE, K), np.int64) for i in ("c", "words", "once")}
+        for r in sizes:
+            for i in at:
+                at[i][r.s, r.k] = r[i]
+        self.tokens_of, self.words_of = at["c"].sum(0), at["words"].sum(0)
+        self.n, self.v = int(self.tokens_of.sum()), int(self.words_of.sum())
+        once = at["once"][:, :END_CLASS]
+        self.unseen = np.where(once.any(1), once.argmax(1), LEARNED + np.arange(SURFACE))
+
+
+def fit(chunks: DataFrame, buckets: int, root: str, vocabulary: int | None = None, rounds: int = ROUNDS) -> Model:
+    spark = chunks.sparkSession
+    (chunks.mapInArrow(_count(buckets), COUNT_DDL).groupBy("bucket").applyInArrow(_total, COUNT_DDL)
+     .write.parquet(f"{root}/counts"))
+    words = spark.read.parquet(f"{root}/counts")
+    most = LEARNED if vocabulary is None else vocabulary
+    best = words.mapInArrow(_top(most), TOP_DDL).orderBy(F.desc("c"), "h").limit(most).collect()  # the seeds, or a given vocabulary
+    words = words.mapInArrow(_seeded([(r.h, r.c) for r in best], vocabulary is not None), COUNT_DDL)
+    grams = np.zeros((K, K), np.int64)
+    for turn in [*range(rounds), None]:  # the last pass counts the class bigrams of the final classes
+        said = chunks.select("chunk", "words").mapInArrow(_ask(buckets), X.ASK_DDL).groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(_answer("u1"), X.ANSWER_DDL)
+        near = X.meet(chunks, said, _neighbours(buckets, turn), X.ASK_DDL)
+        near.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(_near_total, NEAR_DDL).write.parquet(f"{root}/near{turn}")
+        near = spark.read.parquet(f"{root}/near{turn}")
+        grams = sum((np.frombuffer(r.counts, "<i8").reshape(K, K) for r in near.filter("bucket < 0").select("counts").collect()), np.zeros((K, K), np.int64))
+        words = near.filter("bucket >= 0").mapInArrow(_move(grams), COUNT_DDL)
+    sizes = words.mapInArrow(_sizes, SIZE_DDL).groupBy("s", "k").agg(*[F.sum(c).alias(c) for c in ("c", "words", "once")]).collect()  # by surface and class
+    return Model(grams, sizes, f"{root}/near{turn}")
 
 
 def _score(m: Model):
@@ -280,34 +352,37 @@ def _score(m: Model):
     def fn(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return SCORE.empty_table()
-        parts, (_, back) = _distinct(table)
-        count = X.gathered(answers, "<u8")[back]
-        rows, at = [], 0
-        for h, s, doc in parts:
-            c = count[at:at + len(h)]
-            at += len(h)
-            cls, _ = classes_of(h, s, m.known, m.cls)
-            before = np.concatenate([[END_CLASS], cls[:-1]])
-            seen = np.log10(c + DELTA)
-            emit = np.where(cls == END_CLASS, 0.0, seen - size[cls])
-            n = int(doc[-1]) + 1
-            tok = np.bincount(doc, minlength=n)
-            rows.append((tok, np.bincount(doc[c > 0], minlength=n), np.bincount(doc, weights=seen, minlength=n) - tok * base,
-                         np.bincount(doc, weights=step[before, cls] + emit, minlength=n)))
-        tok, known, low, score = (np.concatenate([r[i] for r in rows]) for i in range(4))
-        return pa.table([table["doc_id"].cast(pa.int64()), table["held_out"], pa.array(tok, pa.int64()), pa.array(known, pa.int64()),
-                         pa.array(np.full(len(tok), m.n), pa.int64()), pa.array(low), pa.array(score)], schema=SCORE)
+        own, rows, ids, _ = _opened(table.to_pylist()[0])
+        said = X.gathered(answers, SAID)
+        k = np.where(said["k"] == NONE, m.unseen[own["s"]], said["k"])
+        k[own["h"] == END] = END_CLASS
+        cls, c = k[ids].astype(np.int64), said["c"][ids]
+        before = np.concatenate([[END_CLASS], cls[:-1]])
+        seen = np.log10(c + DELTA)
+        emit = np.where(cls == END_CLASS, 0.0, seen - size[cls])
+        n, tok = len(rows), rows["n"].astype(np.int64)
+        doc = np.repeat(np.arange(n), tok)
+        return pa.table([pa.array(rows["id"], mask=rows["has"] == 0), pa.array(rows["held"] > 0), pa.array(tok),
+                         pa.array(np.bincount(doc[c > 0], minlength=n)), pa.array(np.full(n, m.n), pa.int64()),
+                         pa.array(np.bincount(doc, weights=seen, minlength=n) - tok * base),
+                         pa.array(np.bincount(doc, weights=step[before, cls] + emit, minlength=n))], schema=SCORE)
     return fn
 
 
-def score_texts(docs: DataFrame, folds: int = 10, vocabulary: int = VOCABULARY, rounds: int = ROUNDS,
+def score_texts(docs: DataFrame, folds: int = 10, vocabulary: int | None = None, rounds: int = ROUNDS,
                 chunk_bytes: int = X.CHUNK_BYTES) -> DataFrame:
     """Scores of all texts by the model of those whose crc32(doc_id) mod ``folds`` is not 0."""
     spark = docs.sparkSession
-    chunks = X.chunk_count(docs, chunk_bytes)
+    root, n = scratch_root(spark, "brown"), X.chunk_count(docs, chunk_bytes)
     marked = docs.select("doc_id", "text", (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == 0).alias("held_out"))
-    model = fit(marked.filter("NOT held_out"), chunks, vocabulary, rounds)
-    t = X.chunked(marked, chunks, "held_out")
-    words = spark.read.parquet(model.path)
-    said = X.ask(t, _ask(chunks)).groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(_answer, X.ANSWER_DDL)
-    return X.meet(t, said, _score(model), SCORE_DDL)
+    # bucketed by chunk, so that every pass meets its answers without a shuffle of the tokens; fewer buckets than shuffle partitions would be shuffled
+    name, parts = f"brown_{uuid.uuid4().hex}", max(n, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    (X.chunked(marked, n, "held_out").groupBy("chunk").applyInArrow(_compact, CHUNK_DDL)
+     .write.bucketBy(parts, "chunk").option("path", f"{root}/chunks").saveAsTable(name))
+    chunks = spark.table(name)
+    model = fit(chunks, n, root, vocabulary, rounds)
+    words = spark.read.parquet(model.path).filter("bucket >= 0").select("bucket", "items")
+    said = chunks.select("chunk", "words").mapInArrow(_ask(n), X.ASK_DDL).groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(_answer(SAID), X.ANSWER_DDL)
+    out = X.meet(chunks, said, _score(model), SCORE_DDL)
+    spark.sql(f"DROP TABLE {name}")  # the catalog's entry only, the files lie in the scratch folder
+    return out

@@ -8,10 +8,13 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from sluice.llm import brown_lm as B
+from sluice.llm import exchange as X
 from sluice.llm import queries as Q
 from sluice.llm.brown_lm import score_texts
 from sluice.llm.packing import pack, plan
@@ -19,6 +22,8 @@ from sluice.llm.quality_gam import classify
 from sluice.llm.quality_rules import quality_rules
 from sluice.llm.url_rules import judge_urls
 from sluice.llm.warc import read_warc, write_warc
+from sluice.llm.words import blocks, texts
+from sluice.session import scratch_root
 
 SMALL = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^ \t-\r]+")
@@ -60,6 +65,39 @@ def test_brown_scores(docs_of):
     assert score_texts(docs_of([])).count() == 0
 
 
+def test_brown_clusters_all_words(spark, docs_of):
+    """Every training word has a learned class, however rare, and scores are those of the plain class bigram model."""
+    r = np.random.default_rng(4)
+    rows = [(i, " ".join(f"{'ab'[(j + i) % 2]}{r.integers(25000)}" for j in range(1000))) for i in range(100)]
+    df, n = docs_of(rows), 5
+    folds = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    chunks = X.chunked(df.select("doc_id", "text", folds.alias("held_out")), n, "held_out").groupBy("chunk").applyInArrow(B._compact, B.CHUNK_DDL).cache()
+    m = B.fit(chunks, n, scratch_root(spark, "test"))
+    w = np.concatenate([np.frombuffer(x["items"], B.WORDS) for x in spark.read.parquet(m.path).filter("bucket >= 0").collect()])
+    train = [t.split() for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    assert len(w) - 1 == len({x for t in train for x in t}) > 1 << 15
+    assert (w["k"][w["h"] != B.END] < B.LEARNED).all()
+    word = {x: h for b in blocks(*texts(pa.array([t for _, t in rows]))) for x, h in zip([x for _, t in rows[b.lo:b.hi] for x in t.split()], b.hashes(lower=True))}
+    info, end = {a: (c, k) for a, c, k in zip(w["h"].tolist(), w["c"].tolist(), w["k"].tolist())}, B.END_CLASS
+    size, words, grams = Counter(), Counter(), Counter()
+    for c, k in info.values():
+        size[k], words[k] = size[k] + c, words[k] + 1
+    for t in train:
+        path = [end, *(info[int(word[x])][1] for x in t), end]
+        grams.update(zip(path, path[1:]))
+    assert all(m.grams[a, b] == grams[a, b] for a in range(B.K) for b in range(B.K))
+    before = Counter()
+    for (a, _), c in grams.items():
+        before[a] += c
+    got = {x.doc_id: x.score for x in score_texts(df, chunk_bytes=200000).collect()}
+    for i, t in rows:
+        own = [info.get(int(word[x]), (0, int(m.unseen[0]))) for x in t.split()]
+        path = [end, *(k for _, k in own), end]
+        want = sum(math.log10((grams[a, b] + .5) / (before[a] + .5 * B.K)) for a, b in zip(path, path[1:]))
+        want += sum(math.log10((c + .1) / (size[k] + .1 * (words[k] + 1))) for c, k in own)
+        assert math.isclose(got[i], want, rel_tol=1e-9)
+
+
 def test_gam_learns(spark, docs_of):
     rows = [(i, "good plain words here and there. " * 20 if i % 2 else "BAD!! $$$ BAD!! $$$ " * 20) for i in range(200)] + [(900, None), (901, "")]
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
