@@ -124,4 +124,42 @@ def op6_decontamination(spark, sf_dir):
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@register("op11_baier_runs")
+def op11_baier_runs(spark, sf_dir):
+    from sluice.llm.periodic_runs import periodic_runs, report, with_planted_runs
+    return report(periodic_runs(with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
+@register("op12_burst_trie", """
+WITH t AS (SELECT conv_id, turn, length(coalesce(text, '')) AS chars, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id
+           FROM conversations WHERE conv_id IS NOT NULL),
+     k AS (SELECT conv_id, id, chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) AS pos FROM t),
+     c AS (SELECT conv_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                  lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END)),
+                  4294967295::BIGINT) % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+     s AS (SELECT conv_id, pos, id, chars FROM k JOIN c USING (conv_id) WHERE pos > h
+           UNION ALL SELECT c.conv_id, pos, id, chars FROM c JOIN k ON k.conv_id = c.conv_id - c.conv_id % 100 WHERE pos <= h),
+     m AS (SELECT conv_id, coalesce(ids, []) AS ids, cs FROM c LEFT JOIN (SELECT conv_id, list(id ORDER BY pos) AS ids, list(chars ORDER BY pos) AS cs FROM s GROUP BY 1) USING (conv_id)),
+     p AS (SELECT conv_id, d, sha256(array_to_string(ids[1:d], ',')) AS node, CASE WHEN d > 0 THEN sha256(array_to_string(ids[1:d - 1], ',')) END AS parent,
+                  CASE WHEN d > 0 THEN cs[d] ELSE 0 END AS chars, len(ids) = d AS ends FROM (SELECT *, unnest(generate_series(0, len(ids))) AS d FROM m)),
+     n AS (SELECT node, any_value(d) AS depth, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+                  sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM p GROUP BY node),
+     ch AS (SELECT parent, count(*) AS n_children FROM n WHERE parent IS NOT NULL GROUP BY 1),
+     u AS (SELECT b.node, sum(CASE WHEN ch.parent IS NULL THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum((n_convs - 1) * n.chars)::BIGINT AS saved_tokens
+           FROM n JOIN p b ON b.conv_id = n.conv_id AND b.d <= n.depth LEFT JOIN ch ON ch.parent = n.node GROUP BY 1)
+SELECT n.conv_id, n.depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM n JOIN u USING (node) LEFT JOIN ch ON ch.parent = n.node LEFT JOIN n up ON up.node = n.parent
+""")
+def op12_burst_trie(spark, sf_dir):
+    from sluice.llm.conversation_trie import prefix_trie, sequences, with_shared_openings
+    return prefix_trie(with_shared_openings(sequences(table(spark, sf_dir, "conversations"))))
+
+
+@register("op13_piece_codec")
+def op13_piece_codec(spark, sf_dir):
+    import public_tokenizers as P
+    from sluice.llm.piece_codec import encode_texts, report
+    return report(encode_texts(table(spark, sf_dir, "documents"), P.path("piece_bpe_32k.model")))
+
+
 register("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
