@@ -18,9 +18,10 @@ piece of the prefix before it.
 The pair test replays the joins inside both pieces in their common order and looks
 whether a join across the border comes first.  Pairs are tested once per worker.
 
-No piece of the vocabulary goes on past a space that follows another character
-(checked when it is read), so texts are cut there, and a worker encodes each distinct
-unit once.  The cache of units is emptied when it is full; that changes no result.
+No piece of the vocabulary holds letters together with other characters, but for spaces in front
+(checked when it is read).  So texts are cut before spaces into units and units between letters and other
+characters into parts; a worker encodes each distinct part once and joins the new ones of a batch for one
+scan.  Its caches are emptied when they are full; that changes no result.
 
 Characters without a piece become the ids of their UTF-8 bytes.  Decoding joins the
 pieces' bytes, reads the space mark as a space and takes one leading space
@@ -38,16 +39,20 @@ import re
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
 NEVER = float("-inf")
-CACHE_CHARS = 1 << 22      # of units in a worker's cache
+CACHE_CHARS = 6 << 20      # of units in a worker's cache
 CACHE_PAIRS = 1 << 20
 LONGEST_CACHED = 64        # longer units are encoded anew each time
 WRITE_CHARS = 1 << 22      # texts per batch given back
+UNIT = re.compile(" +[^ ]*")
+PART = re.compile(r" *[^\W\d_¹²³¼½¾]+| *(?:[^\w ]+|[\d_¹²³¼½¾]+)+| +")  # spaces and the letters, or the other characters, that follow
+BETWEEN = "\x00"            # parts that are encoded together are joined by it; no piece holds it
 OUT = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 OUT_DDL = "doc_id long, ids array<int>, decoded string"
 
@@ -74,14 +79,15 @@ class Vocabulary:
         self.opening = frozenset(i for p, i in self.pieces.items() if p[0] == MARK)
         if len(self.byte) != 256 or any(model.is_unused(i) for i in range(size)):
             raise ValueError("a model with byte fallback and without unused pieces is needed")
-        if any(re.search(f"[^{MARK}]{MARK}|{MARK}{MARK}[^{MARK}]", p) for p in self.pieces):
-            raise ValueError("a piece reaches past a space; units would not be independent")
+        if not all(PART.fullmatch(p.replace(MARK, " ")) and BETWEEN not in p for p in self.pieces):
+            raise ValueError("a piece reaches past a part; parts would not be independent")
         probe = " Aﬁ  é́Ａ "
         if "".join(model.encode(probe, out_type=str)[:1])[:1] != MARK or model.decode(model.encode(probe)) != probe:
             raise ValueError("a model with a space put before the text and without normalisation is needed")
-        self.automaton = ahocorasick.Automaton()
-        for p in self.pieces:
-            self.automaton.add_word(p, p)
+        self.automaton = ahocorasick.Automaton()  # pieces of two characters and more, each with its place in the pair tests
+        self.longer = [p for p in self.pieces if len(p) > 1]
+        for k, p in enumerate(self.longer):
+            self.automaton.add_word(p, (len(p), p, k))
         self.automaton.make_automaton()
 
 
@@ -91,8 +97,10 @@ class Codec:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.edges: dict[str, tuple | None] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.units: dict[str, list[int]] = {}
+        self.pairs: list[dict[str, bool]] = [{} for _ in vocabulary.longer]  # of each longer piece: whether it may follow a piece
+        self.tested = 0
+        self.units: dict[str, bytes] = {}   # packed: the collector need not walk through them
+        self.parts: dict[str, bytes] = {}
         self.cached = 0
 
     def _edges(self, piece: str) -> tuple | None:
@@ -117,81 +125,101 @@ class Codec:
         return out
 
     def compatible(self, one: str, two: str) -> bool:
-        """Whether the joint text of two pieces is encoded as the two."""
-        known = self.pairs.get((one, two))
-        if known is not None:
-            return known
-        a, b = self._edges(one), self._edges(two)
-        fine = a is not None and b is not None
-        if fine:
-            (x, right, _, _), (_, _, y, left) = a, b
-            i = j = 0
-            while True:
-                across = self.v.score.get(x + y, NEVER)
-                own = right[i][0] if i < len(right) else NEVER
-                other = left[j][0] if j < len(left) else NEVER
-                if across > own and across >= other:  # of equal scores the join further left comes first
-                    fine = False
-                    break
-                if own == NEVER and other == NEVER:
-                    break
-                if own >= other:
-                    x, i = right[i][1], i + 1
-                else:
-                    y, j = left[j][1], j + 1
-        if len(self.pairs) >= CACHE_PAIRS:
-            self.pairs.clear()
-        self.pairs[one, two] = fine
-        return fine
+        """Whether the joint text of two pieces is encoded as the two (of one alone, if the first is empty)."""
+        a, b = self._edges(one) if one else ("", (), "", ()), self._edges(two)
+        if a is None or b is None:
+            return False
+        (x, right, _, _), (_, _, y, left) = a, b
+        i = j = 0
+        while one:
+            across = self.v.score.get(x + y, NEVER)
+            own = right[i][0] if i < len(right) else NEVER
+            other = left[j][0] if j < len(left) else NEVER
+            if across > own and across >= other:  # of equal scores the join further left comes first
+                return False
+            if own == NEVER and other == NEVER:
+                break
+            if own >= other:
+                x, i = right[i][1], i + 1
+            else:
+                y, j = left[j][1], j + 1
+        return True
 
     def last_pieces(self, unit: str) -> list[str]:
-        """The last piece of the encoding of every prefix (the first entry, of the empty one, is empty)."""
-        n = len(unit)
-        ends: list[list[str]] = [[] for _ in range(n + 1)]
-        for at, piece in self.v.automaton.iter(unit):
-            ends[at + 1].append(piece)
-        table = [""] * (n + 1)
-        for at in range(1, n + 1):
-            for piece in ends[at]:
-                start = at - len(piece)
-                if (self.compatible(table[start], piece) if start else self._edges(piece) is not None):
-                    table[at] = piece
-                    break
-            else:  # no piece of the vocabulary: the character itself
-                table[at] = unit[at - 1]
+        """The last piece of the encoding of every prefix (the first entry, of the empty one, is empty).
+
+        Where no longer piece passes the test, it is the character itself, with or without a piece of the vocabulary.
+        """
+        table, pairs, found = ["", *unit], self.pairs, -1
+        for at, (size, piece, k) in self.v.automaton.iter(unit):
+            if at == found:
+                continue
+            before = table[at + 1 - size]
+            fine = pairs[k].get(before)
+            if fine is None:
+                fine = self.compatible(before, piece)
+                self.tested += 1
+                if self.tested > CACHE_PAIRS:
+                    for tests in pairs:
+                        tests.clear()
+                    self.tested = 1
+                pairs[k][before] = fine
+            if fine:
+                table[at + 1], found = piece, at
         return table
 
-    def _ids(self, unit: str) -> list[int]:
-        table, at, back = self.last_pieces(unit), len(unit), []
+    def _ids(self, text: str) -> list[bytes]:
+        """Ids of the stretches of ``text`` between its separators, packed."""
+        table, at, pieces, byte = self.last_pieces(text), len(text), self.v.pieces, self.v.byte
+        back, cut = [], [0]
         while at:
-            back.append(table[at])
-            at -= len(table[at])
-        pieces, out = self.v.pieces, []
-        for p in reversed(back):
+            p = table[at]
+            at -= len(p)
             i = pieces.get(p)
-            out.extend([i] if i is not None else [self.v.byte[b] for b in p.encode()])
+            if i is not None:
+                back.append(i)
+            elif p == BETWEEN:
+                cut.append(len(back))
+            else:
+                back.extend([byte[b] for b in reversed(p.encode())])
+        cut.append(len(back))
+        packed, n = np.array(back[::-1], np.int32).tobytes(), len(back)
+        return [packed[4 * (n - hi):4 * (n - lo)] for lo, hi in zip(cut[-2::-1], cut[:0:-1])]
+
+    def _learn(self, units: set[str]) -> dict[str, bytes]:
+        """Ids of units, which are cached unless they are very long."""
+        cut = {u: PART.findall(u) for u in units}
+        known = self.parts
+        new = [p for p in set(chain.from_iterable(cut.values())) if p not in known]
+        plain = [p for p in new if BETWEEN not in p and len(p) <= LONGEST_CACHED]
+        if plain:
+            known.update(zip(plain, self._ids(BETWEEN.join(plain).replace(" ", MARK))))
+        if len(plain) < len(new):
+            nul = np.int32(self.v.byte[0]).tobytes()  # the separator as a character of a text
+            odd = {p: nul.join(self._ids(p.replace(" ", MARK))) for p in set(new).difference(plain)}
+            known = {p: odd[p] if p in odd else known[p] for p in set(chain.from_iterable(cut.values()))}
+        out = {u: b"".join([known[p] for p in c]) for u, c in cut.items()}
+        small = {u: ids for u, ids in out.items() if len(u) <= LONGEST_CACHED}
+        self.units.update(small)
+        self.cached += sum(map(len, small)) + sum(map(len, plain))
         return out
 
-    def _known(self, unit: str) -> list[int]:
-        out = self.units.get(unit)
-        if out is None:
-            out = self._ids(unit)
-            if len(unit) <= LONGEST_CACHED:
-                self.cached += len(unit)
-                if self.cached > CACHE_CHARS:
-                    self.units.clear()
-                    self.cached = len(unit)
-                self.units[unit] = out
-        return out
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of texts, each closed by the end id."""
+        if self.cached > CACHE_CHARS:
+            self.units.clear()
+            self.parts.clear()
+            self.cached = 0
+        cut = [UNIT.findall(" " + (t.replace(MARK, " ") if MARK in t else t)) if t else [] for t in texts]
+        known = self.units.get
+        missed = {u for u in set(chain.from_iterable(cut)) if known(u) is None}
+        new = self._learn(missed) if missed else {}
+        end = np.int32(self.v.end).tobytes()
+        return [np.frombuffer(b"".join([known(u) or new[u] for u in units]) + end, np.int32) for units in cut]
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text, closed by the end id."""
-        if not text:
-            return [self.v.end]
-        units = UNIT.findall(MARK + text.replace(" ", MARK))
-        out = list(chain.from_iterable(map(self._known, units)))
-        out.append(self.v.end)
-        return out
+        return self.encode_all([text])[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids."""
@@ -205,8 +233,6 @@ class Codec:
         return out[1:] if first in self.v.opening else out
 
 
-UNIT = re.compile(f"{MARK}+[^{MARK}]*")
-
 
 def _read(raw: bytes) -> str:
     try:
@@ -244,21 +270,24 @@ def encode_texts(docs: DataFrame, model: str) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
 
-        def batch_of(ids, coded, decoded):
-            return pa.record_batch([pa.array(ids, pa.int64()), pa.array(coded, pa.list_(pa.int32())), pa.array(decoded, pa.string())], schema=OUT)
-
-        for batch in batches:
-            ids, coded, decoded, size = [], [], [], 0
+        def groups(batch):
+            """Rows whose texts have some MB together."""
+            rows, size = [], 0
             for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                got = own.encode(text.as_py() or "")
-                ids.append(i)
-                coded.append(got)
-                decoded.append(own.decode(got))
-                size += len(decoded[-1])
+                rows.append((i, text.as_py()))
+                size += len(rows[-1][1] or "")
                 if size > WRITE_CHARS:
-                    yield batch_of(ids, coded, decoded)
-                    ids, coded, decoded, size = [], [], [], 0
-            yield batch_of(ids, coded, decoded)
+                    yield rows
+                    rows, size = [], 0
+            yield rows
+
+        for batch in batches:
+            for rows in groups(batch):
+                coded = own.encode_all([t for _, t in rows])
+                offsets = np.cumsum([0, *map(len, coded)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(coded or [np.zeros(0, np.int32)])))
+                yield pa.record_batch([pa.array([i for i, _ in rows], pa.int64()), ids.cast(OUT.field("ids").type),
+                                       pa.array([own.decode(c.tolist()) for c in coded], pa.string())], schema=OUT)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(encode, OUT_DDL)
 
