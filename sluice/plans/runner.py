@@ -12,7 +12,6 @@ catalog table never stands in for a declared stage of its name.
 
 from __future__ import annotations
 
-import re
 from collections import OrderedDict
 from dataclasses import dataclass, field
 from typing import Mapping, Sequence
@@ -23,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sluice.operators.mapping import ColumnSpec, apply_column_map
 from sluice.operators.quality import Rule, audit, count_rules, drop_violations, enforce_fail, raise_failures
+from sluice.plans.plan_tree import relations_read
 from sluice.sources.declared import read_source
 
 
@@ -34,12 +34,6 @@ def _get(row: Mapping, key: str, default=None):
     return default if v is None else v
 
 
-def _names_read(spark: SparkSession, sql: str) -> set[str]:
-    """Unqualified relation names in a statement, as Spark's own parser lists them (lower case)."""
-    parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).toString()
-    return {n.strip("` ").lower() for n in re.findall(r"UnresolvedRelation \[([^\],]+)\]", parsed)}
-
-
 def _rules(row: Mapping) -> list[Rule]:
     return [Rule(v["validation_rule"], v["validation_action"]) for v in (_get(row, "validations") or [])]
 
@@ -145,7 +139,7 @@ class PipelineRun:
         self.preloaded = dict(preloaded or {})
         consumers: dict[str, set] = {}
         for st in _transformation_groups(spec.transformations):
-            reads = _names_read(self.spark, st["sql"]) if st["kind"] == "sql" else {str(st["origin"]).lower()}
+            reads = relations_read(self.spark, st["sql"]) if st["kind"] == "sql" else {str(st["origin"]).lower()}
             for name in reads:
                 consumers.setdefault(name, set()).add(("t", st["target"]))
         for d in spec.destinations:
@@ -211,7 +205,7 @@ class PipelineRun:
             progressed, waiting, last_error = False, [], None
             for i, st in enumerate(pending):
                 unmade = {s["target"].lower() for s in [*waiting, *pending[i + 1:]]} - {st["target"].lower()}
-                reads = _names_read(self.spark, st["sql"]) if st["kind"] == "sql" else {str(st["origin"]).lower()}
+                reads = relations_read(self.spark, st["sql"]) if st["kind"] == "sql" else {str(st["origin"]).lower()}
                 if reads & unmade:
                     waiting.append(st)
                     continue
@@ -250,11 +244,12 @@ class PipelineRun:
         return out
 
     def run(self, write: bool = True, full_refresh: bool = False, writer: str | None = None,
-            batch_id: int = 0) -> RunResult:
+            batch_id: int = 0, arrived: int | None = None, staged: bool = False) -> RunResult:
         """Build every stage and, with ``write``, write the destinations.
 
         FAIL audits are actions run while the stages are built, i.e. all of
         them before the first write, so a failing pipeline writes nothing.
+        ``writer``, ``batch_id``, ``arrived`` and ``staged`` are those of :func:`sluice.sinks.tables.write_destination`.
         """
         from sluice.sinks.tables import destination_tag, write_destination
 
@@ -270,7 +265,7 @@ class PipelineRun:
                 self.relations[d["target"]] = df
             if write:
                 for d, df in frames:
-                    write_destination(df, d, full_refresh=full_refresh, batch_id=batch_id,
+                    write_destination(df, d, full_refresh=full_refresh, batch_id=batch_id, arrived=arrived, staged=staged,
                                       writer=f"{writer}-{destination_tag(d)}" if writer else None)
                     written.append(d["target"])
         finally:
@@ -289,46 +284,7 @@ class PipelineRun:
         write_counts(self.spark, self.counts, path, run_id, batch_id)
 
 
-def run_stream(spark: SparkSession, spec: PipelineSpec, checkpoint: str, stream_target: str | None = None,
-               continuous: bool | str | None = False, interval: str = "1 minute",
-               full_refresh: bool = False, audit_path: str | None = None):
-    """Run a declared pipeline on a stream: one source is read with ``readStream``
-    and every micro-batch goes through the stages as a batch run.
-
-    * other sources are read as static relations in each micro-batch;
-    * FAIL rules are audited per micro-batch before anything of it is written;
-    * a micro-batch owns the folder of its (stream, batch id) in every destination, so a retried one is applied
-      once and other streams into the same destination are not touched;
-    * ``audit_path`` takes the rule counts of every micro-batch, LOG too;
-    * stages must be per-row or per-batch (column maps, filters, SQL on the
-      batch); state across batches is what the upsert destinations keep;
-    * ``full_refresh`` empties the destinations and the checkpoint first.
-    """
-    from sluice.sinks.batches import clear, delete_path, stream_writer
-    from sluice.sinks.tables import upsert_store_for
-    from sluice.streaming.stream import trigger_for
-
-    if not spec.sources:
-        raise ValueError("a streaming run needs a source")
-    src = next((s for s in spec.sources if s["target"] == stream_target), spec.sources[0])
-    static = read_source(spark, src["origin"], src["datatype"], _get(src, "params"))
-    stream_df = read_source(spark, src["origin"], src["datatype"], _get(src, "params"), stream=True,
-                            schema=static.schema)
-    if full_refresh:
-        for d in spec.destinations:
-            if d["mode"] == "upsert":
-                upsert_store_for(spark, d).truncate()
-            elif _get(d, "path"):
-                clear(spark, d["path"])
-        delete_path(spark, checkpoint)
-
-    def process(batch_df: DataFrame, batch_id: int) -> None:
-        writer = stream_writer(batch_df.sparkSession, checkpoint)
-        run = PipelineRun(batch_df.sparkSession, spec, isolate=False, preloaded={src["target"]: batch_df},
-                          count_logged=audit_path is not None)
-        run.run(write=True, writer=writer, batch_id=batch_id)
-        if audit_path:
-            run.write_audit(audit_path, writer, batch_id)
-
-    return (stream_df.writeStream.option("checkpointLocation", checkpoint)
-            .trigger(**trigger_for(continuous, interval)).foreachBatch(process).start())
+def run_stream(spark: SparkSession, spec: PipelineSpec, checkpoint: str, **options):
+    """Run a declared pipeline on a stream: :func:`sluice.plans.stream_runner.run_stream`."""
+    from sluice.plans import stream_runner
+    return stream_runner.run_stream(spark, spec, checkpoint, **options)

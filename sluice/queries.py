@@ -965,3 +965,133 @@ def q_stream_declared(spark, sf_dir):
     )
     run_stream(spark, spec, f"{root}/chk").awaitTermination()
     return UpsertStore(spark, f"{root}/latest", ["user_id"], "ts").read().select("event_id", "user_id", "ts", "amount")
+
+
+# ------------------------------------------------------------------ relation scope, running aggregates, several streams, refresh
+
+
+@register("sql_cte_order", """
+WITH mid AS (SELECT * FROM orders WHERE o_totalprice > 100000)
+SELECT o_orderpriority, count(*) AS n, max(k) AS k FROM mid, (SELECT count(*) AS k FROM orders) GROUP BY 1
+""")
+def q_sql_cte_order(spark, sf_dir):
+    """``WITH`` names equal to names of stages: the first stage's hides a later target, the second's shadows the relation it is made of."""
+    spec = PipelineSpec(
+        sources=[{"origin": f"{sf_dir.rstrip('/')}/orders.parquet", "datatype": "parquet", "target": "a"}],
+        transformations=[
+            {"origin": "a", "target": "counted", "sql_query": "WITH mid AS (WITH b AS (SELECT * FROM a) SELECT count(*) AS k FROM b) SELECT * FROM mid"},
+            {"origin": "mid", "target": "out", "sql_query":
+                "WITH mid AS (SELECT * FROM mid) SELECT o_orderpriority, count(*) AS n, (SELECT max(k) FROM counted) AS k FROM mid GROUP BY 1"},
+            {"origin": "a", "target": "mid", "sql_query": "SELECT * FROM a WHERE o_totalprice > 100000"}])
+    return PipelineRun(spark, spec).run(write=False).relations["out"]
+
+
+def _in_files(df, path: str, files: int) -> str:
+    """A table as several files, for streams of several micro-batches."""
+    df.repartition(files, *df.columns[:1]).write.parquet(path)
+    return path
+
+
+@register("stream_running_avg", """
+SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, max(ts) AS last FROM events WHERE value >= 2 GROUP BY event_type
+""")
+def q_stream_running_avg(spark, sf_dir):
+    """An aggregate over many micro-batches and a restart with more files equals the batch: Spark keeps the state, the store the last row per group."""
+    from sluice.plans.stream_runner import run_stream
+    root = scratch_root(spark, "stream_running_avg")
+    events = table(spark, sf_dir, "events")
+    spec = PipelineSpec(
+        sources=[{"origin": f"{root}/in", "datatype": "parquet", "target": "ev", "params": {"maxFilesPerTrigger": 2, "recursiveFileLookup": "true"},
+                  "validations": [{"validation_rule": "value >= 2", "validation_action": "DROP"}]}],
+        transformations=[{"origin": "ev", "target": "stats", "sql_query":
+                          "SELECT event_type, count(*) AS n, avg(value) AS mean, max(ts) AS last FROM ev GROUP BY event_type"}],
+        destinations=[{"origin": "stats", "target": "stats_out", "mode": "upsert", "path": f"{root}/out", "keys": ["event_type"], "sequence_by": "last"}])
+    for part in ("event_id % 2 = 0", "event_id % 2 = 1"):
+        _in_files(events.filter(part), f"{root}/in/{part[-1]}", 5)
+        run_stream(spark, spec, f"{root}/chk").awaitTermination()
+    return UpsertStore(spark, f"{root}/out", ["event_type"], "last").read().withColumn("mean", F.round("mean", 6))
+
+
+@register("stream_two_sources", """
+SELECT o_orderkey, o_totalprice, count(l_linenumber) AS n_lines, sum(l_quantity) AS quantity
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity > 25 GROUP BY 1, 2
+""")
+def q_stream_two_sources(spark, sf_dir):
+    """Two streamed sources joined by one SQL stage, in several micro-batches and with a restart between; the matches of all batches are counted up."""
+    from sluice.plans.stream_runner import run_stream
+    root = scratch_root(spark, "stream_two_sources")
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    files = {"maxFilesPerTrigger": 3, "recursiveFileLookup": "true"}
+    spec = PipelineSpec(
+        sources=[{"origin": f"{root}/o", "datatype": "parquet", "target": "o", "params": files},
+                 {"origin": f"{root}/l", "datatype": "parquet", "target": "l", "params": files}],
+        transformations=[{"origin": "o", "target": "matched", "sql_query":
+                          "SELECT o_orderkey, o_totalprice, l_linenumber, l_quantity FROM o JOIN l ON o_orderkey = l_orderkey WHERE l_quantity > 25"}],
+        destinations=[{"origin": "matched", "target": "m", "mode": "append", "path": f"{root}/out"}])
+    for k in range(2):  # lines of the first half meet orders of the second half only in the state
+        _in_files(orders.filter(f"o_orderkey % 2 = {k}"), f"{root}/o/{k}", 4)
+        _in_files(lines.filter(f"l_linenumber % 2 = {k}"), f"{root}/l/{k}", 4)
+        run_stream(spark, spec, f"{root}/chk", stream_target="*").awaitTermination()
+    return (batches.read_batches(spark, f"{root}/out").groupBy("o_orderkey", "o_totalprice")
+            .agg(F.count("l_linenumber").alias("n_lines"), F.sum("l_quantity").alias("quantity")))
+
+
+@register("stream_table_append", "SELECT * FROM events UNION ALL SELECT * FROM events WHERE value >= 5.0")
+def q_stream_table_append(spark, sf_dir):
+    """A stream and a batch run append to one catalog table; a replayed micro-batch adds nothing."""
+    from sluice.plans.stream_runner import run_stream
+    from sluice.sinks.tables import append_batch, destination_table, write_destination
+    root = scratch_root(spark, "stream_table_append")
+    dest = {"origin": "ev", "target": "t_" + root.rsplit("/", 1)[1], "mode": "append", "target_schema_name": "sluice_streams"}
+    spec = PipelineSpec(
+        sources=[{"origin": _in_files(table(spark, sf_dir, "events"), f"{root}/in", 4), "datatype": "parquet", "target": "ev",
+                  "params": {"maxFilesPerTrigger": 2}}], destinations=[dest])
+    run_stream(spark, spec, f"{root}/chk").awaitTermination()
+    write_destination(table(spark, sf_dir, "events").filter("value >= 5.0"), dest)
+    name = destination_table(spark, dest)
+    from sluice.sinks.tables import destination_tag
+    writer = f"{batches.stream_writer(spark, f'{root}/chk')}-{destination_tag(dest)}"
+    first = spark.read.schema(table(spark, sf_dir, "events").schema).parquet(f"{root}/in")
+    seen = spark.read.json(f"{root}/chk/sources/0/0").filter("path IS NOT NULL").select(F.element_at(F.split("path", "/"), -1).alias("file"))
+    append_batch(first.withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1)).join(seen, "file", "left_semi").drop("file"), name, writer, 0)
+    return spark.table(name)
+
+
+@register("upsert_replay_order", """
+SELECT o_custkey, 'b' AS batch, max(o_orderdate) AS o_orderdate FROM orders GROUP BY o_custkey
+""")
+def q_upsert_replay_order(spark, sf_dir):
+    """Batch 0 of writer a, then of writer b, then a's again: on equal sequences b's rows stay."""
+    latest = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("o_orderdate"))
+    store = UpsertStore(spark, scratch_root(spark, "upsert_replay_order"), ["o_custkey"], "o_orderdate")
+    for writer in ("a", "b", "a"):
+        store.merge(latest.withColumn("batch", F.lit(writer)), f"stream-{writer}", 0)
+    return store.read().select("o_custkey", "batch", "o_orderdate")
+
+
+@register("stream_full_refresh", """
+SELECT 'before' AS seen, event_id, value FROM events UNION ALL SELECT 'after', event_id, value FROM events WHERE value >= 5.0
+""")
+def q_stream_full_refresh(spark, sf_dir):
+    """A refresh that fails half-way leaves the old rows readable, the next one replaces them."""
+    from sluice.plans.stream_runner import run_stream
+    root = scratch_root(spark, "stream_full_refresh")
+    source = {"origin": _in_files(table(spark, sf_dir, "events").select("event_id", "value"), f"{root}/in", 4), "datatype": "parquet", "target": "ev",
+              "params": {"maxFilesPerTrigger": 1}}
+    dest = {"origin": "ev", "target": "out", "mode": "append", "path": f"{root}/out"}
+
+    def run(rules, **options):
+        spec = PipelineSpec(sources=[{**source, "validations": [{"validation_rule": r, "validation_action": a} for r, a in rules]}], destinations=[dest])
+        run_stream(spark, spec, f"{root}/chk", **options).awaitTermination()
+
+    run([])
+    ids = table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0]
+    try:
+        run([("value >= 5.0", "DROP"), (f"event_id < {ids}", "FAIL")], full_refresh=True)
+    except Exception as exc:  # noqa: BLE001 - the failure that is meant
+        if "validation failed" not in str(exc):
+            raise
+    before = batches.read_batches(spark, f"{root}/out").withColumn("seen", F.lit("before"))
+    before.write.parquet(f"{root}/before")
+    run([("value >= 5.0", "DROP")], full_refresh=True)
+    return spark.read.parquet(f"{root}/before").unionByName(batches.read_batches(spark, f"{root}/out").withColumn("seen", F.lit("after")))

@@ -33,9 +33,14 @@ def read_source(spark: SparkSession, origin: str, datatype: str, params: str | M
 
     File formats go through the DataFrame reader, so filters and projections
     written later are pushed into the scan by Catalyst.  A ``schema`` option in
-    ``params`` (DDL text) is applied as the reader schema.
+    ``params`` (DDL text) is applied as the reader schema.  A ``watermark`` option
+    (``<time column> <delay>``, e.g. ``ts 10 minutes``) bounds the state of streams; batch reads ignore it.
     """
     opts = decode_params(params)
+    watermark = opts.pop("watermark", None)
+    if stream and watermark:
+        column, _, delay = watermark.strip().partition(" ")
+        return read_source(spark, origin, datatype, opts, stream, schema).withWatermark(column, delay or "0 seconds")
     ddl = opts.pop("schema", None)
     schema = schema or ddl
     reader = spark.readStream if stream else spark.read

@@ -70,7 +70,8 @@ def upsert_stream(df: DataFrame, store: UpsertStore, checkpoint: str, rules: Seq
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         writer = batches.stream_writer(batch.sparkSession, checkpoint, store.path)
-        store.merge(_audited(batch, batch_id, rules, store.path, writer, audit_path), writer, batch_id)
+        store.merge(_audited(batch, batch_id, rules, store.path, writer, audit_path), writer, batch_id,
+                    arrived=batches.batch_time(batch.sparkSession, checkpoint, batch_id))
 
     return (df.writeStream.option("checkpointLocation", checkpoint)
             .trigger(**trigger_for(continuous, interval)).foreachBatch(merge).start())
