@@ -4,8 +4,8 @@
    frequencies over *all* documents (one pass); the vocabulary is the benchmark's, without
    terms more frequent than ``STOP`` of all words (the rarest of each passage always count).
 2. **Latent space.**  Benchmark texts are cut into passages; a randomised SVD of their TF-IDF
-   matrix (range finder with power steps, each a distributed product A'(A x)) gives
-   ``RANK`` directions.  Document passages are folded in: 64 words, every 32.
+   matrix A (range finder with power steps, each a distributed product A'(A x), then the small
+   decomposition of A'A in that range) gives the ``RANK`` leading right singular vectors.  Document passages are folded in: 64 words, every 32.
 3. **Candidates.**  Passages whose cosine with a benchmark passage reaches ``COSINE``.  The benchmark is
    the stated query set: it goes to the workers in blocks of at most ``BLOCK_ITEMS``
    items, so what is broadcast is bounded; every passage of every document is searched.
@@ -14,8 +14,8 @@
    fifth) must be there as well, which tells paraphrases from texts on the same subject.
 
 Nothing is shuffled but term counts.  Defined results: null or empty texts and items match
-nothing; items or passages under ``LEAST`` words are not searched (too short to be evidence); repeated
-rows give repeated matches; null ids are kept; other columns are ignored; an empty table or
+nothing; an item under ``LEAST`` words matches where exactly its words stand in a row, case and edge punctuation
+aside (even one word alone), found by the hash of the sequence; repeated rows give repeated matches; null ids are kept; other columns are ignored; an empty table or
 benchmark gives no rows.
 """
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.words import LOWER, U, Block, blocks, texts
+from sluice.llm.words import LOWER, U, Block, blocks, grams, texts
 
 SEGMENT = 32           # a passage is two segments
 ITEM_WORDS = 64        # longest benchmark passage
@@ -48,11 +48,15 @@ for _lo, _hi in ((48, 58), (65, 91), (97, 123)):
 
 
 def terms(b: Block) -> np.ndarray:
-    """Hash of each word without case and edge punctuation (a word of punctuation alone keeps its last byte)."""
-    start, end = b.start.copy(), b.end.copy()
-    for _ in range(4):
-        end -= (end - start > 1) & _EDGE[b.data[end - 1]]
-        start += (end - start > 1) & _EDGE[b.data[start]]
+    """Hash of each word without case and edge punctuation (a word of punctuation alone keeps its first byte)."""
+    place = np.arange(len(b.data))
+    solid = ~_EDGE[b.data]
+    after = np.minimum.accumulate(np.where(solid, place, len(place))[::-1])[::-1]   # the next byte inside a term
+    before = np.maximum.accumulate(np.where(solid, place, -1))                      # the last one so far
+    start, end = b.start, b.end
+    if len(start):
+        some = after[start] < end
+        start, end = np.where(some, after[start], start), np.where(some, before[end - 1] + 1, start + 1)
     return Block(b.lo, b.hi, LOWER[b.data], b.offs, start, end, b.first).hashes()
 
 
@@ -93,8 +97,7 @@ def _passages(batches):
                 own = h[b.first[d]:b.first[d + 1]]
                 parts = -(-len(own) // ITEM_WORDS)
                 for i, part in enumerate(np.array_split(own, parts) if parts else []):
-                    if len(part) >= LEAST:
-                        rows.append((ids[b.lo + d], i == parts - 1, part.tobytes()))
+                    rows.append((ids[b.lo + d], i == parts - 1, part.tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(PASSAGE.types)], schema=PASSAGE)
 
 
@@ -111,8 +114,9 @@ def _product(known: np.ndarray, idf: np.ndarray, x: np.ndarray):
         out = {}
         for batch in batches:
             for raw in batch.column(2).to_pylist():
-                at, w = _weights(np.frombuffer(raw, U), known, idf)
-                if len(at):
+                words = np.frombuffer(raw, U)
+                at, w = _weights(words, known, idf)
+                if len(at) and len(words) >= LEAST:
                     w = w / np.linalg.norm(w)
                     y = w @ x[at]
                     for i, v in zip(at.tolist(), w):
@@ -134,12 +138,14 @@ def latent(passages: DataFrame, known: np.ndarray, idf: np.ndarray, rank: int =
     """Terms x directions: the leading right singular vectors of the passages' TF-IDF matrix."""
     rng = np.random.Generator(np.random.PCG64(7))
     x = rng.standard_normal((len(known), min(rank, len(known))))
-    for _ in range(power):
+    for _ in range(power + 1):
         q, _ = np.linalg.qr(x)
         x = np.zeros_like(q)
         for r in passages.mapInArrow(_product(known, idf, q), ROW_DDL).groupBy("term").applyInArrow(_added, ROW_DDL).collect():  # a row per term
             x[r.term] = np.frombuffer(r.row)
-    return np.linalg.qr(x)[0].astype(np.float32)
+    # the small problem: A'A seen from the range that q spans; its eigenvectors turn q into singular vectors of A
+    square, turn = np.linalg.eigh(q.T @ x)
+    return (q @ turn[:, np.argsort(-square, kind="stable")]).astype(np.float32)
 
 
 def _lcs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -166,8 +172,12 @@ class Index:
     def __init__(self, rows, known, idf, space):
         self.known, self.idf, self.space = known, idf, space
         self.item, self.last, self.words, vec = [], [], [], []
+        short: dict[int, list] = {}
         for r in rows:
             words = np.frombuffer(r.words, U)
+            if len(words) < LEAST:
+                short.setdefault(len(words), []).append((int(grams(words, np.zeros(1, np.int64), len(words))[0]), r.item_id))
+                continue
             at, w = _weights(words, known, idf)
             if len(at):
                 self.item.append(r.item_id)
@@ -176,8 +186,74 @@ class Index:
                 vec.append((w[:, None] * space[at]).sum(0))
         self.lists = [w.tolist() for w in self.words]
         v = np.array(vec, np.float32).reshape(len(vec), space.shape[1])
-        self.least = 2 if min((len(set(_weights(w, known, idf)[0].tolist())) for w in self.words), default=0) >= 5 else 1  # one of five terms is below COSINE
         self.vec = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+        # terms that reach COSINE with a passage even when they are a segment's only one
+        size = np.maximum(np.linalg.norm(space, axis=1), 1e-9)
+        self.alone = ((space @ self.vec.T).max(axis=1, initial=-1) / size >= COSINE - 1e-3).astype(np.int64)
+        self.short = {k: sorted(v, key=lambda x: x[0]) for k, v in short.items()}  # (hash of the sequence, item) of the short items
+
+    def sequences(self, h: np.ndarray, b: Block):
+        """(text, item, first word) of the places where all words of a short item stand in a row."""
+        for k, own in self.short.items():
+            at = b.starts_of(k)
+            if not len(at):
+                continue
+            keys = np.array([key for key, _ in own], U)
+            g = grams(h, at, k)
+            lo, hi = np.searchsorted(keys, g), np.searchsorted(keys, g, "right")
+            for i in np.flatnonzero(hi > lo).tolist():
+                d = int(np.searchsorted(b.first, at[i], "right") - 1)
+                for j in range(lo[i], hi[i]):
+                    yield d, own[j][1], int(at[i] - b.first[d])
+
+
+def _candidates(ix: Index, b: Block, h: np.ndarray) -> dict:
+    """Checked matches of a block's texts: (text, item) -> (cosine, share, answer, word)."""
+    best: dict = {}
+    doc = b.doc
+    within = np.arange(len(h)) - b.first[:-1][doc]
+    n_seg = np.maximum(-(-np.diff(b.first) // SEGMENT), 1)
+    base = np.concatenate([[0], np.cumsum(n_seg)])
+    seg = base[:-1][doc] + within // SEGMENT
+    at = np.minimum(np.searchsorted(ix.known, h), len(ix.known) - 1)
+    hit = ix.known[at] == h
+    at, of = at[hit], seg[hit]
+    if not len(at):
+        return best
+    # a passage is a segment and the next of the same text; one whose only term cannot reach COSINE alone is no candidate
+    last = np.zeros(base[-1], bool)
+    last[base[1:] - 1] = True
+    hits = np.bincount(of, minlength=base[-1] + 1) + np.bincount(of, weights=ix.alone[at], minlength=base[-1] + 1)
+    some = np.flatnonzero(hits[:-1] + np.where(last, 0, hits[1:]) >= 2)
+    if not len(some):
+        return best
+    new = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+    row = np.zeros(base[-1] + 1, np.int64)  # 0: a segment without terms
+    row[of[new]] = np.arange(len(new)) + 1
+    vec = np.zeros((len(new) + 1, ix.space.shape[1]), np.float32)
+    vec[1:] = np.add.reduceat(ix.space[at] * ix.idf[at, None], new, axis=0)
+    pair = vec[row[some]] + vec[np.where(last[some], 0, row[some + 1])]
+    size = np.maximum(np.linalg.norm(pair, axis=1, keepdims=True), 1e-9)
+    cos = (pair / size) @ ix.vec.T
+    at_s = -1
+    for s, j in zip(*(i.tolist() for i in np.nonzero(cos >= COSINE))):
+        p = some[s]
+        d = int(np.searchsorted(base, p, "right") - 1)
+        lo = b.first[d] + max(0, (p - base[d] - 1) * SEGMENT)
+        hi = min(b.first[d + 1], b.first[d] + (p - base[d] + 3) * SEGMENT)
+        words, here = ix.words[j], h[lo:hi]
+        if s != at_s:
+            at_s, there = s, set(here.tolist())
+        if sum(w in there for w in ix.lists[j]) < LCS * len(words):
+            continue
+        used = _lcs(words, here)
+        share, tail = used.mean(), max(2, len(words) // 5)
+        answer = used[-tail:].mean()
+        if share >= SURE or share >= LCS and answer >= ANSWER:
+            key = (d, ix.item[j])
+            if key not in best or share > best[key][1]:
+                best[key] = (float(cos[s, j]), float(share), float(answer), int(lo - b.first[d]))
+    return best
 
 
 def _search(ix: Index):
@@ -185,49 +261,11 @@ def _search(ix: Index):
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), []
             for b in blocks(*texts(batch.column(1))):
-                h, doc = terms(b), b.doc
-                within = np.arange(len(h)) - b.first[:-1][doc]
-                n_seg = np.maximum(-(-np.diff(b.first) // SEGMENT), 1)
-                base = np.concatenate([[0], np.cumsum(n_seg)])
-                seg = base[:-1][doc] + within // SEGMENT
-                at = np.minimum(np.searchsorted(ix.known, h), len(ix.known) - 1)
-                hit = ix.known[at] == h
-                at, of = at[hit], seg[hit]
-                if not len(at):
-                    continue
-                # a passage is a segment and the next of the same text; those with too few terms cannot reach COSINE
-                last = np.zeros(base[-1], bool)
-                last[base[1:] - 1] = True
-                hits = np.bincount(of, minlength=base[-1] + 1)
-                some = np.flatnonzero(hits[:-1] + np.where(last, 0, hits[1:]) >= ix.least)
-                if not len(some):
-                    continue
-                new = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-                row = np.zeros(base[-1] + 1, np.int64)  # 0: a segment without terms
-                row[of[new]] = np.arange(len(new)) + 1
-                vec = np.zeros((len(new) + 1, ix.space.shape[1]), np.float32)
-                vec[1:] = np.add.reduceat(ix.space[at] * ix.idf[at, None], new, axis=0)
-                pair = vec[row[some]] + vec[np.where(last[some], 0, row[some + 1])]
-                size = np.maximum(np.linalg.norm(pair, axis=1, keepdims=True), 1e-9)
-                cos = (pair / size) @ ix.vec.T
-                best, at_s = {}, -1
-                for s, j in zip(*(i.tolist() for i in np.nonzero(cos >= COSINE))):
-                    p = some[s]
-                    d = int(np.searchsorted(base, p, "right") - 1)
-                    lo = b.first[d] + max(0, (p - base[d] - 1) * SEGMENT)
-                    hi = min(b.first[d + 1], b.first[d] + (p - base[d] + 3) * SEGMENT)
-                    words, here = ix.words[j], h[lo:hi]
-                    if s != at_s:
-                        at_s, there = s, set(here.tolist())
-                    if sum(w in there for w in ix.lists[j]) < LCS * len(words):
-                        continue
-                    used = _lcs(words, here)
-                    share, tail = used.mean(), max(2, len(words) // 5)
-                    answer = used[-tail:].mean()
-                    if share >= SURE or share >= LCS and answer >= ANSWER:
-                        key = (d, ix.item[j])
-                        if key not in best or share > best[key][1]:
-                            best[key] = (float(cos[s, j]), float(share), float(answer), int(lo - b.first[d]))
+                h = terms(b)
+                best = _candidates(ix, b, h) if len(ix.item) else {}
+                for d, item, word in ix.sequences(h, b):
+                    if (d, item) not in best or best[d, item][1] < 1:
+                        best[d, item] = (1.0, 1.0, 1.0, word)
                 rows += [(ids[b.lo + d], item, word, c, share, answer) for (d, item), (c, share, answer, word) in sorted(best.items(), key=str)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(MATCH.types)], schema=MATCH)
     return fn
@@ -258,20 +296,22 @@ def _indexes(docs: DataFrame, benchmark: DataFrame):
         rows = passages.collect()  # the stated query set, one bounded block of it
         if not rows:
             continue
-        known = np.unique(np.concatenate([np.frombuffer(r.words, U) for r in rows]))
-        count = docs.select("text").mapInArrow(_counted(known), TERM_DDL).groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row per benchmark term
-        n = {r.term: r.n for r in count}
-        total = n.get(-1, 0)
-        freq = np.array([n.get(i, 0) for i in range(len(known))], float)
-        ok = freq <= max(STOP * total, 20)
-        for r in rows:  # every passage keeps its rarest terms
-            own = np.searchsorted(known, np.unique(np.frombuffer(r.words, U)))
-            ok[own[np.argsort(freq[own], kind="stable")[:RAREST]]] = True
-        known, idf = known[ok], np.log((total + 1) / (freq[ok] + 1)).astype(np.float32)
-        if not len(known):
-            continue
-        index = Index(rows, known, idf, latent(passages, known, idf))
-        if len(index.item):
+        long_ = [r for r in rows if len(r.words) >= LEAST * 8]
+        known, idf, space = np.zeros(0, U), np.zeros(0, np.float32), np.zeros((0, 1), np.float32)
+        if long_:
+            known = np.unique(np.concatenate([np.frombuffer(r.words, U) for r in long_]))
+            count = docs.select("text").mapInArrow(_counted(known), TERM_DDL).groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row per benchmark term
+            n = {r.term: r.n for r in count}
+            total = n.get(-1, 0)
+            freq = np.array([n.get(i, 0) for i in range(len(known))], float)
+            ok = freq <= max(STOP * total, 20)
+            for r in long_:  # every passage keeps its rarest terms
+                own = np.searchsorted(known, np.unique(np.frombuffer(r.words, U)))
+                ok[own[np.argsort(freq[own], kind="stable")[:RAREST]]] = True
+            known, idf = known[ok], np.log((total + 1) / (freq[ok] + 1)).astype(np.float32)
+            space = latent(passages, known, idf)
+        index = Index(rows, known, idf, space)
+        if index.item or index.short:
             yield index
 
 

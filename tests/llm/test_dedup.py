@@ -169,3 +169,31 @@ def test_decontamination(spark, docs_of):
 
 def test_words_counted_alike():
     assert Counter(WORD.findall("a\x0bb c")) == Counter(["a", "b c"])
+
+
+def test_decontamination_of_short_items_and_any_punctuation(spark, docs_of):
+    bench = spark.createDataFrame([(1, "What is the boiling point?"), (2, "Yes"), (3, None), (4, "name the seven largest lakes of Africa now")], "item_id long, text string")
+    rows = [(1, "He asked: What is the boiling point?!?!?! Nobody knew."), (2, "what is the BOILING\n point"), (3, "the boiling point is what"),
+            (4, '"""""yes......, said she'), (5, "yesterday"), (6, "name the seven largest lakes of Africa now " + "x " * 100), (7, "....... !!!"), (8, None)]
+    got = {(m.doc_id, m.item_id) for m in matches(docs_of(rows), bench).collect()}
+    assert got == {(1, 1), (2, 1), (4, 2), (6, 4)}
+    assert {r.doc_id for r in decontaminated(docs_of(rows), bench).collect()} == {3, 5, 7, 8}
+    assert {m.item_id for m in matches(docs_of(rows), bench.filter("item_id = 2")).collect()} == {2}  # short items alone
+
+
+def test_latent_space_is_that_of_the_singular_vectors(spark):
+    import numpy as np
+
+    from sluice.llm.decontaminate import PASSAGE_DDL, latent
+    r = np.random.Generator(np.random.PCG64(3))
+    known = np.sort(r.choice(2**40, 60, replace=False).astype(np.uint64))
+    idf = r.uniform(0.5, 3, 60).astype(np.float32)
+    rows = [r.choice(known, 20, replace=False) for _ in range(30)]
+    space = latent(spark.createDataFrame([(i, True, w.tobytes()) for i, w in enumerate(rows)], PASSAGE_DDL), known, idf, rank=40, power=2)
+    a = np.zeros((30, 60))
+    for i, w in enumerate(rows):
+        at = np.searchsorted(known, w)
+        a[i, at] = idf[at] / np.linalg.norm(idf[at])
+    _, sizes, vectors = np.linalg.svd(a, full_matrices=False)
+    assert np.allclose(np.linalg.norm(a @ space[:, :20], axis=0), sizes[:20], rtol=1e-3)  # singular values, in order
+    assert np.allclose(np.abs(np.sum(space[:, :5].T * vectors[:5], axis=1)), 1, atol=1e-2)
