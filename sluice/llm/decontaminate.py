@@ -45,18 +45,19 @@ _EDGE = np.ones(256, bool)
 _EDGE[128:] = False
 for _lo, _hi in ((48, 58), (65, 91), (97, 123)):
     _EDGE[_lo:_hi] = False
+_EDGE_BYTES = bytes(np.flatnonzero(_EDGE).tolist())
 
 
 def terms(b: Block) -> np.ndarray:
-    """Hash of each word without case and edge punctuation (a word of punctuation alone keeps its first byte)."""
-    place = np.arange(len(b.data))
-    solid = ~_EDGE[b.data]
-    after = np.minimum.accumulate(np.where(solid, place, len(place))[::-1])[::-1]   # the next byte inside a term
-    before = np.maximum.accumulate(np.where(solid, place, -1))                      # the last one so far
-    start, end = b.start, b.end
-    if len(start):
-        some = after[start] < end
-        start, end = np.where(some, after[start], start), np.where(some, before[end - 1] + 1, start + 1)
+    """Hash of each word without case and edge punctuation (a word of punctuation alone keeps one byte of it)."""
+    start, end = b.start.copy(), b.end.copy()
+    for _ in range(4):
+        end -= (end - start > 1) & _EDGE[b.data[end - 1]]
+        start += (end - start > 1) & _EDGE[b.data[start]]
+    for i in np.flatnonzero((end - start > 1) & (_EDGE[b.data[end - 1]] | _EDGE[b.data[start]])).tolist() if len(start) else []:  # few have more
+        word = b.data[start[i]:end[i]].tobytes()
+        left = len(word) - len(word.lstrip(_EDGE_BYTES))
+        start[i], end[i] = (start[i] + left, start[i] + len(word.rstrip(_EDGE_BYTES))) if left < len(word) else (start[i], start[i] + 1)
     return Block(b.lo, b.hi, LOWER[b.data], b.offs, start, end, b.first).hashes()
 
 
