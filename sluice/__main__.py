@@ -42,10 +42,14 @@ def cmd_ingest(args) -> int:
 
 def cmd_run(args) -> int:
     from sluice.plans.runner import PipelineRun, PipelineSpec, run_stream
+    from sluice.sources.settings import run_mode
     spark = _session()
     spec = PipelineSpec.from_tables(*_tables(spark, args.database), args.name, args.schema, args.catalog)
     if args.stream:
-        run_stream(spark, spec, args.checkpoint, continuous=args.continuous,
+        continuous = args.continuous
+        if not continuous and spark.catalog.tableExists(f"{args.database}.pipeline_settings"):
+            continuous = run_mode(spark.table(f"{args.database}.pipeline_settings"), args.name, args.schema, args.catalog)
+        run_stream(spark, spec, args.checkpoint, stream_target=args.streams or None, continuous=continuous,
                    full_refresh=args.full_refresh, audit_path=args.audit).awaitTermination()
     else:
         run = PipelineRun(spark, spec, checkpoint_failable=args.checkpoint_fail_stages,
@@ -88,7 +92,8 @@ def main(argv=None) -> int:
     p.add_argument("--catalog")
     p.add_argument("--stream", action="store_true")
     p.add_argument("--checkpoint", help="checkpoint folder for --stream")
-    p.add_argument("--continuous", action="store_true")
+    p.add_argument("--streams", nargs="*", help="targets of the streamed sources with --stream (default: the first)")
+    p.add_argument("--continuous", action="store_true", help="run on; by default as the pipeline's settings file says")
     p.add_argument("--full-refresh", action="store_true")
     p.add_argument("--checkpoint-fail-stages", action="store_true")
     p.add_argument("--audit", help="append the rule counts (batch or per micro-batch) to this path")

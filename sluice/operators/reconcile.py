@@ -59,8 +59,8 @@ def lookup(left: DataFrame, table: DataFrame, key: str, value: str, order: str |
 
 def matching(declared: DataFrame, deployed: DataFrame, key: str = "name", id_col: str = "pipeline_id",
              order: str | Column | None = None, keep: Sequence[str] = ("target_catalog_name", "target_schema_name")) -> DataFrame:
-    """Declared rows that are deployed, carrying the deployed id (last duplicate wins)."""
-    dep = deployed if order is None else last_by(deployed, key, id_col, order)
+    """Declared rows that are deployed, carrying the deployed id: of repeated names the last by ``order`` (by id if none is given)."""
+    dep = last_by(deployed, key, id_col, id_col if order is None else order)
     return (declared.drop(id_col).join(dep.select(key, id_col), key, "inner")
             .select(*keep, key, id_col))
 
@@ -102,9 +102,10 @@ def deploy_targets(declared: DataFrame, deployed: DataFrame, key: str = "name",
                    keep: Sequence[str] = ("target_catalog_name", "target_schema_name")) -> DataFrame:
     """Declared rows with the id to update, or NULL for those to create: :func:`new` and :func:`matching` in one left join.
 
-    A known declared id stays, else the deployed one is taken (last duplicate wins when ``order`` is given).
+    A known declared id stays, else the deployed one is taken: of repeated names the last by ``order``, or, rows having no order of
+    their own, by id if none is given.
     """
-    dep = deployed if order is None else last_by(deployed, key, id_col, order)
+    dep = last_by(deployed, key, id_col, id_col if order is None else order)
     joined = declared.join(dep.select(key, F.col(id_col).alias("__deployed_id")), key, "left")
     return joined.select(*keep, key, F.coalesce(id_col, "__deployed_id").alias(id_col))
 

@@ -2,7 +2,8 @@
 
 discover -> parse -> stamp identity (from the folder names) -> one row per
 stage element -> expand column-map CSVs / attach SQL files -> clean empty
-values -> audit -> overwrite ``<db>.sources / transformations / destinations``.
+values -> audit -> overwrite ``<db>.sources / transformations / destinations`` (and ``<db>.pipeline_settings``
+with the run modes).
 
 Problems of every kind are gathered in one relation (``kind, path, detail``)
 instead of stopping at the first; :func:`write_metadata` refuses to write
@@ -26,6 +27,7 @@ from sluice.sinks.batches import path_exists
 from sluice.sinks.tables import create_database, overwrite_table
 from sluice.sources.configs import (ambiguous_files, list_config_files, parse_documents, read_column_maps,
                                     read_sql_files)
+from sluice.sources.settings import load_settings
 
 PROBLEMS_DDL = "kind string, path string, detail string"
 
@@ -36,6 +38,7 @@ class IngestResult:
     transformations: DataFrame
     destinations: DataFrame
     problems: DataFrame
+    settings: DataFrame | None = None
 
     def tables(self) -> dict[str, DataFrame]:
         return {"sources": self.sources, "transformations": self.transformations,
@@ -163,10 +166,13 @@ def load_configs(spark: SparkSession, root: str, strict_xor: bool = False) -> In
     problems.append(duplicate_targets(targets, ["__file"]).select(
         F.lit("duplicate_target").alias("kind"), F.col("__file").alias("path"), F.col("target").alias("detail")))
 
+    settings, bad_settings = load_settings(spark, root)
+    problems.append(bad_settings)
+
     all_problems = problems[0]
     for p in problems[1:]:
         all_problems = all_problems.unionByName(p)
-    return IngestResult(*(_conform(cleaned[s], s) for s in STAGES), all_problems)
+    return IngestResult(*(_conform(cleaned[s], s) for s in STAGES), all_problems, settings)
 
 
 class ConfigProblems(RuntimeError):
@@ -189,6 +195,8 @@ def write_metadata(spark: SparkSession, result: IngestResult, database: str = "s
     create_database(spark, database)
     for stage, df in result.tables().items():
         overwrite_table(df, f"{database}.{stage}")
+    if result.settings is not None:
+        overwrite_table(result.settings, f"{database}.pipeline_settings")
 
 
 def create_backend_objects(spark: SparkSession, root: str, database: str = "sluice") -> IngestResult:

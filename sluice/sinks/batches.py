@@ -59,12 +59,17 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 def read_text(spark: SparkSession, path: str) -> str | None:
     """A small text file (``None`` if it is missing)."""
+    raw = read_bytes(spark, path)
+    return None if raw is None else raw.decode()
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes | None:
     fs, jpath = _fs(spark, path)
     if not fs.exists(jpath):
         return None
     stream = fs.open(jpath)
     try:
-        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
     finally:
         stream.close()
 

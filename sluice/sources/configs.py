@@ -107,10 +107,15 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             "parse_error": [o[1] for o in out], "shape_errors": [o[2] for o in out]})
 
 
+def parse_texts(files: DataFrame) -> DataFrame:
+    """``path, json_text, parse_error, shape_errors`` of files in any of the formats."""
+    return files.select("path", "suffix", "content").mapInPandas(
+        _parse_batches, "path string, json_text string, parse_error string, shape_errors array<string>")
+
+
 def parse_documents(files: DataFrame) -> DataFrame:
     """``path, doc, parse_error, shape_errors`` with ``doc`` typed as :data:`sluice.model.DOCUMENT`."""
-    parsed = files.select("path", "suffix", "content").mapInPandas(
-        _parse_batches, "path string, json_text string, parse_error string, shape_errors array<string>")
+    parsed = parse_texts(files)
     return parsed.select("path", F.from_json("json_text", DOCUMENT).alias("doc"), "parse_error", "shape_errors",
                          F.from_json("json_text", "map<string,string>").alias("__top"))
 
@@ -132,7 +137,7 @@ def _map_rows(content: bytes) -> list[dict]:
             if row.get(None):
                 raise ValueError(f"a row has {len(row[None])} cell(s) more than the header")
             rows.append({n: row.get(n) or None for n in names} | {"map_error": None})
-        return rows
+        return rows or [{n: None for n in names} | {"map_error": "the column map has no rows"}]
     except (UnicodeDecodeError, csv.Error, ValueError) as exc:
         return [{n: None for n in names} | {"map_error": f"not a valid column map: {exc}"}]
 

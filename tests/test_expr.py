@@ -60,3 +60,27 @@ def test_guarded_casts_equal_try_cast(spark):
         a, b = cast_to(F.col("s"), name, T.StringType()), F.col("s").try_cast(name)
         same = a.eqNullSafe(b) | (F.isnan(a) & F.isnan(b) if name == "double" else F.lit(False))
         assert df.filter(~same).count() == 0, name
+
+
+@pytest.mark.parametrize("text, value", [
+    ("F.transform(F.col('a'), lambda x: x + 1)", [2, 3, None]),
+    ("F.filter(F.col('a'), lambda x: x.isNotNull() & (x > 1))", [2]),
+    ("F.aggregate(F.col('a'), F.lit(0), lambda acc, x: acc + F.coalesce(x, F.lit(0)), lambda r: r * 10)", 30),
+    ("F.transform(F.col('a'), lambda x: F.filter(F.col('a'), lambda y: y > x))", [[2], [], []]),
+    ("F.transform(col='a', f=lambda x, i: i)", [0, 1, 2]),
+    ("F.map_filter(F.col('m'), lambda k, v: v > 2)", {"z": 5}),
+])
+def test_lambdas_become_spark_lambda_variables(spark, text, value):
+    df = spark.sql("SELECT array(1, 2, NULL) AS a, map('k', 1, 'z', 5) AS m")
+    assert df.select(transform_to_column(text)).first()[0] == value
+
+
+@pytest.mark.parametrize("text", [
+    "F.upper(lambda x: x)", "F.transform(F.col('a'), lambda *x: x)", "F.transform(F.col('a'), lambda x: __import__('os'))",
+    "F.transform(F.col('a'), lambda F: F)", "F.transform(F.col('a'), lambda x: x.__class__)", "F.transform(F.col('a'), lambda x: y)",
+    "(lambda x: x)(F.col('a'))", "F.transform(F.col('a'), lambda x=1: x)",
+])
+def test_other_lambdas_are_refused(spark, text):
+    df = spark.sql("SELECT array(1) AS a")
+    with pytest.raises(UnsafeExpression):
+        df.select(transform_to_column(text))

@@ -227,3 +227,35 @@ def test_missing_files_wrong_shapes_and_cross_row_conflicts_are_rows(spark, tmp_
         "destinations[0].keys: expected a list, got str", "sources: expected a list, got dict",
         "transformations[4].origin: expected text, got int"]
     assert any(k == "bad_config_file" and d.startswith("wide.csv") for k, d in got)
+
+
+def test_settings_files_decide_the_run_mode(spark, tmp_path):
+    import pathlib
+
+    from sluice.sources.settings import load_settings, run_mode
+    from sluice.streaming.stream import trigger_for
+
+    def put(where, text):
+        path = pathlib.Path(tmp_path, "pipelines", *where.split("/"))
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(text if isinstance(text, bytes) else text.encode())
+
+    put("c/s/on/_pipeline_settings.json", '{"name": "on", "continuous": "true", "clusters": [{"label": "x"}]}')
+    put("c/s/off/_pipeline_settings.yaml", "continuous: false\n")
+    put("c/s/none/_pipeline_settings.toml", 'name = "none"\n')
+    put("c/s2/on/_pipeline_settings.json", '{"continuous": false}')
+    put("c/s/twice/_pipeline_settings.json", "{}")
+    put("c/s/twice/_pipeline_settings.yml", "{}")
+    put("c/s/broken/_pipeline_settings.json", b"{\xff")
+    put("c/s/odd/_pipeline_settings.json", '{"continuous": "perhaps"}')
+    put("c/s/other/_job_settings.json", "not read")
+    settings, problems = load_settings(spark, str(tmp_path))
+    settings = settings.persist()
+    assert run_mode(settings, "on", "s") and not run_mode(settings, "on", "s2", "c")
+    assert not run_mode(settings, "off") and not run_mode(settings, "none") and not run_mode(settings, "missing")
+    with pytest.raises(ValueError, match="differ"):
+        run_mode(settings, "on")
+    assert trigger_for(run_mode(settings, "on", "s")) == {"processingTime": "1 minute"}
+    assert sorted((p.kind, p.path.split("/")[-2]) for p in problems.collect()) == [
+        ("ambiguous_file", "twice"), ("invalid_settings", "odd"), ("parse_error", "broken")]
+    assert load_settings(spark, f"{tmp_path}/nowhere")[0].count() == 0
