@@ -1095,3 +1095,135 @@ def q_stream_full_refresh(spark, sf_dir):
     before.write.parquet(f"{root}/before")
     run([("value >= 5.0", "DROP")], full_refresh=True)
     return spark.read.parquet(f"{root}/before").unionByName(batches.read_batches(spark, f"{root}/out").withColumn("seen", F.lit("after")))
+
+
+# ------------------------------------------------------------------ ingestion on the shipped path
+
+
+def _pipelines(spark, sf_dir):
+    """One pipeline per supplier: its folders ``c=<region>/s=<nation>/p=<flow>`` and its key."""
+    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return s.select(F.concat(F.lit("r_"), "n_regionkey").alias("c"), F.concat(F.lit("n_"), "n_nationkey").alias("s"),
+                    F.concat(F.lit("flow_"), "s_suppkey").alias("p"), F.col("s_suppkey").alias("k"), "n_regionkey")
+
+
+def _definitions(df, root: str, **stages):
+    """Write one definition file per pipeline (rows of one pipeline go to one file)."""
+    doc = [F.expr(v).alias(n) if isinstance(v, str) else v.alias(n) for n, v in stages.items()]
+    df.select("c", "s", "p", *doc).repartition("c", "s", "p").write.mode("append").partitionBy("c", "s", "p").json(f"{root}/pipelines")
+
+
+@register("ingest_stage_rows", """
+WITH f AS (SELECT 'c=r_' || n_regionkey AS catalog, 's=n_' || n_nationkey AS "schema", 'p=flow_' || s_suppkey AS pipeline, s_suppkey AS k, n_regionkey AS r
+           FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT 'sources' AS stage, catalog, "schema", pipeline, '/data/' || k AS origin, 'raw_' || k AS target, NULL::INTEGER AS column_order, NULL AS detail,
+       'k > 0:LOG' AS rules FROM f
+UNION ALL SELECT 'transformations', catalog, "schema", pipeline, 'raw_' || k, 'mapped_' || k, n_nationkey, n_name || '>' || lower(n_name) || ':string',
+       CASE WHEN n_name < 'F' THEN 'length(' || n_name || ') > 3:DROP' END FROM f JOIN nation ON n_regionkey = r
+UNION ALL SELECT 'transformations', catalog, "schema", pipeline, 'mapped_' || k, 'agg_' || k, 1, 'SELECT count(*) AS n FROM mapped', NULL FROM f
+UNION ALL SELECT 'transformations', catalog, "schema", pipeline, 'agg_' || k, 'more_' || k, 1, 'SELECT n + ' || k || ' AS n FROM agg_' || k, NULL FROM f
+UNION ALL SELECT 'destinations', catalog, "schema", pipeline, 'more_' || k, 'out_' || k, NULL,
+       CASE WHEN k % 2 = 0 THEN 'append|/pipelines/' || catalog || '/' || "schema" || '/' || pipeline || '/out|' ELSE 'upsert||n' END, NULL FROM f
+""")
+def q_ingest_stage_rows(spark, sf_dir):
+    """Definition files written from the tables, with column maps by CSV, SQL files and inline SQL, read back as stage rows."""
+    from sluice.functions.text import normalize_path
+    from sluice.plans.ingest import load_configs
+    root = scratch_root(spark, "ingest_stage_rows")
+    n = table(spark, sf_dir, "nation")
+    drop = F.col("n_name") < "F"
+    (n.select("n_regionkey", F.col("n_nationkey").alias("column_order"), F.col("n_name").alias("source_column_name"), F.lit("string").alias("source_column_type"),
+              F.lower("n_name").alias("dest_column_name"), F.lit("string").alias("dest_column_type"), F.lit("").alias("transform_function"),
+              F.when(drop, F.concat(F.lit("length("), F.col("n_name"), F.lit(") > 3"))).alias("validation_rule"), F.when(drop, "DROP").alias("validation_action"))
+     .repartition("n_regionkey").write.partitionBy("n_regionkey").option("header", "true").csv(f"{root}/maps"))
+    maps = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").load(f"{root}/maps")
+            .select(normalize_path(F.col("path")).alias("map")).withColumn("n_regionkey", F.regexp_extract("map", r"n_regionkey=(\d+)", 1).cast("int")))
+    batches.write_text(spark, f"{root}/agg.sql", "SELECT count(*) AS n FROM mapped")
+    rule = "array(named_struct('validation_rule', 'k > 0', 'validation_action', 'LOG'))"
+    _definitions(_pipelines(spark, sf_dir).join(maps, "n_regionkey"), root,
+                 sources=f"array(named_struct('origin', concat('/data/', k), 'datatype', 'parquet', 'target', concat('raw_', k), 'validations', {rule}))",
+                 transformations=f"""array(named_struct('origin', concat('raw_', k), 'target', concat('mapped_', k), 'config', map, 'sql_query', null),
+                     named_struct('origin', concat('mapped_', k), 'target', concat('agg_', k), 'config', '{root}/agg.sql', 'sql_query', null),
+                     named_struct('origin', concat('agg_', k), 'target', concat('more_', k), 'config', null, 'sql_query', concat('SELECT n + ', k, ' AS n FROM agg_', k)))""",
+                 destinations="""array(named_struct('origin', concat('more_', k), 'target', concat('out_', k), 'mode', if(k % 2 = 0, 'append', 'upsert'),
+                     'path', if(k % 2 = 0, 'out', null), 'keys', if(k % 2 = 0, null, array('n')), 'sequence_by', if(k % 2 = 0, null, 'n')))""")
+    got = load_configs(spark, root)
+    plain = normalize_path(F.lit(root))
+    mapped = F.concat("source_column_name", F.lit(">"), F.col("dest_column_name"), F.lit(":"), F.col("dest_column_type"))
+    written = F.concat("mode", F.lit("|"), F.coalesce(F.replace(F.col("path"), plain, F.lit("")), F.lit("")), F.lit("|"), F.array_join(F.coalesce("keys", F.array()), ","))
+
+    def rows(stage, df, order, detail, rules):
+        return df.select(F.lit(stage).alias("stage"), F.col("target_catalog_name").alias("catalog"), F.col("target_schema_name").alias("schema"),
+                         F.col("pipeline_name").alias("pipeline"), "origin", "target", order.cast("int").alias("column_order"),
+                         detail.cast("string").alias("detail"), F.when(F.size(rules) > 0, _rule_text(rules)).alias("rules"))
+
+    def _rule_text(v):
+        return F.array_join(F.transform(v, lambda x: F.concat(x.validation_rule, F.lit(":"), x.validation_action)), ";")
+
+    none = F.lit(None)
+    return (rows("sources", got.sources, none, none, F.col("validations"))
+            .unionByName(rows("transformations", got.transformations, F.col("column_order"), F.coalesce("sql_query", mapped), F.col("validations")))
+            .unionByName(rows("destinations", got.destinations, none, written, F.col("validations"))))
+
+
+@register("ingest_problems", """
+SELECT ['', 'parse_error', 'invalid_shape', 'no_stage', 'bad_config_file', 'missing_config_file', 'invalid_source', 'invalid_destination', 'duplicate_target',
+        'conflicting_rules', 'invalid_transformation'][s_suppkey % 11 + 1] AS kind, 'p=flow_' || s_suppkey AS pipeline, 1 AS n
+FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 11 <> 0
+""")
+def q_ingest_problems(spark, sf_dir):
+    """Files with one problem each (a tenth of the pipelines per kind), and as many without any."""
+    from sluice.plans.ingest import load_configs
+    root = scratch_root(spark, "ingest_problems")
+    flows = _pipelines(spark, sf_dir)
+
+    def source(target="'raw'", datatype="'parquet'"):
+        return f"named_struct('origin', '/data', 'datatype', {datatype}, 'target', {target})"
+
+    def stage(**fields):
+        names = ("origin", "target", "config", "sql_query", "source_column_name", "validations")
+        return "named_struct(" + ", ".join(f"'{n}', {fields.get(n, 'null')}" for n in names) + ")"
+
+    def rule(action):
+        return f"array(named_struct('validation_rule', 'x > 0', 'validation_action', '{action}'))"
+
+    clash = ", ".join(stage(origin="'a'", target="'t'", source_column_name=f"'{c}'", validations=rule(a)) for c, a in (("x", "LOG"), ("y", "DROP")))
+    cases = [
+        {"sources": f"array({source()})"}, {"sources": f"array({source()})"}, {"sources": source()}, {"other": "1"},
+        {"transformations": f"array({stage(origin=chr(39) + 'a' + chr(39), target=chr(39) + 't' + chr(39), config=chr(39) + 'map.txt' + chr(39))})"},
+        {"transformations": f"array({stage(origin=chr(39) + 'a' + chr(39), target=chr(39) + 't' + chr(39), config=chr(39) + 'gone.csv' + chr(39))})"},
+        {"sources": f"array({source(datatype=chr(39) * 2)})"},
+        {"destinations": "array(named_struct('origin', 'a', 'target', 't', 'mode', 'sideways'))"},
+        {"sources": f"array({source()}, {source()})"},
+        {"transformations": f"array({clash})"},
+        {"transformations": f"array({stage(origin=chr(39) + 'a' + chr(39), target=chr(39) + 't' + chr(39))})"}]
+    for i, stages in enumerate(cases):
+        own = flows.filter(F.col("k") % len(cases) == i)
+        _definitions(own.unionByName(own) if i == 1 else own, root, **stages)  # two documents in one file are not one
+    found = load_configs(spark, root).problems
+    return found.groupBy("kind", F.regexp_extract("path", "(p=flow_[0-9]+)", 1).alias("pipeline")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
+@register("deployed_jobs", """
+SELECT 'job-' || c_custkey AS job_name, c_custkey AS job_id, min(o_orderkey)::VARCHAR AS pipeline_id
+FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey
+""")
+def q_deployed_jobs(spark, sf_dir):
+    """Job listing records with nested tasks: the first task's pipeline, jobs without tasks dropped."""
+    tasks = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct(F.struct(
+        F.col("o_orderkey").alias("pipeline_id")).alias("pipeline_task")))).alias("tasks"))
+    jobs = table(spark, sf_dir, "customer").join(tasks, F.col("c_custkey") == F.col("o_custkey"), "left")
+    listing = jobs.select(F.col("c_custkey").alias("job_id"), F.struct(F.concat(F.lit("job-"), "c_custkey").alias("name"),
+                                                                       F.coalesce("tasks", F.array().cast(jobs.schema["tasks"].dataType)).alias("tasks")).alias("settings"))
+    return R.deployed_jobs(listing)
+
+
+@register("higher_order_map", """
+SELECT conv_id, turn, list_transform(list_filter(string_split(text, ' '), lambda x: length(x) > 4), lambda x: x || '!') AS long_words FROM conversations
+""")
+def q_higher_order_map(spark, sf_dir):
+    """A column map whose transform is a lambda in the functions' spelling."""
+    return apply_column_map(table(spark, sf_dir, "conversations"), [
+        ColumnSpec("conv_id", column_order=1), ColumnSpec("turn", column_order=2),
+        ColumnSpec(dest_column_name="long_words", column_order=3, transform_function=(
+            "F.transform(F.filter(F.split(F.col('text'), ' '), lambda x: F.length(x) > 4), lambda x: F.concat(x, F.lit('!')))"))])
