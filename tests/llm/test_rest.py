@@ -41,7 +41,7 @@ def docs_of(spark):
 @pytest.mark.parametrize("name", sorted(Q.ORACLE))
 def test_query_matches_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMALL}/{t}.parquet')")
     df, res = Q.QUERIES[name](spark, SMALL), con.execute(Q.ORACLE[name])
     cols = sorted(df.columns)
