@@ -62,8 +62,8 @@ def op8_weak_supervision(spark, sf_dir):
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS raw FROM pages),
      d AS (SELECT page_id, octet_length(raw)::BIGINT AS payload_bytes, sha1(raw) AS payload_digest FROM p),
      m AS (SELECT payload_digest, max(page_id) AS best FROM d WHERE payload_bytes >= 1000 GROUP BY 1)
-SELECT d.page_id, payload_bytes, d.payload_digest, CASE WHEN best IS NULL OR best = d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN best <> d.page_id THEN best END AS refers_to
+SELECT d.page_id, payload_bytes, d.payload_digest, CASE WHEN best IS NOT DISTINCT FROM d.page_id OR best IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN best IS DISTINCT FROM d.page_id THEN best END AS refers_to
 FROM d LEFT JOIN m ON d.payload_digest = m.payload_digest AND d.payload_bytes >= 1000
 """)
 def op9_warc(spark, sf_dir):

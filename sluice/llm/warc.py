@@ -9,22 +9,26 @@ come from exact counts, so the same pages give the same bytes.
   payload of at least ``min_bytes`` is equal, the largest ``page_id`` is the
   response, the others revisit it.  The html is shuffled once, into its shard;
   the revisit decisions join it there by being sorted in front of it.
-* **Shard edges.**  Bytes are summed over 65,536 equal ranges of ``page_id`` (a
-  bounded result) and cut into shards of about ``shard_bytes``.  A shard that
-  is larger, because ids crowd in one range, only takes more files: the writer
-  streams.
+* **Shard edges.**  Records are ordered by ``page_id``, then payload digest.  Bytes
+  are summed by the leading bits of the ids (65,536 ranges at most); a range with more
+  than ``shard_bytes`` is summed again by its next bits, and a single id that is
+  larger by the bits of its digests.  So neither a far id nor a hot (or null) one puts the
+  table into one shard; evenly spread ids take one pass.  Adjoining ranges are then cut
+  into shards of about ``shard_bytes`` (more where there would be over 16,384 of them).
+  Only rows equal in id and payload stay together; the writer streams them.
 * **Commit.**  A task writes ``<out>/_tmp/<attempt>/...`` and moves a finished
   file to its final name, which depends on shard and number only, so a repeated
   or speculative task replaces a file by the same bytes.  Each file yields a
   manifest row; the manifest, written last by Spark, is the commit: readers take
-  what it lists and check the record counts against it.
+  what it lists and check the file sizes against it.  Then ``_tmp`` is removed.
 
 Files are written through ``pyarrow.fs`` (local or shared paths, object stores)
 and read back with Spark's ``binaryFile`` source.
 
 Defined results: null html is an empty payload; null url leaves the target
 header out; control characters of a url are percent-encoded; null ``page_id``
-sorts first and is written without an id; rows with equal ``page_id`` and payload
+sorts first and is written without an id, as a revisit where a page with an id has its payload
+(a response where only rows without an id have it); rows with equal ``page_id`` and payload
 give one response, the rest revisit that id; other columns are ignored; an
 empty table gives an empty manifest and reads back as no rows.
 """
@@ -38,13 +42,14 @@ import zlib
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MIN_BYTES = 1000
 ROLL_BYTES = 8 << 20
 SHARD_BYTES = 32 << 20
-SLOTS = 1 << 16
+SLOT_BITS = 16        # ranges summed at once: 2 ** SLOT_BITS
+SUB_BITS = 60         # of the digest, to split a single page_id
 DATE = "1970-01-01T00:00:00Z"  # pages carry no fetch time; a parameter so that output stays reproducible
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "warc-record")
@@ -58,30 +63,105 @@ READ = pa.schema([("file", pa.string()), ("page_id", pa.int64()), ("record_type"
                   ("payload_digest", pa.string()), ("payload", pa.binary())])
 
 
+def _digest() -> Column:
+    return F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8"))
+
+
 def revisits(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """``page_id, digest, refers_to`` of every row that repeats a payload of a larger ``page_id``."""
-    body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    large = (pages.filter(F.octet_length("html") >= min_bytes).filter(F.col("page_id").isNotNull())
-             .select("page_id", F.sha1(body).alias("digest")))
-    best = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return large.distinct().join(best.drop("n"), "digest").filter("page_id <> refers_to").select("page_id", "digest", "refers_to")
+    """``page_id, digest, refers_to`` of every row that repeats a payload of a larger ``page_id`` (a null one is least)."""
+    large = pages.filter(F.octet_length("html") >= min_bytes).select("page_id", _digest().alias("digest"))
+    best = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND refers_to IS NOT NULL")
+    return large.distinct().join(best.drop("n"), "digest").filter("NOT page_id <=> refers_to").select("page_id", "digest", "refers_to")
 
 
-def _sharded(rows: DataFrame, pages: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
-    """``rows`` with the ``shard`` of their ``page_id``, and the number of shards."""
+STEP = ["node", "in_id", "shift", "mask"]  # the range a row is in, and the bits of its id (or digest) that split it
+
+
+def _slot() -> Column:
+    """The part of its range that a row falls into; -1: no id."""
+    by_id = F.col("page_id").cast("long").bitwiseXOR(F.lit(-(1 << 63)))  # unsigned order
+    by_digest = F.conv(F.substring("digest", 1, SUB_BITS // 4), 16, 10).cast("long")
+    bits = F.call_function("shiftrightunsigned", F.when(F.col("in_id"), by_digest).otherwise(by_id), F.col("shift"))
+    return F.when(~F.col("in_id") & F.col("page_id").isNull(), -1).otherwise(bits.bitwiseAND(F.col("mask").cast("long")).cast("int"))
+
+
+def _start(rows: DataFrame, step: tuple) -> DataFrame:
+    return rows.withColumns({c: F.lit(v) for c, v in zip(STEP, step)})
+
+
+def _split(step: tuple, slot: int, bits: int) -> tuple | None:
+    """Bits that split a part further: the next of the id, then those of the digest; none when both are used up."""
+    _, in_id, shift, _ = step
+    if not in_id and (slot < 0 or not shift):
+        in_id, shift = True, SUB_BITS
+    if not shift:
+        return None
+    bits = min(bits, shift)
+    return in_id, shift - bits, (1 << bits) - 1
+
+
+def _ranges(pages: DataFrame, shard_bytes: int) -> tuple[tuple, list[list[tuple]], int]:
+    """The first step, rows ``node, slot, shard, below, in_id, shift, mask`` for each level, and the number of shards.
+
+    A part is a shard's or is split by the node ``below``. A pass collects 2 ** 18 rows at most: parts are split
+    only above a 16,384th of all bytes, into 16 parts each or more as long as a level has 2 ** 16.
+    """
+    size = (F.coalesce(F.octet_length("html"), F.lit(0)) + F.lit(300)).cast("long")
+    left = pages.select("page_id", _digest().alias("digest"), size.alias("b"))
     low, high = pages.agg(F.min("page_id"), F.max("page_id")).first()
-    width = 1.0 if low is None else max(1.0, (high - low + 1) / SLOTS)
-    slot = F.coalesce(F.floor((F.col("page_id") - F.lit(low or 0)) / F.lit(width)), F.lit(0)).cast("int")
-    size = F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + F.lit(300))
-    sizes = sorted(tuple(r) for r in pages.groupBy(slot.alias("slot")).agg(size.alias("b")).collect())  # SLOTS + 1 rows at most
-    shard_of, shard, have = [], 0, 0
-    for s, b in sizes:
-        if have and have + b > shard_bytes:
+    spread = 0 if low is None else 64 if (low < 0) != (high < 0) else (low ^ high).bit_length()
+    first = (0, False, max(0, spread - SLOT_BITS), (1 << SLOT_BITS) - 1)
+    left, steps, parts, limit = _start(left, first), {0: first}, [], None
+    while True:
+        sums = left.groupBy("node", _slot().alias("slot")).agg(F.sum("b")).collect()
+        limit = limit or max(shard_bytes, sum(r[2] for r in sums) >> (SLOT_BITS - 2))
+        heavy = [(r[0], r[1]) for r in sums if r[2] > limit]
+        bits = max(4, SLOT_BITS - len(heavy).bit_length())
+        on = {}
+        for part in sorted(heavy):
+            step = _split(steps[part[0]], part[1], bits)
+            if step:
+                on[part] = (len(steps), *step)
+                steps[len(steps)] = on[part]
+        parts.append({(r[0], r[1]): (r[2], on.get((r[0], r[1]))) for r in sums})
+        if not on:
+            break
+        table = pages.sparkSession.createDataFrame([(*p, *step) for p, step in on.items()], "node int, slot int, below int, _in boolean, _shift int, _mask int")
+        left = (left.withColumn("slot", _slot()).join(F.broadcast(table), ["node", "slot"])  # fewer than 2 ** 14 rows
+                .select("page_id", "digest", "b", F.col("below").alias("node"), F.col("_in").alias("in_id"), F.col("_shift").alias("shift"), F.col("_mask").alias("mask")))
+
+    of_node: dict = {}
+    for level, found in enumerate(parts):
+        for (node, slot), (b, step) in found.items():
+            of_node.setdefault(node, []).append((slot, b, step, level))
+
+    def leaves(node):
+        for slot, b, step, level in sorted(of_node.get(node, []), key=lambda p: p[0]):
+            if step:
+                levels[level].append((node, slot, None, *step))
+                yield from leaves(step[0])
+            else:
+                yield level, node, slot, b
+
+    levels, shard, have = [[] for _ in parts], 0, 0
+    for level, node, slot, b in leaves(0):
+        if have and have + b > limit:
             shard, have = shard + 1, 0
         have += b
-        shard_of.append((s, shard))
-    table = rows.sparkSession.createDataFrame(shard_of, "slot int, shard int")
-    return rows.withColumn("slot", slot).join(F.broadcast(table), "slot").drop("slot"), shard + 1  # bounded by SLOTS
+        levels[level].append((node, slot, shard, None, None, None, None))
+    return first, levels, shard + 1
+
+
+def _sharded(rows: DataFrame, pages: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
+    """``rows (page_id, digest, ...)`` with their ``shard``, and the number of shards."""
+    first, levels, shards = _ranges(pages, shard_bytes)
+    at = _start(rows, first).withColumn("shard", F.lit(None).cast("int"))
+    for level in levels:
+        table = rows.sparkSession.createDataFrame(level, "node int, slot int, _shard int, below int, _in boolean, _shift int, _mask int")
+        at = (at.withColumn("slot", _slot()).join(F.broadcast(table), ["node", "slot"], "left")  # at most 2 ** 18 rows
+              .select(*rows.columns, F.coalesce("shard", "_shard").alias("shard"), F.col("below").alias("node"), F.col("_in").alias("in_id"),
+                      F.col("_shift").alias("shift"), F.col("_mask").alias("mask")))
+    return at.drop(*STEP), shards
 
 
 def _clean(url: str) -> str:
@@ -157,24 +237,20 @@ def _rows(done):
 
 def _writer(out: str, roll_bytes: int, min_bytes: int, date: str):
     def fn(batches):
-        files, meta, seen = _Files(out, roll_bytes), {}, {}
-        at = object()
+        files, at, to, again = _Files(out, roll_bytes), None, None, 0
         for batch in batches:
             done = []
             for shard, page_id, kind, digest, refers, url, html in zip(*(c.to_pylist() for c in batch.columns)):
-                if page_id != at:
-                    at, meta, seen = page_id, {}, {}  # what is kept is of one page_id
-                if kind == 0:
-                    meta[digest] = refers
+                if (page_id, digest) != at:
+                    at, to, again = (page_id, digest), None, 0
+                if kind == 0:  # stands before the rows it is about
+                    to = refers
                     continue
                 payload = (html or "").encode()
-                own = hashlib.sha1(payload).hexdigest()
-                again = seen.get(own, 0)
-                seen[own] = again + 1
-                to = meta.get(own)
                 if to is None and again and len(payload) >= min_bytes and page_id is not None:
                     to = page_id
-                done += files.write(shard, record(page_id, url, payload, own, to, again, date))
+                done += files.write(shard, record(page_id, url, payload, digest, to, again, date))
+                again += 1
             if done:
                 yield _rows(done)
         done = files.close()
@@ -183,17 +259,26 @@ def _writer(out: str, roll_bytes: int, min_bytes: int, date: str):
     return fn
 
 
+def _drop_tmp(out: str):
+    """What ended attempts left behind; the manifest is written, so nothing there is needed."""
+    from pyarrow import fs
+    files, root = fs.FileSystem.from_uri(out)
+    if files.get_file_info(f"{root}/_tmp").type == fs.FileType.Directory:
+        files.delete_dir(f"{root}/_tmp")
+
+
 def write_warc(pages: DataFrame, out: str, *, min_bytes: int = MIN_BYTES, roll_bytes: int = ROLL_BYTES,
                shard_bytes: int = SHARD_BYTES, date: str = DATE) -> str:
     """Write ``pages (page_id, url, html)`` as archives below ``out`` (a fresh folder); returns the manifest's path."""
-    html = pages.select("page_id", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("digest"),
+    html = pages.select("page_id", F.lit(1).alias("kind"), _digest().alias("digest"),
                         F.lit(None).cast("long").alias("refers_to"), "url", "html")
     said = revisits(pages, min_bytes).select("page_id", F.lit(0).alias("kind"), "digest", "refers_to",
                                              F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
     rows, shards = _sharded(html.unionByName(said), pages, shard_bytes)
-    dealt = (rows.select("shard", "page_id", "kind", "digest", "refers_to", "url", "html").repartitionByRange(shards, "shard")
-             .sortWithinPartitions("shard", "page_id", "kind", "digest", "url", "html"))
+    dealt = (rows.select("shard", "page_id", "kind", "digest", "refers_to", "url", "html").repartitionById(shards, "shard")
+             .sortWithinPartitions("shard", "page_id", "digest", "kind", "url"))
     dealt.mapInArrow(_writer(out, roll_bytes, min_bytes, date), MANIFEST_DDL).write.parquet(f"{out}/_manifest")
+    _drop_tmp(out)
     return f"{out}/_manifest"
 
 

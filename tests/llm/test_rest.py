@@ -195,12 +195,41 @@ def test_warc_round_trip(spark, tmp_path):
     assert digests[0] == digests[1] and len(digests[0]) > 1
     got = read_warc(spark, out).collect()
     assert sorted((r.page_id or 0, r.record_type, r.refers_to or 0) for r in got) == [
-        (0, "response", 0), (1, "revisit", 5), (2, "revisit", 5), (3, "response", 0), (4, "response", 0), (5, "response", 0), (5, "response", 0), (5, "revisit", 5)]
-    assert Counter(bytes(r.payload).decode() for r in got if r.payload is not None) == Counter([big, big, "small", "small", ""])
+        (0, "revisit", 5), (1, "revisit", 5), (2, "revisit", 5), (3, "response", 0), (4, "response", 0), (5, "response", 0), (5, "response", 0), (5, "revisit", 5)]
+    assert Counter(bytes(r.payload).decode() for r in got if r.payload is not None) == Counter([big, "small", "small", ""])
+    assert not (tmp_path / "0" / "_tmp").exists()
     write_warc(pages.limit(0), f"file://{tmp_path}/none")
     assert read_warc(spark, f"file://{tmp_path}/none").count() == 0
 
 
+@pytest.mark.parametrize("odd", [10 ** 17, -5, None, 7])
+def test_warc_shards_follow_the_rows(spark, tmp_path, odd):
+    """A far id, a negative one, a third of all rows without an id or with one id: no shard holds much more than its share."""
+    ids = list(range(600)) + [odd] * (1 if odd in (10 ** 17, -5) else 300)
+    rows = [(i, f"http://h/{n}", f"{n} " * 200 if n % 10 else None) for n, i in enumerate(ids)]
+    pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, shard string").repartition(4)
+    out = f"file://{tmp_path}/w"
+    write_warc(pages, out, shard_bytes=40_000)
+    size = sum(len(r[2] or "") + 300 for r in rows)
+    shards = spark.read.parquet(f"{out}/_manifest").groupBy("shard").agg(F.sum("records").alias("n")).collect()
+    assert size / 40_000 <= len(shards) <= 2 * size / 40_000 + 1 and max(r.n for r in shards) < len(rows) / 6
+    got = read_warc(spark, out).orderBy("file").collect()
+    assert Counter((r.page_id, r.url) for r in got) == Counter((r[0], r[1]) for r in rows)
+    order = [(r.page_id is not None, r.page_id or 0) for r in got]
+    assert order == sorted(order)  # the shards are ranges of ids
+
+
+def test_warc_long_and_equal_payloads(spark, tmp_path):
+    """A payload of 3 MB, and 400 equal rows of one id, which stay together as a response and its revisits."""
+    long = "wörd " * 600_000
+    rows = [(1, "a", long), (2, "b", long[:-1])] + [(3, "c", "same " * 300)] * 400
+    out = f"file://{tmp_path}/w"
+    write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), out, shard_bytes=100_000)
+    got = read_warc(spark, out).collect()
+    assert Counter((r.page_id, r.record_type) for r in got) == Counter({(1, "response"): 1, (2, "response"): 1, (3, "response"): 1, (3, "revisit"): 399})
+    assert len({r.record_id for r in got}) == 402 and next(r for r in got if r.page_id == 1).payload == long.encode()
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     out = corpus_pipeline.run(spark, SMALL)
