@@ -9,10 +9,12 @@ sigmoid of an intercept and one look-up per table, added over whole columns.
 
 The model is fitted on at most ``max_rows`` labelled training rows (a parameter;
 those with the smallest hashes of ``doc_id``, so any input gives the same ones); it is a few
-thousand numbers.  Measures and scores cover all rows.
+thousand numbers.  Counts by the hash's leading bits cut the labelled rows to little more than
+``max_rows`` before they are sorted in one task.  Measures and scores cover all rows.
 
 Defined results: null text reads as empty, and empty texts get a score; rows
-with null ``doc_id`` are scored, never learned from; repeated rows are scored alike;
+with null ``doc_id`` are scored, never learned from; repeated rows are scored alike and learned from once;
+a label given twice counts once, an id with both labels is learned from with each;
 other columns are ignored; without labelled training rows every score is 0.5, with
 one label only it leans to that label; an empty table gives no rows.
 """
@@ -187,14 +189,28 @@ def _remainder(folds: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def _least_hashes(rows: DataFrame, n: int) -> DataFrame:
+    """The ``n`` different rows with the least hashes of ``doc_id``."""
+    rows = rows.distinct()
+    top = F.shiftright(F.xxhash64("doc_id"), 48)
+    have, edge = 0, None
+    for slot, some in sorted(tuple(r) for r in rows.groupBy(top).agg(F.count(F.lit(1))).collect()):  # 2 ** 16 rows at most
+        have += some
+        if have >= n:
+            edge = slot
+            break
+    some = rows if edge is None else rows.filter(top <= edge)
+    return some.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", *FEATURES).limit(n)
+
+
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, max_rows: int = MAX_ROWS, threshold: float = 0.3) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row."""
     spark = docs.sparkSession
     out = scratch_root(spark, "gam")
     docs.select("doc_id", "text").mapInArrow(_measure, "doc_id long, " + ", ".join(f"{f} float" for f in FEATURES)).write.parquet(out)
     found = spark.read.parquet(out)
-    known = (found.filter(_remainder(folds) != 0).join(labels.filter("quality IS NOT NULL").select("doc_id", "quality"), "doc_id")
-             .orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_rows).select(*FEATURES, "quality").toPandas())  # at most max_rows rows
+    labelled = found.filter(_remainder(folds) != 0).join(labels.filter("quality IS NOT NULL").select("doc_id", "quality").distinct(), "doc_id")
+    known = _least_hashes(labelled, max_rows).select(*FEATURES, "quality").toPandas()  # at most max_rows rows
     model = Gam(known[FEATURES].to_numpy(np.float32), known["quality"].to_numpy(np.float64))
     return (found.mapInArrow(_apply(model), "doc_id long, score double").withColumn("held_out", _remainder(folds) == 0)
             .select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted")))
