@@ -1204,6 +1204,67 @@ def q_ingest_problems(spark, sf_dir):
     return found.groupBy("kind", F.regexp_extract("path", "(p=flow_[0-9]+)", 1).alias("pipeline")).agg(F.count(F.lit(1)).cast("int").alias("n"))
 
 
+def _named_files(df, root: str):
+    """Write one file per row (``path`` below ``root``, ``content``); a repeated task writes the same bytes again."""
+    def put(batches):
+        from pyarrow import fs
+        files, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                files.create_dir(f"{base}/{path}".rsplit("/", 1)[0], recursive=True)
+                with files.open_output_stream(f"{base}/{path}") as out:
+                    out.write(content.encode())
+            yield batch
+    df.select("path", "content").mapInArrow(put, "path string, content string").write.format("noop").mode("overwrite").save()
+
+
+@register("ambiguous_definitions", """
+WITH f AS (SELECT s_suppkey AS k, 'p=flow_' || s_suppkey AS pipeline FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT pipeline, 'stage' AS stem, 'source' AS found, 3 AS n FROM f WHERE k % 4 = 0
+UNION ALL SELECT pipeline, 'stage', 'ambiguous_file', 1 FROM f WHERE k % 4 = 0
+UNION ALL SELECT pipeline, 'stage', 'source', 1 FROM f WHERE k % 4 <> 0
+UNION ALL SELECT pipeline, 'more', 'source', 1 FROM f WHERE k % 4 = 1
+""")
+def q_ambiguous_definitions(spark, sf_dir):
+    """Pipelines with one definition three times (JSON, YAML and TOML), with two of different stems, and with one."""
+    from sluice.plans.ingest import load_configs
+    root = scratch_root(spark, "ambiguous_definitions")
+    flows = _pipelines(spark, sf_dir)
+    folder = F.concat_ws("/", F.lit("pipelines"), F.concat(F.lit("c="), "c"), F.concat(F.lit("s="), "s"), F.concat(F.lit("p="), "p"))
+    as_json = F.format_string('{"sources": [{"origin": "/data", "datatype": "parquet", "target": "%s_%d"}]}', F.col("name"), F.col("i"))
+    as_toml = F.format_string('[[sources]]\norigin = "/data"\ndatatype = "parquet"\ntarget = "%s_%d"\n', F.col("name"), F.col("i"))
+    kinds = [(0, "stage.json"), (0, "stage.yaml"), (0, "stage.toml"), (1, "stage.json"), (1, "more.yaml"), (2, "stage.toml"), (3, "stage.yml")]
+    named = spark.createDataFrame([(k, f, f.split(".")[0], i) for i, (k, f) in enumerate(kinds)], "part int, file string, name string, i int")
+    files = flows.join(named, F.col("k") % 4 == F.col("part"))
+    _named_files(files.select(F.concat_ws("/", folder, "file").alias("path"), F.when(F.col("file").endswith(".toml"), as_toml).otherwise(as_json).alias("content")), root)
+    got = load_configs(spark, root)
+    pipeline = F.regexp_extract("path", "(p=flow_[0-9]+)", 1).alias("pipeline")
+    bad = got.problems.select(pipeline, F.regexp_extract("path", "([a-z]+)(\\.[a-z]+)?$", 1).alias("stem"), F.col("kind").alias("found"))
+    read = got.sources.select(F.col("pipeline_name").alias("pipeline"), F.regexp_extract("target", "^([a-z]+)", 1).alias("stem"), F.lit("source").alias("found"))
+    return bad.unionByName(read).groupBy("pipeline", "stem", "found").agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
+@register("settings_files", """
+WITH f AS (SELECT s_suppkey AS k, 'p=flow_' || s_suppkey AS pipeline FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT pipeline, 'settings' AS found, k % 5 = 0 AS continuous FROM f WHERE k % 5 <> 4
+UNION ALL SELECT pipeline, 'settings', false FROM f WHERE k % 5 = 3
+UNION ALL SELECT pipeline, ['invalid_settings', 'ambiguous_file', 'parse_error'][k % 5 - 1], NULL FROM f WHERE k % 5 >= 2
+""")
+def q_settings_files(spark, sf_dir):
+    """Settings files beside definitions: two run modes, an unknown one, two files for one pipeline, a file that does not parse."""
+    from sluice.sources.settings import load_settings
+    root = scratch_root(spark, "settings_files")
+    folder = F.concat_ws("/", F.lit("pipelines"), F.concat(F.lit("c="), "c"), F.concat(F.lit("s="), "s"), F.concat(F.lit("p="), "p"))
+    texts = [(0, "json", '{"continuous": "Yes", "clusters": []}'), (1, "yaml", "continuous: false\n"), (2, "json", '{"continuous": "perhaps"}'),
+             (3, "json", "{}"), (3, "toml", 'name = "x"\n'), (4, "json", '{"continuous": ')]
+    files = _pipelines(spark, sf_dir).join(spark.createDataFrame(texts, "part int, suffix string, content string"), F.col("k") % 5 == F.col("part"))
+    _named_files(files.select(F.concat(folder, F.lit("/_pipeline_settings."), "suffix").alias("path"), "content"), root)
+    settings, problems = load_settings(spark, root)
+    pipeline = F.regexp_extract("path", "(p=flow_[0-9]+)", 1).alias("pipeline")
+    return (settings.select(pipeline, F.lit("settings").alias("found"), "continuous")
+            .unionByName(problems.select(pipeline, F.col("kind").alias("found"), F.lit(None).cast("boolean").alias("continuous"))))
+
+
 @register("deployed_jobs", """
 SELECT 'job-' || c_custkey AS job_name, c_custkey AS job_id, min(o_orderkey)::VARCHAR AS pipeline_id
 FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey
