@@ -376,13 +376,15 @@ def score_texts(docs: DataFrame, folds: int = 10, vocabulary: int | None = None,
     root, n = scratch_root(spark, "brown"), X.chunk_count(docs, chunk_bytes)
     marked = docs.select("doc_id", "text", (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == 0).alias("held_out"))
     # bucketed by chunk, so that every pass meets its answers without a shuffle of the tokens; fewer buckets than shuffle partitions would be shuffled
-    name, parts = f"brown_{uuid.uuid4().hex}", max(n, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    (X.chunked(marked, n, "held_out").groupBy("chunk").applyInArrow(_compact, CHUNK_DDL)
-     .write.bucketBy(parts, "chunk").option("path", f"{root}/chunks").saveAsTable(name))
-    chunks = spark.table(name)
-    model = fit(chunks, n, root, vocabulary, rounds)
-    words = spark.read.parquet(model.path).filter("bucket >= 0").select("bucket", "items")
-    said = chunks.select("chunk", "words").mapInArrow(_ask(n), X.ASK_DDL).groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(_answer(SAID), X.ANSWER_DDL)
-    out = X.meet(chunks, said, _score(model), SCORE_DDL)
-    spark.sql(f"DROP TABLE {name}")  # the catalog's entry only, the files lie in the scratch folder
+    name, parts = f"brown_{uuid.uuid4().hex}", max(X.partitions(docs, n), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    try:
+        (X.chunked(marked, n, "held_out").groupBy("chunk").applyInArrow(_compact, CHUNK_DDL)
+         .write.bucketBy(parts, "chunk").option("path", f"{root}/chunks").saveAsTable(name))
+        chunks = spark.table(name)
+        model = fit(chunks, n, root, vocabulary, rounds)
+        words = spark.read.parquet(model.path).filter("bucket >= 0").select("bucket", "items")
+        said = chunks.select("chunk", "words").mapInArrow(_ask(n), X.ASK_DDL).groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(_answer(SAID), X.ANSWER_DDL)
+        out = X.meet(chunks, said, _score(model), SCORE_DDL)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")  # the catalog's entry only, the files lie in the scratch folder
     return out

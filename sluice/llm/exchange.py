@@ -12,7 +12,8 @@ the same way to the chunk that asked.
 ``T = chunked(docs)`` is one shuffle of the texts.  Every later step groups or
 cogroups by ``chunk`` on that same partitioning, so Spark reuses the exchange
 inside a query and only packed keys move after it.  Chunks and buckets both grow with the input;
-rows of the exchange never outnumber the keys.  Lost executors cost recomputed
+rows of the exchange never outnumber the keys.  Partitions hold one chunk each up to ``ONE_EACH`` chunks, then up
+to ``TOGETHER`` (one is in memory at a time), and are no more than ``MOST``, so that the driver can track them.  Lost executors cost recomputed
 tasks only: nothing is kept outside shuffles and checkpoints.
 """
 
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 6 << 20
+ONE_EACH, TOGETHER, MOST = 512, 16, 1 << 15
 
 ASK = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("extra", pa.binary())])
 ASK_DDL = "bucket int, chunk int, keys binary, extra binary"
@@ -40,15 +42,21 @@ def chunk_count(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> int:
     return max(1, math.ceil((n * 64 + (size or 0)) / chunk_bytes))
 
 
+def partitions(docs: DataFrame, chunks: int) -> int:
+    """Shuffle partitions for ``chunks``; not below the session's number, or Spark would shuffle the texts again to meet their answers."""
+    least = max(ONE_EACH, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return min(chunks, max(least, min(math.ceil(chunks / TOGETHER), MOST)))
+
+
 def chunked(docs: DataFrame, chunks: int, *more: str) -> DataFrame:
     """``chunk, doc_id, text`` and the columns ``more``, one shuffle.
 
-    Rows are dealt by a hash of id and text, so a hot id or repeated rows do not
-    fill one chunk unless the rows are identical.
+    Rows are dealt by a hash of id and whole text, so a hot id does not fill one chunk; rows that
+    are equal in both do.
     """
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 4096)), F.lit(chunks)).cast("int").alias("chunk"),
+    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"),
                         F.col("doc_id"), F.col("text"), *more)
-    return dealt.repartition(chunks, "chunk")
+    return dealt.repartition(partitions(docs, chunks), "chunk")
 
 
 def bounds(buckets: int) -> np.ndarray:

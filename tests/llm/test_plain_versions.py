@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sluice.llm import brown_lm as B
+from sluice.llm import exchange as X
 from sluice.llm import quality_gam as G
 from sluice.llm import quality_rules as R
 
@@ -226,6 +227,36 @@ def test_exchange_takes_the_class_of_most_likelihood():
         assert math.isclose(scores[got[w]], max(scores), rel_tol=1e-12)
 
 
+# the exchange
+
+def test_partitions_are_bounded_and_chunks_share_them(spark, monkeypatch):
+    """Operators give the same results where a partition holds many chunks."""
+    from sluice.llm.jaccard_join import near_duplicates
+    from sluice.llm.line_dedup import line_dedup
+    from sluice.llm.substring_dedup import substring_dedup
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(mixed_texts(3) * 2)] + [(500, "hot " * 30 + str(i)) for i in range(30)], "doc_id long, text string")
+    few = spark.range(1)
+    assert [X.partitions(few, n) for n in (1, 512, 513, 16 * 1000, 10 ** 8)] == [1, 512, 512, 1000, 1 << 15]
+    run = lambda: [sorted(map(repr, f(docs, chunk_bytes=b).collect())) for f, b in
+                   ((near_duplicates, 1500), (line_dedup, 1500), (substring_dedup, 1500))] + [
+        sorted((r.doc_id, round(r.score, 6)) for r in B.score_texts(docs, rounds=1, chunk_bytes=4000).collect())]
+    want = run()
+    for name, n in (("ONE_EACH", 1), ("TOGETHER", 3), ("MOST", 6)):
+        monkeypatch.setattr(X, name, n)
+    assert X.chunk_count(docs, 1500) > 20 and X.chunked(docs, 30).rdd.getNumPartitions() == 6
+    assert run() == want
+    assert len({r.chunk for r in X.chunked(docs.filter("doc_id = 500"), 30).collect()}) > 10  # a hot id is dealt out
+
+
+def test_model_table_is_dropped_where_the_fit_fails(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "some words") for i in range(20)], "doc_id long, text string")
+    before = spark.catalog.listTables()
+    monkeypatch.setattr(B, "fit", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        B.score_texts(docs)
+    assert spark.catalog.listTables() == before
+
+
 # the pipeline
 
 def plain_line_dedup(docs):
