@@ -54,6 +54,8 @@ CHUNK_DDL = "chunk int, words binary, tokens binary, texts binary"
 CHUNK = pa.schema([("chunk", pa.int32()), ("words", pa.binary()), ("tokens", pa.binary()), ("texts", pa.binary())])
 COUNT_DDL = "bucket int, items binary"
 COUNT = pa.schema([("bucket", pa.int32()), ("items", pa.binary())])
+PART_DDL = "bucket int, part int, items binary"
+PART = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("items", pa.binary())])
 SCORE_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 SCORE = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                    ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -93,7 +95,7 @@ def _opened(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return own, rows, ids, ids[np.repeat(rows["held"] == 0, rows["n"])]
 
 
-def _count(buckets: int):
+def _count(r: X.Ranges):
     def fn(batches):
         for batch in batches:
             for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
@@ -101,9 +103,9 @@ def _count(buckets: int):
                 c = np.bincount(train, minlength=len(own))
                 w = np.zeros(int((c > 0).sum()), WORDS)
                 w["h"], w["s"], w["c"] = own["h"][c > 0], own["s"][c > 0], c[c > 0]
-                ranges = X.cut(w["h"], buckets)
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in ranges], pa.int32()),
-                                                  pa.array([w[lo:hi].tobytes() for _, lo, hi in ranges], pa.binary())], schema=COUNT)
+                cuts = X.cut(w["h"], r)
+                yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in cuts], pa.int32()), pa.array([row["chunk"] // r.together] * len(cuts), pa.int32()),
+                                                  pa.array([w[lo:hi].tobytes() for _, lo, hi in cuts], pa.binary())], schema=PART)
     return fn
 
 
@@ -115,6 +117,16 @@ def _total(table: pa.Table) -> pa.Table:
     return pa.table([pa.array([table["bucket"][0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], schema=COUNT)
 
 
+def _count_parted(r: X.Ranges):
+    """The words that a set of chunks counted in a group of buckets, by bucket."""
+    def fn(table: pa.Table) -> pa.Table:
+        total = np.frombuffer(_total(table)["items"][0].as_py(), WORDS)
+        cuts = X.cut_buckets(np.ascontiguousarray(total["h"]), r)
+        return pa.table([pa.array([c[0] for c in cuts], pa.int32()), pa.array([table["part"][0].as_py()] * len(cuts), pa.int32()),
+                         pa.array([total[lo:hi].tobytes() for _, lo, hi in cuts], pa.binary())], schema=PART)
+    return fn
+
+
 TOP_DDL = "h long, c long"
 TOP = pa.schema([("h", pa.int64()), ("c", pa.int64())])
 
@@ -154,12 +166,12 @@ def _seeded(best: list[tuple[int, int]], capped: bool):
     return fn
 
 
-def _ask(buckets: int):
+def _ask(r: X.Ranges):
     def fn(batches):
         for batch in batches:
             for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
                 keys = np.ascontiguousarray(np.frombuffer(raw.as_buffer(), OWN)["h"])
-                t = X.asked(chunk, keys, buckets, lambda lo, hi: (keys[lo:hi].tobytes(), b""))
+                t = X.asked(chunk, keys, r, lambda lo, hi: (keys[lo:hi].tobytes(), b""))
                 yield from t.to_batches()
     return fn
 
@@ -200,7 +212,7 @@ def _unpacked(raw: bytes, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return row, x[words:words + e].astype(np.int64), np.ascontiguousarray(x[words + e:].reshape(4, e).T).view("<u4").reshape(-1).astype(np.int64)
 
 
-def _neighbours(buckets: int, turn: int | None):
+def _neighbours(r: X.Ranges, turn: int | None):
     """Left and right neighbour classes of each word whose turn it is, by range; buckets below 0: class bigrams of all tokens."""
     def fn(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -221,7 +233,7 @@ def _neighbours(buckets: int, turn: int | None):
             word = first[ids[at]]
             key, n = np.unique(np.concatenate([word + before[at], word + after[at] + np.int32(K)]), return_counts=True)
             w, col, h = key // (2 * K), key % (2 * K), own["h"][moves]
-            for i, lo, hi in X.cut(h, buckets):
+            for i, lo, hi in X.cut(h, r):
                 a, z = np.searchsorted(w, [lo, hi])
                 bucket.append(i)
                 keys.append(h[lo:hi].tobytes())
@@ -231,6 +243,30 @@ def _neighbours(buckets: int, turn: int | None):
     return fn
 
 
+def _near_parted(r: X.Ranges):
+    """Neighbour counts that a set of chunks sent to a group of buckets, summed, by bucket."""
+    def fn(table: pa.Table) -> pa.Table:
+        bucket, part = table["bucket"][0].as_py(), table["chunk"][0].as_py() // r.together
+        if bucket < 0:
+            grams = sum(np.frombuffer(x, "<i8") for x in table["extra"].to_pylist()).tobytes()
+            return pa.table([pa.array([bucket], pa.int32()), pa.array([part], pa.int32()), pa.array([b""], pa.binary()), pa.array([grams], pa.binary())], schema=X.ASK)
+        words = [np.frombuffer(x, U) for x in table["keys"].to_pylist()]
+        known, key, n = np.unique(np.concatenate(words)), [], []
+        for h, raw in zip(words, table["extra"].to_pylist()):
+            row, col, m = _unpacked(raw, len(h))
+            key.append(np.searchsorted(known, h)[row] * (2 * K) + col)
+            n.append(m)
+        key, back = np.unique(np.concatenate(key), return_inverse=True)
+        n = np.bincount(back, weights=np.concatenate(n), minlength=len(key)).astype(np.int64)
+        word, col, out = key // (2 * K), key % (2 * K), []
+        for i, lo, hi in X.cut_buckets(known, r):
+            a, z = np.searchsorted(word, [lo, hi])
+            out.append((i, known[lo:hi].tobytes(), _packed(word[a:z] - lo, col[a:z], n[a:z], hi - lo)))
+        return pa.table([pa.array([o[0] for o in out], pa.int32()), pa.array([part] * len(out), pa.int32()),
+                         pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())], schema=X.ASK)
+    return fn
+
+
 NEAR_DDL = "bucket int, items binary, counts binary"
 NEAR = pa.schema([("bucket", pa.int32()), ("items", pa.binary()), ("counts", pa.binary())])
 
@@ -324,21 +360,26 @@ class Model:
         self.unseen = np.where(once.any(1), once.argmax(1), LEARNED + np.arange(SURFACE))
 
 
-def fit(chunks: DataFrame, buckets: int, root: str, vocabulary: int | None = None, rounds: int = ROUNDS) -> Model:
-    spark = chunks.sparkSession
-    (chunks.mapInArrow(_count(buckets), COUNT_DDL).groupBy("bucket").applyInArrow(_total, COUNT_DDL)
-     .write.parquet(f"{root}/counts"))
+def fit(chunks: DataFrame, n: int, root: str, vocabulary: int | None = None, rounds: int = ROUNDS) -> Model:
+    """The model of ``n`` chunks; what it writes lies below ``root``."""
+    spark, r = chunks.sparkSession, X.ranges(n)
+    counts = chunks.mapInArrow(_count(r), PART_DDL)
+    if r.per > 1:
+        counts = counts.groupBy("bucket", "part").applyInArrow(_count_parted(r), PART_DDL)
+    counts.groupBy("bucket").applyInArrow(_total, COUNT_DDL).write.parquet(f"{root}/counts")
     words = spark.read.parquet(f"{root}/counts")
     most = LEARNED if vocabulary is None else vocabulary
     best = words.mapInArrow(_top(most), TOP_DDL).orderBy(F.desc("c"), "h").limit(most).collect()  # the seeds, or a given vocabulary
-    words = words.mapInArrow(_seeded([(r.h, r.c) for r in best], vocabulary is not None), COUNT_DDL)
+    words = words.mapInArrow(_seeded([(b.h, b.c) for b in best], vocabulary is not None), COUNT_DDL)
     grams = np.zeros((K, K), np.int64)
     for turn in [*range(rounds), None]:  # the last pass counts the class bigrams of the final classes
-        said = chunks.select("chunk", "words").mapInArrow(_ask(buckets), X.ASK_DDL).groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(_answer("u1"), X.ANSWER_DDL)
-        near = X.meet(chunks, said, _neighbours(buckets, turn), X.ASK_DDL)
+        said = X.answer(chunks.select("chunk", "words").mapInArrow(_ask(r), X.ASK_DDL), _answer("u1"), r, words)
+        near = X.meet(chunks, said, _neighbours(r, turn), X.ASK_DDL)
+        if r.per > 1:
+            near = near.groupBy("bucket", F.expr(f"chunk div {r.together}")).applyInArrow(_near_parted(r), X.ASK_DDL)
         near.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(_near_total, NEAR_DDL).write.parquet(f"{root}/near{turn}")
         near = spark.read.parquet(f"{root}/near{turn}")
-        grams = sum((np.frombuffer(r.counts, "<i8").reshape(K, K) for r in near.filter("bucket < 0").select("counts").collect()), np.zeros((K, K), np.int64))
+        grams = sum((np.frombuffer(x.counts, "<i8").reshape(K, K) for x in near.filter("bucket < 0").select("counts").collect()), np.zeros((K, K), np.int64))
         words = near.filter("bucket >= 0").mapInArrow(_move(grams), COUNT_DDL)
     sizes = words.mapInArrow(_sizes, SIZE_DDL).groupBy("s", "k").agg(*[F.sum(c).alias(c) for c in ("c", "words", "once")]).collect()  # by surface and class
     return Model(grams, sizes, f"{root}/near{turn}")
@@ -383,7 +424,8 @@ def score_texts(docs: DataFrame, folds: int = 10, vocabulary: int | None = None,
         chunks = spark.table(name)
         model = fit(chunks, n, root, vocabulary, rounds)
         words = spark.read.parquet(model.path).filter("bucket >= 0").select("bucket", "items")
-        said = chunks.select("chunk", "words").mapInArrow(_ask(n), X.ASK_DDL).groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(_answer(SAID), X.ANSWER_DDL)
+        cut = X.ranges(n)
+        said = X.answer(chunks.select("chunk", "words").mapInArrow(_ask(cut), X.ASK_DDL), _answer(SAID), cut, words)
         out = X.meet(chunks, said, _score(model), SCORE_DDL)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")  # the catalog's entry only, the files lie in the scratch folder

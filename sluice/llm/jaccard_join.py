@@ -77,7 +77,7 @@ def _parse(table: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(doc), np.concatenate(g)
 
 
-def _ask(buckets: int, k: int):
+def _ask(buckets: X.Ranges, k: int):
     def fn(table: pa.Table) -> pa.Table:
         keys, count = np.unique(_parse(table, k)[1], return_counts=True)
         short = ((keys >> U(8)) & U(0xFFFFFFFF)).astype("<u4")  # only an order is asked for: a coincidence changes no result
@@ -147,8 +147,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = SIMILAR, c
     spark = docs.sparkSession
     root = scratch_root(spark, "jaccard")
     chunks = X.chunk_count(docs, chunk_bytes)
-    t = X.chunked(docs, chunks)
-    X.meet(t, X.answer(X.ask(t, _ask(chunks, k)), _frequencies), _sets(k, percent), SETS_DDL).write.parquet(f"{root}/rows")
+    t, cut = X.chunked(docs, chunks), X.ranges(chunks)
+    X.meet(t, X.answer(X.ask(t, _ask(cut, k)), _frequencies, cut), _sets(k, percent), SETS_DDL).write.parquet(f"{root}/rows")
     rows = spark.read.parquet(f"{root}/rows")
 
     # equal sets: one class, of which one row goes on

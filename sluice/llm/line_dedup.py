@@ -72,7 +72,7 @@ def _windows(table: pa.Table, k: int, words: int):
     return [np.concatenate([f[i] for f in found]) for i in range(7)], kept
 
 
-def _ask_fingerprints(buckets: int, k: int, words: int):
+def _ask_fingerprints(buckets: X.Ranges, k: int, words: int):
     def fn(table: pa.Table) -> pa.Table:
         (least, g, *_), _ = _windows(table, k, words)
         order = np.lexsort((g, least))
@@ -113,7 +113,7 @@ def _candidates(table: pa.Table, answers: pa.Table, k: int, words: int):
     return w, row[ok], size[ok], kept
 
 
-def _ask_places(buckets: int, k: int, words: int):
+def _ask_places(buckets: X.Ranges, k: int, words: int):
     def fn(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return X.ASK.empty_table()
@@ -181,8 +181,9 @@ def line_dedup(docs: DataFrame, window: int = WINDOW, words: int = WORDS, chunk_
     docs = docs.drop("chunk", "n_lines", "n_removed")
     n = X.chunk_count(docs, chunk_bytes)
     t = X.chunked(docs, n, *[c for c in docs.columns if c not in ("doc_id", "text")])
-    said = X.answer(X.ask(t, _ask_fingerprints(n, window, words)), _shared)
-    found = X.answer(X.meet(t, said, _ask_places(n, window, words), X.ASK_DDL), _earlier)
+    cut = X.ranges(n)
+    said = X.answer(X.ask(t, _ask_fingerprints(cut, window, words)), _shared, cut)
+    found = X.answer(X.meet(t, said, _ask_places(cut, window, words), X.ASK_DDL), _earlier, cut)
     both = said.unionByName(found.selectExpr("chunk", "-1 - bucket AS bucket", "answer"))
     schema = StructType([*docs.schema.fields, StructField("n_lines", LongType()), StructField("n_removed", LongType())])
     return X.meet(t, both, _guarded(_delete(window, words, docs.columns), docs.columns), schema)

@@ -135,34 +135,23 @@ def _names(parsed: list[Parsed]) -> tuple[np.ndarray, np.ndarray]:
     return name[first], np.bincount(group[other], minlength=int(first.sum())) > 0
 
 
-def _ask_names(buckets: int, window: int):
+def _ask_names(buckets: X.Ranges, window: int):
     def fn(table: pa.Table) -> pa.Table:
         keys, several = _names(_parse(table, window))
         short = ((keys >> U(8)) & U(0xFFFFFFFF)).astype("<u4")  # bucket + 32 bits: a coincidence costs a needless check only
         return X.asked(table["chunk"][0].as_py(), keys, buckets,
-                       lambda lo, hi: (short[lo:hi].tobytes(), np.packbits(several[lo:hi]).tobytes()))
+                       lambda lo, hi: (short[lo:hi].tobytes(), several[lo:hi].tobytes()))
     return fn
 
 
 def _shared_names(table: pa.Table) -> pa.Table:
     keys, edge = X.unpack(table, "<u4", "keys")
-    several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=int(n)) for x, n in
-                              zip(table["extra"].to_pylist(), np.diff(edge))]).astype(bool)
+    several, _ = X.unpack(table, bool, "extra")
     _, group, count = np.unique(keys, return_inverse=True, return_counts=True)
     shared = count > 1
     shared[group[several]] = True
     yes = shared[group]
-    return X.answered(table, [np.packbits(yes[a:z]).tobytes() for a, z in zip(edge[:-1], edge[1:])])
-
-
-def _bits(answers: pa.Table, keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Packed yes/no answers in the order of the chunk's sorted keys."""
-    order = np.argsort(answers["bucket"].to_numpy(zero_copy_only=False), kind="stable")
-    rows = answers["answer"].to_pylist()
-    out = np.zeros(len(keys), bool)
-    for (_, lo, hi), i in zip(X.cut(keys, buckets), order, strict=True):
-        out[lo:hi] = np.unpackbits(np.frombuffer(rows[i], np.uint8), count=hi - lo)
-    return out
+    return X.answered(table, [yes[a:z].tobytes() for a, z in zip(edge[:-1], edge[1:])])
 
 
 def _least(g: np.ndarray, f: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -193,13 +182,13 @@ def _verify(parsed: list[Parsed], shared: np.ndarray, window: int):
 WINDOW = np.dtype([("g", "<u8"), ("f", "<u4"), ("id", "<i8")])
 
 
-def _ask_windows(buckets: int, window: int):
+def _ask_windows(buckets: X.Ranges, window: int):
     def fn(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return X.ASK.empty_table()
         parsed = _parse(table, window)
         keys, _ = _names(parsed)
-        _, (g, f, least, _), _ = _verify(parsed, keys[_bits(answers, keys, buckets)], window)
+        _, (g, f, least, _), _ = _verify(parsed, keys[X.gathered(answers, bool)], window)
         items = np.empty(len(g), WINDOW)
         items["g"], items["f"], items["id"] = g, f, least
         return X.asked(table["chunk"][0].as_py(), g, buckets, lambda lo, hi: (items[lo:hi].tobytes(), b""))
@@ -210,10 +199,10 @@ def _earlier(table: pa.Table) -> pa.Table:
     items, edge = X.unpack(table, WINDOW, "keys")
     _, _, least, group = _least(items["g"], items["f"], items["id"])
     yes = least[group] < items["id"]
-    return X.answered(table, [np.packbits(yes[a:z]).tobytes() for a, z in zip(edge[:-1], edge[1:])])
+    return X.answered(table, [yes[a:z].tobytes() for a, z in zip(edge[:-1], edge[1:])])
 
 
-def _remove(buckets: int, window: int):
+def _remove(window: int):
     def fn(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return RESULT.empty_table()
@@ -223,8 +212,8 @@ def _remove(buckets: int, window: int):
         windows_said = windows_said.set_column(1, "bucket", pa.array(-1 - kind[kind < 0], pa.int32()))
         parsed = _parse(table, window)
         keys, _ = _names(parsed)
-        rows, (g, _, least, group), ids_of = _verify(parsed, keys[_bits(names_said, keys, buckets)], window)
-        gone = _bits(windows_said, g, buckets)[group] | (least[group] < ids_of)
+        rows, (g, _, least, group), ids_of = _verify(parsed, keys[X.gathered(names_said, bool)], window)
+        gone = X.gathered(windows_said, bool)[group] | (least[group] < ids_of)
         out, parts, at_row = [], [], 0
         for b, at in rows:
             hit = at[gone[at_row:at_row + len(at)]]
@@ -268,7 +257,8 @@ def substring_dedup(docs: DataFrame, window: int = 13, chunk_bytes: int = X.CHUN
         raise ValueError("window must be at least 9 words")
     n = X.chunk_count(docs, chunk_bytes)
     t = X.chunked(docs, n)
-    said = X.answer(X.ask(t, _ask_names(n, window)), _shared_names)
-    found = X.answer(X.meet(t, said, _ask_windows(n, window), X.ASK_DDL), _earlier)
+    cut = X.ranges(n)
+    said = X.answer(X.ask(t, _ask_names(cut, window)), _shared_names, cut)
+    found = X.answer(X.meet(t, said, _ask_windows(cut, window), X.ASK_DDL), _earlier, cut)
     both = said.unionByName(found.selectExpr("chunk", "-1 - bucket AS bucket", "answer"))
-    return X.meet(t, both, _remove(n, window), RESULT_DDL)
+    return X.meet(t, both, _remove(window), RESULT_DDL)

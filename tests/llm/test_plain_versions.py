@@ -245,9 +245,35 @@ def test_partitions_are_bounded_and_chunks_share_them(spark, monkeypatch):
         monkeypatch.setattr(X, name, n)
     assert X.chunk_count(docs, 1500) > 20 and X.chunked(docs, 30).rdd.getNumPartitions() == 6
     assert run() == want
+    monkeypatch.setattr(X, "DIRECT", 7)  # questions in two steps
+    assert X.ranges(30) == X.Ranges(7, 3, 6)
+    assert run() == want
     assert len({r.chunk for r in X.chunked(docs.filter("doc_id = 500"), 30).collect()}) > 10  # a hot id is dealt out
 
 
+def test_rows_of_the_exchange_grow_slower_than_its_square(spark):
+    """Rows of each step of a corpus 16 times as large, where every chunk has keys of every bucket."""
+    def rows(chunks):
+        r = X.ranges(chunks, 8)
+        def fn(table):
+            chunk = table["chunk"][0].as_py()
+            keys = np.unique(np.random.default_rng(chunk).integers(0, 1 << 63, 4000, dtype=np.uint64) * np.uint64(2))
+            return X.asked(chunk, keys, r, lambda lo, hi: (keys[lo:hi].tobytes(), b""))
+        def same(table):
+            keys, edge = X.unpack(table, "<u8", "keys")
+            return X.answered(table, [keys[a:z].tobytes() for a, z in zip(edge[:-1], edge[1:])])
+        asks = X.ask(spark.range(chunks).selectExpr("cast(id as int) AS chunk"), fn)
+        back = X.answer(asks, same, r).collect()
+        for chunk in (0, chunks - 1):  # every answer comes back to the chunk that asked, in the order of its keys
+            own = b"".join(x.answer for x in sorted((x for x in back if x.chunk == chunk), key=lambda x: x.bucket))
+            assert own == np.unique(np.random.default_rng(chunk).integers(0, 1 << 63, 4000, dtype=np.uint64) * np.uint64(2)).tobytes()
+        merged = asks.groupBy("bucket", (X.F.expr(f"chunk div {r.together}"))).applyInArrow(X._merged(r), X.MERGED_DDL)
+        assert merged.groupBy("bucket").count().count() == r.buckets
+        return asks.count() + merged.count() + len(back)
+    few, many = rows(32), rows(512)
+    assert many < 16 ** 1.5 * 1.2 * few and many < 512 * 128 / 4
+
+
 def test_model_table_is_dropped_where_the_fit_fails(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "some words") for i in range(20)], "doc_id long, text string")
     before = spark.catalog.listTables()
