@@ -21,13 +21,18 @@ when 100 * intersection >= 75 * union.
    numbers of shared shingles in 64 cells of the hash range show that they cannot link.  A pair
    inside one component need not be looked at, so the result is exact: no
    link is lost, and a large cluster costs no square.
+5. **Links** (``links=True``).  Links lie inside components, whose members are dealt into blocks of a bounded
+   number of shingles.  A task takes two blocks, counts common shingles of all their pairs by
+   products of 0/1 matrices, and returns how many links each member has.  Copies are one member with a
+   weight; no pair becomes a row.
 
 Shingles are 64-bit hashes.  A component is named by the smallest ``doc_id`` in it.
 
 Defined results: null or empty text has an empty set and its own id as
 component; rows with a null ``doc_id`` get their size and a null component
 unless they equal or link to a text with an id; rows with equal ids are judged
-by their texts; other columns are ignored; an empty table gives no rows.
+by their texts; other columns are ignored; an empty table gives no rows.  ``n_links`` is the
+number of other rows that a row links to, equal texts and rows without an id included; 0 for empty sets.
 """
 
 from __future__ import annotations
@@ -45,6 +50,10 @@ from sluice.session import scratch_root
 SHINGLE = 5
 SIMILAR = 75   # per cent
 CELLS = 64
+BLOCK = 1 << 19  # shared shingles of a block of members of a component, each member counted as MEMBER more
+MEMBER = 1 << 11
+SLAB = 1 << 13   # columns of the matrices
+LINKS = pa.schema([("uid", pa.int64()), ("links", pa.int64())])
 SETS_DDL = "uid long, doc_id long, n long, f1 long, f2 long, prefix array<long>, shared array<long>, cells array<int>"
 SETS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()),
                   ("prefix", pa.list_(pa.int64())), ("shared", pa.list_(pa.int64())), ("cells", pa.list_(pa.int32()))])
@@ -142,8 +151,56 @@ def _linked(measured: DataFrame, percent: int) -> DataFrame:
     return measured.filter(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = SIMILAR, chunk_bytes: int = X.CHUNK_BYTES) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row."""
+def common(row: np.ndarray, token: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Number of tokens that each of the rows ``a`` has in common with each of ``b``; (row, token) are distinct."""
+    _, column, times = np.unique(token, return_inverse=True, return_counts=True)
+    of_many = times > 1
+    ok = of_many[column]
+    row, column = row[ok], (np.cumsum(of_many) - 1)[column[ok]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out, rows = np.zeros((len(a), len(b)), np.int64), 1 + max(a.max(initial=0), b.max(initial=0))
+    for lo in range(0, int(of_many.sum()), SLAB):
+        at, to = np.searchsorted(column, [lo, lo + SLAB])
+        has = np.zeros((rows, SLAB), np.float32)
+        has[row[at:to], column[at:to] - lo] = 1
+        out += (has[a] @ has[b].T).astype(np.int64)
+    return out
+
+
+def _links_of(percent: int):
+    """Links of the members of two blocks (p, q) of a component, each pair looked at in one group."""
+    def fn(table: pa.Table) -> pa.Table:
+        uid, n, copies, block = (table[c].to_numpy() for c in ("uid", "n", "copies", "block"))
+        shared = table["shared"].combine_chunks()
+        row = np.repeat(np.arange(len(uid)), shared.value_lengths().to_numpy())
+        one = table["p"][0].as_py() == table["q"][0].as_py()
+        first = block == table["p"][0].as_py()
+        a = np.flatnonzero(first)
+        b = a if one else np.flatnonzero(~first)
+        both = common(row, shared.flatten().to_numpy(), a, b)
+        link = 100 * both >= percent * (n[a][:, None] + n[b][None] - both)
+        if one:
+            np.fill_diagonal(link, False)
+        parts = [(uid[a], link @ copies[b])] + ([] if one else [(uid[b], copies[a] @ link)])
+        return pa.table([pa.array(np.concatenate([p[i] for p in parts]), pa.int64()) for i in (0, 1)], schema=LINKS)
+    return fn
+
+
+def link_counts(members: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """``uid, links`` of classes: ``members`` has uid, label, copies of every class in a component, ``sets`` their shingles."""
+    weighed = members.join(sets.select("uid", "own"), "uid")
+    blocks = weighed.groupBy("label").agg(F.ceil(F.sum(F.col("own") + MEMBER) / block).cast("int").alias("blocks"))
+    dealt = (weighed.join(blocks, "label").withColumn("block", F.pmod(F.xxhash64("uid"), "blocks").cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("uid", "label", "copies", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q")))
+    return (dealt.join(sets.select("uid", "n", "shared"), "uid").groupBy("label", "p", "q").applyInArrow(_links_of(percent), "uid long, links long")
+            .groupBy("uid").agg(F.sum("links").alias("links")))
+
+
+def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = SIMILAR, chunk_bytes: int = X.CHUNK_BYTES,
+                    links: bool = False, block: int = BLOCK) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row; with ``links`` also ``n_links``, its number of links."""
     spark = docs.sparkSession
     root = scratch_root(spark, "jaccard")
     chunks = X.chunk_count(docs, chunk_bytes)
@@ -153,7 +210,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = SIMILAR, c
 
     # equal sets: one class, of which one row goes on
     alive = rows.filter(F.size("prefix") > 0)
-    classes = alive.groupBy("n", "f1", "f2").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("least"))
+    classes = alive.groupBy("n", "f1", "f2").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("least"),
+                                                  F.count(F.lit(1)).alias("copies"))
     classes.write.parquet(f"{root}/classes")
     classes = spark.read.parquet(f"{root}/classes")
     sets = rows.select("uid", "n", "prefix", "shared", "cells", F.size("shared").alias("own")).join(classes.select("uid"), "uid", "left_semi")
@@ -183,8 +241,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = SIMILAR, c
     pairs = near.select(F.col("gid").alias("a"), "b").unionByName(star.select(F.col("uid").alias("a"), F.col("hub").alias("b"))).unionByName(inside)
     _measured(pairs.select(*ordered).distinct(), sets).write.parquet(f"{root}/measured")
     measured = spark.read.parquet(f"{root}/measured")
-    links = _linked(measured, percent)
-    first = components(links)
+    found = _linked(measured, percent)
+    first = components(found)
 
     # pairs of different components only
     label = (members.join(first.withColumnRenamed("node", "uid"), "uid", "left")
@@ -206,10 +264,16 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = SIMILAR, c
             .select(F.least("uid_x", "uid_y").alias("a"), F.greatest("uid_x", "uid_y").alias("b")).distinct())
     _measured(rest, sets).write.parquet(f"{root}/measured2")
     more = _linked(spark.read.parquet(f"{root}/measured2"), percent)
-    final = components(links.unionByName(more)) if more.limit(1).count() else first
+    final = components(found.unionByName(more)) if more.limit(1).count() else first
 
     named = classes.join(final.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
     least = named.groupBy("label").agg(F.min("least").alias("component"))
-    of_class = named.join(least, "label").select("n", "f1", "f2", "component")
+    of_class = named.join(least, "label")
+    if links:
+        counts = link_counts(final.withColumnRenamed("node", "uid").join(classes.select("uid", "copies"), "uid"), sets, percent, block)
+        of_class = of_class.join(counts, "uid", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("links", F.lit(0)))
+    more = ["n_links"] if links else []
+    of_class = of_class.select("n", "f1", "f2", "component", *more)
     return (rows.select("doc_id", "n", "f1", "f2").join(of_class, ["n", "f1", "f2"], "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")))
+            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"),
+                    *[F.coalesce(c, F.lit(0)).alias(c) for c in more]))

@@ -96,7 +96,7 @@ def op10_recompression(spark, sf_dir):
 @register("op2_jaccard_join")
 def op2_jaccard_join(spark, sf_dir):
     from sluice.llm.jaccard_join import near_duplicates
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), links=True)
 
 
 @register("op1_brown_lm")

@@ -66,8 +66,16 @@ def test_substring_dedup_edges(spark, docs_of):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_jaccard_join(docs_of, seed):
     rows = corpus(seed)
-    got = {r.doc_id: r for r in near_duplicates(docs_of(rows), chunk_bytes=4000).collect()}
-    sets = {}
+    r = random.Random(seed + 10)
+    star = [r.choice("abcdefghijklmnop") + str(r.randrange(9)) for _ in range(60)]
+    for i in range(40):  # a component whose members do not all link, many of them equal
+        w = list(star)
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(60)] = r.choice("xyz")
+        rows.append((300 + i, " ".join(w)))
+    rows += [(i + 50, t) for i, t in rows[-40::3]] + [(400, None)]
+    got = {r.doc_id: r for r in near_duplicates(docs_of(rows), chunk_bytes=4000, links=True, block=10000).collect()}
+    sets, links = {}, Counter()
     for i, t in rows:
         w = [x.lower() if x.isascii() else x for x in WORD.findall(t or "")]
         sets[i] = {tuple(w[k:k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
@@ -82,13 +90,17 @@ def test_jaccard_join(docs_of, seed):
             if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 top[max(x, y)] = min(x, y)
+                links.update([a, b])
     for i in sets:
-        assert (got[i].n_shingles, got[i].component_id) == (len(sets[i]), find(i)), i
+        assert (got[i].n_shingles, got[i].component_id, got[i].n_links) == (len(sets[i]), find(i), links[i]), i
+    assert len({links[300 + i] for i in range(40)}) > 3
 
 
 def test_jaccard_join_edges(docs_of):
     assert near_duplicates(docs_of([])).count() == 0
-    got = near_duplicates(docs_of([(None, ""), (3, "x y"), (3, "x y"), (2, "X Y")])).collect()
+    assert near_duplicates(docs_of([]), links=True).count() == 0
+    got = near_duplicates(docs_of([(None, ""), (3, "x y"), (3, "x y"), (2, "X Y")]), links=True).collect()
+    assert sorted(r.n_links for r in got) == [0, 2, 2, 2]
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (2, 2), (3, 2), (3, 2)]
 
 
