@@ -12,9 +12,12 @@ is deleted, so the first occurrence of longer repeats stays whole and all later
    windows select equal fingerprints.  A window that two smaller ones cover takes no part: it
    repeats only where they do.  Chunks ask which fingerprints stand at a second place (see ``exchange``).
 2. **Positions.**  Windows with such a fingerprint send a 128-bit hash of their lines and
-   the first place (id, line) the chunk has it at, and learn whether an earlier place exists.
-3. **Extension.**  Windows found at an earlier place are joined both ways into maximal runs,
-   which are deleted.
+   the first place (id, line) the chunk has it at, and learn the first place of all: each position is joined
+   with one earlier position of the same lines, not with all of them.
+3. **Extension.**  Joined positions are extended both ways: windows that overlap or touch and have their first places
+   in one document at the same distance are one match.  Matches are ``runs``, with the earlier place of
+   each, and their lines are deleted.  A longer match with any other earlier place deletes no line more: it is made of
+   windows, and each of them has a first place.
 
 A line of a third of all documents is asked about once per chunk.
 
@@ -28,14 +31,18 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from sluice.llm import exchange as X
 from sluice.llm.quality_gam import lines
 from sluice.llm.words import U, Block, blocks, grams, mix, texts
 
+RUN = ("start", "end", "from_id", "from_line")
+ADDED = ("n_lines", "n_removed", "runs")
+RUNS = ArrayType(StructType([StructField(c, LongType()) for c in RUN]))
 WINDOW = 3  # lines of a run that counts whatever it holds
 WORDS = 8   # words of a shorter run that counts
+FIRST = np.dtype([("id", "<i8"), ("at", "<i8")])  # a place: document and number of the line
 PLACE = np.dtype([("g", "<u8"), ("f", "<u8"), ("id", "<i8"), ("at", "<i8")])
 
 
@@ -122,12 +129,29 @@ def _ask_places(buckets: X.Ranges, k: int, words: int):
     return fn
 
 
-def _earlier(table: pa.Table) -> pa.Table:
+def _first_places(table: pa.Table) -> pa.Table:
     w, edge = X.unpack(table, PLACE, "keys")
     own, group = _first(w)
-    best = own[group]
-    yes = ((best["id"] < w["id"]) | (best["id"] == w["id"]) & (best["at"] < w["at"])).astype(np.uint8)
-    return X.answered(table, [yes[a:z].tobytes() for a, z in zip(edge[:-1], edge[1:])])
+    best = own[["id", "at"]][group].astype(FIRST)
+    return X.answered(table, [best[a:z].tobytes() for a, z in zip(edge[:-1], edge[1:])])
+
+
+def extended(row: np.ndarray, at: np.ndarray, size: np.ndarray, of: np.ndarray, of_at: np.ndarray):
+    """Maximal matches of windows (row, line, lines) with places (id, line): row, start, end, id, line there; by row and start."""
+    apart = at - of_at
+    order = np.lexsort((at, apart, of, row))
+    row, at, of, apart, end = row[order], at[order], of[order], apart[order], (at + size)[order]
+    change = np.ones(len(row), bool)
+    change[1:] = (row[1:] != row[:-1]) | (of[1:] != of[:-1]) | (apart[1:] != apart[:-1])
+    base = (np.cumsum(change) - 1) * (end.max(initial=0) + 1)  # keeps the ends of one document pair and distance above those before
+    reach = np.maximum.accumulate(end + base) if len(end) else end
+    first = change.copy()
+    first[1:] |= (at + base)[1:] > reach[:-1]
+    start = np.flatnonzero(first)
+    last = np.append(start[1:], len(row))[:len(start)] - 1
+    out = (row[start], at[start], (reach - base)[last], of[start], at[start] - apart[start])
+    by = np.lexsort((out[3], out[2], out[1], out[0]))
+    return tuple(x[by] for x in out)
 
 
 def _delete(k: int, words: int, names: list[str]):
@@ -137,27 +161,24 @@ def _delete(k: int, words: int, names: list[str]):
         two = two.set_column(1, "bucket", pa.array(-1 - kind[kind < 0], pa.int32()))
         w, row, size, kept = _candidates(table, one, k, words)
         own, group = _first(w)
-        best = own[group]
-        gone = X.gathered(two, np.uint8).astype(bool)[group] if len(own) else np.zeros(0, bool)
-        gone |= (best["id"] < w["id"]) | (best["id"] == w["id"]) & (best["at"] < w["at"])
+        best = X.gathered(two, FIRST)[group]
+        gone = (best["id"] < w["id"]) | (best["id"] == w["id"]) & (best["at"] < w["at"])
         n_lines, removed, text = [], [], []
-        order = np.argsort(row[gone], kind="stable")
-        hit_row, hit_at, hit_size = (v[gone][order] for v in (row, w["at"], size))
-        edge = np.searchsorted(hit_row, np.arange(table.num_rows + 1))
+        run_row, start, end, of, of_at = extended(row[gone], w["at"][gone], size[gone], best["id"][gone], best["at"][gone])
+        edge = np.searchsorted(run_row, np.arange(table.num_rows + 1))
         raw_texts = table["text"].to_pylist()
         for rows in kept:
             data = rows.data.tobytes()
             for d in range(rows.n):
                 r, n = rows.lo + d, int(rows.first[d + 1] - rows.first[d])
                 n_lines.append(n)
-                at, more = hit_at[edge[r]:edge[r + 1]], hit_size[edge[r]:edge[r + 1]]
-                if not len(at):
+                if edge[r] == edge[r + 1]:
                     removed.append(0)
                     text.append(raw_texts[r])
                     continue
                 cover = np.zeros(n, bool)
-                for j in range(k):
-                    cover[at[more > j] + j] = True
+                for i in range(edge[r], edge[r + 1]):
+                    cover[start[i]:end[i]] = True
                 removed.append(int(cover.sum()))
                 # lines that hold a word, by number; the others stay
                 out, seen = [], 0
@@ -169,29 +190,33 @@ def _delete(k: int, words: int, names: list[str]):
                     out.append(line)
                 text.append(b"\n".join(out).decode())
         cols = [pa.array(text, pa.string()) if c == "text" else table[c] for c in names]
-        return pa.table([*cols, pa.array(n_lines, pa.int64()), pa.array(removed, pa.int64())], names=[*names, "n_lines", "n_removed"])
+        runs = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.StructArray.from_arrays(
+            [pa.array(x.astype(np.int64)) for x in (start, end, of, of_at)], list(RUN)))
+        return pa.table([*cols, pa.array(n_lines, pa.int64()), pa.array(removed, pa.int64()), runs], names=[*names, *ADDED])
     return fn
 
 
 def line_dedup(docs: DataFrame, window: int = WINDOW, words: int = WORDS, chunk_bytes: int = X.CHUNK_BYTES) -> DataFrame:
-    """``docs`` with the kept lines as ``text``, and ``n_lines``, ``n_removed`` (lines that hold a word).
+    """``docs`` with the kept lines as ``text``, ``n_lines``, ``n_removed`` (lines that hold a word), and ``runs``.
 
-    Columns of ``docs`` named ``chunk``, ``n_lines`` or ``n_removed`` are dropped first.
+    A run has the numbers of its first line and of the line after its last, and the earlier place: document and first line.
+    Columns of ``docs`` named ``chunk``, ``n_lines``, ``n_removed`` or ``runs`` are dropped first.
     """
-    docs = docs.drop("chunk", "n_lines", "n_removed")
+    docs = docs.drop("chunk", *ADDED)
     n = X.chunk_count(docs, chunk_bytes)
     t = X.chunked(docs, n, *[c for c in docs.columns if c not in ("doc_id", "text")])
     cut = X.ranges(n)
     said = X.answer(X.ask(t, _ask_fingerprints(cut, window, words)), _shared, cut)
-    found = X.answer(X.meet(t, said, _ask_places(cut, window, words), X.ASK_DDL), _earlier, cut)
+    found = X.answer(X.meet(t, said, _ask_places(cut, window, words), X.ASK_DDL), _first_places, cut)
     both = said.unionByName(found.selectExpr("chunk", "-1 - bucket AS bucket", "answer"))
-    schema = StructType([*docs.schema.fields, StructField("n_lines", LongType()), StructField("n_removed", LongType())])
+    schema = StructType([*docs.schema.fields, StructField("n_lines", LongType()), StructField("n_removed", LongType()), StructField("runs", RUNS)])
     return X.meet(t, both, _guarded(_delete(window, words, docs.columns), docs.columns), schema)
 
 
 def _guarded(fn, names):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return pa.table([*(table[c] for c in names), pa.array([], pa.int64()), pa.array([], pa.int64())], names=[*names, "n_lines", "n_removed"])
+            runs = pa.array([], pa.list_(pa.struct([(c, pa.int64()) for c in RUN])))
+            return pa.table([*(table[c] for c in names), pa.array([], pa.int64()), pa.array([], pa.int64()), runs], names=[*names, *ADDED])
         return fn(table, answers)
     return run

@@ -115,7 +115,7 @@ def op3_quality_gam(spark, sf_dir):
 def op5_line_dedup(spark, sf_dir):
     from sluice.llm.line_dedup import line_dedup
     out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_removed", F.size("runs").alias("n_runs"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 @register("op6_decontamination")

@@ -126,6 +126,18 @@ def test_line_dedup(docs_of):
     assert line_dedup(docs_of([])).count() == 0
 
 
+def test_line_dedup_extends_matches(docs_of):
+    """A long repeat is one run, whatever stands around it; one from two documents is two; a text may repeat itself."""
+    a, b = [f"first text line {i}" for i in range(40)], [f"second text line {i}" for i in range(40)]
+    rows = [(1, "\n".join(a)), (2, "\n".join(b)), (5, "\n".join(["own", *a[3:31], "", "more", *a[30:], *b[:9]])), (6, "\n".join(["x y z u"] * 6)),
+            (7, "\n".join(f"long {i % 500} line" for i in range(3000))), (None, "\n".join(a))]
+    for c in (300, 10 ** 6):
+        got = {r.doc_id: [tuple(x) for x in r.runs] for r in line_dedup(docs_of(rows), chunk_bytes=c).collect()}
+        assert got == {1: [], 2: [], 5: [(1, 29, 1, 3), (30, 40, 1, 30), (40, 49, 2, 0)], 6: got[6], 7: got[7], None: []}
+        assert {j for s, e, _, _ in got[6] for j in range(s, e)} == {1, 2, 3, 4, 5}  # two lines of four words are a run
+        assert {j for s, e, _, _ in got[7] for j in range(s, e)} == set(range(500, 3000))
+
+
 def test_line_dedup_short_runs(docs_of):
     """Repeats on one or two lines: those of eight words and more go, in texts of any number of lines."""
     r = random.Random(6)
@@ -145,6 +157,11 @@ def test_line_dedup_short_runs(docs_of):
         three = {j for d, k, run in runs if d == i and first[run] < (i, k) and len(run) == 3 for j in range(k, k + 3)}
         short += len(gone - three)
         assert (got[i].n_lines, got[i].n_removed) == (len(own[i]), len(gone)), i
+        assert {j for x in got[i].runs for j in range(x.start, x.end)} == gone
+        for x in got[i].runs:  # the same lines stand at the one earlier place that is named
+            there = own[x.from_id][x.from_line:x.from_line + x.end - x.start]
+            assert there == own[i][x.start:x.end] and (x.from_id, x.from_line) < (i, x.start)
+            assert x.end - x.start >= 3 or len(" ".join(there).split()) >= 8
         assert [x.strip() for x in (got[i].text or "").split("\n") if x.strip()] == [x for j, x in enumerate(own[i]) if j not in gone]
     assert short > 50 and got[91].n_removed == got[92].n_removed == 1
 
