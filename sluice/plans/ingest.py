@@ -23,10 +23,9 @@ from sluice.model import IDENTITY_FIELDS, STAGE_SCHEMAS, STAGES
 from sluice.operators.quality import audit_constraints
 from sluice.operators.stages import STAGE_CHECKS, duplicate_targets, fold_validation, stage_targets
 from sluice.session import scratch_root
-from sluice.sinks.batches import path_exists
 from sluice.sinks.tables import create_database, overwrite_table
-from sluice.sources.configs import (ambiguous_files, list_config_files, parse_documents, read_column_maps,
-                                    read_sql_files)
+from sluice.sources.configs import (ambiguous_files, list_config_files, name_parts, parse_documents, read_column_maps,
+                                    read_sql_files, referenced_files)
 from sluice.sources.settings import load_settings
 
 PROBLEMS_DDL = "kind string, path string, detail string"
@@ -74,7 +73,7 @@ def load_configs(spark: SparkSession, root: str, strict_xor: bool = False) -> In
     problems.append(docs.select(F.lit("invalid_shape").alias("kind"), F.col("__file").alias("path"),
                                 F.explode("shape_errors").alias("detail")))
 
-    amb = ambiguous_files(listing.select("path", "dir", "stem", "suffix"))
+    amb = ambiguous_files(docs.select(*name_parts(F.col("__file"))))
     problems.append(amb.select(F.lit("ambiguous_file").alias("kind"),
                                F.concat_ws("/", "dir", "stem").alias("path"),
                                F.array_join("suffixes", ",").alias("detail")))
@@ -108,11 +107,12 @@ def load_configs(spark: SparkSession, root: str, strict_xor: bool = False) -> In
         F.lit("bad_config_file").alias("kind"), F.col("__file").alias("path"),
         F.concat(F.lit("transformation configs must be .csv or .sql: "), F.col("config")).alias("detail")))
 
-    # the referenced file names are configuration (bounded by the number of files)
-    refs = by_file.select("config", "config_kind").distinct().collect()
-    there = {r["config"]: r["config_kind"] for r in refs if path_exists(spark, r["config"])}
-    maps = read_column_maps(spark, [p for p, kind in there.items() if kind == ".csv"])
-    sqls = read_sql_files(spark, [p for p, kind in there.items() if kind == ".sql"])
+    # there may be as many referenced files as pipelines: each is looked up and read by a task, once
+    known = by_file.filter(F.col("config_kind").isin(".csv", ".sql"))
+    refs = referenced_files(spark, known)
+    kind = F.lower(F.regexp_extract("config_path", r"(\.[^./]*)$", 1))
+    maps = read_column_maps(spark, refs.filter(kind == ".csv"))
+    sqls = read_sql_files(spark, refs.filter(kind == ".sql"))
     colmaps = maps.filter(F.col("map_error").isNull()).drop("map_error")
 
     parents = by_file.select("__file", *IDENTITY_FIELDS, "origin", "target", "config", "config_kind")
@@ -126,9 +126,7 @@ def load_configs(spark: SparkSession, root: str, strict_xor: bool = False) -> In
     sql_rows = (by_file.filter(F.col("config_kind") == ".sql")
                 .join(sqls.withColumnRenamed("sql_query", "__sql"), F.col("config") == F.col("config_path"), "inner")
                 .withColumn("sql_query", F.col("__sql")).withColumn("column_order", F.lit(1)))
-    known = by_file.filter(F.col("config_kind").isin(".csv", ".sql"))
-    found = spark.createDataFrame([(p,) for p in there], "config_path string")
-    missing = known.join(found, F.col("config") == F.col("config_path"), "left_anti")
+    missing = known.join(refs.filter("there"), F.col("config") == F.col("config_path"), "left_anti")
     problems.append(missing.select(F.lit("missing_config_file").alias("kind"), F.col("__file").alias("path"),
                                    F.col("config").alias("detail")))
     unreadable = known.join(maps.filter(F.col("map_error").isNotNull()), F.col("config") == F.col("config_path"))

@@ -7,6 +7,7 @@ column names and types).
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -1107,10 +1108,21 @@ def _pipelines(spark, sf_dir):
                     F.concat(F.lit("flow_"), "s_suppkey").alias("p"), F.col("s_suppkey").alias("k"), "n_regionkey")
 
 
-def _definitions(df, root: str, **stages):
-    """Write one definition file per pipeline (rows of one pipeline go to one file)."""
+def _folder():
+    """A pipeline's folder below the root."""
+    return F.concat_ws("/", F.lit("pipelines"), F.concat(F.lit("c="), "c"), F.concat(F.lit("s="), "s"), F.concat(F.lit("p="), "p"))
+
+
+def _documents(df, **stages):
+    """One definition document per row, as a line of text with its pipeline's folder."""
     doc = [F.expr(v).alias(n) if isinstance(v, str) else v.alias(n) for n, v in stages.items()]
-    df.select("c", "s", "p", *doc).repartition("c", "s", "p").write.mode("append").partitionBy("c", "s", "p").json(f"{root}/pipelines")
+    return df.select(_folder().alias("folder"), F.to_json(F.struct(*doc)).alias("line"))
+
+
+def _definitions(documents, root: str):
+    """Write one definition file per pipeline (documents of one pipeline go to one file, a line each)."""
+    files = documents.groupBy("folder").agg(F.array_join(F.collect_list("line"), "\n").alias("lines"))
+    _named_files(files.select(F.concat("folder", F.lit("/definition.json")).alias("path"), F.concat("lines", F.lit("\n")).alias("content")), root)
 
 
 @register("ingest_stage_rows", """
@@ -1140,13 +1152,14 @@ def q_ingest_stage_rows(spark, sf_dir):
             .select(normalize_path(F.col("path")).alias("map")).withColumn("n_regionkey", F.regexp_extract("map", r"n_regionkey=(\d+)", 1).cast("int")))
     batches.write_text(spark, f"{root}/agg.sql", "SELECT count(*) AS n FROM mapped")
     rule = "array(named_struct('validation_rule', 'k > 0', 'validation_action', 'LOG'))"
-    _definitions(_pipelines(spark, sf_dir).join(maps, "n_regionkey"), root,
+    _definitions(_documents(
+                 _pipelines(spark, sf_dir).join(maps, "n_regionkey"),
                  sources=f"array(named_struct('origin', concat('/data/', k), 'datatype', 'parquet', 'target', concat('raw_', k), 'validations', {rule}))",
                  transformations=f"""array(named_struct('origin', concat('raw_', k), 'target', concat('mapped_', k), 'config', map, 'sql_query', null),
                      named_struct('origin', concat('mapped_', k), 'target', concat('agg_', k), 'config', '{root}/agg.sql', 'sql_query', null),
                      named_struct('origin', concat('agg_', k), 'target', concat('more_', k), 'config', null, 'sql_query', concat('SELECT n + ', k, ' AS n FROM agg_', k)))""",
                  destinations="""array(named_struct('origin', concat('more_', k), 'target', concat('out_', k), 'mode', if(k % 2 = 0, 'append', 'upsert'),
-                     'path', if(k % 2 = 0, 'out', null), 'keys', if(k % 2 = 0, null, array('n')), 'sequence_by', if(k % 2 = 0, null, 'n')))""")
+                     'path', if(k % 2 = 0, 'out', null), 'keys', if(k % 2 = 0, null, array('n')), 'sequence_by', if(k % 2 = 0, null, 'n')))"""), root)
     got = load_configs(spark, root)
     plain = normalize_path(F.lit(root))
     mapped = F.concat("source_column_name", F.lit(">"), F.col("dest_column_name"), F.lit(":"), F.col("dest_column_type"))
@@ -1197,25 +1210,30 @@ def q_ingest_problems(spark, sf_dir):
         {"sources": f"array({source()}, {source()})"},
         {"transformations": f"array({clash})"},
         {"transformations": f"array({stage(origin=chr(39) + 'a' + chr(39), target=chr(39) + 't' + chr(39))})"}]
+    documents = []
     for i, stages in enumerate(cases):
         own = flows.filter(F.col("k") % len(cases) == i)
-        _definitions(own.unionByName(own) if i == 1 else own, root, **stages)  # two documents in one file are not one
+        documents.append(_documents(own.unionByName(own) if i == 1 else own, **stages))  # two documents in one file are not one
+    _definitions(reduce(DataFrame.unionByName, documents), root)
     found = load_configs(spark, root).problems
     return found.groupBy("kind", F.regexp_extract("path", "(p=flow_[0-9]+)", 1).alias("pipeline")).agg(F.count(F.lit(1)).cast("int").alias("n"))
 
 
 def _named_files(df, root: str):
-    """Write one file per row (``path`` below ``root``, ``content``); a repeated task writes the same bytes again."""
+    """Write one file per row (``path`` below ``root``, ``content``), dealt over the tasks; a repeated task writes the same bytes again."""
+    from sluice.sources.files import tasks_for
+    files = df.select("path", "content")
+
     def put(batches):
         from pyarrow import fs
-        files, base = fs.FileSystem.from_uri(root)
+        store, base = fs.FileSystem.from_uri(root)
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                files.create_dir(f"{base}/{path}".rsplit("/", 1)[0], recursive=True)
-                with files.open_output_stream(f"{base}/{path}") as out:
+                store.create_dir(f"{base}/{path}".rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(f"{base}/{path}") as out:
                     out.write(content.encode())
             yield batch
-    df.select("path", "content").mapInArrow(put, "path string, content string").write.format("noop").mode("overwrite").save()
+    files.repartition(tasks_for(df.sparkSession, files.count())).mapInArrow(put, "path string, content string").write.format("noop").mode("overwrite").save()
 
 
 @register("ambiguous_definitions", """
@@ -1230,13 +1248,12 @@ def q_ambiguous_definitions(spark, sf_dir):
     from sluice.plans.ingest import load_configs
     root = scratch_root(spark, "ambiguous_definitions")
     flows = _pipelines(spark, sf_dir)
-    folder = F.concat_ws("/", F.lit("pipelines"), F.concat(F.lit("c="), "c"), F.concat(F.lit("s="), "s"), F.concat(F.lit("p="), "p"))
     as_json = F.format_string('{"sources": [{"origin": "/data", "datatype": "parquet", "target": "%s_%d"}]}', F.col("name"), F.col("i"))
     as_toml = F.format_string('[[sources]]\norigin = "/data"\ndatatype = "parquet"\ntarget = "%s_%d"\n', F.col("name"), F.col("i"))
     kinds = [(0, "stage.json"), (0, "stage.yaml"), (0, "stage.toml"), (1, "stage.json"), (1, "more.yaml"), (2, "stage.toml"), (3, "stage.yml")]
     named = spark.createDataFrame([(k, f, f.split(".")[0], i) for i, (k, f) in enumerate(kinds)], "part int, file string, name string, i int")
     files = flows.join(named, F.col("k") % 4 == F.col("part"))
-    _named_files(files.select(F.concat_ws("/", folder, "file").alias("path"), F.when(F.col("file").endswith(".toml"), as_toml).otherwise(as_json).alias("content")), root)
+    _named_files(files.select(F.concat_ws("/", _folder(), "file").alias("path"), F.when(F.col("file").endswith(".toml"), as_toml).otherwise(as_json).alias("content")), root)
     got = load_configs(spark, root)
     pipeline = F.regexp_extract("path", "(p=flow_[0-9]+)", 1).alias("pipeline")
     bad = got.problems.select(pipeline, F.regexp_extract("path", "([a-z]+)(\\.[a-z]+)?$", 1).alias("stem"), F.col("kind").alias("found"))
@@ -1254,11 +1271,10 @@ def q_settings_files(spark, sf_dir):
     """Settings files beside definitions: two run modes, an unknown one, two files for one pipeline, a file that does not parse."""
     from sluice.sources.settings import load_settings
     root = scratch_root(spark, "settings_files")
-    folder = F.concat_ws("/", F.lit("pipelines"), F.concat(F.lit("c="), "c"), F.concat(F.lit("s="), "s"), F.concat(F.lit("p="), "p"))
     texts = [(0, "json", '{"continuous": "Yes", "clusters": []}'), (1, "yaml", "continuous: false\n"), (2, "json", '{"continuous": "perhaps"}'),
              (3, "json", "{}"), (3, "toml", 'name = "x"\n'), (4, "json", '{"continuous": ')]
     files = _pipelines(spark, sf_dir).join(spark.createDataFrame(texts, "part int, suffix string, content string"), F.col("k") % 5 == F.col("part"))
-    _named_files(files.select(F.concat(folder, F.lit("/_pipeline_settings."), "suffix").alias("path"), "content"), root)
+    _named_files(files.select(F.concat(_folder(), F.lit("/_pipeline_settings."), "suffix").alias("path"), "content"), root)
     settings, problems = load_settings(spark, root)
     pipeline = F.regexp_extract("path", "(p=flow_[0-9]+)", 1).alias("pipeline")
     return (settings.select(pipeline, F.lit("settings").alias("found"), "continuous")

@@ -2,10 +2,11 @@
 
 A pipeline folder looks like ``<root>/pipelines/<catalog>/<schema>/<pipeline>/``
 with ``.json``/``.toml``/``.yaml``/``.yml`` definitions; names starting with
-``_`` (settings) or ``.`` are skipped - Spark's file listing already hides
-them.  Parsing is a per-file helper run inside ``mapInPandas`` (the files are
+``_`` (settings) or ``.`` are skipped, and so are empty files, as Spark's file
+listing does.  Parsing is a per-file helper run inside ``mapInPandas`` (the files are
 spread over tasks); bad files become rows with a ``parse_error`` instead of
-being silently dropped.
+being silently dropped.  Folders are listed and files read by tasks (:mod:`sluice.sources.files`), or by Spark's reader where tasks cannot
+open the store.
 """
 
 from __future__ import annotations
@@ -16,16 +17,20 @@ import json
 from typing import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.functions.text import file_stem, file_suffix, normalize_path, parent_dir
 from sluice.model import COLUMN_MAP_CSV, DOCUMENT
+from sluice.session import scratch_root
+from sluice.sinks.batches import path_exists
+from sluice.sources.files import list_files, look_up, qualified, reachable, read_files
 
 # --- fixed values: configuration file suffixes, in the order they are tried
 CONFIG_SUFFIXES = (".json", ".toml", ".yml", ".yaml")
 CONFIG_GLOB = "*.{json,toml,yaml,yml}"
+CONFIG_NAME = r"\.(json|toml|yaml|yml)\z"
 
 # Fields that need not be text: an object of options, and a number or digits.
 _LOOSE = {"params": (str, dict), "column_order": (str, int)}
@@ -34,14 +39,20 @@ _LOOSE = {"params": (str, dict), "column_order": (str, int)}
 def list_config_files(spark: SparkSession, root: str, subdir: str = "pipelines",
                       with_content: bool = False) -> DataFrame:
     """``path, dir, stem, suffix`` (and ``content``) of every definition file below ``root/subdir``."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", CONFIG_GLOB).load(f"{root.rstrip('/')}/{subdir}"))
-    path = normalize_path(F.col("path"))
-    cols = [path.alias("path"), parent_dir(path).alias("dir"), file_stem(path).alias("stem"),
-            file_suffix(path).alias("suffix")]
-    if with_content:
-        cols.append(F.col("content"))
-    return files.select(*cols)
+    top = qualified(spark, f"{root.rstrip('/')}/{subdir}")
+    if reachable(top):
+        files = list_files(spark, top).filter((F.col("size") > 0) & F.col("path").rlike(CONFIG_NAME))
+        files = read_files(files) if with_content else files
+    else:
+        files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+                 .option("pathGlobFilter", CONFIG_GLOB).load(f"{root.rstrip('/')}/{subdir}"))
+    return files.select(*name_parts(F.col("path")), *(["content"] if with_content else []))
+
+
+def name_parts(raw: Column) -> list[Column]:
+    """``path, dir, stem, suffix`` of a listed path."""
+    path = normalize_path(raw)
+    return [path.alias("path"), parent_dir(path).alias("dir"), file_stem(path).alias("stem"), file_suffix(path).alias("suffix")]
 
 
 def ambiguous_files(listing: DataFrame) -> DataFrame:
@@ -120,8 +131,24 @@ def parse_documents(files: DataFrame) -> DataFrame:
                          F.from_json("json_text", "map<string,string>").alias("__top"))
 
 
-def _read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``config_path, content`` of whole files; the listing's plain path, so blanks and ``%`` compare as written."""
+def referenced_files(spark: SparkSession, refs: DataFrame) -> DataFrame:
+    """``config_path, there, content`` of the distinct paths in ``config``, each looked up and read once; ``content`` is NULL where there is no whole file."""
+    kept = scratch_root(spark, "referenced")
+    look_up(refs.select(F.col("config").alias("path")).distinct()).withColumnRenamed("path", "config_path").write.parquet(kept)
+    seen = spark.read.parquet(kept)
+    files = seen.filter("kind <> 'other'").select("config_path", (F.col("kind") != "missing").alias("there"), F.when(F.length("content") > 0, F.col("content")).alias("content"))
+    other = [r["config_path"] for r in seen.filter("kind = 'other'").select("config_path").collect()]  # none, unless a store needs Spark's reader
+    if other:
+        there = [p for p in other if path_exists(spark, p)]
+        rest = spark.createDataFrame([(p, p in there) for p in other], "config_path string, there boolean")
+        files = files.unionByName(rest.join(_read_files(spark, there), "config_path", "left"))
+    return files
+
+
+def _read_files(spark: SparkSession, paths: list[str] | DataFrame) -> DataFrame:
+    """``config_path, content`` of whole files; the listing's plain path, so blanks and ``%`` compare as written.  Files may be given as read."""
+    if isinstance(paths, DataFrame):
+        return paths.filter(F.col("content").isNotNull()).select("config_path", "content")
     if not paths:
         return spark.createDataFrame([], "config_path string, content binary")
     files = spark.read.format("binaryFile").load(paths)
@@ -149,13 +176,13 @@ def _map_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=columns, dtype=object)
 
 
-def read_column_maps(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_column_maps(spark: SparkSession, paths: list[str] | DataFrame) -> DataFrame:
     """Column-map CSV files (header row, all cells as text) with their path; ``map_error`` for an unreadable file."""
     text = T.StringType()
     schema = T.StructType([T.StructField("config_path", text), *COLUMN_MAP_CSV.fields, T.StructField("map_error", text)])
     return _read_files(spark, paths).mapInPandas(_map_batches, schema)
 
 
-def read_sql_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_sql_files(spark: SparkSession, paths: list[str] | DataFrame) -> DataFrame:
     """Whole-file text of SQL stage files with their path; an empty file has empty text, one that is not UTF-8 NULL."""
     return _read_files(spark, paths).select(F.try_validate_utf8(F.col("content").cast("string")).alias("sql_query"), "config_path")
