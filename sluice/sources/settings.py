@@ -1,7 +1,7 @@
 """Settings files beside the definitions: ``_pipeline_settings.{json,toml,yml,yaml}`` in a pipeline's folder.
 
-Spark's file readers hide names that start with ``_``, so these are listed and read with the file system's own calls (one small file
-per pipeline at most, as many as there are pipelines) and then parsed like any definition.  Of their content only
+Spark's file readers hide names that start with ``_``, so these are listed and read by tasks (:mod:`sluice.sources.files`; with the
+driver's own calls where tasks cannot open the store) and then parsed like any definition, once.  Of their content only
 the run mode (``continuous``) is used here; the rest is kept as JSON text.
 """
 
@@ -10,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.functions.text import file_stem, file_suffix, normalize_path, parent_dir, path_identity
+from sluice.functions.text import path_identity
+from sluice.session import scratch_root
 from sluice.sinks.batches import _fs, read_bytes
-from sluice.sources.configs import CONFIG_GLOB, ambiguous_files, parse_texts
+from sluice.sources.configs import CONFIG_GLOB, CONFIG_NAME, ambiguous_files, name_parts, parse_texts
+from sluice.sources.files import list_files, qualified, reachable, read_files
 
 # --- fixed value: stem of the settings files
 SETTINGS_STEM = "_pipeline_settings"
@@ -21,17 +23,22 @@ TRUE, FALSE = ("true", "1", "yes"), ("false", "0", "no")
 
 def list_settings_files(spark: SparkSession, root: str, subdir: str = "pipelines") -> DataFrame:
     """``path, dir, stem, suffix, content`` of the settings files of all pipeline folders."""
+    top = qualified(spark, f"{root.rstrip('/')}/{subdir}")
+    if reachable(top):
+        found = list_files(spark, top, with_hidden=True, depth=3)
+        own = found.filter((F.col("depth") == 3) & F.col("path").rlike(f"/{SETTINGS_STEM}{CONFIG_NAME}"))
+        return read_files(own).select(*name_parts(F.col("path")), "content")
     fs, glob = _fs(spark, f"{root.rstrip('/')}/{subdir}/*/*/*/{SETTINGS_STEM}{CONFIG_GLOB[1:]}")
     found = [s.getPath().toString() for s in (fs.globStatus(glob) or []) if s.isFile()]
     files = spark.createDataFrame([(p, read_bytes(spark, p)) for p in found], "raw string, content binary")
-    path = normalize_path(F.col("raw"))
-    return files.select(path.alias("path"), parent_dir(path).alias("dir"), file_stem(path).alias("stem"), file_suffix(path).alias("suffix"), "content")
+    return files.select(*name_parts(F.col("raw")), "content")
 
 
 def load_settings(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """(``path``, identity columns, ``continuous``, ``settings``) of every readable file, and the problems (``kind, path, detail``)."""
-    files = list_settings_files(spark, root)
-    parsed = parse_texts(files)
+    kept = scratch_root(spark, "settings")  # read and parsed once: the branches below read the result
+    parse_texts(list_settings_files(spark, root)).write.parquet(kept)
+    parsed = spark.read.parquet(kept)
     mode = F.lower(F.trim(F.get_json_object("json_text", "$.continuous")))
     read = parsed.withColumn("mode", F.when(mode != "", mode))
     good = read.filter(F.col("parse_error").isNull())
@@ -41,7 +48,7 @@ def load_settings(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]
     problems = (read.filter(F.col("parse_error").isNotNull()).select(F.lit("parse_error").alias("kind"), "path", F.col("parse_error").alias("detail"))
                 .unionByName(bad.select(F.lit("invalid_settings").alias("kind"), "path",
                                         F.concat(F.lit("continuous must be true or false: "), "mode").alias("detail")))
-                .unionByName(ambiguous_files(files).select(F.lit("ambiguous_file").alias("kind"), F.concat_ws("/", "dir", "stem").alias("path"),
+                .unionByName(ambiguous_files(parsed.select(*name_parts(F.col("path")))).select(F.lit("ambiguous_file").alias("kind"), F.concat_ws("/", "dir", "stem").alias("path"),
                                                            F.array_join("suffixes", ",").alias("detail"))))
     return settings, problems
 
